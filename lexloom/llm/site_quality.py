@@ -26,7 +26,6 @@ _LETTER = _table(bytes([*range(65, 91), *range(97, 123)]))
 _DIGIT = _table(bytes(range(48, 58)))
 _STOP = _table(b".,;:!?")
 _SYMBOL = _table(b"#*$%&|<>{}[]\\^~=_+@/")
-N_DENSE = 9
 
 
 def measures(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -70,16 +69,39 @@ class Logistic:
     dense: np.ndarray
     words: np.ndarray
     bias: float
+    lexicon: np.ndarray
 
     def logits(self, dense: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        dense = np.column_stack((dense, worst_word(self.lexicon, words)))
         row = np.repeat(np.arange(len(words)), [len(w) for w in words])
         flat = np.concatenate(words) if words else np.empty(0, np.int64)
         total = np.bincount(row, self.words[flat], len(words)) / np.sqrt(np.maximum([len(w) for w in words], 1)) if len(flat) else np.zeros(len(words))
         return np.clip(np.clip((dense - self.mean) / self.scale, -5, 5) @ self.dense + total + self.bias, -12, 12)
 
 
+def bad_lexicon(words: list[np.ndarray], good: np.ndarray) -> np.ndarray:
+    """For each hashed word a cautious log ratio of its shares in bad and in good documents, 0 at least: what is in
+    few bad documents says little."""
+    row = np.repeat(good, [len(w) for w in words])
+    flat = np.concatenate(words) if words else np.empty(0, np.int64)
+    bad_n, good_n = (np.bincount(flat[row == on], minlength=1 << _BITS) for on in (False, True))
+    low = np.maximum(bad_n - 1.5 * np.sqrt(bad_n), 0)
+    return np.maximum(0, np.log((low + 0.5) / (max(1, (~good).sum()) + 1)) - np.log((good_n + 0.5) / (max(1, good.sum()) + 1)))
+
+
+def worst_word(lexicon: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    return np.array([lexicon[w].max() if len(w) else 0.0 for w in words])
+
+
 def fit_logistic(dense: np.ndarray, words: list[np.ndarray], good: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Logistic:
     """Full-batch Adam on the driver, classes weighted alike."""
+    # the lexicon that a training document is seen with comes from the other half, as for documents never seen
+    half = np.arange(len(words)) % 2 == 0
+    worst = np.zeros(len(words))
+    for side in (half, ~half):
+        lexicon = bad_lexicon([w for w, on in zip(words, side) if on], good[side])
+        worst[~side] = worst_word(lexicon, [w for w, on in zip(words, side) if not on])
+    dense = np.column_stack((dense, worst))
     mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     x = np.clip((dense - mean) / scale, -5, 5)
     sizes = np.array([len(w) for w in words])
@@ -99,7 +121,7 @@ def fit_logistic(dense: np.ndarray, words: list[np.ndarray], good: np.ndarray, s
         gradient = np.concatenate((x.T @ error, np.bincount(flat, error[row] * value, 1 << _BITS), [error.sum()])) + decay * theta * 0.01
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Logistic(mean, scale, theta[:d].copy(), theta[d:-1].astype(np.float32), float(theta[-1]))
+    return Logistic(mean, scale, theta[:d].copy(), theta[d:-1].astype(np.float32), float(theta[-1]), bad_lexicon(words, good))
 
 
 def _strength(groups: DataFrame, least: float = 2.0, most: float = 500.0) -> float:
