@@ -4,12 +4,13 @@
    minima under multiply-shift hashes, the hashes of ``bands`` bands, one byte of each minimum as signature, and a
    128-bit digest of the whole set.
 2. Documents with equal sets form a class with one representative (copies are never paired).
-3. Representatives that share a band are candidates. In each bucket only a *star* is compared: the smallest id
-   against the others. Buckets whose members are then still in several components come again with 32 further
-   centres, then with four times as many, until each is in one component or all its pairs are done. So no pairs
-   of a group are listed where stars suffice, and no candidate pair that could join two components is lost.
-4. Pairs whose signatures make the similarity very unlikely are dropped; the others are confirmed on full sets.
-5. Components come from alternating large-star and small-star steps.
+3. Representatives that share a band are candidates. In each bucket a *star* is compared first: the smallest id
+   against the others. Pairs whose signatures make the similarity very unlikely are dropped; the others are confirmed
+   on full sets.
+4. Components come from alternating large-star and small-star steps.
+5. Where members of a bucket are then still in several components, the pairs across components are compared in blocks
+   of bounded size, first by signature, then on full sets, as matrices inside a task. So candidate pairs are never
+   listed, and none that could join two components is lost. What this finds joins the components.
 
 With 32 bands of 4 rows a pair of similarity 0.75 is missed by all bands with probability 5e-6.
 """
@@ -20,10 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .kit import FACTORS, Block, Scratch, id_and_text, mix, shingle_set, span_hashes, text_blocks
 
@@ -178,29 +178,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = scratch.put(member.join(shared, "bucket").select("bucket", "id", "centre"), "members")
     signatures = reps.select("id", "signature")
 
-    tested: DataFrame | None = None
-    pairs = member.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
-    labels: DataFrame | None = None
-    done, width, turn = 1, 32, 0
-    while True:
-        pairs = scratch.put(pairs, f"pairs-{turn}")
-        found = _verify(texts, pairs, signatures, scratch, turn, k, threshold, floor)
-        tested = pairs if tested is None else tested.union(pairs)
-        if labels is None:
-            labels = connected_components(found, scratch, f"cc-{turn}")
-        elif not found.isEmpty():
-            labels = connected_components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).union(found), scratch, f"cc-{turn}")
-        # buckets whose members are still in several components
-        current = member.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        mixed = current.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high").where(F.col("size") > done)
-        mixed = scratch.put(mixed.select("bucket"), f"mixed-{turn}")
-        if mixed.isEmpty():
-            break
-        current = scratch.put(current.join(mixed, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), f"current-{turn}")
-        centres = current.where((F.col("rank") > done) & (F.col("rank") <= done + width)).select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
-        pairs = current.join(centres, "bucket").where("c <> cx").select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")).distinct()
-        pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        done, width, turn = done + width, width * 4, turn + 1
+    pairs = scratch.put(member.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
+    edges = _verify(texts, pairs, signatures, scratch, k, threshold, floor)
+    labels = connected_components(edges, scratch, "stars")
+    # buckets whose members are still in several components; in those of two the only pair is done
+    current = member.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    mixed = current.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("bucket", "size")
+    mixed = scratch.put(mixed, "mixed")
+    if not mixed.isEmpty():
+        more = _open_pairs(texts, current.join(mixed, "bucket"), signatures, scratch, k, threshold, floor)
+        if not more.isEmpty():
+            labels = connected_components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more), scratch, "all")
 
     out = feats.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     out = out.withColumn("id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
@@ -208,16 +196,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, signatures: DataFrame, scratch: Scratch, turn: int, k: int, threshold: tuple[int, int], floor: float) -> DataFrame:
+def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Deals the members of each bucket to ``blocks`` blocks and repeats each for the pairs of blocks it is in: the
+    members of one pair of blocks (x <= y) meet in one group of bounded size."""
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+def _crossing(own: np.ndarray, c: np.ndarray, x: int, y: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Index sets whose products hold every pair of a member of block x and one of block y that are in different
+    components. Pairs inside the largest component are left out."""
+    names, count = np.unique(c, return_counts=True)
+    most = names[count.argmax()]
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    return [(left[c[left] != most], right), (left[c[left] == most], right[c[right] != most])]
+
+
+def _open_pairs(texts: DataFrame, members: DataFrame, signatures: DataFrame, scratch: Scratch, k: int, threshold: tuple[int, int], floor: float) -> DataFrame:
+    """Links (u, v) between members (bucket, id, c, size) of the same bucket that are in different components.
+
+    First blocks of signatures, then, for members whose signature is close to one of another component, blocks of
+    full sets are compared as matrices inside a task. Tasks return members and links, never candidate pairs."""
+    above, below = threshold
+
+    def close(key, table):
+        own, c = table.column("own").to_numpy(), table.column("c").to_numpy()
+        codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(own), -1)
+        least = (floor * (1 - 1 / 256) + 1 / 256) * codes.shape[1]
+        near = np.zeros(len(own), bool)
+        for rows, columns in _crossing(own, c, key[1].as_py(), key[2].as_py()):
+            for at in range(0, len(rows), 64):
+                part = rows[at : at + 64]
+                agree = (codes[part][:, None, :] == codes[columns][None, :, :]).sum(axis=2, dtype=np.int32)
+                hit = (agree >= least) & (c[part][:, None] != c[columns][None, :])
+                near[part[hit.any(axis=1)]] = True
+                near[columns[hit.any(axis=0)]] = True
+        return table.select(["bucket", "id", "c"]).filter(pa.array(near))
+
+    dealt = _block_pairs(members, F.ceil(F.col("size") / 1024).cast("int")).join(signatures, "id")
+    near = dealt.select("bucket", "x", "y", "id", "c", "own", "signature").groupBy("bucket", "x", "y").applyInArrow(close, "bucket long, id long, c long")
+    near = scratch.put(near.distinct(), "near")
+    ids = scratch.put(near.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    sets = scratch.put(_sets(texts.join(ids, "doc_id", "left_semi"), k), "near-sets").withColumnRenamed("doc_id", "id")
+    size = scratch.put(near.join(sets.select("id", F.octet_length("shingles").alias("bytes")), "id").groupBy("bucket").agg(F.sum("bytes").alias("bytes")), "near-sizes")
+
+    def links(key, table):
+        own, c, ids = table.column("own").to_numpy(), table.column("c").to_numpy(), table.column("id").to_numpy()
+        parts = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        lengths = np.array([len(s) for s in parts])
+        values, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        # what one member alone has is in no intersection
+        shared = np.cumsum(count > 1) - 1
+        row = np.repeat(np.arange(len(parts)), lengths)
+        keep = count[place] > 1
+        row, column, width = row[keep], shared[place[keep]], int((count > 1).sum())
+        at = np.searchsorted(row, np.arange(len(parts) + 1))
+
+        def matrix(which, low, high):
+            out = np.zeros((len(which), high - low), np.float32)
+            for i, r in enumerate(which):
+                cells = column[at[r] : at[r + 1]]
+                out[i, cells[(cells >= low) & (cells < high)] - low] = 1
+            return out
+
+        found = set()
+        for rows, columns in _crossing(own, c, key[1].as_py(), key[2].as_py()):
+            for a in range(0, len(rows), 256):
+                left = rows[a : a + 256]
+                for b in range(0, len(columns), 256):
+                    right = columns[b : b + 256]
+                    both = np.zeros((len(left), len(right)), np.float32)
+                    for low in range(0, width, 8192):
+                        both += matrix(left, low, min(width, low + 8192)) @ matrix(right, low, min(width, low + 8192)).T
+                    union = lengths[left][:, None] + lengths[right][None, :] - both
+                    for i, j in np.argwhere((below * both >= above * union) & (c[left][:, None] != c[right][None, :])):
+                        # one link between two components is enough
+                        pair = tuple(sorted((int(c[left[i]]), int(c[right[j]]))))
+                        found.add(pair)
+        u, v = zip(*sorted(found)) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (2 << 20))).cast("int")
+    dealt = _block_pairs(near.join(size, "bucket"), blocks).join(sets, "id")
+    return scratch.put(dealt.select("bucket", "x", "y", "id", "c", "own", "shingles").groupBy("bucket", "x", "y").applyInArrow(links, "u long, v long").distinct(), "open-edges")
+
+
+def _verify(texts: DataFrame, pairs: DataFrame, signatures: DataFrame, scratch: Scratch, k: int, threshold: tuple[int, int], floor: float) -> DataFrame:
     """The pairs (u, v) that are linked: by signature first, then on full sets."""
     left = signatures.select(F.col("id").alias("u"), F.col("signature").alias("su"))
     right = signatures.select(F.col("id").alias("v"), F.col("signature").alias("sv"))
-    likely = scratch.put(_likely(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv"), floor), f"likely-{turn}")
-    ids = scratch.put(likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct(), f"ids-{turn}")
+    likely = scratch.put(_likely(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv"), floor), "likely")
+    ids = scratch.put(likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct(), "ids")
     # only texts of candidates are read into sets again
-    sets = scratch.put(_sets(texts.join(ids, "doc_id", "left_semi"), k), f"sets-{turn}")
+    sets = scratch.put(_sets(texts.join(ids, "doc_id", "left_semi"), k), "sets")
     # a centre with very many partners is dealt to several tasks: 64 partners meet one copy of its set
     sizes = likely.groupBy("u").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts"))
     centres = sets.join(sizes, F.col("doc_id") == F.col("u")).select("u", F.col("shingles").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     partners = likely.join(sizes, "u").join(sets, F.col("doc_id") == F.col("v")).select("u", "v", F.col("shingles").alias("b"), F.expr("cast(pmod(xxhash64(v), parts) as int)").alias("part"))
-    return scratch.put(_confirmed(partners.join(centres, ["u", "part"]).select("u", "v", "a", "b"), *threshold), f"edges-{turn}")
+    return scratch.put(_confirmed(partners.join(centres, ["u", "part"]).select("u", "v", "a", "b"), *threshold), "edges")
