@@ -1,6 +1,7 @@
 """Golden cases, properties, and all queries against their SQL."""
 
 import math
+import numbers
 import os
 
 import duckdb
@@ -28,7 +29,7 @@ def duck():
 
 def plain(df):
     cols = sorted(df.columns)
-    cell = lambda x: "~" if x is None or x is pd.NA or (isinstance(x, float) and x != x) else repr(round(float(x), 5) + 0.0) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    cell = lambda x: "~" if x is None or x is pd.NA or (isinstance(x, float) and x != x) else repr(round(float(x), 5) + 0.0) if isinstance(x, numbers.Real) and not isinstance(x, bool) else str(x)
     return sorted(tuple(cell(v) for v in r) for r in df[cols].itertuples(index=False))
 
 
