@@ -57,16 +57,16 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds 1..n in the given order without bringing all rows to one task: a distributed sort, written once, then the
     offsets of its partitions (a row per partition)."""
     spark = df.sparkSession
-    placed = Scratch(spark, "rank").put(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
-    sizes = sorted((r[0], r[1]) for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
+    placed = Scratch(spark, "rank").put(df.orderBy(*order).withColumn("_lexloom_at", F.monotonically_increasing_id()), "sorted")
+    sizes = sorted((r[0], r[1]) for r in placed.groupBy(F.shiftright("_lexloom_at", 33).alias("p")).count().collect())
     before, total = [], 0
     for p, n in sizes:
         before += [F.lit(p).cast("long"), F.lit(total).cast("long")]
         total += n
     if not before:
-        return placed.drop("_at").withColumn(name, F.lit(0).cast("long"))
-    start = F.element_at(F.create_map(*before), F.shiftright("_at", 33))
-    return placed.withColumn(name, start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
+        return placed.drop("_lexloom_at").withColumn(name, F.lit(0).cast("long"))
+    start = F.element_at(F.create_map(*before), F.shiftright("_lexloom_at", 33))
+    return placed.withColumn(name, start + F.col("_lexloom_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_lexloom_at")
 
 
 def average_rank(partition: list[str], order: Column) -> Column:

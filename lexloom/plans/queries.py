@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions import stats, text
-from lexloom.scratch import Scratch
 from lexloom.operators import agreement, contexts, descriptives, models, ngrams, resample, segment, translate, windows
+from lexloom.plans import analysis
+from lexloom.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -596,3 +597,27 @@ def mrcv(spark, sf):
     wide = label_items(spark, sf)
     seen = agreement.multiple_response_statistic(wide, ["quality", "toxic"], ["english", "long"]).select(F.lit(-1).cast("long").alias("iter"), "statistic")
     return seen.union(agreement.multiple_response_bootstrap(wide, ["quality", "toxic"], ["english", "long"], 50))
+
+
+# ------------------------------------------------------------------ whole analyses
+
+
+@query()
+def run_analysis(spark, sf):
+    c = read(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("utt"), F.col("conv_id").alias("file"), F.col("turn").alias("pos"), text.letters(F.col("text")).alias("orth"))
+    t = tags(spark, sf).select(F.concat_ws("_", "conv_id", "turn").alias("utt"), "context", "value")
+    d = dictionary_words(spark, sf).select(F.col("w").alias("word"), F.col("w").alias("phon"))
+    return analysis.run_analysis(c.withColumn("phon", F.col("orth")), t, d)
+
+
+@query()
+def null_descriptives(spark, sf):
+    tok, marks = turn_tokens(spark, sf), marked_tags(spark, sf)
+    seen = descriptives.describe(tok.join(marks.select(*TURN, "context"), TURN), ["context"], TURN, "w")
+    return analysis.compare_with_null(seen, analysis.null_descriptives(tok, marks, TURN, "w", 20))[1]
+
+
+@query()
+def resampling_convergence(spark, sf):
+    users = read(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
+    return analysis.convergence(users, "m", 5, 60, "user_id")
