@@ -7,20 +7,18 @@ with nothing out of vocabulary. Both are n-gram models of the same order with th
 
 and matched in size: the background counts are scaled to the target's number of tokens. All documents are counted.
 
-Counting adds up per block of text before the shuffle. The model is a table with a row per n-gram; it is not
-broadcast, because it grows with the corpus. Documents are scored in blocks of bounded size: a block asks the table for
-the distinct n-grams that it has, and the answers come back to its texts, so the shuffle carries each n-gram once per
-block and a frequent n-gram no more often than there are blocks.
+Documents are dealt to blocks of bounded size. Counting gives each block's distinct n-grams with their numbers. The model
+is a table with a row per n-gram; it is not broadcast, because it grows with the corpus. The blocks' n-grams are joined
+to it and the losses come back to the block's texts, so the shuffle carries each n-gram once per block, and a frequent
+n-gram no more often than there are blocks.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kit import Scratch, text_blocks, text_bytes
@@ -46,54 +44,36 @@ def ngrams(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return view[at - 7] >> _U(64 - 8 * order), np.concatenate(([0], stop))
 
 
-def _tally(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums counts of equal codes."""
-    code, count = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code, kind="stable")
-    code, count = code[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, np.int64)
-    return code[first], np.add.reduceat(count, first) if len(first) else count
-
-
-def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """(code, t, b): each n-gram's number in the target documents (text, target) and in all others."""
-
-    def count(batches):
-        held: list[list[np.ndarray]] = [[], []]
-        n = [[], []]
-        size = 0
-
-        def tables():
-            for side in (0, 1):
-                if held[side]:
-                    code, number = _tally(held[side], n[side])
-                    zero = np.zeros(len(code), np.int64)
-                    t, b = (number, zero) if side else (zero, number)
-                    for i in range(0, len(code), 1 << 16):
-                        s = slice(i, i + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([pa.array(code[s].view(np.int64)), pa.array(t[s]), pa.array(b[s])], names=["code", "t", "b"])
-                    held[side], n[side] = [], []
-
-        for block in text_blocks(batches):
-            grams, at = ngrams(block.column("text"), order)
-            side_of = np.repeat(block.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-            for side in (0, 1):
-                code, number = np.unique(grams[side_of == bool(side)], return_counts=True)
-                held[side].append(code)
-                n[side].append(number)
-                size += len(code)
-            if size > 6_000_000:  # memory stays bounded, whatever the partition holds
-                for side in (0, 1):
-                    if held[side]:
-                        code, number = _tally(held[side], n[side])
-                        held[side], n[side] = [code], [number]
-                size = sum(len(c) for side in held for c in side)
-                if size > 3_000_000:
-                    yield from tables()
-                    size = 0
-        yield from tables()
-
-    return docs.mapInArrow(count, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+def _block_of(doc_id: Column, text: Column, blocks: int) -> Column:
+    """A document's block, by its id, so that ids alone can be dealt to the blocks of their documents."""
+    return F.pmod(F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id)), F.lit(blocks)).cast("int")
+
+
+def block_ngrams(docs: DataFrame, target: DataFrame, order: int) -> DataFrame:
+    """(block, code, t, b): how often a block (doc_id, text, block) has each n-gram in target documents (doc_id, block)
+    and in others."""
+
+    def count(key, texts, ids):
+        if not texts.num_rows:
+            return pa.table({"block": pa.array([], pa.int32()), "code": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        chosen = ids.column("doc_id").combine_chunks()
+        codes, t, b = [], [], []
+        for part in text_blocks(texts.to_batches()):
+            grams, at = ngrams(part.column("text"), order)
+            on = np.repeat(pc.is_in(part.column("doc_id"), value_set=chosen).to_numpy(zero_copy_only=False), np.diff(at))
+            for side, counted in ((True, t), (False, b)):
+                code, number = np.unique(grams[on == side], return_counts=True)
+                codes.append(code)
+                t.append(number if side else np.zeros(len(code), np.int64))
+                b.append(np.zeros(len(code), np.int64) if side else number)
+        code = np.concatenate(codes)
+        place = np.argsort(code, kind="stable")
+        code = code[place]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, np.int64)
+        t, b = (np.add.reduceat(np.concatenate(x)[place], first) if len(first) else np.empty(0, np.int64) for x in (t, b))
+        return pa.table({"block": pa.array(np.full(len(first), key[0].as_py(), np.int32)), "code": pa.array(code[first].view(np.int64)), "t": pa.array(t), "b": pa.array(b)})
+
+    return docs.groupBy("block").cogroup(target.groupBy("block")).applyInArrow(count, "block int, code long, t long, b long")
 
 
 def loss_table(counts: DataFrame, order: int, strength: float) -> DataFrame:
@@ -130,25 +110,15 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     if not 1 <= order <= 7:
         raise ValueError("order must be 1 to 7")
     scratch = Scratch(spark, "lm")
-    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.col(text_col)).alias("n"))
-    size = ids.agg(F.sum("n")).first()[0] or 0
-    # one scan order for all that follows: texts are dealt to blocks once
-    blocks = max(1, -(-size // block_bytes))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = given.join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = scratch.put(count_ngrams(marked, order), "counts")
+    size = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    dealt = given.withColumn("block", _block_of(F.col("doc_id"), F.col("text"), blocks))
+    chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    grams = scratch.put(block_ngrams(dealt, chosen.withColumn("block", _block_of(F.col("doc_id"), F.lit(""), blocks)), order), "grams")
+    counts = scratch.put(grams.groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "counts")
     losses = scratch.put(loss_table(counts, order, strength), "losses")
-
-    dealt = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    def asked(key, table):
-        found = [np.unique(ngrams(b.column("text"), order)[0]) for b in text_blocks(table.to_batches())]
-        code = functools.reduce(np.union1d, found) if found else np.empty(0, np.uint64)
-        return pa.table({"block": pa.array(np.full(len(code), key[0].as_py(), np.int32)), "code": pa.array(code.astype(np.uint64).view(np.int64))})
-
-    wanted = dealt.groupBy("block").applyInArrow(asked, "block int, code long")
-    answers = scratch.put(wanted.join(losses, "code").select("block", "code", F.col("lt").cast("float"), F.col("lb").cast("float")), "answers")
+    answers = grams.select("block", "code").join(losses, "code").select("block", "code", F.col("lt").cast("float"), F.col("lb").cast("float"))
 
     def score(key, texts, model):
         code = model.column("code").to_numpy().view(np.uint64)
