@@ -132,3 +132,14 @@ def clean_key(docs: DataFrame, column: str, key: DataFrame, raw: str, clean: str
 def new_codes(docs: DataFrame, column: str, key: DataFrame, raw: str) -> DataFrame:
     """Values that the key table does not have."""
     return docs.select(F.col(column).alias("code")).distinct().join(key.select(F.col(raw).alias("code")), "code", "left_anti")
+
+
+def repair_rows(doc: DataFrame, coder: str = "coder", date: str = "date", context: str = "context", number: str = "pass") -> DataFrame:
+    """A coding document in which bad rows are blank again; no row is lost."""
+    bad = bad_rows(F.col(coder), F.col(date), F.col(context), F.col(number))
+    return doc.select(*(F.when(~bad, F.col(c)).alias(c) if c in (coder, date, context) else F.col(c) for c in doc.columns))
+
+
+def coder_counts(codes: DataFrame, keys: list[str], coder: str = "coder") -> DataFrame:
+    """Distinct coders per element."""
+    return codes.where(F.col(coder).isNotNull() & (F.col(coder) != "")).groupBy(*keys).agg(F.countDistinct(coder).alias("n_coders"))

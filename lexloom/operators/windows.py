@@ -88,3 +88,10 @@ def running_quantiles(df: DataFrame, partition: list[str], order: list[str], val
 def next_pass(df: DataFrame, keys: list[str], number: str, coded: Column) -> DataFrame:
     """Per sequence element the lowest pass that is not coded, else one more than the largest."""
     return df.groupBy(*keys).agg(F.coalesce(F.min(F.when(~coded, F.col(number))), F.max(number) + 1).alias("next_pass"))
+
+
+def needs_coding(df: DataFrame, partition: list[str], order: list[str], n: str, criterion: int, k: int = 30) -> DataFrame:
+    """Marks rows that have fewer than ``criterion`` codes, and the k rows on either side of them, so that windows to be
+    coded have their surroundings."""
+    few = df.withColumn("_few", (F.coalesce(F.col(n), F.lit(0)) < criterion).cast("int"))
+    return few.withColumn("open", (F.col("_few") == 1) | (within_k("_few", partition, order, k, "either") == 1)).drop("_few")

@@ -226,3 +226,18 @@ def test_utterance_ids_and_small_functions(spark):
     parts = text.file_parts(F.col("u"))
     r = spark.createDataFrame([("ab12.cha_7",)], "u string").select(*(c.alias(k) for k, c in parts.items()), text.number_word(F.lit(3), True).alias("w"), text.n_syllables(F.lit("a-b-c")).alias("n"), text.checksum_matches(F.lit("x"), "11f6ad8").alias("ok")).first()
     assert tuple(r) == ("ab", 12, 7, "Three", 3, True)
+
+
+def test_coding_documents_are_repaired_and_reopened(spark):
+    doc = spark.createDataFrame([(1, "RM", 5, "bath", 1), (2, "AB", 5, "bath", 1), (3, None, None, None, 1), (4, "AB", 5, "x", 1)], "utt long, coder string, date long, context string, pass int")
+    fixed = contexts.repair_rows(doc)
+    assert [r.coder for r in fixed.orderBy("utt").collect()] == [None, "AB", None, None]
+    assert [(r.utt, r.n_coders) for r in contexts.coder_counts(fixed, ["utt"]).collect()] == [(2, 1)]
+    df = spark.createDataFrame([("f", i, 0 if i == 3 else 5) for i in range(8)], "file string, pos long, n int")
+    assert [r.open for r in windows.needs_coding(df, ["file"], ["pos"], "n", 5, 1).orderBy("pos").collect()] == [False, False, True, True, True, False, False, False]
+
+
+def test_stems(spark):
+    words = ["cats", "ponies", "running", "sing", "played", "grass", "bus"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(words)), "i int, w string").orderBy("i").select(text.stem(F.col("w"))).collect()]
+    assert got == ["cat", "poni", "run", "sing", "play", "grass", "bus"]
