@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import mix, text_blocks, text_bytes
+from .kit import mix, ship_package, text_blocks, text_bytes
 
 _U = np.uint64
 _SLOTS = 21
@@ -183,6 +183,7 @@ class Index:
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, q: int, rate: float, block_chars: int) -> list[Index]:
     """Indexes of the benchmark in blocks of bounded size."""
+    ship_package(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))

@@ -1,74 +1,38 @@
 """Plumbing shared by the training-data operators.
 
-* scratch tables: lineage is cut by writing Parquet into the folder that the cluster names in
-  ``spark.checkpoint.dir`` (shared by driver and executors), never into a machine-local folder of a cluster;
+* scratch tables (see lexloom.scratch): lineage is cut by writing Parquet into the folder that the cluster names in
+  ``spark.checkpoint.dir``, shared by driver and executors;
 * text blocks: the texts of an Arrow batch are handled as one byte string of a few MB, so that NumPy works on
   many documents at once and memory does not depend on the number of rows in a batch;
 * hashing: words, lines and chunks get 64-bit hashes from one prefix sum over the block.
-
-On a cluster the package must be importable on the executors (``--py-files`` or installed there).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.scratch import Scratch, ship_package
+
+__all__ = ["Block", "Scratch", "bounded_sample", "id_and_text", "mix", "ship_package", "text_blocks", "text_bytes"]
+
 #: Bytes of text handled at once.
 BLOCK_BYTES = 2 << 20
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
-# --------------------------------------------------------------------------- scratch tables
-
-_own_scratch: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: ``spark.checkpoint.dir`` where it is set. Where it is not, a
-    temporary folder in local mode, else a folder in the warehouse."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _own_scratch[app] = tempfile.mkdtemp(prefix="lexloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_lexloom_scratch"
-    return _own_scratch[app]
-
-
-class Scratch:
-    """Scratch tables of one operator call. ``put`` writes a table and reads it again: executors that are lost
-    later cost nothing, and later joins see a plain scan, whose partitions adaptive execution can split."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame, name: str, **options) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.options(**options).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # --------------------------------------------------------------------------- text blocks
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, under fixed names; other columns can't clash with its own."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -1,12 +1,12 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
-1. A logistic model over simple measures and hashed words is fitted on a bounded sample of labelled documents. It gives
-   each document the evidence for "good" as a logit.
+1. A logistic model over simple measures and hashed words is fitted on a bounded sample of labelled documents, both
+   classes weighing the same. It gives each document the evidence for "good" as a log likelihood ratio.
 2. Grouped aggregation adds up, for each host and each path of a host, the labelled outcomes and, for documents
    without a label, the classifier's probability. A path's posterior shrinks to its host's, a host's to the global
    rate; the strength of each prior comes from how much the groups differ.
-3. A document's posterior adds to its evidence how far its path's posterior odds are from the global odds. What the
-   document itself put into its path is taken out again first, so that no evidence counts twice.
+3. A document's posterior odds are its evidence times the odds of its path's posterior. What the document itself put
+   into its path is taken out again first, so that no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .kit import SPACE, Block, Scratch, _table, bounded_sample, span_hashes, text_blocks
 
-_BITS = 16
+_BITS = 20
 _UPPER = _table(bytes(range(65, 91)))
 _LETTER = _table(bytes([*range(65, 91), *range(97, 123)]))
 _DIGIT = _table(bytes(range(48, 58)))
@@ -108,20 +108,23 @@ def fit_logistic(dense: np.ndarray, words: list[np.ndarray], good: np.ndarray, s
     row, flat = np.repeat(np.arange(len(words)), sizes), np.concatenate(words)
     # only words of several documents can tell anything
     common = np.bincount(flat, minlength=1 << _BITS)[flat] > 2
-    row, flat = row[common], flat[common]
+    row = row[common]
+    known, flat = np.unique(flat[common], return_inverse=True)
     value = (1 / np.sqrt(np.maximum(sizes, 1)))[row]
     y = good.astype(float)
     weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum()))
-    theta = np.zeros(x.shape[1] + (1 << _BITS) + 1)
+    theta = np.zeros(x.shape[1] + len(known) + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     d = x.shape[1]
     for step in range(1, steps + 1):
         z = x @ theta[:d] + np.bincount(row, theta[d + flat] * value, len(y)) + theta[-1]
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gradient = np.concatenate((x.T @ error, np.bincount(flat, error[row] * value, 1 << _BITS), [error.sum()])) + decay * theta * 0.01
+        gradient = np.concatenate((x.T @ error, np.bincount(flat, error[row] * value, len(known)), [error.sum()])) + decay * theta * 0.01
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Logistic(mean, scale, theta[:d].copy(), theta[d:-1].astype(np.float32), float(theta[-1]), bad_lexicon(words, good))
+    weights = np.zeros(1 << _BITS, np.float32)
+    weights[known] = theta[d:-1]
+    return Logistic(mean, scale, theta[:d].copy(), weights, float(theta[-1]), bad_lexicon(words, good).astype(np.float32))
 
 
 def _strength(groups: DataFrame, least: float = 2.0, most: float = 500.0) -> float:
@@ -140,7 +143,7 @@ def _logit(p: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, sample_per_class: int = 4000, threshold: float = 0.5) -> DataFrame:
-    """A row per row of ``docs``: doc_id, host, path, evidence (logit), site_posterior, posterior, kept.
+    """A row per row of ``docs``: doc_id, host, path, evidence (log likelihood ratio), site_posterior, posterior, kept.
 
     labels has doc_id and good (boolean). sites may give doc_id, host and path; else, or where it has no row, the
     expressions ``host`` and ``path`` over docs are used. The classifier is fitted on at most ``sample_per_class``
@@ -155,6 +158,8 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     scratch = Scratch(spark, "quality")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (host if host is not None else F.lit(None)).cast("string").alias("host"), (path if path is not None else F.lit(None)).cast("string").alias("path"))
     truth = scratch.put(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("good").cast("boolean").alias("good")).where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good")), "truth")
+    seen = truth.agg(F.count("*"), F.sum(F.col("good").cast("long"))).first()
+    known = ((seen[1] or 0) + 1) / (seen[0] + 2)  # the share of good documents among labelled ones
     model = _fit(texts, truth, sample_per_class)
     held = spark.sparkContext.broadcast(model)
 
@@ -168,7 +173,7 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     if sites is not None:
         given = scratch.put(sites.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct("host", "path")).alias("site")), "sites")
         scored = scored.join(given, "doc_id", "left").select("doc_id", F.coalesce("site.host", "host").alias("host"), F.when(F.col("site").isNotNull(), F.col("site.path")).otherwise(F.col("path")).alias("path"), "evidence")
-    scored = scored.join(truth, "doc_id", "left").select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "evidence", F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.col("evidence")))).alias("share"))
+    scored = scored.join(truth, "doc_id", "left").select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "evidence", F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.col("evidence") - _logit(F.lit(known))))).alias("share"))
     scored = scratch.put(scored, "shares")
 
     by_path = scratch.put(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("share").alias("s")), "paths")
@@ -184,7 +189,7 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     joined = scored.join(paths, ["host", "path"])
     own = (F.col("s") - F.col("share") + k_path * F.col("prior")) / (F.col("n") - 1 + k_path)
     out = joined.withColumn("site_posterior", own)
-    odds = F.col("evidence") + _logit(F.col("site_posterior")) - _logit(F.lit(rate))
+    odds = F.col("evidence") + _logit(F.col("site_posterior"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     kept = F.col("posterior") >= threshold if model else F.lit(True)
     return out.select("doc_id", "host", "path", "evidence", "site_posterior", "posterior", kept.alias("kept"))

@@ -78,7 +78,7 @@ def chunks(docs: DataFrame, mean: int, least: int, most: int) -> DataFrame:
 PASSAGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("first_doc", T.LongType()), T.StructField("repeated", T.BooleanType())])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, mean: int = 32, least: int = 8, most: int = 512) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, mean: int = 24, least: int = 6, most: int = 512) -> DataFrame:
     """A row per repeated passage of a document: doc_id, start, stop (bytes of the UTF-8 text), n_words, first_doc (the
     smallest id of a document that has the passage's first chunk) and repeated (false where this document is the
     first for all of the passage's chunks, so that it is kept there).
