@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.scratch import ship_package
+
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count("*").alias("n"))
@@ -85,6 +87,7 @@ def multiple_response_bootstrap(wide: DataFrame, left: list[str], right: list[st
     """Null distribution of the statistic: the two sides are drawn independently from their pattern tables, which have
     at most 2^items rows and go to the driver; the draws are tasks. (iter, statistic)."""
     spark = wide.sparkSession
+    ship_package(spark)
     tables = []
     for side in (left, right):
         rows = wide.groupBy(*side).agg(F.count("*").alias("_n")).orderBy(*side).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.text import tokens
+from lexloom.scratch import ship_package
 
 
 def first_entries(dictionary: DataFrame, word: str = "word", order: str | None = None) -> DataFrame:
@@ -46,5 +47,6 @@ def greedy_match(left: DataFrame, right: DataFrame, group: list[str], order: str
             at = at if found is None else found + 1
         return pd.DataFrame({**{g: [k] * len(a) for g, k in zip(group, key)}, "left_order": a[order].tolist(), "right_order": pd.array(out, dtype="Int64")})
 
+    ship_package(left.sparkSession)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in left.schema if f.name in group] + ["left_order long", "right_order long"])
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(match, schema)

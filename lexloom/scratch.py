@@ -1,7 +1,10 @@
-"""Tables that cut lineage, in the folder the cluster shares between driver and executors."""
+"""What operators need from the cluster: tables that cut lineage, in the folder that driver and executors share, and the
+package itself on the executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,11 +26,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that functions that run there can be imported
+    wherever the driver was started. Does nothing if the package is itself in an archive that Spark has shipped."""
+    app, home = spark.sparkContext.applicationId, os.path.dirname(os.path.abspath(__file__))
+    if app in _shipped or not os.path.isdir(home):
+        return
+    _shipped.add(app)
+    with tempfile.TemporaryDirectory() as d:
+        shutil.copytree(home, f"{d}/root/{os.path.basename(home)}", ignore=shutil.ignore_patterns("__pycache__"))
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lexloom-')}/lexloom-{uuid.uuid4().hex}", "zip", f"{d}/root")
+    spark.sparkContext.addPyFile(made)  # served by the driver, fetched by every executor
+
+
 class Scratch:
     """Scratch tables of one operator call. ``put`` writes a table and reads it again: executors that are lost
     later cost nothing, and later joins see a plain scan, whose partitions adaptive execution can split."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, **options) -> DataFrame:
