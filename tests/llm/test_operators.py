@@ -434,7 +434,7 @@ def test_passages(spark):
     assert len(hit) >= 78 and hit <= set(range(80))
     text = dict(r for r in rows if r[0] is not None)
     for r in found:
-        assert text[r.doc_id].encode()[r.start : r.stop].decode() in shared[r.doc_id // 2] and r.repeated == (r.doc_id % 2 == 1)
+        assert text[r.doc_id].encode()[r.start : r.stop].decode().strip() in shared[r.doc_id // 2] and r.repeated == (r.doc_id % 2 == 1)
     left = {r.doc_id: r.text for r in drop_passages(docs, repeated_passages(docs)).where("doc_id < 80").collect()}
     assert all(left[i] == text[i] for i in range(0, 80, 2)) and sum(len(left[i]) < len(text[i]) - 150 for i in range(1, 80, 2)) >= 39
     assert repeated_passages(empty(spark)).count() == 0 and repeated_passages(odd(spark)).count() == 0
