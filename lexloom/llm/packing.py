@@ -56,7 +56,7 @@ class Encoder:
     the name of a special token, and other kinds of tokenizer files, go to the tokenizer itself.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -89,7 +89,7 @@ class Encoder:
         found = self.seen.get(text)
         if found is None:
             one = self.bpe.encode_single_piece
-            found = np.array([i for p in _PIECES.findall(text) for i in one(p.encode())], "<u4").tobytes()
+            found = np.fromiter((i for p in _PIECES.findall(text) for i in one(p.encode())), "<u4").tobytes()
             if len(self.seen) < self.keep:
                 self.seen[text] = found
         return found
