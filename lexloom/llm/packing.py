@@ -166,7 +166,7 @@ def best_configuration(values: np.ndarray, capacity: int) -> tuple[dict[int, int
     return found, float(best[capacity])
 
 
-def solve_configurations(counts: Mapping[int, int], capacity: int, steps: int = 3000, eta: float = 0.35, share: float = 0.5) -> list[tuple[dict[int, int], float]]:
+def solve_configurations(counts: Mapping[int, int], capacity: int, steps: int = 700, eta: float = 0.35, share: float = 0.5) -> list[tuple[dict[int, int], float]]:
     """A fractional cover of ``counts`` (length -> pieces) by configurations: [(configuration, amount)].
 
     Multiplicative weights: length l has the price l/capacity * exp(-eta * covered share). A step uses the dearest
@@ -199,7 +199,7 @@ def solve_configurations(counts: Mapping[int, int], capacity: int, steps: int =
 class Plan:
     """Intervals of ranks per length and the sequences and offsets they go to."""
 
-    def __init__(self, counts: Mapping[int, int], capacity: int, steps: int = 3000):
+    def __init__(self, counts: Mapping[int, int], capacity: int, steps: int = 700):
         left = {x: n for x, n in sorted(counts.items()) if n}
         total, used, rows, self.sequences = dict(left), dict.fromkeys(left, 0), [], 0
 
@@ -213,9 +213,12 @@ class Plan:
         for found, amount in solve_configurations(left, capacity, steps):
             key = tuple(sorted(found.items(), reverse=True))
             merged[key] = merged.get(key, 0.0) + amount
-        # rounding: fullest and most used first, each rounded up as long as there are pieces for it
-        for key, amount in sorted(merged.items(), key=lambda x: (capacity - sum(a * b for a, b in x[0]), -x[1], x[0])):
-            times = min([int(np.ceil(amount - 1e-9)), *(left[length] // k for length, k in key)])
+        # rounding: down, and only configurations as full as any can be; what they leave fits better among the rest
+        fullest = max((sum(a * b for a, b in key) for key in merged), default=0)
+        for key, amount in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
+            if sum(a * b for a, b in key) < fullest:
+                continue
+            times = min([int(np.floor(amount + 1e-9)), *(left[length] // k for length, k in key)])
             if times > 0:
                 offset = 0
                 for length, k in key:
@@ -271,7 +274,7 @@ class Plan:
 # --------------------------------------------------------------------------- the operator
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, steps: int = 3000, digests: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, steps: int = 700, digests: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pieces, places). pieces has a row per piece with its token ids: doc_id, piece, start, length, ids (little-
     endian 32-bit). places has doc_id, piece, start, length, sequence_id and offset of each, and the columns of
     ``digests``, expressions over pieces that are carried along.
