@@ -7,15 +7,39 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The order of the replacements matters.
+# Substitutions that bring transcripts to the dictionary's spelling; their order matters.
 #: (pattern, replacement, is a regular expression)
 TRANSCRIPT_CLEANING: list[tuple[str, str, bool]] = [
-    (r"@[a-z:]+", "", True),
-    (r"[?.!;:]", "", True),
+    ("@[A-Za-z]+", "", True),
+    ("[?]", "", True),
+    ("[.]", "", True),
+    ("[!]", "", True),
+    ("[;]", "", True),
+    ("mummmy", "mummy", False),
+    ("nosy", "nosey", False),
+    ("loulou", "lou-lou", False),
+    ("tata's", "ta-ta's", False),
+    ("cmon", "c'mon", False),
+    ("uhuh", "uh-huh", False),
+    ("tumtum", "tum tum", False),
+    ("haha", "ha ha", False),
+    ("ahhah", "aah ha", False),
     (r"\[.*\]", "", True),
+    ("bath+room", "bathroom", False),
+    ("play+mate", "playmate", False),
+    ("t+shirt", "t-shirt", False),
+    ("sack+cloth", "sackcloth", False),
     ("+", " ", False),
     ("_", " ", False),
+    ("(i)t", "it", False),
+    ("y(ou)", "you", False),
+    ("(i)f", "if", False),
+    ("d(o)", "do", False),
+    ("t(o)", "to", False),
+    ("(h)ave", "'ave", False),
+    ("(h)ere", "'ere", False),
     (r"\(.*\)", "", True),
+    ("[:]", "", True),
 ]
 
 

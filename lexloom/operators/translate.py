@@ -10,6 +10,14 @@ from pyspark.sql.window import Window
 from lexloom.functions.text import tokens
 from lexloom.scratch import ship_package
 
+# Alternate spellings, and the dictionary word whose form each takes.
+SPELLINGS: list[tuple[str, str]] = [
+    ("shh", "sh"), ("ssh", "sh"), ("mummie", "mummy"), ("mummie's", "mummy's"), ("mummmy's", "mummy's"), ("mummie'll", "mummy'll"), ("tellie", "telly"), ("handie", "handy"), ("pottie", "potty"), ("bathie", "bathy"),
+    ("ruskie", "rusky"), ("headie", "heady"), ("chinnie", "chinny"), ("hankie", "hanky"), ("nappie", "nappy"), ("drinkie", "drinkee"), ("rolly", "roley"), ("rollie", "roley"), ("polly", "poley"), ("pollie", "poley"),
+    ("deary", "dearie"), ("hiccough", "hiccup"), ("hiccoughs", "hiccups"), ("poo", "pooh"), ("lew", "lu"), ("&hmm", "hmm"), ("&er", "er"), ("&eh", "eh"), ("&ha", "ha"), ("&mm", "mm"), ("&ah", "aah"), ("&uh", "uh"),
+    ("&hah", "ha"), ("whee", "wee"), ("treas", "treazh"), ("hee", "he"), ("oo", "ooh"),
+]
+
 
 def first_entries(dictionary: DataFrame, word: str = "word", order: str | None = None) -> DataFrame:
     """One entry per word: the first in ``order``."""

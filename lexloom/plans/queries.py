@@ -547,7 +547,14 @@ def transliterate(spark, sf):
     return dictionary_words(spark, sf).select("w", text.transliterate(F.col("w"), {"t": "tt", "h": "hh", "e": "eh", "a": "aa", "n": "nn"}).alias("phones"))
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(lower(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '@[a-z:]+', '', 'g'), '[?.!;:]', '', 'g'), '\[.*\]', '', 'g'), '+', ' '), '_', ' '), '\(.*\)', '', 'g')), '[ \t]+', ' ', 'g')) AS clean FROM conversations")
+def cleaning_sql(column: str) -> str:
+    for pattern, to, regex in text.TRANSCRIPT_CLEANING:
+        p, t = pattern.replace("'", "''"), to.replace("'", "''")
+        column = f"regexp_replace({column}, '{p}', '{t}', 'g')" if regex else f"replace({column}, '{p}', '{t}')"
+    return f"trim(regexp_replace(lower({column}), '[ \\t]+', ' ', 'g'))"
+
+
+@query(f"SELECT conv_id, turn, {cleaning_sql('text')} AS clean FROM conversations")
 def clean_utterances(spark, sf):
     return read(spark, sf, "conversations").select(*TURN, text.clean_utterance(F.col("text")).alias("clean"))
 
