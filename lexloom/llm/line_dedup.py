@@ -120,7 +120,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     given = docs.select(*own)
-    joined = given.join(drops, given[id_col].cast("long").eqNullSafe(drops["_lexloom_id"]), "left").select(*(given[c] for c in own), "_lexloom_drop")
+    # always a sorted merge: whether the drops would fit a broadcast changes with the input, the plan should not
+    joined = given.join(drops.hint("merge"), given[id_col].cast("long").eqNullSafe(drops["_lexloom_id"]), "left").select(*(given[c] for c in own), "_lexloom_drop")
     schema = T.StructType([f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in given.schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rebuild(batches):
