@@ -260,6 +260,13 @@ def split_explode_codes(spark, sf):
     return contexts.explode_codes(d, ["doc_id"], "cell")
 
 
+@query(r"SELECT doc_id, line, unnest(list_filter(list_transform(regexp_split_to_array(cell, '[ \t]*;[ \t]*')[1:10], lambda x: trim(x)), lambda x: x <> '')) AS code FROM (SELECT doc_id, line, replace(translate(lines[line], '.,', ';;'), chr(13), '') AS cell FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents))")
+def split_explode_codes_of_lines(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "cell"))
+    d = d.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.replace(F.translate("cell", ".,", ";;"), F.lit("\r"), F.lit("")).alias("cell"))
+    return contexts.explode_codes(d, ["doc_id", "line"], "cell")
+
+
 @query("WITH a AS (SELECT doc_id, quality FROM labels WHERE quality = 1), b AS (SELECT doc_id, toxic FROM labels WHERE toxic = 1), c AS (SELECT doc_id, lang FROM documents WHERE lang = 'de') SELECT coalesce(a.doc_id, b.doc_id, c.doc_id) AS doc_id, quality AS q_quality, toxic AS t_toxic, lang AS l_lang FROM a FULL JOIN b ON a.doc_id = b.doc_id FULL JOIN c ON coalesce(a.doc_id, b.doc_id) = c.doc_id")
 def full_outer_methods(spark, sf):
     lab = read(spark, sf, "labels")

@@ -113,6 +113,13 @@ def test_contexts_golden_cases(spark):
     assert [r.bath for r in votes.orderBy("utt").collect()] == [1.0, 1.0, 0.0, None]
 
 
+def test_codes_of_all_lines_of_a_text(spark, tmp_path):
+    rows = [(1, "bath, play\r\nmeal.;\n\nnap"), (2, None), (3, ";".join(map(str, range(12))) + "\nlast")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["split_explode_codes_of_lines"](spark, str(tmp_path)).collect())
+    assert got == sorted([(1, 1, "bath"), (1, 1, "play"), (1, 2, "meal"), (1, 4, "nap"), *((3, 1, str(i)) for i in range(10)), (3, 2, "last")])
+
+
 def test_statistics_golden_cases(spark):
     df = spark.createDataFrame([(float(v), 3.0, "g") for v in (1, 2, 3, 4)], "value double, est double, g string")
     r = stats.bootstrap_test(df, "value", "est", ["g"]).first()
