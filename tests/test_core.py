@@ -175,6 +175,13 @@ def test_topics_and_search(spark):
     assert [r.k for r in models.search_k(v, [2, 3], iters=2).collect()] == [2, 3]
 
 
+def test_vocabulary_has_every_term_of_three_documents(spark):
+    name = F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm")
+    words = spark.range(20_500).select(F.concat(F.lit("q"), name).alias("w")).agg(F.array_join(F.collect_list("w"), " ").alias("text"))
+    docs = words.crossJoin(spark.range(3)).union(spark.createDataFrame([("zebra qb", 3), ("zebra qb", 4)], "text string, id long"))
+    assert len(models.vectorise(docs, "text")[1]) == 20_500
+
+
 def test_translation_and_matching(spark):
     d = translate.first_entries(spark.createDataFrame([(0, "polly", "p-1"), (1, "polly", "p-2"), (2, "b", "bb")], "o int, word string, phon string"), order="o")
     assert [(r.phon, r.n_unknown) for r in translate.translate(spark.createDataFrame([(1, "polly b"), (2, "polly zz")], "utt long, t string"), ["utt"], "t", d).collect()] == [("p-1 bb", 0)]
