@@ -595,8 +595,9 @@ def glm_logit(spark, sf):
 
 @query()
 def lda_loadings(spark, sf):
-    vectors, _ = models.vectorise(read(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text"), "text")
-    model = models.fit_topics(vectors, 4, 5)
+    docs = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vectors = Scratch(spark, "topics").put(models.vectorise(docs, "text")[0].select("doc_id", "counts"), "vectors")
+    model = models.fit_topics(vectors, 4)
     return models.loadings(model, vectors, ["doc_id"])
 
 

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lexloom.functions import stats, text
@@ -175,6 +176,18 @@ def test_topics_and_search(spark):
     assert [r.k for r in models.search_k(v, [2, 3], iters=2).collect()] == [2, 3]
 
 
+def test_topics_are_fitted_on_every_token_of_every_document(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    v, vocabulary = models.vectorise(docs.select("doc_id", "text"), "text")
+    v = v.persist()
+    tokens = v.select(F.explode(vector_to_array("counts")).alias("n")).agg(F.sum("n")).first()[0]
+    # the topics hold the prior and each token once
+    assert models.fit_topics(v, 3, 2).topicsMatrix().toArray().sum() == pytest.approx(tokens + 0.1 * 3 * len(vocabulary), rel=1e-6)
+    v.unpersist()
+    got = QUERIES["lda_loadings"](spark, SMALL).groupBy("doc_id").agg(F.sum("loading").alias("s")).toPandas()
+    assert sorted(got["doc_id"]) == sorted(r[0] for r in docs.select("doc_id").distinct().collect()) and (got["s"] - 1).abs().max() < 1e-6
+
+
 def test_vocabulary_has_every_term_of_three_documents(spark):
     name = F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm")
     words = spark.range(20_500).select(F.concat(F.lit("q"), name).alias("w")).agg(F.array_join(F.collect_list("w"), " ").alias("text"))
