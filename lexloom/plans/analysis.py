@@ -62,13 +62,13 @@ def null_descriptives(tokens: DataFrame, long: DataFrame, keys: list[str], token
 
 def compare_with_null(observed: DataFrame, null: DataFrame, measures: list[str] | None = None, name: str = "context") -> tuple[DataFrame, DataFrame]:
     """(values, tests): null values with the observed estimate and Z-scores, and a bootstrap test per context and
-    measure with marks of significance."""
+    measure with marks of significance. n draws can't show a level below 1/n, so p is taken as 1/n at least for these."""
     measures = measures or [m for m in MEASURES if m in observed.columns]
     doubled = lambda df, keys, v: df.select(*keys, *(F.col(m).cast("double").alias(m) for m in measures)).unpivot(keys, measures, "measure", v)
     values = doubled(null, ["iter", name], "value").join(doubled(observed, [name], "est"), [name, "measure"])
     values = stats.with_z(values, "value", "est", [name, "measure"])
     tests = stats.bootstrap_test(values, "value", "est", [name, "measure"])
-    return values, tests.withColumn("stars", text.stars(F.col("p_val")))
+    return values, tests.withColumn("stars", text.stars(F.greatest("p_val", 1 / F.col("iters"))))
 
 
 def convergence(samples: DataFrame, value: str, copies: int, size: int, order: str, ps: dict[str, float] | None = None, tol: float = 1.0, seed: str = "s") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import stats, text
 from lexloom.operators import agreement, contexts, models, ngrams, resample, segment, translate, windows
+from lexloom.plans import analysis
 from lexloom.plans.queries import ORACLES, QUERIES
 from lexloom.sources import readers, writers
 from lexloom.streaming import windowed_counts
@@ -153,6 +154,16 @@ def test_permutation_keeps_counts_and_does_not_depend_on_partitions(spark):
     assert {tuple(r) for r in a.groupBy("iter", "context").count().collect()} == {(i, c, 15) for i in range(3) for c in ("x", "y")}
 
 
+def test_few_draws_give_no_stars_that_they_cannot_support(spark):
+    observed = spark.createDataFrame([("x", 1e9)], "context string, ttr double")
+    marks = {}
+    for n in (5, 20, 50, 2000):
+        null = spark.range(n).select(F.col("id").alias("iter"), F.lit("x").alias("context"), (F.col("id") % 7).cast("double").alias("ttr"))
+        r = analysis.compare_with_null(observed, null)[1].first()
+        marks[n] = (r.p_val, r.stars)
+    assert marks == {5: (0.0, ""), 20: (0.0, "+"), 50: (0.0, "*"), 2000: (0.0, "***")}
+
+
 def test_artificial_corpus(spark):
     d, u = resample.make_corpus(spark, 90, 50)
     assert d.count() == 90 and d.select(F.explode(F.split("phon", "-")).alias("s")).distinct().count() == d.agg(F.sum("n_syl")).first()[0] == 270
