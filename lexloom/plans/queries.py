@@ -544,7 +544,7 @@ def artificial_corpus(spark, sf):
 @query(f"""WITH {TOK}, d AS (SELECT w, upper(substr(w, 1, 2)) || '-' || upper(substr(w, 3)) AS phon FROM (SELECT DISTINCT unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM benchmark)),
 j AS (SELECT conv_id, turn, i, tok.w, phon FROM tok LEFT JOIN d ON tok.w = d.w) SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS orth, string_agg(coalesce(phon, w), ' ' ORDER BY i) AS phon, count(*) AS n_tokens, count(*) - count(phon) AS n_unknown FROM j GROUP BY ALL HAVING count(*) - count(phon) <= 0.6 * count(*)""")
 def dictionary_translate(spark, sf):
-    d = dictionary_words(spark, sf).select(F.col("w").alias("word"), F.concat(F.upper(F.substring("w", 1, 2)), F.lit("-"), F.upper(F.substring("w", 3, 1000))).alias("phon"))
+    d = dictionary_words(spark, sf).select(F.col("w").alias("word"), F.concat(F.upper(F.substring("w", 1, 2)), F.lit("-"), F.upper(F.substring("w", 3, F.length("w")))).alias("phon"))
     c = read(spark, sf, "conversations").select(*TURN, text.letters(F.col("text")).alias("t"))
     return translate.translate(c, TURN, "t", d, 0.6)
 

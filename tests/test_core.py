@@ -216,6 +216,13 @@ def test_translation_and_matching(spark):
     assert [r.right_order for r in translate.greedy_match(left, right, ["file"], "o", "t", "u").orderBy("left_order").collect()] == [1, 2, None]
 
 
+def test_long_words_are_translated_whole(spark, tmp_path):
+    word = "ab" + "c" * 1500
+    spark.createDataFrame([(1, word)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, "user", word)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.phon for r in QUERIES["dictionary_translate"](spark, str(tmp_path)).collect()] == ["AB-" + "C" * 1500]
+
+
 def test_transliteration(spark):
     r = spark.createDataFrame([("@h",)], "w string").select(text.transliterate(F.col("w"), {"@": "eh", "h": "hh"}).alias("a"), text.transliterate_sequential(F.col("w"), {"@": "eh", "h": "hh"}).alias("b")).first()
     assert r.a == "eh hh" and r.b == "ehh  hh"
