@@ -9,17 +9,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexloom.scratch import Scratch, ship_package
+from lexloom.scratch import Scratch, scoped, ship_package
 
-__all__ = ["Block", "Scratch", "bounded_sample", "id_and_text", "mix", "ship_package", "text_blocks", "text_bytes"]
+__all__ = ["Block", "Scratch", "bounded_sample", "column_at", "id_and_text", "map_whole_rows", "mix", "quoted", "scoped", "ship_package", "text_blocks", "text_bytes"]
 
 #: Bytes of text handled at once.
 BLOCK_BYTES = 2 << 20
@@ -30,13 +31,36 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 # --------------------------------------------------------------------------- text blocks
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, under fixed names; other columns can't clash with its own."""
     ship_package(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+
+
+def map_whole_rows(rows: DataFrame, function: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for tables whose columns may have any names: ``function`` gets record batches with the columns of
+    ``rows`` in their order and gives lists of arrays, in the order of ``schema``."""
+    inside = [f"c{i}" for i in range(len(schema))]
+
+    def run(batches):
+        for arrays in function(batches):
+            yield pa.RecordBatch.from_arrays(arrays, names=inside)
+
+    given = T.StructType([T.StructField(n, f.dataType) for n, f in zip(inside, schema)])
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).mapInArrow(run, given).toDF(*schema.names)
+
+
+def column_at(df: DataFrame, name: str) -> int:
+    """The place of a column, whatever the case of its name."""
+    return next(i for i, c in enumerate(df.columns) if c.lower() == name.lower())
 
 
-def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def text_blocks(batches: Iterable[pa.RecordBatch], column: str | int = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches into blocks of about ``size`` bytes of text, of one row at least."""
     for batch in batches:
         n = batch.num_rows
