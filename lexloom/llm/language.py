@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import bounded_sample, id_and_text, text_blocks
+from .kit import bounded_sample, id_and_text, quoted, ship_package, text_blocks
 
 _U = np.uint64
 _SLOTS = 20
@@ -30,53 +30,72 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def _codes(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For n = 1, 2, 3 the n-gram codes of the joined texts (lower-cased, other characters as one blank; letters and
-    single blanks only), the text that each character belongs to, and whether a text has a letter."""
-    points = np.frombuffer(" ".join(["", *(t.lower() for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t.lower()) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts) + 1), np.concatenate((lengths + 1, [1])))
+def _codes(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For n = 1, 2, 3 the n-gram codes of the texts (lower-cased, other characters as one blank; letters and single blanks
+    only, one blank before and after each text) with the text that each belongs to, and whether a text has a letter. No
+    n-gram reaches into another text."""
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in lowered])
     letter = _letter_table()[points]
-    some = np.bincount(owner[letter], minlength=len(texts) + 1)[: len(texts)] > 0
+    some = np.bincount(owner[letter], minlength=len(texts)) > 0
     chars = np.where(letter, points, np.uint32(32)).astype(np.uint64)
     keep = letter.copy()
+    # a blank counts after a letter, and before the first one
     keep[1:] |= letter[:-1]
+    keep[np.flatnonzero(np.diff(owner, prepend=-1))] = True
     chars, owner = chars[keep], owner[keep]
-    out, code = [chars], chars
-    for _ in range(2):
-        code = code[:-1] << _U(21) | chars[len(chars) - len(code) + 1 :]
-        out.append(code)
-    return out, owner, some
+    # a text that begins with other characters has one blank there too
+    twice = np.zeros(len(chars), bool)
+    twice[1:] = (chars[1:] == 32) & (chars[:-1] == 32) & (owner[1:] == owner[:-1])
+    chars, owner = chars[~twice], owner[~twice]
+    out, code = [(chars, owner)], chars
+    for n in (2, 3):
+        code = code[:-1] << _U(21) | chars[n - 1 :]
+        whole = owner[: len(code)] == owner[n - 1 :]
+        out.append((code[whole], owner[: len(code)][whole]))
+    return out, some
 
 
 class Grams:
     """The n-grams of the landmarks, each with a column of the presence matrix."""
 
     def __init__(self, codes: np.ndarray):
-        slots = self._slot(codes)
-        _, first = np.unique(slots, return_index=True)  # two n-grams in one slot: the first one stands
-        self.codes = codes[np.sort(first)]
-        self.column = np.full(1 << _SLOTS, -1, np.int32)
-        self.column[self._slot(self.codes)] = np.arange(len(self.codes), dtype=np.int32)
+        self.codes = np.unique(codes)
+        # a table of slots tells most n-grams that are not known, the sorted codes tell the rest
+        self.known = np.zeros(1 << _SLOTS, bool)
+        self.known[self._slot(self.codes)] = True
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
         return ((codes * _U(0x9E3779B97F4A7C15)) >> _U(64 - _SLOTS)).astype(np.int64)
 
+    def _mark(self, out: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> None:
+        maybe = np.flatnonzero(self.known[self._slot(codes)])
+        if len(maybe):
+            column = np.minimum(np.searchsorted(self.codes, codes[maybe]), len(self.codes) - 1)
+            same = self.codes[column] == codes[maybe]
+            out[owner[maybe[same]], column[same]] = 1
+
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(a row per text with 1 where it has the n-gram, whether it has a letter)."""
         out = np.zeros((len(texts), len(self.codes)), np.float32)
-        orders, owner, some = _codes(texts)
-        for codes in orders:
-            if len(codes):
-                column = self.column[self._slot(codes)]
-                known = column >= 0
-                known[known] = self.codes[column[known]] == codes[known]
-                row = owner[: len(codes)][known]
-                inside = row < len(texts)
-                out[row[inside], column[known][inside]] = 1
+        orders, some = _codes(texts)
+        for codes, owner in orders:
+            self._mark(out, owner, codes)
         return out, some
 
+    def presence_of_sets(self, sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), len(self.codes)), np.float32)
+        for i, codes in enumerate(sets):
+            self._mark(out, np.full(len(codes), i), codes)
+        return out
+
+
+def gram_set(text: str) -> np.ndarray:
+    """The distinct n-grams of a text."""
+    return np.unique(np.concatenate([c for c, _ in _codes([text])[0]]))
+
 
 @dataclass
 class LanguageModel:
@@ -92,26 +111,27 @@ class LanguageModel:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score (the margin brought to 0..1) of each text."""
         presence, some = self.grams.presence(texts)
-        margins = self.kernel(presence) @ self.weights
+        # rounded, because the last digits of a product depend on the size of the block
+        margins = np.round((self.kernel(presence) @ self.weights).astype(np.float64), 5)
         best = margins.argmax(axis=1)
         score = np.clip((margins[np.arange(len(texts)), best] + 1) / 2, 0, 1)
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), some)], np.where(some, score, 0.0)
 
 
-def fit(texts: list[str], labels: list[str], per_language: int = 40, ridge: float = 1e-2, seed: int = 11) -> LanguageModel:
-    """Fits on the driver. Landmarks: the first ``per_language`` texts of each language in a shuffled order."""
+def fit(sets: list[np.ndarray], labels: list[str], per_language: int = 40, ridge: float = 1e-2, seed: int = 11) -> LanguageModel:
+    """Fits on the driver, on the n-gram sets of the texts. Landmarks: the first ``per_language`` texts of each language in
+    a shuffled order."""
     languages = sorted(set(labels))
-    order = np.random.default_rng(seed).permutation(len(texts))
-    texts, labels = [texts[i] for i in order], [labels[i] for i in order]
+    order = np.random.default_rng(seed).permutation(len(sets))
+    sets, labels = [sets[i] for i in order], [labels[i] for i in order]
     taken = dict.fromkeys(languages, 0)
     marks = []
     for i, label in enumerate(labels):
         if taken[label] < per_language:
             taken[label] += 1
             marks.append(i)
-    orders, owner, _ = _codes([texts[i] for i in marks])
-    grams = Grams(np.unique(np.concatenate([c[owner[: len(c)] < len(marks)] for c in orders])))
-    rows = np.concatenate([grams.presence(texts[i : i + 64])[0] for i in range(0, len(texts), 64)])
+    grams = Grams(np.concatenate([sets[i] for i in marks]))
+    rows = grams.presence_of_sets(sets)
     size = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
     landmarks = np.ascontiguousarray((rows[marks] / size[marks]).T)
     k = (rows / size) @ landmarks
@@ -130,21 +150,34 @@ def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col
     """A row per row of ``docs``: doc_id, lang_pred, score (0 to 1).
 
     The model is fitted on a sample of ``learn`` (id, text, label) of at most ``sample_per_language`` labelled texts
-    per language, chosen by a hash of the id: that bound is the only one, predictions use whole texts.
+    per language, chosen by a hash of the id; executors turn these into sets of n-grams, so whole texts don't reach the
+    driver. That bound is the only one, predictions use whole texts. A text's prediction does not depend on the rows
+    around it.
 
     Defined cases: null texts and texts without a letter are ``und`` with score 0; rows of ``learn`` with a null
-    label or text are not used; if none is left, everything is ``und``; with one language, that one is predicted;
-    null and repeated ids are carried through; an empty table gives an empty table.
+    label, text or id, or without a letter, are not used; if none is left, everything is ``und``; with one language, that
+    one is predicted; ties go to the first language by name; null and repeated ids are carried through; an empty table
+    gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
-    given = learn.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")).where("label is not null and text is not null and doc_id is not null")
-    rows = sorted((r["label"], r["_u"], r["doc_id"], r["text"]) for r in bounded_sample(given, "doc_id", "label", sample_per_language, "language").collect())
+    ship_package(spark)
+    given = learn.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), F.col(quoted(label_col)).cast("string").alias("label")).where("label is not null and text is not null and doc_id is not null")
+
+    def sets_of(batches):
+        for b in batches:
+            for i, text in enumerate(b.column("text").to_pylist()):
+                one = b.slice(i, 1)
+                if any(map(str.isalpha, text)):
+                    yield pa.RecordBatch.from_arrays([one.column("label"), one.column("_u"), one.column("doc_id"), pa.array([gram_set(text).astype(np.int64)], pa.list_(pa.int64()))], names=["label", "u", "doc_id", "grams"])
+
+    some = bounded_sample(given, "doc_id", "label", sample_per_language, "language").select("label", "_u", "doc_id", "text")
+    found = some.mapInArrow(sets_of, "label string, u long, doc_id long, grams array<long>").collect()
     counted: dict[str, int] = {}
     kept = []
-    for label, _, _, text in rows:
-        counted[label] = counted.get(label, 0) + 1
-        if counted[label] <= sample_per_language and any(map(str.isalpha, text)):
-            kept.append((text, label))
+    for r in sorted(found, key=lambda r: (r["label"], r["u"], r["doc_id"], r["grams"])):
+        counted[r["label"]] = counted.get(r["label"], 0) + 1
+        if counted[r["label"]] <= sample_per_language:
+            kept.append((np.array(r["grams"], np.int64).astype(np.uint64), r["label"]))
     model = fit([t for t, _ in kept], [x for _, x in kept], per_language) if kept else None
     held = spark.sparkContext.broadcast(model)  # landmarks x their n-grams: bounded by the sample
 
