@@ -4,7 +4,7 @@ A gear hash rolls over the last 16 bytes; where it is small, a chunk ends. Bound
 them only, so an insertion changes the chunks it touches and no others. Chunks are compared by digest: a digest that
 more than one document has is repeated, and runs of neighbouring repeated chunks make repeated passages. Passages of
 at least ``min_words`` words are reported; a copied passage loses at each end what does not fill a chunk (about 50
-bytes), so a copied passage of 50 words leaves well over 20.
+bytes), so a copied passage of 50 words nearly always leaves well over 10.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kit import SPACE, Block, Scratch, id_and_text, span_hashes, text_blocks
+from .kit import SPACE, Block, Scratch, column_at, id_and_text, map_whole_rows, quoted, span_hashes, text_blocks
 
 _U = np.uint32
 _GEAR = np.random.Generator(np.random.PCG64(977)).integers(0, 2**32, 256, dtype=np.uint32)
 WINDOW = 16
+#: Another order of the byte values, for the second half of a digest.
+_OTHER = np.random.Generator(np.random.PCG64(978)).permutation(256).astype(np.uint8)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -34,14 +36,16 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 def chunk_ends(block: Block, mean: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(from, to) of the chunks of a block's texts, in order. A boundary is set after a byte whose hash is small,
-    unless one of the ``least`` bytes before it has a small hash too; chunks of more than ``most`` bytes are cut."""
+    unless one of the ``least`` bytes before it in the text has a small hash too; chunks of more than ``most`` bytes are
+    cut. A text's chunks do not depend on the texts around it."""
     h = gear_hashes(block.data)
     small = np.flatnonzero(h < _U(2**32 // mean)) + 1
-    if len(small) > 1:
-        small = small[np.concatenate(([True], np.diff(small) >= least))]
     owner = block.owner(small)
-    # the first bytes of a text have other texts in their window
-    small = small[(small >= block.start[owner] + WINDOW) & (small < block.end[owner])]
+    # the first bytes of a text have other texts in their window: they set no boundary and hinder none
+    inside = (small >= block.start[owner] + WINDOW) & (small < block.end[owner])
+    small, owner = small[inside], owner[inside]
+    if len(small) > 1:
+        small = small[np.concatenate(([True], (np.diff(small) >= least) | (owner[1:] != owner[:-1])))]
     size = block.end - block.start
     cuts = np.unique(np.concatenate((small, block.start[size > 0], block.end[size > 0])))
     gaps = np.diff(cuts)
@@ -55,49 +59,64 @@ def chunk_ends(block: Block, mean: int, least: int, most: int) -> tuple[np.ndarr
     return starts[inside], ends[inside]
 
 
+CHUNKS = "doc_id long, t long, start int, stop int, words int, d1 long, d2 long"
+
+
 def chunks(docs: DataFrame, mean: int, least: int, most: int) -> DataFrame:
-    """(doc_id, start, stop (bytes of the text), words, digest) for each chunk of each document (doc_id, text)."""
+    """(doc_id, t, start, stop (bytes of the text), words, d1, d2: a 128-bit digest) for each chunk of each row
+    (doc_id, t, text)."""
 
     def make(batches):
         for b in text_blocks(batches):
             block = Block(b.column("text"))
             starts, ends = chunk_ends(block, mean, least, most)
-            digest = span_hashes(block.data, starts, ends)
+            d1 = span_hashes(block.data, starts, ends)
+            # a second hash of the same bytes, under other values of the bytes
+            d2 = span_hashes(_OTHER[block.data], starts, ends)
             owner = block.owner(starts)
             begins = np.zeros(len(block.data) + 1, np.int64)
             space = SPACE[block.data]
             begins[2:] = np.cumsum(space[:-1] & ~space[1:])
+            at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(owner)), pa.array((starts - block.start[owner]).astype(np.int32)), pa.array((ends - block.start[owner]).astype(np.int32)), pa.array((begins[ends] - begins[starts]).astype(np.int32)), pa.array(digest.view(np.int64))],
-                names=["doc_id", "start", "stop", "words", "digest"],
+                [
+                    b.column("doc_id").take(at), b.column("t").take(at), pa.array((starts - block.start[owner]).astype(np.int32)), pa.array((ends - block.start[owner]).astype(np.int32)),
+                    pa.array((begins[ends] - begins[starts]).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                ],
+                names=["doc_id", "t", "start", "stop", "words", "d1", "d2"],
             )
 
-    return docs.mapInArrow(make, "doc_id long, start int, stop int, words int, digest long")
+    return docs.mapInArrow(make, CHUNKS)
 
 
-PASSAGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("first_doc", T.LongType()), T.StructField("repeated", T.BooleanType())])
+PASSAGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("first_doc", T.LongType()), T.StructField("repeated", T.BooleanType())])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, mean: int = 24, least: int = 6, most: int = 512) -> DataFrame:
-    """A row per repeated passage of a document: doc_id, start, stop (bytes of the UTF-8 text), n_words, first_doc (the
-    smallest id of a document that has the passage's first chunk) and repeated (false where this document is the
-    first for all of the passage's chunks, so that it is kept there).
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, mean: int = 24, least: int = 6, most: int = 512) -> DataFrame:
+    """A row per repeated passage of a document: doc_id, text_hash (xxhash64 of the text it is in), start, stop (bytes of the
+    UTF-8 text), n_words, first_doc (the smallest id of a document that has the passage's first chunk) and repeated
+    (false where this document is the first for all of the passage's chunks, so that it is kept there).
 
     Defined cases: null and empty texts have no chunks; rows with a null id are not compared; rows with the same id
-    count as one document, so a passage they share is not repeated; an empty table gives an empty table.
+    count as one document, so a passage they share is not repeated, and each of the id's texts has its own passages; equal
+    rows have theirs once; an empty table gives an empty table. Very long texts are cut like any other; the passages of
+    one text are found in one row's memory.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    found = chunks(id_and_text(docs, id_col, text_col).where("doc_id is not null"), mean, least, most)
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), "text")
+    found = scratch.put(chunks(texts, mean, least, most), "chunks")
     # counted with pre-aggregation, so that a chunk of very many documents is a few rows per task
-    shared = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("other")).where("first_doc <> other").drop("other")
+    shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("other")).where("first_doc <> other").drop("other")
     shared = scratch.put(shared, "shared")
-    hits = scratch.put(found.join(shared, "digest").select("doc_id", "start", "stop", "words", "first_doc"), "hits")
-    lists = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "words", "first_doc"))).alias("c"))
+    hits = scratch.put(found.join(shared, ["d1", "d2"]).select("doc_id", "t", "start", "stop", "words", "first_doc"), "hits")
+    scratch.keep("hits")
+    # by text: an id with very many rows is no group, and equal rows are one
+    lists = hits.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "words", "first_doc"))).alias("c"))
 
     def merge(batches):
         for b in batches:
             rows = []
-            for doc, c in zip(b.column("doc_id").to_pylist(), b.column("c")):
+            for doc, t, c in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("c")):
                 values = c.values
                 start, stop, words, first = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
                 new = np.flatnonzero(np.concatenate(([True], start[1:] > stop[:-1])))
@@ -105,30 +124,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 for x, y in zip(new.tolist(), ends.tolist()):
                     n = int(words[x:y].sum())
                     if n >= min_words:
-                        rows.append((doc, int(start[x]), int(stop[x:y].max()), n, int(first[x]), bool((first[x:y] != doc).any())))
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in columns[:5]), pa.array(columns[5], pa.bool_())], names=PASSAGES.names)
+                        rows.append((doc, t, int(start[x]), int(stop[x:y].max()), n, int(first[x]), bool((first[x:y] != doc).any())))
+            columns = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in columns[:6]), pa.array(columns[6], pa.bool_())], names=PASSAGES.names)
 
     return lists.mapInArrow(merge, PASSAGES)
 
 
 def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages cut out of their texts, all but each passage's first occurrence."""
-    cuts = passages.where("repeated").groupBy(F.col("doc_id").alias("_lexloom_id")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_lexloom_cuts"))
-    joined = docs.join(cuts, docs[id_col].cast("long") == cuts["_lexloom_id"], "left").select(*(docs[c] for c in docs.columns), "_lexloom_cuts")
-    names = docs.columns
+    """``docs`` with the repeated passages cut out of their texts, all but each passage's first occurrence.
+
+    A passage is cut from the rows with its id and text only, so unlike texts of one id lose nothing to each other; all
+    columns stay as they are, whatever their names; null texts stay null."""
+    cuts = passages.where("repeated").groupBy(F.col("doc_id").alias("_lexloom_id"), F.col("text_hash").alias("_lexloom_t"))
+    cuts = cuts.agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_lexloom_cuts"))
+    own_id, own_t = F.col(quoted(id_col)).cast("long"), F.xxhash64(F.col(quoted(text_col)).cast("string"))
+    joined = docs.join(cuts, (own_id == F.col("_lexloom_id")) & (own_t == F.col("_lexloom_t")), "left")
+    joined = joined.select(*(F.col(quoted(c)) for c in docs.columns), "_lexloom_cuts")
+    at, last = column_at(docs, text_col), len(docs.columns)
 
     def cut(batches):
-        for b in text_blocks(batches, text_col):
+        for b in text_blocks(batches, at):
             texts = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_lexloom_cuts").to_pylist()):
+            for text, spans in zip(b.column(at).to_pylist(), b.column(last).to_pylist()):
                 if text and spans:
-                    raw, at, parts = text.encode(), 0, []
+                    raw, place, parts = text.encode(), 0, []
                     for s in spans:
-                        parts.append(raw[at : s["start"]])
-                        at = s["stop"]
-                    text = b"".join([*parts, raw[at:]]).decode("utf-8", "ignore")
+                        parts.append(raw[place : s["start"]])
+                        place = s["stop"]
+                    text = b"".join([*parts, raw[place:]]).decode("utf-8", "ignore")
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names=names)
+            yield [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(last)]
 
-    return joined.mapInArrow(cut, docs.schema)
+    return map_whole_rows(joined, cut, docs.schema)
