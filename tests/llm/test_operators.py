@@ -2,19 +2,22 @@
 
 import collections
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import kit, queries
-from lexloom.llm.decontaminate import align, contamination, drop_contaminated
+from lexloom.llm import kit, language, queries, substring_dedup
+from lexloom.llm.decontaminate import align, contamination, drop_contaminated, normal_form
 from lexloom.llm.language import identify
-from lexloom.llm.line_dedup import dedup_lines
+from lexloom.llm.line_dedup import LineRuns, dedup_lines, sorted_scans
 from lexloom.llm.lm_score import cross_entropy_difference
-from lexloom.llm.near_dup import connected_components, near_duplicates
+from lexloom.llm.near_dup import connected_components, drop_near_duplicates, near_duplicates
 from lexloom.llm.packing import Encoder, Plan, default_tokenizer, pack, sequences
 from lexloom.llm.reputation import UrlRule, judge_urls, url_host, url_path
 from lexloom.llm.rules import RULES, keep_quality, quality_rules
@@ -64,7 +67,7 @@ def brute_components(docs, k=5):
             index[s].append(i)
     seen = set()
     for members in index.values():
-        for a in members[:60]:
+        for a in members:
             for b in members:
                 if a < b and (a, b) not in seen:
                     seen.add((a, b))
@@ -102,6 +105,43 @@ def test_near_duplicates_of_a_chain_and_a_hub(spark):
     assert got == want and want[500][1] == 1
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("low", [2, 9])
+def test_an_id_with_several_texts_links_them_and_loses_none(spark, low):
+    rng = np.random.default_rng(8)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(low, a), (4, a), (4, b), (7, b.upper()), (20, c), (20, c), (21, c + " end"), (None, a), (5, ""), (5, a[:0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    first = min(low, 4)
+    want = [(low, first, low == first), (4, first, first == 4), (4, first, first == 4), (7, first, False), (20, 20, True), (20, 20, True), (21, 20, False), (None, None, True), (5, 5, True), (5, 5, True)]
+    assert got == collections.Counter(want)
+    left = drop_near_duplicates(docs.withColumn("a.b", F.lit(1)))
+    assert left.columns == ["doc_id", "text", "a.b"]
+    assert collections.Counter(r.text for r in left.where("doc_id is not null").collect()) == {a: 1, b: 1, c: 1, "": 2}
+    assert left.where("doc_id is null").count() == 1 and drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_rows_kept_are_one_of_each_group(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {i for i, (_, c) in brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()]).items() if i == c}
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).select("doc_id").collect()) == sorted(want)
+
+
+def test_large_bucket_of_unlike_texts(spark):
+    """Texts of very different sizes that share a long passage are in the same buckets without being alike."""
+    rng = np.random.default_rng(12)
+    shared = prose(rng, 120)
+    rows = [(i, shared + " " + prose(rng, int(n))) for i, n in enumerate(rng.integers(10, 200, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
+    want = brute_components(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 60
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = near_duplicates(odd(spark)).collect()
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows)
@@ -163,6 +203,39 @@ def test_lines_of_odd_rows(spark):
     assert (1, 2, "x") in out and (2, 1, "y") in out and out.count((3, 0, line.strip())) == 2 and (None, 1, "") in out
 
 
+def test_lines_of_clashing_columns_and_repeated_ids(spark):
+    line = "this line is long enough for a key"
+    rows = [(i, f"{line}\nown line number {i} is long enough\n{line}") for i in (1, 2, 3)] + [(1, line), (1, line), (None, line), (None, "x\n" + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("N_LINES", F.lit(7)).withColumn("a.b", F.lit("z")).withColumn("N_Dropped", F.lit(8))
+    out = dedup_lines(docs, batches=2)
+    assert out.columns == ["doc_id", "text", "a.b", "n_lines", "n_dropped"]
+    got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect())
+    assert got == collections.Counter([(1, 3, 2, "own line number 1 is long enough"), (2, 3, 2, "own line number 2 is long enough"), (3, 3, 0, rows[2][1]), (1, 1, 1, ""), (1, 1, 1, ""), (None, 1, 1, ""), (None, 2, 1, "x")])
+    bare = dedup_lines(docs, counts=False, drop_emptied=True)
+    assert bare.columns == docs.columns and bare.count() == 4 and bare.agg(F.sum("N_LINES")).first()[0] == 28
+
+
+def test_line_runs_are_opened_again(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(d), int(k), int(k) * 7) for d in range(60) for k in set(rng.integers(0, 200, 25).tolist())]
+    for part in range(6):  # ids in no order, a new store object each time
+        store = LineRuns(spark, str(tmp_path / "runs"), min_docs=4, fanout=2, buckets=4)
+        store.add(spark.createDataFrame([r for r in rows if r[0] % 6 == part], "doc_id long, k1 long, k2 long"))
+        assert sum(map(len, store.levels)) <= 3
+        store.close()
+    store = LineRuns(spark, str(tmp_path / "runs"))
+    assert (store.min_docs, store.fanout, store.buckets) == (4, 2, 4)
+    held = collections.defaultdict(list)
+    for d, k, _ in rows:
+        held[k].append(d)
+    assert {r.k1: r.last for r in store.settled().collect()} == {k: max(v) for k, v in held.items() if len(v) >= 4}
+    with sorted_scans(spark, store.buckets):
+        plan = store.fresh(spark.createDataFrame(rows[:9], "doc_id long, k1 long, k2 long"))._jdf.queryExecution().executedPlan().toString()
+    # the batch is shuffled and sorted once, the runs are neither
+    assert plan.count("Exchange") == 1 and plan.count("- Sort [") == 1 and plan.count("SortMergeJoin") == len(store.runs())
+    store.close()
+
+
 # ------------------------------------------------------------------ packing
 
 
@@ -268,7 +341,17 @@ def test_rules_match_brute_force(spark):
         for r in rows:
             assert tuple(r)[1:6] in [brute_measures(t) for t in text[r.doc_id]]
             assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed)
-    assert quality_rules(empty(spark)).count() == 0 and keep_quality(empty(spark)).count() == 0
+    assert quality_rules(empty(spark)).count() == 0 and keep_quality(empty(spark)).count() == 0 and keep_quality(odd(spark).withColumn("a.b", F.lit(1))).columns[-1] == "a.b"
+
+
+def test_rules_look_only_at_what_is_left():
+    import pyarrow as pa
+
+    from lexloom.llm.rules import Texts, cascade
+
+    t = Texts(pa.array(["short", "a b c d e f g h i j k l", "word " * 50, None]))
+    assert cascade(t, RULES, [0, 2, 1]).tolist() == []
+    assert t._kept["word_chars"].tolist() == [-1, 12, 200, -1] and t._kept["n_repeat_words"].tolist() == [-1, -1, 50, -1]
 
 
 def test_order_of_rules_changes_no_verdict(spark):
@@ -310,6 +393,56 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def brute_grams(text):
+    text = f" {''.join(c if c.isalpha() else ' ' for c in text.lower())} "
+    text = re.sub(" +", " ", text)
+    return {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+
+def test_language_matches_brute_force(spark):
+    """The kernel, its Nyström map and the ridge weights, from sets of strings."""
+    rows = [(r.text, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null and length(text) between 80 and 900").orderBy("doc_id").limit(60).collect()]
+    model = language.fit([language.gram_set(t) for t, _ in rows], [x for _, x in rows], per_language=5)
+    order = np.random.default_rng(11).permutation(len(rows))
+    shuffled, names = [rows[i] for i in order], sorted({x for _, x in rows})
+    marks = sorted((i for n in names for i in [j for j, (_, x) in enumerate(shuffled) if x == n][:5]))
+    sets = [brute_grams(t) for t, _ in shuffled]
+    known = set().union(*(sets[i] for i in marks))
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a & known)) * max(1, len(b & known)))
+    k = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    values, vectors = np.linalg.eigh(k[marks])
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    x = k @ root
+    y = np.array([[1.0 if n == lang else -1.0 for n in names] for _, lang in shuffled])
+    w = np.array([1 / sum(z == lang for _, z in shuffled) for _, lang in shuffled])[:, None]
+    weights = root @ np.linalg.solve(x.T @ (x * w) + 1e-3 * np.eye(x.shape[1]), x.T @ (y * w))
+    new = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null").orderBy(F.desc("doc_id")).limit(40).collect()]
+    margins = np.array([[kernel(brute_grams(t), sets[m]) for m in marks] for t in new]) @ weights
+    got, scores = model.predict(new)
+    assert [names[i] for i in margins.argmax(axis=1)] == got
+    assert scores == pytest.approx(np.clip((margins.max(axis=1) + 1) / 2, 0, 1), abs=2e-3)
+
+
+def test_predictions_do_not_depend_on_neighbours():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    rng = np.random.default_rng(2)
+    model = language.fit([language.gram_set(prose(rng, 30)) for _ in range(12)], ["a", "b", "c"] * 4, 3)
+    line = st.text(st.sampled_from(list("abcdefg éÀ中 .,1\n")), max_size=30)
+
+    @settings(max_examples=150, deadline=None)
+    @given(line, st.lists(line, max_size=50))
+    def same(text, others):
+        alone = model.predict([text])
+        among = model.predict([*others, text, *others])
+        assert among[0][len(others)] == alone[0][0] and among[1][len(others)] == pytest.approx(alone[1][0], abs=2e-5)
+        assert set(language.gram_set(text).tolist()) == {sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g)) for g in brute_grams(text)}
+
+    same()
+
+
 def test_language_of_odd_rows(spark):
     learn = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "x", None), (None, "le chat", "fr")], "doc_id long, text string, lang string")
     got = {(r.doc_id, r.lang_pred) for r in identify(odd(spark), learn).collect()}
@@ -411,6 +544,68 @@ def test_contamination_finds_exact_and_edited_items(spark):
     assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {13, 14, 15}
 
 
+def brute_regions(items, text, q, rate):
+    """Per item the end of the best alignment of each maximal run of ends within the budget."""
+    out = set()
+    for item in items:
+        n = len(item)
+        budget = max(0, min(int(rate * n), (n - q) // q))
+        row, ends = np.zeros(len(text) + 1, int), None
+        for i, c in enumerate(item, 1):
+            new = np.empty_like(row)
+            new[0] = i
+            for j in range(1, len(text) + 1):
+                new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (text[j - 1] != c))
+            row = new
+        if row.min() <= budget:
+            out.add((item, int(row.min())))
+    return out
+
+
+def test_contamination_matches_brute_force_over_edits(spark):
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefgh "))
+    items = [normal_form("".join(rng.choice(letters, n)).encode())[0].strip(b" ").decode() for n in (12, 18, 26, 40, 70, 110)]
+    rows, want = [], set()
+    for i in range(60):
+        item = list(items[i % 6])
+        for _ in range(int(rng.integers(0, 9))):  # substitutions, insertions and deletions
+            at, kind = int(rng.integers(0, len(item))), int(rng.integers(0, 3))
+            item[at : at + (kind != 1)] = [] if kind == 2 and len(item) > 9 else [str(rng.choice(letters[:8]))]
+        text = normal_form(("".join(rng.choice(letters, 30)) + "".join(item) + "".join(rng.choice(letters, 30))).encode())[0].decode().strip()
+        rows.append((i, text))
+        want |= {(i, items.index(x), e) for x, e in brute_regions(items, text, 10, 0.1)}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = collections.defaultdict(list)
+    for r in contamination(docs, bench, rate=0.1).collect():
+        got[r.doc_id, r.item_id].append(r.edits)
+    assert {(d, i, min(e)) for (d, i), e in got.items()} == want and 10 < len(want) < 60
+
+
+def test_contamination_of_many_regions_and_short_items(spark):
+    item = "alpha beta gamma delta epsilon zeta"
+    rows = [(1, " - ".join([item.upper()] * 130)), (2, "a No. 7! b"), (3, "ano 7b"), (4, "no 7"), (5, "x" * 50)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, "no 7"), (3, "!?"), (4, "b")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, rows[r.doc_id - 1][1][r.start : r.stop]) for r in contamination(docs, bench).collect())
+    assert got == [(1, 1, item.upper())] * 130 + [(2, 2, "No. 7"), (2, 4, "b"), (4, 2, "no 7")]
+    clean = drop_contaminated(docs.withColumn("a.b", F.lit(1)), bench)
+    assert clean.columns == ["doc_id", "text", "a.b"] and {r.doc_id for r in clean.collect()} == {3, 5}
+    assert {r.doc_id for r in drop_contaminated(docs.withColumn("a.b", F.lit(1)), bench, block_chars=20).collect()} == {3, 5}
+
+
+def test_memory_of_repetitive_texts_is_bounded():
+    """300 KB of one pair of letters against a repetitive item, in a process that may have 1 GB."""
+    code = """
+import resource
+resource.setrlimit(resource.RLIMIT_AS, (1 << 30, 1 << 30))
+from lexloom.llm.decontaminate import Index
+index = Index.build([(1, "ab" * 400), (2, "ab" * 300 + "c")], 10, 0.06)
+found = index.matches([b"ab" * 150_000])
+assert sum(m[1] == 0 for m in found) >= 100 and all(m[4] <= 48 for m in found)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=600, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), env={**os.environ, "OPENBLAS_NUM_THREADS": "1"})
+
+
 def test_contamination_on_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in contamination(docs, bench).collect()}
@@ -440,6 +635,83 @@ def test_passages(spark):
     assert repeated_passages(empty(spark)).count() == 0 and repeated_passages(odd(spark)).count() == 0
 
 
+def brute_chunks(text, mean=24, least=6, most=512):
+    raw = text.encode()
+    gear = [int(x) for x in substring_dedup._GEAR]
+    small = [p + 1 for p in range(15, len(raw)) if sum(gear[raw[p - j]] << j for j in range(16)) % 2**32 < 2**32 // mean]
+    small = [p for p in small if 16 <= p < len(raw)]
+    cuts = [0, *(p for i, p in enumerate(small) if not i or p - small[i - 1] >= least), len(raw)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        out += [(x, min(x + most, b)) for x in range(a, b, most)]
+    return out
+
+
+def brute_passages(rows, min_words=10):
+    pieces = {(d, t): [(a, b, t.encode()[a:b]) for a, b in brute_chunks(t)] for d, t in rows if d is not None and t}
+    held = collections.defaultdict(set)
+    for (d, _), parts in pieces.items():
+        for _, _, x in parts:
+            held[x].add(d)
+    out = set()
+    for (d, t), parts in pieces.items():
+        raw = b" " + t.encode()
+        begins = [i for i in range(1, len(raw)) if raw[i : i + 1].strip() and not raw[i - 1 : i].strip()]
+        run = []
+        for a, b, x in [*parts, (None, None, b"")]:
+            if a is not None and len(held[x]) > 1:
+                run.append((a, b, x))
+                continue
+            if run:
+                n = sum(run[0][0] < i <= run[-1][1] for i in begins)
+                if n >= min_words:
+                    out.add((d, t, run[0][0], run[-1][1], n, min(held[run[0][2]]), any(min(held[x]) != d for _, _, x in run)))
+                run = []
+    return out
+
+
+def test_passages_match_brute_force(spark):
+    rng = np.random.default_rng(21)
+    shared = [prose(rng, int(n)) for n in (5, 20, 52, 90, 200)]
+    rows = [(int(rng.integers(0, 25)), " ".join([prose(rng, 20), *(shared[i] for i in rng.integers(0, 5, 2)), "é中" * int(rng.integers(0, 4)), prose(rng, 15)])) for _ in range(40)]
+    rows += rows[:3] + [(None, shared[4]), (7, None), (7, ""), (8, "x" * 3000), (9, "x" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {r.h: r.text for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = [(r.doc_id, texts[r.text_hash], r.start, r.stop, r.n_words, r.first_doc, r.repeated) for r in repeated_passages(docs).collect()]
+    want = brute_passages(rows)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
+def test_chunks_do_not_depend_on_neighbours():
+    import pyarrow as pa
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    line = st.text(st.sampled_from(list("abcdefgh é\n")), max_size=400)
+
+    @settings(max_examples=200, deadline=None)
+    @given(line, st.lists(line, max_size=50))
+    def same(text, others):
+        block = kit.Block(pa.array([*others, text, *others]))
+        a, b = substring_dedup.chunk_ends(block, 24, 6, 64)
+        mine = block.owner(a) == len(others)
+        base = block.start[len(others)]
+        assert list(zip((a[mine] - base).tolist(), (b[mine] - base).tolist())) == brute_chunks(text, most=64)
+
+    same()
+
+
+def test_unlike_texts_of_one_id_lose_nothing_to_each_other(spark):
+    rng = np.random.default_rng(22)
+    p, x, y, z = prose(rng, 150), prose(rng, 60), prose(rng, 60), prose(rng, 200)
+    docs = spark.createDataFrame([(1, f"{p} {x}"), (2, f"{p} {y}"), (2, z), (2, z), (3, None)], "doc_id long, text string").withColumn("a.b", F.lit(1))
+    left = drop_passages(docs, repeated_passages(docs))
+    texts = collections.Counter(r.text for r in left.collect())
+    assert left.columns == docs.columns and texts[f"{p} {x}"] == 1 and texts[z] == 2 and texts[None] == 1
+    rest = next(t for t in texts if t and t not in (f"{p} {x}", z))
+    assert rest.endswith(y) and len(rest) < len(y) + 150
+
+
 def test_digest_columns(spark):
     rows = queries.op8_line_dedup(spark, SMALL).collect()
     want = brute_lines([tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()])

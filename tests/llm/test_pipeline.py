@@ -2,9 +2,11 @@
 
 import collections
 import re
+import zlib
 
+import numpy as np
 import pytest
-from test_operators import SMALL, brute_components, brute_lines, brute_measures, check_places
+from test_operators import SMALL, brute_components, brute_lines, brute_measures, check_places, prose
 
 import corpus_pipeline
 from lexloom.llm.packing import Encoder, default_tokenizer
@@ -63,3 +65,27 @@ def test_odd_documents(spark, tmp_path, rows):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark, tmp_path):
+    """(2, A), (4, A), (4, B), (7, B) and the same with 9 in place of 2: one A and one B are packed."""
+    rng = np.random.default_rng(6)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, `a.b` double"
+    for low in (2, 9):
+        a, b, line = prose(rng, 90), prose(rng, 80), "A line that three documents have in common."
+        rows = [(low, f"{line}\n{a}"), (4, a), (4, f"{b}\n{line}"), (7, b), (11, f"{prose(rng, 50)}\n{line}"), (None, prose(rng, 40)), (12, None), (13, "short")]
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "user's", 0.5) for i, t in rows], schema)
+        path = tmp_path / str(low)
+        docs.write.parquet(str(path / "documents.parquet"))
+        spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(path / "benchmark.parquet"))
+        now = spark.read.parquet(str(path / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(path))
+            assert now.columns == docs.columns
+        kept = now.collect()
+        assert sorted(t for t in (r.text for r in kept) if t in (a, b)) == sorted([a, b])
+        assert all(r.n_lines == "user's" and r.n_chars == len(r.text) for r in kept) and len(kept) == 4
+        packed = corpus_pipeline.run(spark, str(path)).collect()
+        encode = Encoder(default_tokenizer()).encode
+        want = sorted((r.doc_id or -1, zlib.crc32(encode(r.text) + b"\0\0\0\0")) for r in kept)
+        assert sorted((r.doc_id or -1, r.ids_crc32) for r in packed) == want
