@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.decontaminate import drop_contaminated
-from lexloom.llm.kit import Scratch
+from lexloom.llm.kit import Scratch, scoped
 from lexloom.llm.line_dedup import dedup_lines
-from lexloom.llm.near_dup import near_duplicates
+from lexloom.llm.near_dup import drop_near_duplicates
 from lexloom.llm.packing import pack
 from lexloom.llm.rules import keep_quality
 
@@ -20,17 +20,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text. A document that has lost all its lines goes too."""
-    out = dedup_lines(docs)
-    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names))
+    """Repeated lines go; n_chars, where there is such a column, follows the text. A document that has lost all its
+    lines goes too."""
+    out = dedup_lines(docs, counts=False, drop_emptied=True)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_lexloom_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_lexloom_id"], "left_anti")
+    """One document of each group of near-duplicate texts stays: the one with the smallest id. Rows are kept, not ids,
+    so that of an id with several unlike texts none is lost."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +50,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next; scratch tables and the stage
+    before go as soon as a stage stands.
+
+    Defined cases: null, empty and very short texts are rejected by the rules; rows with a null id go through line dedup
+    as one document, are never near-duplicates, and are packed; of rows that are equal in id and text one is packed; an
+    id with several unlike texts keeps them all; ties go to the smallest id; further columns of documents, whatever
+    their names, are carried through all stages but the last. An empty table gives an empty table."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"stage-{i}")
+        with scoped():
+            docs = scratch.put(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            scratch.drop(f"stage-{i - 1}")
     return docs
