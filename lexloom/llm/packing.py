@@ -2,11 +2,14 @@
 
 The texts become token pieces (mapped, no shuffle). Only the histogram of piece lengths, with at most ``capacity``
 entries, reaches the driver. There a linear program over *configurations* (multisets of lengths that fit a sequence)
-is solved by multiplicative weights: each step prices the lengths, finds the most valuable configuration with a
-knapsack dynamic program, uses it, and lowers the prices of what it covers. The fractional solution is rounded, and
-what remains is placed by best fit, on groups of equal bins. The plan is a table of intervals: the pieces of length l
-with rank a..b go to sequences s..s+(b-a) at one offset. Its size depends on the capacity and the number of steps, not
-on the number of documents. Pieces are ranked within their length in cells of bounded size and look their place up.
+is solved by multiplicative weights: each step prices the lengths, a knapsack dynamic program gives the most valuable
+configuration and, from the same table, the most valuable one through each length, and those within ``slack`` of the best
+are used, which lowers the prices of what they cover. Amounts are rounded as they are given out: down to whole numbers,
+one at least, never more than there are pieces, so that all pieces are covered in the end. The last configurations have
+little to choose from; what they would hold, up to ``tail`` of the tokens, is placed by best fit where that needs fewer
+sequences. The plan is a table of intervals: the pieces of length l with rank a..b go to sequences s..s+(b-a) at one
+offset. Its size depends on the capacity and the steps, not on the number of documents. Pieces are ranked within their
+length in cells of bounded size and look their place up.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -143,127 +146,177 @@ def token_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_id:
 # --------------------------------------------------------------------------- the linear program
 
 
-def best_configuration(values: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
-    """The multiset of lengths that fits ``capacity`` and has the largest value; values[l] is that of length l,
-    -inf if there is none. Unbounded knapsack by dynamic programming over the room."""
-    best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, np.int64)
+def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity`` the value of the best multiset of the sorted ``lengths``, and one of its lengths (0
+    if the room is as good with one less): an unbounded knapsack by dynamic programming."""
+    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    price = values[lengths]
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
-        offers = values[1 : room + 1] + best[room - 1 :: -1] if room > 1 else values[1:2] + best[:1]
-        at = int(offers.argmax())
-        if offers[at] > best[room - 1]:
-            best[room], pick[room] = offers[at], at + 1
-        else:
-            best[room] = best[room - 1]
-    found: dict[int, int] = {}
-    room = capacity
+        best[room] = best[room - 1]
+        n = fitting[room]
+        if n:
+            offers = price[:n] + best[room - lengths[:n]]
+            at = int(offers.argmax())
+            if offers[at] > best[room]:
+                best[room], pick[room] = offers[at], lengths[at]
+    return best, pick
+
+
+def _multiset(pick: np.ndarray, room: int, length: int) -> dict[int, int]:
+    """The best multiset of a room, and ``length`` beside it."""
+    found = {length: 1}
     while room > 0:
-        if pick[room]:
-            found[int(pick[room])] = found.get(int(pick[room]), 0) + 1
-            room -= int(pick[room])
+        one = int(pick[room])
+        if one:
+            found[one] = found.get(one, 0) + 1
+            room -= one
         else:
             room -= 1
-    return found, float(best[capacity])
+    return found
 
 
-def solve_configurations(counts: Mapping[int, int], capacity: int, steps: int = 700, eta: float = 0.35, share: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """A fractional cover of ``counts`` (length -> pieces) by configurations: [(configuration, amount)].
+def solve_configurations(counts: Mapping[int, int], capacity: int, eta: float, share: float, slack: float) -> list[tuple[dict[int, int], int]]:
+    """A cover of ``counts`` (length -> pieces) by configurations in whole amounts: [(configuration, times)].
 
-    Multiplicative weights: length l has the price l/capacity * exp(-eta * covered share). A step uses the dearest
-    configuration to ``share`` of the amount at which it would first cover one of its lengths in full. Lengths that
-    are covered leave the program. It ends when all are covered, or after ``steps`` steps; what is then not covered
-    is placed in the rounding."""
+    Multiplicative weights: length l has the price l/capacity * exp(-eta * covered share). A configuration is used to
+    ``share`` of the amount at which it would first cover one of its lengths in full, rounded down, once at least."""
     need = np.zeros(capacity + 1)
     for length, n in counts.items():
         need[length] = n
-    covered = np.zeros(capacity + 1)
+    left = need.copy()
     size = np.arange(capacity + 1) / capacity
-    out: list[tuple[dict[int, int], float]] = []
-    for _ in range(steps):
-        open_ = need - covered > 1e-9 * np.maximum(need, 1)
-        if not open_.any():
-            break
-        values = np.where(open_, size * np.exp(-eta * covered / np.maximum(need, 1)), -np.inf)
-        found, _ = best_configuration(values, capacity)
-        # a length that is in the configuration more often than there are pieces is cut to these
-        found = {length: min(k, int(need[length])) for length, k in found.items()}
-        room = min((need[x] - covered[x]) / k for x, k in found.items())
-        least = min(need[x] / k for x, k in found.items())
-        amount = min(room, max(share * least, 1e-6 * least))
-        for length, k in found.items():
-            covered[length] += k * amount
-        out.append((found, amount))
+    out: list[tuple[dict[int, int], int]] = []
+    while left.any():
+        lengths = np.flatnonzero(left)
+        values = size * np.exp(-eta * (1 - left / np.maximum(need, 1)))
+        best, pick = knapsack(values, lengths, capacity)
+        through = values[lengths] + best[capacity - lengths]
+        floor, used = (1 - slack) * best[capacity], False
+        for i in np.lexsort((-lengths, -np.round(through, 12))):
+            length = int(lengths[i])
+            if used and through[i] < floor:
+                break
+            if left[length] < 1:
+                continue
+            # not more of a length than there is left
+            found = {x: int(min(k, left[x])) for x, k in _multiset(pick, capacity - length, length).items() if left[x] >= 1}
+            if used and sum(values[x] * k for x, k in found.items()) < floor:
+                continue
+            room = min(left[x] // k for x, k in found.items())
+            times = int(max(1, min(room, min(need[x] * share // k for x, k in found.items()))))
+            for x, k in found.items():
+                left[x] -= k * times
+            out.append((found, times))
+            used = True
     return out
 
 
-class Plan:
-    """Intervals of ranks per length and the sequences and offsets they go to."""
+class _Bins:
+    """Sequences with room, equal ones together, and best fit on them."""
+
+    def __init__(self, groups: Iterable[tuple[int, int, int]]):
+        self.by_room: dict[int, list[tuple[int, int]]] = {}
+        self.rooms: list[int] = []
+        for group in groups:
+            self.put(*group)
+
+    def put(self, room: int, first: int, n: int) -> None:
+        if room > 0:
+            if room not in self.by_room:
+                self.by_room[room] = []
+                bisect.insort(self.rooms, room)
+            self.by_room[room].append((first, n))
+
+    def fit(self, left: Mapping[int, int], capacity: int, sequences: int, take: Callable[[int, int, int, int], None]) -> int:
+        """Places what is ``left``, longest first, into the bins with the least room; gives the number of sequences."""
+        for length in sorted(left, reverse=True):
+            n = left[length]
+            while n > 0:
+                at = bisect.bisect_left(self.rooms, length)
+                if at == len(self.rooms):
+                    new = -(-n // (capacity // length))
+                    self.put(capacity, sequences, new)
+                    sequences += new
+                    continue
+                room = self.rooms[at]
+                first, bins = self.by_room[room].pop()
+                if not self.by_room[room]:
+                    del self.by_room[room]
+                    self.rooms.pop(at)
+                times = min(bins, n)
+                if times < bins:
+                    self.put(room, first + times, bins - times)
+                take(length, times, first, capacity - room)
+                self.put(room - length, first, times)
+                n -= times
+        return sequences
+
 
-    def __init__(self, counts: Mapping[int, int], capacity: int, steps: int = 700):
-        left = {x: n for x, n in sorted(counts.items()) if n}
-        total, used, rows, self.sequences = dict(left), dict.fromkeys(left, 0), [], 0
+#: (eta, share, slack) of the runs of the linear program, of which the better one is used.
+EFFORT = ((0.35, 1.0, 0.001), (6.0, 0.25, 0.05))
+#: The shares of the tokens that best fit may place at the end.
+TAILS = (0.0, 0.01, 0.03, 0.1, 0.2, 0.3)
+
+
+class Plan:
+    """Intervals of ranks per length and the sequences and offsets they go to. ``by_program`` is the number of pieces that
+    the linear program has placed, ``pieces`` that of all."""
+
+    def __init__(self, counts: Mapping[int, int], capacity: int, effort: tuple[tuple[float, float, float], ...] = EFFORT, tails: tuple[float, ...] = TAILS):
+        total = {x: n for x, n in sorted(counts.items()) if n}
+        tokens = sum(a * b for a, b in total.items())
+        best: tuple[int, list[tuple[dict[int, int], int]]] | None = None
+        for setting in effort:
+            solution = solve_configurations(total, capacity, *setting)
+            # full configurations first, so that the tail has those with room
+            solution.sort(key=lambda x: sum(a * b for a, b in x[0].items()), reverse=True)
+            for tail in tails:
+                rest, cut = tokens, len(solution)
+                for i, (found, times) in enumerate(solution):
+                    if rest <= tail * tokens:
+                        cut = i
+                        break
+                    rest -= times * sum(a * b for a, b in found.items())
+                n = self._count(total, capacity, solution[:cut])
+                if best is None or n < best[0]:
+                    best = n, solution[:cut]
+        left, used, rows, groups, self.sequences = dict(total), dict.fromkeys(total, 0), [], [], 0
 
         def take(length: int, n: int, first: int, offset: int) -> None:
             rows.append((length, used[length], first, offset))
             used[length] += n
             left[length] -= n
 
-        groups: list[tuple[int, int, int]] = []  # (room, first sequence, number) of bins that aren't full
-        merged: dict[tuple, float] = {}
-        for found, amount in solve_configurations(left, capacity, steps):
+        merged: dict[tuple, int] = {}
+        for found, times in best[1] if best else ():
             key = tuple(sorted(found.items(), reverse=True))
-            merged[key] = merged.get(key, 0.0) + amount
-        # rounding: down, and only configurations as full as any can be; what they leave fits better among the rest
-        fullest = max((sum(a * b for a, b in key) for key in merged), default=0)
-        for key, amount in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
-            if sum(a * b for a, b in key) < fullest:
-                continue
-            times = min([int(np.floor(amount + 1e-9)), *(left[length] // k for length, k in key)])
-            if times > 0:
-                offset = 0
-                for length, k in key:
-                    for _ in range(k):
-                        take(length, times, self.sequences, offset)
-                        offset += length
-                if offset < capacity:
-                    groups.append((capacity - offset, self.sequences, times))
-                self.sequences += times
-        # the rest: longest first into the bins with the least room, equal bins together
-        by_room: dict[int, list[tuple[int, int]]] = {}
-        for room, first, n in groups:
-            by_room.setdefault(room, []).append((first, n))
-        rooms = sorted(by_room)
-        def put(room: int, first: int, n: int) -> None:
-            if room > 0:
-                if room not in by_room:
-                    by_room[room] = []
-                    bisect.insort(rooms, room)
-                by_room[room].append((first, n))
-
-        for length in sorted(left, reverse=True):
-            while left[length] > 0:
-                at = bisect.bisect_left(rooms, length)
-                if at == len(rooms):
-                    fit = capacity // length
-                    n = -(-left[length] // fit)
-                    put(capacity, self.sequences, n)
-                    self.sequences += n
-                    continue
-                room = rooms[at]
-                first, n = by_room[room].pop()
-                if not by_room[room]:
-                    del by_room[room]
-                    rooms.pop(at)
-                times = min(n, left[length])
-                if times < n:
-                    put(room, first + times, n - times)
-                take(length, times, first, capacity - room)
-                put(room - length, first, times)
+            merged[key] = merged.get(key, 0) + times
+        for key, times in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
+            offset = 0
+            for length, k in key:
+                for _ in range(k):
+                    take(length, times, self.sequences, offset)
+                    offset += length
+            groups.append((capacity - offset, self.sequences, times))
+            self.sequences += times
+        self.pieces, self.by_program = sum(total.values()), sum(used.values())
+        self.sequences = _Bins(groups).fit(dict(left), capacity, self.sequences, take)
         assert used == total
         rows.sort()
         table = np.array(rows, np.int64).reshape(-1, 4)
         self.length, self.rank, self.first, self.offset = (np.ascontiguousarray(table[:, i]) for i in range(4))
 
+    @staticmethod
+    def _count(total: Mapping[int, int], capacity: int, chosen: list[tuple[dict[int, int], int]]) -> int:
+        left, groups, n = dict(total), [], 0
+        for found, times in chosen:
+            for x, k in found.items():
+                left[x] -= k * times
+            groups.append((capacity - sum(a * b for a, b in found.items()), n, times))
+            n += times
+        return _Bins(groups).fit(left, capacity, n, lambda *_: None)
+
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, offset) of the pieces with these lengths and ranks."""
         key = self.length << 44 | self.rank
@@ -274,25 +327,27 @@ class Plan:
 # --------------------------------------------------------------------------- the operator
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, steps: int = 700, digests: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pieces, places). pieces has a row per piece with its token ids: doc_id, piece, start, length, ids (little-
-    endian 32-bit). places has doc_id, piece, start, length, sequence_id and offset of each, and the columns of
-    ``digests``, expressions over pieces that are carried along.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, digests: Mapping[str, Column] | None = None, keep_ids: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """(pieces, places). pieces has a row per piece with its token ids: row (a number of its own), doc_id, piece, start,
+    length, ids (little-endian 32-bit); with ``keep_ids=False`` the ids are not written and pieces is None. places has row,
+    doc_id, piece, start, length, sequence_id and offset of each, and the columns of ``digests``, expressions over pieces
+    that are carried along.
 
     Each document's ids are those of its text and then ``end_id``; documents of more than ``capacity`` tokens are cut
     into pieces of which only the first may be shorter.
 
     Defined cases: null and empty texts have the end id only; rows with null or repeated ids are packed each on their
-    own; an empty table gives empty tables; other columns are ignored.
+    own; ties in length are packed in any order; an empty table gives empty tables; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = scratch.put(token_pieces(id_and_text(docs, id_col, text_col), tokenizer, capacity, end_id), "pieces", compression="zstd")
+    made = token_pieces(id_and_text(docs, id_col, text_col), tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id())
+    pieces = scratch.put(made, "pieces", compression="zstd") if keep_ids else None
     carried = dict(digests or {})
-    meta = scratch.put(pieces.select("doc_id", "piece", "start", "length", *(c.alias(n) for n, c in carried.items())), "meta")
+    meta = scratch.put((made if pieces is None else pieces).select("row", "doc_id", "piece", "start", "length", *(c.alias(n) for n, c in carried.items())), "meta")
 
     counts = {int(r[0]): int(r[1]) for r in meta.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    plan = Plan(counts, capacity, steps)
+    plan = Plan(counts, capacity)
     # ranks within a length: cells of bounded size, numbered one after the other
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cell = max(1, sum(counts.values()) // (4 * partitions))
@@ -300,15 +355,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     for length, n in counts.items():
         parts[length] = -(-n // cell)
     spread = F.element_at(F.lit(parts.tolist()), F.col("length") + 1)
-    meta = meta.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), spread).cast("int"))
+    meta = meta.withColumn("_cell", F.pmod(F.xxhash64("row"), spread).cast("int"))
     cells = sorted((int(r[0]), int(r[1]), int(r[2])) for r in meta.groupBy("length", "_cell").count().collect())  # at most capacity + 4 * partitions
     base = np.cumsum(parts) - parts
     before = np.zeros(int(parts.sum()), np.int64)
     for (length, c, _), n in zip(cells, _offsets(cells)):
         before[base[length] + c] = n
-    ranked = meta.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "start")) - 1)
+    ranked = meta.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_cell").orderBy("row")) - 1)
     held = spark.sparkContext.broadcast((plan, base, before))
-    names = ["doc_id", "piece", "start", "length", *carried]
+    names = ["row", "doc_id", "piece", "start", "length", *carried]
 
     def place(batches):
         plan, base, before = held.value
@@ -334,6 +389,6 @@ def _offsets(cells: Iterable[tuple[int, int, int]]) -> list[int]:
 
 def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
     """(sequence_id, ids): the packed sequences themselves. A sequence has at most ``capacity`` pieces."""
-    joined = places.join(pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
+    joined = places.join(pieces.select("row", "ids"), "row")
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return joined.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))

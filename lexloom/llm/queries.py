@@ -82,7 +82,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, places = pack(table(spark, sf_dir, "documents"), digests={"ids_crc32": F.crc32("ids")})
+    _, places = pack(table(spark, sf_dir, "documents"), digests={"ids_crc32": F.crc32("ids")}, keep_ids=False)
     return places.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 

@@ -18,7 +18,7 @@ from lexloom.llm.language import identify
 from lexloom.llm.line_dedup import LineRuns, dedup_lines, sorted_scans
 from lexloom.llm.lm_score import cross_entropy_difference
 from lexloom.llm.near_dup import connected_components, drop_near_duplicates, near_duplicates
-from lexloom.llm.packing import Encoder, Plan, default_tokenizer, pack, sequences
+from lexloom.llm.packing import Encoder, Plan, _Bins, default_tokenizer, knapsack, pack, sequences
 from lexloom.llm.reputation import UrlRule, judge_urls, url_host, url_path
 from lexloom.llm.rules import RULES, keep_quality, quality_rules
 from lexloom.llm.site_quality import classify
@@ -314,8 +314,40 @@ def test_plan_of_large_histograms():
     assert max(used.values()) <= 2048 and len(used) == plan.sequences
 
 
+def best_fit(counts, capacity):
+    return _Bins([]).fit(dict(counts), capacity, 0, lambda *_: None)
+
+
+def test_the_program_decides(spark):
+    """Configurations place most pieces; they need no more sequences than best fit on the data, and fewer on lengths that
+    best fit packs badly."""
+    rows = pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), keep_ids=False)[1].groupBy("length").count().collect()
+    counts = {r[0]: r[1] for r in rows}
+    rng = np.random.default_rng(0)
+    hard = {"few lengths": {700: 900, 600: 500, 450: 400, 1100: 300}, "middle": collections.Counter(rng.integers(500, 900, 3000).tolist())}
+    over = {683 + i: 60 for i in range(30)} | {342 + i: 60 for i in range(20)} | {1025 + i: 25 for i in range(60)}
+    for name, c in {"data": counts, "33 times": {a: 33 * b for a, b in counts.items()}, "over halves and thirds": over, "around them": {1000: 300, 1030: 250, 690: 600, 660: 500, 340: 300}, **hard}.items():
+        plan = Plan(c, 2048)
+        assert plan.by_program > 0.6 * plan.pieces, name
+        assert plan.sequences <= best_fit(c, 2048) - (name in hard), name
+
+
+def test_knapsack_matches_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        capacity = int(rng.integers(5, 25))
+        lengths = np.unique(rng.integers(1, capacity + 1, 5))
+        values = np.zeros(capacity + 1)
+        values[lengths] = rng.random(len(lengths))
+        want = [0.0] * (capacity + 1)
+        for room in range(1, capacity + 1):
+            want[room] = max([want[room - 1], *(values[x] + want[room - x] for x in lengths if x <= room)])
+        assert knapsack(values, lengths, capacity)[0] == pytest.approx(want)
+
+
 def test_packing_of_odd_rows(spark):
-    _, places = pack(odd(spark), capacity=64, steps=50)
+    pieces, places = pack(odd(spark), capacity=64)
+    assert sequences(pieces, places).agg(F.sum(F.octet_length("ids"))).first()[0] == 4 * places.agg(F.sum("length")).first()[0]
     assert places.select("doc_id").distinct().count() == 8 and places.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 64
     assert pack(empty(spark))[1].count() == 0
 
