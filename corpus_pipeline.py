@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per token piece with its place in the packed sequences."""
-    _, places = pack(docs, digests={"ids_crc32": F.crc32("ids")})
+    _, places = pack(docs, digests={"ids_crc32": F.crc32("ids")}, keep_ids=False)
     return places.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
