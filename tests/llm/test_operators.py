@@ -499,37 +499,49 @@ def test_quality_of_odd_rows(spark):
     assert classify(empty(spark), labels).count() == 0
 
 
-def brute_losses(texts, target, order=3, strength=8.0):
-    counts = [collections.Counter(), collections.Counter()]
-    ctx = [collections.Counter(), collections.Counter()]
-    for t, on in zip(texts, target):
-        raw = b"\0" * order + t.encode()
-        for i in range(order, len(raw)):
-            for n in range(1, order + 1):
-                counts[on][raw[i - n + 1 : i + 1]] += 1
-                ctx[on][n, raw[i - n + 1 : i]] += 1
-    scale = ctx[1][1, b""] / ctx[0][1, b""]
-
-    def p(on, gram):
+def brute_losses(texts, target, folds, order=3, strength=8.0):
+    """Per text the losses in the target and the background model of the other fold."""
+    out = []
+    models = []
+    for fold in (0, 1):
+        counts = [collections.Counter(), collections.Counter()]
+        ctx = [collections.Counter(), collections.Counter()]
+        for t, on, f in zip(texts, target, folds):
+            raw = b"\0" * order + t.encode()
+            for i in range(order, len(raw) if f == fold else 0):
+                for n in range(1, order + 1):
+                    counts[on][raw[i - n + 1 : i + 1]] += 1
+                    ctx[on][n, raw[i - n + 1 : i]] += 1
+        total = ctx[1][1, b""]
+        models.append((counts, ctx, total / max(1, ctx[0][1, b""]) if total else 1.0))
+
+    def p(model, on, gram):
         if not gram:
             return 1 / 256
+        counts, ctx, scale = model
         s = 1 if on else scale
-        return (counts[on][gram] * s + strength * p(on, gram[1:])) / (ctx[on][len(gram), gram[:-1]] * s + strength)
+        return (counts[on][gram] * s + strength * p(model, on, gram[1:])) / (ctx[on][len(gram), gram[:-1]] * s + strength)
 
-    out = []
-    for t in texts:
+    for t, f in zip(texts, folds):
         raw = b"\0" * order + t.encode()
-        out.append([np.mean([-np.log2(p(on, raw[i - order + 1 : i + 1])) for i in range(order, len(raw))]) if t else 0.0 for on in (1, 0)])
+        out.append([np.mean([-np.log2(p(models[1 - f], on, raw[i - order + 1 : i + 1])) for i in range(order, len(raw))]) if t else 0.0 for on in (1, 0)])
     return out
 
 
-def test_losses_match_brute_force(spark):
-    texts = ["the cat sat on the mat", "a dog! a dog! été", "", "the mat sat", "zzzz zz z"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in cross_entropy_difference(docs, docs.where("doc_id in (0, 3)"), order=3, block_bytes=20).collect()}
-    for i, (t, b) in enumerate(brute_losses(texts, [1, 0, 0, 1, 0])):
-        assert got[i].target_loss == pytest.approx(t, abs=1e-4) and got[i].background_loss == pytest.approx(b, abs=1e-4)
-        assert got[i].score == pytest.approx(t - b, abs=2e-4) and got[i].n_tokens == len(texts[i].encode())
+@pytest.mark.parametrize("block_bytes", [16 << 20, 20])
+def test_losses_match_brute_force(spark, block_bytes):
+    """The second size makes many blocks, of which that of the repeated id is split by text and into parts."""
+    rows = list(enumerate(["the cat sat on the mat", "a dog! a dog! été", "", "the mat sat", "zzzz zz z", "the dog sat", "a cat", "mat the"])) + [(9, "the same row again")] * 12 + [(9, f"other text {i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    chosen = [0, 3, 5, 6]
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("f")).distinct().collect()}
+    assert {folds[i] for i in chosen} == {0, 1}
+    got = cross_entropy_difference(docs, docs.where(F.col("doc_id").isin(chosen)), order=3, block_bytes=block_bytes).collect()
+    want = brute_losses([t for _, t in rows], [i in chosen for i, _ in rows], [folds[i] for i, _ in rows])
+    want = sorted((i, len(t.encode()), round(a, 3), round(b, 3)) for (i, t), (a, b) in zip(rows, want))
+    found = sorted((r.doc_id, r.n_tokens, round(r.target_loss, 3), round(r.background_loss, 3)) for r in got)
+    assert len(found) == len(want) and np.array(found) == pytest.approx(np.array(want), abs=2e-3)
+    assert all(r.score == pytest.approx(r.target_loss - r.background_loss) for r in got)
 
 
 def test_losses_of_odd_rows(spark):
