@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import SPACE, Block, Scratch, _table, bounded_sample, span_hashes, text_blocks
+from .kit import SPACE, Block, Scratch, _table, bounded_sample, quoted, span_hashes, text_blocks
 
 _BITS = 20
 _UPPER = _table(bytes(range(65, 91)))
@@ -37,11 +37,9 @@ def measures(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     size = np.maximum(block.end - block.start, 1)
     letters = np.maximum(block.per_text(_LETTER[block.data]), 1)
     lower = Block(column, lower=True)
-    # punctuation and symbols at the end of a word are not part of it
-    tail = ends.copy()
-    for _ in range(3):
-        shorter = (tail - starts > 1) & (_STOP | _SYMBOL)[lower.data[tail - 1]]
-        tail[shorter] -= 1
+    # punctuation and symbols at the end of a word are not part of it, unless it has nothing else
+    solid = np.maximum.accumulate(np.where((_STOP | _SYMBOL)[lower.data], -1, np.arange(len(lower.data))))
+    tail = np.maximum(starts + 1, solid[ends - 1] + 1) if len(ends) else ends
     hashed = (span_hashes(lower.data, starts, tail) >> np.uint64(64 - _BITS)).astype(np.int64)
     owner = block.owner(starts)
     keys = np.unique(owner << _BITS | hashed)
@@ -93,8 +91,9 @@ def worst_word(lexicon: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return np.array([lexicon[w].max() if len(w) else 0.0 for w in words])
 
 
-def fit_logistic(dense: np.ndarray, words: list[np.ndarray], good: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Logistic:
-    """Full-batch Adam on the driver, classes weighted alike."""
+def fit_logistic(dense: np.ndarray, words: list[np.ndarray], good: np.ndarray, steps: int = 500, rate: float = 0.1, decay: float = 2e-4) -> Logistic:
+    """Full-batch Adam on the driver, classes weighted alike. The steps are a fixed number: the loss is flat long before rare
+    bad words have their weights, so it is no sign to stop at."""
     # the lexicon that a training document is seen with comes from the other half, as for documents never seen
     half = np.arange(len(words)) % 2 == 0
     worst = np.zeros(len(words))
@@ -128,13 +127,16 @@ def fit_logistic(dense: np.ndarray, words: list[np.ndarray], good: np.ndarray, s
 
 
 def _strength(groups: DataFrame, least: float = 2.0, most: float = 500.0) -> float:
-    """The worth of a level's prior in documents, from the spread of its groups (n, s, prior)."""
-    p = F.col("prior")
-    r = groups.agg(F.sum(F.pow(F.col("s") - F.col("n") * p, 2)), F.sum(F.col("n") * p * (1 - p)), F.sum(F.col("n") * (F.col("n") - 1) * p * (1 - p))).first()
-    if not r[2] or r[2] <= 0:
+    """The worth of a level's prior in documents: the variance of shares within groups over that of the groups' rates.
+    groups has n, s and q (number, sum and sum of squares of the shares) and prior. Shares may be outcomes or probabilities, so
+    their variance is taken from the data."""
+    n, s, p = F.col("n"), F.col("s"), F.col("prior")
+    r = groups.agg(F.sum(F.col("q") - s * s / n), F.sum(n - 1), F.sum(F.pow(s - n * p, 2)), F.sum(n), F.sum(n.cast("double") * n)).first()
+    if not r[1] or not r[4]:
         return most
-    rho = max(1e-6, (r[0] - r[1]) / r[2])
-    return min(most, max(least, 1 / rho - 1))
+    within = max(1e-9, r[0] / r[1])
+    between = max(1e-9, (r[2] - within * r[3]) / r[4])
+    return min(most, max(least, within / between))
 
 
 def _logit(p: Column) -> Column:
@@ -156,7 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (host if host is not None else F.lit(None)).cast("string").alias("host"), (path if path is not None else F.lit(None)).cast("string").alias("path"))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), (host if host is not None else F.lit(None)).cast("string").alias("host"), (path if path is not None else F.lit(None)).cast("string").alias("path"))
     truth = scratch.put(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("good").cast("boolean").alias("good")).where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good")), "truth")
     seen = truth.agg(F.count("*"), F.sum(F.col("good").cast("long"))).first()
     known = ((seen[1] or 0) + 1) / (seen[0] + 2)  # the share of good documents among labelled ones
@@ -176,8 +178,8 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     scored = scored.join(truth, "doc_id", "left").select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "evidence", F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.col("evidence") - _logit(F.lit(known))))).alias("share"))
     scored = scratch.put(scored, "shares")
 
-    by_path = scratch.put(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("share").alias("s")), "paths")
-    by_host = by_path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    by_path = scratch.put(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("share").alias("s"), F.sum(F.col("share") * F.col("share")).alias("q")), "paths")
+    by_host = by_path.groupBy("host").agg(*(F.sum(x).alias(x) for x in "nsq"))
     total = by_host.agg(F.sum("n"), F.sum("s")).first()
     rate = ((total[1] or 0.0) + 1) / ((total[0] or 0) + 2)
     by_host = by_host.withColumn("prior", F.lit(rate))
@@ -192,6 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     odds = F.col("evidence") + _logit(F.col("site_posterior"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     kept = F.col("posterior") >= threshold if model else F.lit(True)
+    scratch.keep("shares", "priors")
     return out.select("doc_id", "host", "path", "evidence", "site_posterior", "posterior", kept.alias("kept"))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import kit, language, queries, substring_dedup
+from lexloom.llm import kit, language, queries, site_quality, substring_dedup
 from lexloom.llm.decontaminate import align, contamination, drop_contaminated, normal_form
 from lexloom.llm.language import identify
 from lexloom.llm.line_dedup import LineRuns, dedup_lines, sorted_scans
@@ -492,6 +492,63 @@ def test_quality_on_held_out_documents(spark):
     assert sum(good) / len(good) > 0.9 and sum(bad) / len(bad) > 0.9
 
 
+def brute_posteriors(rows, truth, known):
+    """Posteriors of rows (doc_id, host, path, evidence) from their definition; truth: id -> good."""
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    share = [float(truth[d]) if d in truth else 1 / (1 + np.exp(-e - logit(known))) for d, _, _, e in rows]
+    by_path, by_host = collections.defaultdict(list), collections.defaultdict(list)
+    for (_, h, p, _), x in zip(rows, share):
+        by_path[h, p].append(x)
+        by_host[h].append(x)
+
+    def strength(groups, prior):
+        within = sum(sum((x - np.mean(v)) ** 2 for x in v) for v in groups.values()) / sum(len(v) - 1 for v in groups.values())
+        between = (sum((sum(v) - len(v) * prior[k]) ** 2 for k, v in groups.items()) - within * len(rows)) / sum(len(v) ** 2 for v in groups.values())
+        return min(500, max(2, max(1e-9, within) / max(1e-9, between)))
+
+    rate = (sum(share) + 1) / (len(share) + 2)
+    k = strength(by_host, dict.fromkeys(by_host, rate))
+    hosts = {h: (sum(v) + k * rate) / (len(v) + k) for h, v in by_host.items()}
+    prior = {(h, p): hosts[h] for h, p in by_path}
+    k = strength(by_path, prior)
+    site = [(sum(by_path[h, p]) - x + k * prior[h, p]) / (len(by_path[h, p]) - 1 + k) for (_, h, p, _), x in zip(rows, share)]
+    return [(s, 1 / (1 + np.exp(-e - logit(s)))) for s, (_, _, _, e) in zip(site, rows)]
+
+
+def test_quality_matches_brute_force(spark):
+    """Site and document posteriors, with sites given for some documents."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), queries.good_labels(spark, SF)
+    sites = docs.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("h"), (F.col("doc_id") % 7).cast("string")).alias("host"), F.when(F.col("doc_id") % 2 == 0, "p").alias("path"))
+    got = classify(docs, labels, sites, host=F.col("source"), path=F.col("lang")).collect()
+    given = {r.doc_id: (r.host, r.path) for r in sites.collect()}
+    own = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+    assert all((r.host, r.path) == tuple(x or "" for x in given.get(r.doc_id, own[r.doc_id])) for r in got)
+    truth = {r.doc_id: r.good for r in labels.collect()}
+    rows = [(r.doc_id, r.host, r.path, r.evidence) for r in got]
+    want = brute_posteriors(rows, truth, (sum(truth.values()) + 1) / (len(truth) + 2))
+    assert [(r.site_posterior, r.posterior) for r in got] == [pytest.approx(w, abs=1e-9) for w in want]
+    assert all(r.kept == (r.posterior >= 0.5) for r in got)
+
+
+def test_words_lose_all_marks_at_their_end():
+    import pyarrow as pa
+
+    _, words = site_quality.measures(pa.array(["end", "end......", "(end,;:!?.", "end*?.", "....", "."]))
+    assert words[0].tolist() == words[1].tolist() == words[3].tolist() != words[2].tolist() and words[4].tolist() == words[5].tolist()
+
+
+def test_quality_of_odd_rows_with_both_classes(spark):
+    """The fitted model meets null, empty, repeated and very long texts."""
+    learn = [(100 + i, "good words in a row of prose here" if i % 2 else "$$ ## @@ 77 %% ** &&") for i in range(40)]
+    docs = spark.createDataFrame([*ODD, *learn], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, i % 2 == 1) for i, _ in learn), (5, False), (6, True), (4, None), (None, False)], "doc_id long, good boolean")
+    sites = spark.createDataFrame([(5, "h", None), (None, "h", "p"), (101, "h", "p"), (101, "g", "q")], "doc_id long, host string, path string")
+    rows = classify(docs, labels, sites).collect()
+    assert len(rows) == len(ODD) + len(learn) and all(np.isfinite(r.posterior) for r in rows)
+    kept = {r.doc_id: r.kept for r in rows}
+    assert kept[101] and not kept[100] and {r.host for r in rows if r.doc_id == 101} == {"g"}
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, True), (None, True), (5, None)], "doc_id long, good boolean")
     rows = classify(odd(spark), labels, host=F.col("n_words")).collect()
