@@ -13,7 +13,7 @@ from .line_dedup import dedup_lines
 from .lm_score import cross_entropy_difference
 from .near_dup import near_duplicates
 from .packing import pack
-from .reputation import UrlRule, judge_urls, url_host, url_path
+from .reputation import TWO_LABEL_SUFFIXES, UrlRule, judge_urls, url_host, url_path
 from .rules import quality_rules
 from .site_quality import classify
 from .substring_dedup import repeated_passages
@@ -97,7 +97,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+_SUFFIXES = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+
 ORACLE_SQL = {
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, v FROM reach JOIN both_ways ON b = u),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c ON d.doc_id = a LEFT JOIN n ON d.doc_id = n.doc_id""",
     "op4_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
         g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
@@ -139,8 +151,8 @@ ORACLE_SQL = {
         lab AS (SELECT h.host, CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0.0 END AS good FROM h JOIN labels ON TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})/?$', 1), '') AS BIGINT) = labels.doc_id),
         base AS (
             SELECT a.host, coalesce(n, 0.0) AS n, coalesce(s, 0.0) AS s,
-                CASE WHEN regexp_extract(a.host, '([^.]+\.[^.]+)$', 1) <> '' THEN regexp_extract(a.host, '([^.]+\.[^.]+)$', 1) ELSE a.host END AS domain, regexp_extract(a.host, '([^.]*)$', 1) AS suffix
-            FROM (SELECT DISTINCT host FROM h) a LEFT JOIN (SELECT host, CAST(count(*) AS DOUBLE) AS n, sum(good) AS s FROM lab GROUP BY host) b USING (host)
+                CASE WHEN two IN (""" + _SUFFIXES + r""") AND three <> '' THEN three WHEN two <> '' THEN two ELSE a.host END AS domain, CASE WHEN two IN (""" + _SUFFIXES + r""") THEN two ELSE regexp_extract(a.host, '([^.]*)$', 1) END AS suffix
+            FROM (SELECT DISTINCT host, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS two, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS three FROM h) a LEFT JOIN (SELECT host, CAST(count(*) AS DOUBLE) AS n, sum(good) AS s FROM lab GROUP BY host) b USING (host)
         ),
         g0 AS (SELECT (sum(s) + 1) / (sum(n) + 2) AS rate FROM base),
         s1 AS (SELECT suffix, sum(n) AS n, sum(s) AS s, any_value(rate) AS prior FROM base, g0 GROUP BY suffix),

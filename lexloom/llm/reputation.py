@@ -21,7 +21,8 @@ from .kit import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Suffixes of two labels under which names are registered; other hosts have a suffix of one label.
+# Common suffixes of two labels under which names are registered. The public suffix table has thousands and
+# is not shipped here; a user passes it as ``suffixes``. Hosts under none of them have a suffix of one label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 
 
@@ -56,15 +57,15 @@ def _rest(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
 
 
-def registered_domain(host: Column) -> Column:
+def registered_domain(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     three = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)
     two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES) & (three != ""), three).when(two != "", two).otherwise(host)
+    return F.when(two.isin(*suffixes) & (three != ""), three).when(two != "", two).otherwise(host)
 
 
 def _strength(groups: DataFrame, least: float, most: float) -> float:
@@ -77,10 +78,11 @@ def _strength(groups: DataFrame, least: float, most: float) -> float:
     return min(most, max(least, 1 / rho - 1))
 
 
-def reputations(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, least: float = 2.0, most: float = 200.0) -> DataFrame:
-    """(host, n, mean, lower, upper) for each of ``hosts`` (host). outcomes has host and good (boolean or 0/1)."""
+def reputations(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, least: float = 2.0, most: float = 200.0, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(host, n, mean, lower, upper) for each of ``hosts`` (host). outcomes has host and good (boolean or 0/1); ``suffixes`` are
+    those of two labels."""
     counts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("s"))
-    base = hosts.select("host").distinct().join(counts, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0)).alias("s"), registered_domain(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    base = hosts.select("host").distinct().join(counts, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0)).alias("s"), registered_domain(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"))
     base = Scratch(hosts.sparkSession, "hosts").put(base, "hosts")
     total = base.agg(F.sum("n"), F.sum("s")).first()
     rate = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
@@ -108,7 +110,7 @@ def fitting_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     return out
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """A row per row of ``pages``: its id, host, path, rule (or null), verdict (allow or block), reputation (posterior
     mean) and reputation_upper.
 
@@ -121,7 +123,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], id_c
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     parsed = pages.select(F.col(id_col).cast("long").alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    hosts = scratch.put(reputations(outcomes, parsed, z).select("host", F.col("mean").alias("reputation"), F.col("upper").alias("reputation_upper")), "reputations")
+    hosts = scratch.put(reputations(outcomes, parsed, z, suffixes=suffixes).select("host", F.col("mean").alias("reputation"), F.col("upper").alias("reputation_upper")), "reputations")
     found = parsed.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(hosts, "host", "left")
     by_host = F.when(F.col("reputation_upper") < threshold, F.lit("block")).otherwise(F.lit("allow"))
     return found.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_host).alias("verdict"), "reputation", "reputation_upper")

@@ -8,6 +8,7 @@ import subprocess
 import sys
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -817,3 +818,40 @@ def test_digest_columns(spark):
     rows = queries.op8_line_dedup(spark, SMALL).collect()
     want = brute_lines([tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()])
     assert {r.doc_id: r.kept_sha256 for r in rows} == {i: hashlib.sha256(t.encode()).hexdigest() for i, (_, _, t) in want.items()}
+
+
+# ------------------------------------------------------------------ SQL
+
+
+def plain_rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(str([round(r[i], 5) if isinstance(r[i], float) else r[i] for i in order]) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    got = queries.queries()[name](spark, SMALL)
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert plain_rows(got.columns, got.collect()) == plain_rows(names, want.fetchall())
+
+
+def test_urls_of_two_label_suffixes_match_the_sql(spark, tmp_path):
+    rng = np.random.default_rng(31)
+    hosts = ["a.co.uk", "b.co.uk", "www.b.co.uk", "co.uk", "uk", "x.org.uk", "y.com.au", "z.y.com.au", "q.example.com", "example.com", "bad.net", "a.bad.net"]
+    pages = [(i, f"http://{hosts[int(rng.integers(0, len(hosts)))]}/p/{i}") for i in range(400)]
+    labels = [(i, int(rng.random() < (0.1 if "bad" in u or "co.uk" in u else 0.9)), 0) for i, u in pages if i % 2]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.op5_url_filter(spark, str(tmp_path))
+    want = con.execute(queries.ORACLE_SQL["op5_url_filter"])
+    names = [c[0] for c in want.description]
+    rows = got.collect()
+    assert plain_rows(got.columns, rows) == plain_rows(names, want.fetchall()) and {r.verdict for r in rows} == {"allow", "block"}
