@@ -14,7 +14,6 @@ def pbinom(k: Column, n: Column, p: float, lower: bool = True) -> Column:
     does not underflow."""
     q = F.lit(p / (1 - p))
     first = F.struct((n * F.log(F.lit(1 - p))).alias("t"), F.lit(0.0).alias("s"))
-    # the sum is kept relative to exp(-700) blocks by adding exponentials of logarithms
     cdf = F.aggregate(
         F.sequence(F.lit(0).cast("long"), F.greatest(k.cast("long"), F.lit(0).cast("long"))),
         first,
@@ -44,9 +43,28 @@ def bootstrap_test(df: DataFrame, value: str, est: str, by: list[str]) -> DataFr
     return out.withColumn("p_boot_unsure", F.when(F.col("p_hi") != F.col("p_lo"), unsure))
 
 
-def quantiles(column: str, ps: dict[str, float]) -> list[Column]:
-    """Exact quantiles with linear interpolation (type 7)."""
-    return [F.percentile(column, p).alias(name) for name, p in ps.items()]
+def grouped_quantiles(df: DataFrame, by: list[str], column: str, ps: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (type 7) per group, without a group's values in one place: counts per
+    value, a distributed sort of these, and the offsets of its partitions. Nulls are left out."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    placed = Scratch(df.sparkSession, "quantiles").put(counts.orderBy(*by, column).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    before, total = [F.lit(-1).cast("long"), F.lit(0).cast("long")], 0
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.sum("_n")).collect()):  # a row per partition
+        before += [F.lit(p).cast("long"), F.lit(total).cast("long")]
+        total += n
+    w = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.withColumn("_p", part).withColumn("_end", F.element_at(F.create_map(*before), F.col("_p")) + F.sum("_n").over(w))
+    groups = ends.groupBy(*by).agg(F.sum("_n").alias("_all"), F.min(F.col("_end") - F.col("_n")).alias("_first"))
+    ends = ends.join(groups, by) if by else ends.crossJoin(F.broadcast(groups))
+    end = F.col("_end") - F.col("_first")
+    out = []
+    for name, p in ps.items():
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        low, high = (F.max(F.when((end - F.col("_n") <= i) & (i < end), F.col(column).cast("double"))) for i in (F.floor(at), F.ceil(at)))
+        share = F.max(at - F.floor(at))
+        out.append((low + (high - low) * share).alias(name))
+    return ends.groupBy(*by).agg(*out)
 
 
 def standard_error(column: str) -> Column:

@@ -61,7 +61,8 @@ def clean_utterance(text: Column, rules: Sequence[tuple[str, str, bool]] = TRANS
 
 
 def drop_punctuation_tokens(words: Column) -> Column:
-    return F.filter(words, lambda w: ~w.rlike(r"^\p{Punct}*$"))
+    """Without words that are only punctuation or only white space."""
+    return F.filter(words, lambda w: ~w.rlike(r"^(\p{Punct}*|\s*)$"))
 
 
 def n_syllables(phon: Column) -> Column:
@@ -119,6 +120,11 @@ def percent_repair(v: Column) -> Column:
     return F.when(v < 1, v * 100).otherwise(v)
 
 
+def smoothed_share(x: Column, total: Column, prior: float, n: int) -> Column:
+    """(x + prior) / (total + n * prior): the share of one of n categories under an even prior."""
+    return (x + prior) / (total + n * prior)
+
+
 def file_parts(utt: Column) -> dict[str, Column]:
     """child, age in weeks and number of an id like 'ab12.cha_7'; null where it has no such form."""
     form = r"^([a-z]{2})([0-9]{2})\.cha_([0-9]+)$"

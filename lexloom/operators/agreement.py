@@ -109,3 +109,11 @@ def multiple_response_bootstrap(wide: DataFrame, left: list[str], right: list[st
             yield pd.DataFrame({"iter": pdf["iter"], "statistic": out})
 
     return spark.range(iters).withColumnRenamed("id", "iter").mapInPandas(draw, "iter long, statistic double")
+
+
+def multiple_response_test(wide: DataFrame, left: list[str], right: list[str], iters: int = 200, seed: int = 1) -> DataFrame:
+    """One row: statistic, n, iters and p_value, the share of draws under independence that reach the statistic."""
+    seen = multiple_response_statistic(wide, left, right)
+    drawn = multiple_response_bootstrap(wide, left, right, iters, seed).withColumnRenamed("statistic", "_drawn")
+    both = drawn.crossJoin(F.broadcast(seen))  # one row
+    return both.groupBy("statistic", "n").agg(F.count("*").alias("iters"), F.avg((F.col("_drawn") >= F.col("statistic")).cast("double")).alias("p_value"))

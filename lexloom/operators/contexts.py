@@ -19,6 +19,23 @@ def to_wide(long: DataFrame, keys: list[str], contexts: list[str], name: str = "
     return out.fillna(fill, contexts) if fill is not None else out
 
 
+def with_prefix(wide: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """The keys and the columns whose names begin with ``prefix``."""
+    return wide.select(*keys, *(c for c in wide.columns if c.startswith(prefix) and c not in keys))
+
+
+def known_columns(wide: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``names`` that there are, in that order; unknown names are passed over."""
+    return wide.select(*(c for c in names if c in wide.columns))
+
+
+def drop_empty_columns(wide: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Without the columns that have nothing but nulls; one pass counts them all."""
+    columns = columns or wide.columns
+    filled = wide.agg(*(F.count(c).alias(c) for c in columns)).first()
+    return wide.select(*(c for c in wide.columns if c not in columns or filled[c]))
+
+
 def binarise(value: Column) -> Column:
     """1 above 0, else 0; null stays null."""
     return F.when(value.isNull(), None).when(value > 0, 1).otherwise(0)

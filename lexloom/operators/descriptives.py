@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.functions.stats import standard_error
+
 
 def describe(tokens: DataFrame, by: list[str], unit: list[str], token: str) -> DataFrame:
     """Per context: utterances, tokens, types, type-token ratio, the most frequent token (ties: smallest) and its
@@ -34,8 +36,21 @@ def top_tokens(tokens: DataFrame, by: list[str], token: str, n: int = 3) -> Data
 
 
 def frequency_quantiles(tokens: DataFrame, by: list[str], token: str, ps: dict[str, float]) -> DataFrame:
+    """Quantiles of the token counts per group, and the least and largest count. Different counts are few."""
     freq = tokens.groupBy(*by, token).agg(F.count("*").alias("f"))
-    return freq.groupBy(*by).agg(*(F.percentile("f", p).alias(name) for name, p in ps.items()))
+    return freq.groupBy(*by).agg(F.min("f").alias("least"), *(F.percentile("f", p).alias(name) for name, p in ps.items()), F.max("f").alias("most"))
+
+
+def syllable_profile(tokens: DataFrame, dictionary: DataFrame, by: list[str], token: str) -> DataFrame:
+    """Per number of syllables (null: not in the dictionary; word, n_syl): types, total, mean, deviation and standard error
+    of the word frequencies."""
+    freq = tokens.groupBy(*by, token).agg(F.count("*").alias("f")).join(dictionary.select(F.col("word").alias(token), "n_syl"), token, "left")
+    return freq.groupBy(*by, "n_syl").agg(F.count("*").alias("n_types"), F.sum("f").alias("total"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("sd"), standard_error("f").alias("se"))
+
+
+def measure_means(tests: DataFrame, by: list[str], measures: list[str], value: str = "z_est", measure: str = "measure") -> DataFrame:
+    """The mean of ``value`` per group, a column per measure."""
+    return tests.groupBy(*by).pivot(measure, measures).agg(F.avg(value))
 
 
 def length_profile(tokens: DataFrame, unit: list[str]) -> DataFrame:
@@ -54,14 +69,17 @@ def coverage(tagged: DataFrame, keys: list[str], all_rows: DataFrame, name: str
     return per.agg(F.count("*").alias("elements"), share(F.col("n") == 0).alias("none"), share(F.col("n") == 1).alias("one"), share(F.col("n") == 2).alias("two"), share(F.col("n") >= 3).alias("more"))
 
 
-def keyword_frequency(tokens: DataFrame, words: DataFrame, token: str) -> DataFrame:
+def keyword_frequency(tokens: DataFrame, words: DataFrame, token: str, unit: list[str] | None = None, order: str | None = None) -> DataFrame:
     """Per context: total, mean and largest count of its keywords, and the most frequent one (ties: smallest).
-    Keywords that never occur count 0."""
-    freq = tokens.groupBy(token).agg(F.count("*").alias("f"))
-    counted = words.select("context", "word").distinct().join(freq, F.col("word") == F.col(token), "left").select("context", "word", F.coalesce("f", F.lit(0)).alias("f"))
-    w = Window.partitionBy("context").orderBy(F.col("f").desc(), "word")  # a context's keyword list
-    out = counted.withColumn("r", F.row_number().over(w))
-    return out.groupBy("context").agg(F.sum("f").alias("total"), F.avg("f").alias("mean"), F.max("f").alias("most"), F.max(F.when(F.col("r") == 1, F.col("word"))).alias("top_word"))
+    Keywords that never occur count 0. Keywords of two words, with a blank between them, are counted among the neighbours of
+    a ``unit`` in ``order``."""
+    counted = tokens.groupBy(F.col(token).alias("word")).agg(F.count("*").alias("f"))
+    if unit:
+        w = Window.partitionBy(*unit).orderBy(order)
+        pairs = tokens.select(F.concat_ws(" ", F.col(token), F.lead(token).over(w)).alias("word")).where(F.col("word").contains(" "))
+        counted = counted.union(pairs.groupBy("word").agg(F.count("*").alias("f")))
+    counted = words.select("context", "word").distinct().join(counted, "word", "left").select("context", "word", F.coalesce("f", F.lit(0)).alias("f"))
+    return counted.groupBy("context").agg(F.sum("f").alias("total"), F.avg("f").alias("mean"), F.max("f").alias("most"), F.min_by("word", F.struct(-F.col("f"), F.col("word"))).alias("top_word"))
 
 
 def median_split(df: DataFrame, n: str, out: str = "above_median") -> DataFrame:
@@ -83,6 +101,3 @@ def occurrence_counts(long: DataFrame, group: list[str], method: str, name: str,
     most = F.max("n").over(Window.partitionBy(method))  # contexts of a method
     return occurs.withColumn("most", most).select(method, name, "n", (F.col("n") == 1).alias("once"), (F.col("n") >= F.col("most") / 2).alias("common"), (F.col("n") == F.col("most")).alias("top"))
 
-
-def share_of(column: str, k: int) -> Column:
-    return F.avg((F.col(column) == k).cast("double"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.stats import global_rank
+from lexloom.scratch import Scratch
 
 
 def bigram_table(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -14,7 +15,8 @@ def bigram_table(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     The marginals are aggregates of the pair counts, not of the tokens, so tokens are shuffled once."""
     by = by or []
-    ab = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("ab"))
+    # written once, as the marginals, the total and the result all read it
+    ab = Scratch(pairs.sparkSession, "bigrams").put(pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("ab")), "ab")
     a1 = ab.groupBy(*by, "a").agg(F.sum("ab").alias("a1"))
     b2 = ab.groupBy(*by, "b").agg(F.sum("ab").alias("b2"))
     n = ab.groupBy(*by).agg(F.sum("ab").alias("n"))

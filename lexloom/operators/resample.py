@@ -3,10 +3,14 @@ number of partitions and come out the same again."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.functions.stats import global_rank
+
 
 def chance(*parts: Column | str) -> Column:
     """A hash in hexadecimal of the parts: its order is a random order."""
@@ -19,14 +23,42 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def permute(long: DataFrame, elements: DataFrame, keys: list[str], iters: int, seed: str = "s", name: str = "context", value: str = "value") -> DataFrame:
-    """(iter, keys, context, value): in each iteration every context's values are dealt to other elements, so that it
-    keeps its number of marks. Only marks are kept: a context with n marks goes to the n elements of least hash."""
-    marks = long.where(F.col(value) > 0).groupBy(name).agg(F.count("*").alias("_n"))
+    """(iter, keys, context, value): in each iteration every context's values are dealt to other elements. Cells that are
+    absent or 0 are the rest; all other values, null ones too, are dealt as they are: of a context with n of them the j-th
+    (in ``keys``) goes to the element with the j-th least hash.
+
+    Only hashes under a bound that n of them pass (by 10 standard deviations and 30) are sorted, all contexts and
+    iterations in one distributed sort."""
+    cells = long.where(F.col(value).isNull() | (F.col(value) != 0)).select(F.col(name), *keys, F.col(value))
+    marks = _rank_within(cells, [name], keys, "_r").select(name, "_r", value)
+    sizes = marks.groupBy(name).agg(F.count("*").alias("_n"))  # a row per context
+    total = elements.select(*keys).distinct().agg(F.count("*").alias("_all"))
     it = elements.sparkSession.range(iters).select(F.col("id").alias("iter"))
-    grid = elements.select(*keys).distinct().crossJoin(F.broadcast(it)).crossJoin(F.broadcast(marks))
-    order = chance(F.lit(seed), F.col("iter").cast("string"), F.col(name), *(F.col(k).cast("string") for k in keys))
-    w = Window.partitionBy("iter", name).orderBy(order, *keys)
-    return grid.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_n")).select("iter", *keys, name, F.lit(1).alias(value))
+    grid = elements.select(*keys).distinct().crossJoin(F.broadcast(it)).crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(total))
+    h = chance(F.lit(seed), F.col("iter").cast("string"), F.col(name), *(F.col(k).cast("string") for k in keys))
+    near = _least_hashes(grid.withColumn("_h", h), "_n", "_all")
+    ranked = _rank_within(near.select("iter", name, "_h", *keys, "_n"), ["iter", name], ["_h", *keys], "_r").where(F.col("_r") <= F.col("_n"))
+    return ranked.join(marks, [name, "_r"]).select("iter", *keys, name, value)
+
+
+def _least_hashes(df: DataFrame, n: str, total: str) -> DataFrame:
+    """Rows whose hash ``_h`` is under a bound that ``n`` of ``total`` pass, by 10 standard deviations and 30."""
+    bound = (F.col(n) + 10 * F.sqrt(F.col(n).cast("double")) + 30) / F.col(total)
+    return df.where(F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(16**13) <= bound)
+
+
+def _rank_within(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds 1..n in each of few groups, without bringing a group to one task."""
+    placed = global_rank(df, [F.col(c) for c in [*group, *order]], "_place")
+    first = placed.groupBy(*group).agg(F.min("_place").alias("_first"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])
+    first = first.select(*(F.col(g).alias(f"_g_{g}") for g in group), "_first")
+    return placed.join(F.broadcast(first), same).withColumn(out, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", *(f"_g_{g}" for g in group))
+
+
+def shuffled(df: DataFrame, keys: list[str], seed: str = "s", out: str = "place") -> DataFrame:
+    """Rows with their place in a random order."""
+    return global_rank(df.withColumn("_h", chance(F.lit(seed), *(F.col(k).cast("string") for k in keys))), [F.col("_h"), *map(F.col, keys)], out).drop("_h")
 
 
 def bernoulli(long: DataFrame, keys: list[str], seed: str = "s", name: str = "context", value: str = "value") -> DataFrame:
@@ -40,9 +72,10 @@ def contexts_by_size(elements: DataFrame, keys: list[str], sizes: int, least: in
     n = elements.select(*keys).distinct().agg(F.count("*").alias("_n"))
     step = (F.col("_n") - 2 * least) / max(1, sizes - 1)
     wanted = n.select(F.explode(F.sequence(F.lit(0), F.lit(sizes - 1))).alias("i"), "_n").select("i", F.floor(least + F.col("i") * step + 0.5).cast("long").alias("size"))
-    grid = elements.select(*keys).distinct().crossJoin(F.broadcast(wanted))
-    w = Window.partitionBy("i").orderBy(chance(F.lit(seed), F.col("i").cast("string"), *(F.col(k).cast("string") for k in keys)), *keys)
-    return grid.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("size")).select(*keys, "size")
+    grid = elements.select(*keys).distinct().crossJoin(F.broadcast(wanted)).crossJoin(F.broadcast(n))
+    h = chance(F.lit(seed), F.col("i").cast("string"), *(F.col(k).cast("string") for k in keys))
+    near = _least_hashes(grid.withColumn("_h", h), "size", "_n")
+    return _rank_within(near.select("i", "_h", *keys, "size"), ["i"], ["_h", *keys], "_r").where(F.col("_r") <= F.col("size")).select(*keys, "size")
 
 
 def sample_per_group(df: DataFrame, group: list[str], key: list[str], n: int, seed: str = "s") -> DataFrame:
@@ -76,42 +109,50 @@ def weighted_repetition(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.col(value) >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(value).cast("int"))))
 
 
-def hold_out(tokens: DataFrame, doc: list[str], order: str, docs_share: float = 0.1, tokens_share: float = 0.5, seed: str = "s") -> DataFrame:
+def hold_out(tokens: DataFrame, doc: list[str], order: list[str], docs_share: float = 0.1, tokens_share: float = 0.5, seed: str = "s") -> DataFrame:
     """Marks held-out tokens: half of the tokens of a tenth of the documents."""
     d = uniform(F.lit(seed), *(F.col(c).cast("string") for c in doc)) < docs_share
-    t = uniform(F.lit(seed + "t"), *(F.col(c).cast("string") for c in [*doc, order])) < tokens_share
+    t = uniform(F.lit(seed + "t"), *(F.col(c).cast("string") for c in [*doc, *order])) < tokens_share
     return tokens.withColumn("held_out", d & t)
 
 
-# Sounds of artificial syllables (20 onsets, 10 nuclei, 20 codas).
-ONSETS = ["b", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "y", "z", "ch", "sh"]
-NUCLEI = ["a", "e", "i", "o", "u", "ai", "ee", "oo", "ou", "ae"]
-CODAS = ["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "ch", "sh", "th", "ng", "dj", "zh"]
+# The consonants and vowels of artificial syllables, each of which is consonant, vowel, consonant.
+CONSONANTS = ["b", "c", "ch", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "sh", "t", "v", "w", "z"]
+VOWELS = ["a", "e", "i", "o", "u", "a1", "e1", "i1", "o1", "u1"]
 
 
-def make_corpus(spark: SparkSession, n_types: int = 1200, n_utts: int = 1000, skewed: bool = True, monosyllabic: bool = False, words_per_utt: int = 4, seed: str = "s") -> tuple[DataFrame, DataFrame]:
-    """(dictionary, utterances) of an artificial language. Words have 2, 3, 4 (or 1, 2, 3) syllables in turn, no syllable
-    is used twice; word frequencies are equal or fall with 1/rank; utterances have four words.
+def make_corpus(spark: SparkSession, n_types: int = 1200, n_utts: int = 1000, skewed: bool = True, monosyllabic: bool = False, shortest_first: bool = False, words_per_utt: int = 4, seed: str = "s") -> tuple[DataFrame, DataFrame]:
+    """(dictionary, utterances) of an artificial language. A third of the types each has 2, 3 and 4 (or 1, 2 and 3)
+    syllables, no syllable is used twice. Word frequencies are equal, or fall with 1/rank, rounded half to even; ranks are
+    shuffled, or in the order of making with ``shortest_first``. The words are spoken in random order, in utterances of
+    four words; if that leaves a remainder, the last utterances have one word less.
 
-    dictionary: word, phon, n_syl, freq. utterances: utt, phon."""
+    dictionary: word, phon, n_syl, freq (0 for words too rare to be spoken). utterances: utt, orth, phon."""
     sizes = [1, 2, 3] if monosyllabic else [2, 3, 4]
-    need = sum(sizes[i % 3] for i in range(n_types))
-    if need > len(ONSETS) * len(NUCLEI) * len(CODAS):
-        raise ValueError(f"{n_types} words need {need} syllables, there are {len(ONSETS) * len(NUCLEI) * len(CODAS)}")
-    parts = [spark.createDataFrame([(x,) for x in v], f"{n} string") for n, v in (("o", ONSETS), ("v", NUCLEI), ("c", CODAS))]
-    syl = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.concat("o", "v", "c").alias("syl"))
+    n = 3 * round(n_types / 3)
+    need, there = sum(sizes) * n // 3, len(CONSONANTS) ** 2 * len(VOWELS)
+    if need > there:
+        raise ValueError(f"{n} words need {need} syllables, there are {there}")
+    nc, nv = len(CONSONANTS), len(VOWELS)
+    part = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (F.floor(at) + 1).cast("int"))
+    syl = spark.range(0, there, 1, 1).select(F.concat(part(CONSONANTS, F.col("id") / (nv * nc)), part(VOWELS, F.col("id") / nc % nv), part(CONSONANTS, F.col("id") % nc)).alias("syl"))
     syl = syl.withColumn("at", F.row_number().over(Window.orderBy(chance(F.lit(seed), F.col("syl")), "syl")) - 1)  # 4000 rows
-    words = spark.range(n_types).select(F.col("id").alias("rank"), F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % 3 + 1).cast("int")).alias("n_syl"))
-    first = F.floor(F.col("rank") / 3) * sum(sizes) + F.element_at(F.array(*(F.lit(sum(sizes[:i])) for i in range(3))), (F.col("rank") % 3 + 1).cast("int"))
-    spread = words.withColumn("first", first).select("rank", "n_syl", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_syl") - 1)).alias("at"))
-    formed = spread.join(syl, "at").groupBy("rank", "n_syl").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "syl"))), lambda x: x["syl"]), "-").alias("phon"))
+    words = spark.range(0, n, 1, 1).select(F.col("id").alias("made"), F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % 3 + 1).cast("int")).alias("n_syl"))
+    first = F.floor(F.col("made") / 3) * sum(sizes) + F.element_at(F.array(*(F.lit(sum(sizes[:i])) for i in range(3))), (F.col("made") % 3 + 1).cast("int"))
+    spread = words.withColumn("first", first).select("made", "n_syl", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_syl") - 1)).alias("at"))
+    formed = spread.join(syl, "at").groupBy("made", "n_syl").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "syl"))), lambda x: x["syl"]), "-").alias("phon"))
+    order = [F.col("made")] if shortest_first else [chance(F.lit(seed + "r"), F.col("phon")), F.col("phon")]
+    formed = formed.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # at most 4000 rows
     total = n_utts * words_per_utt
-    scale = total / sum(1 / (i + 1) for i in range(n_types))
-    freq = F.greatest(F.lit(1), F.round(scale / (F.col("rank") + 1))) if skewed else F.lit(max(1, round(total / n_types)))
+    scale = total / sum(1 / (i + 1) for i in range(n))
+    freq = F.bround(F.lit(scale) / F.col("rank"), 0) if skewed else F.bround(F.lit(total / n), 0)
     dictionary = formed.select(F.translate("phon", "-", "").alias("word"), "phon", F.col("n_syl").cast("int"), freq.cast("long").alias("freq"))
-    spoken = weighted_repetition(dictionary, "freq").withColumn("h", chance(F.lit(seed + "u"), F.col("word"), F.col("copy").cast("string")))
-    # the order is dealt in parts of the hash, so that it needs no single task
-    w = Window.partitionBy(F.substring("h", 1, 2)).orderBy("h", "word", "copy")
-    spoken = spoken.withColumn("n", F.row_number().over(w) - 1).withColumn("utt", F.concat(F.substring("h", 1, 2), F.lit("_"), F.lpad(F.floor(F.col("n") / words_per_utt).cast("string"), 8, "0")))
-    utts = spoken.groupBy("utt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "phon"))), lambda x: x["phon"]), " ").alias("phon"))
-    return dictionary, utts
+    spoken = shuffled(weighted_repetition(dictionary, "freq"), ["word", "copy"], seed + "u", "n")
+    words_spoken = spoken.agg(F.count("*")).first()[0]
+    utts = -(-words_spoken // words_per_utt) or 1
+    short, longer = divmod(words_spoken, utts)
+    at = F.col("n") - 1
+    number = F.when(at < longer * (short + 1), F.floor(at / (short + 1))).otherwise(longer + F.floor((at - longer * (short + 1)) / max(1, short)))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("n", "phon"))), lambda x: x["phon"])  # four words
+    out = spoken.withColumn("utt", F.concat(F.lit("utt"), (number + 1).cast("long").cast("string"))).groupBy("utt").agg(F.array_join(said, " ").alias("phon"))
+    return dictionary, out.select("utt", F.translate("phon", "-", "").alias("orth"), "phon")

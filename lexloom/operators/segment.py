@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,7 +72,8 @@ def scores(assessed: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("recall", F.try_divide(F.col("hits"), F.col("hits") + F.col("misses"))).withColumn("precision", F.try_divide(F.col("_u"), F.col("_u") + F.col("false_alarms"))).drop("_u")
 
 
-def segmentation_trend(n_units: str, n_words: str):
-    """(trend, proportional difference) of the number of units found against the number of words."""
-    diff = (F.col(n_units) - F.col(n_words)) / F.col(n_words)
-    return F.when(diff > 0, "over-segmentation").when(diff < 0, "under-segmentation").otherwise("neither"), F.abs(diff)
+def segmentation_trend(n_units: Column, n_words: Column) -> tuple[Column, Column]:
+    """(trend, proportional difference) of the number of units found against the number of words: "under" where there are
+    fewer units than words, "over" where there are more, else null."""
+    diff = n_words - n_units
+    return F.when(diff > 0, "under").when(diff < 0, "over"), F.try_divide(F.abs(diff), n_words)

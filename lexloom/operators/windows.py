@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.functions.stats import global_rank
+from lexloom.operators.resample import uniform
+
 
 def expand_windows(df: DataFrame, hit: str, partition: list[str], order: list[str], k: int = 2, out: str = "expanded") -> DataFrame:
     """1 where the row is a hit, 1.5 where one of the k rows before or after is, else 0. New marks do not spread."""
@@ -30,6 +33,18 @@ def bigrams(tokens: DataFrame, unit: list[str], order: str, token: str) -> DataF
     return tokens.select(*unit, order, F.col(token).alias("a"), F.lead(token).over(w).alias("b")).where(F.col("b").isNotNull())
 
 
+def stream_bigrams(tokens: DataFrame, order: list[str], token: str) -> DataFrame:
+    """Neighbouring tokens of one stream over all utterances (a, b and the place of a): pairs may cross utterances. Places
+    come from a distributed sort, and neighbours meet by an equi-join, as a window over everything is one task."""
+    placed = global_rank(tokens.select(*order, F.col(token).alias("a")), [F.col(c) for c in order], "place").select("place", "a")
+    return placed.join(placed.select((F.col("place") - 1).alias("place"), F.col("a").alias("b")), "place")
+
+
+def global_tumbling(df: DataFrame, order: list[str], size: int = 30, out: str = "window") -> DataFrame:
+    """Numbers windows of ``size`` rows over the whole table, as one sequence."""
+    return global_rank(df, [F.col(c) for c in order], "_place").withColumn(out, F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
+
+
 def islands(df: DataFrame, hit: str, partition: list[str], position: str, legacy_last_hit: bool = False) -> DataFrame:
     """Runs of hits at neighbouring positions: partition, chunk start, length. With ``legacy_last_hit`` the last hit of
     each partition is not counted."""
@@ -69,6 +84,19 @@ def offset_windows(counts: DataFrame, keys: list[str], n: str, start: int, size:
     return counts.where(F.col(n) >= start).select(*keys, F.explode(F.sequence(F.lit(start), F.col(n).cast("int"), F.lit(size))).alias("first"), F.col(n)).select(*keys, "first", F.least(F.col("first") + size - 1, F.col(n)).cast("long").alias("last"))
 
 
+def coding_windows(counts: DataFrame, keys: list[str], n: str, coded: DataFrame, position: str, seed: str = "s", size: int = 30, step: int = 3) -> DataFrame:
+    """The windows that are left to code: (keys, first, last, open). A sequence's windows start at a random one of 1, 4, 7,
+    .. up to ``size``; ``coded`` has the keys and positions that are coded; windows without an open position are left out."""
+    places = F.floor(uniform(F.lit(seed), *(F.col(k).cast("string") for k in keys)) * (size // step)).cast("int") * step + 1
+    starts = counts.withColumn("_start", F.least(places, F.col(n).cast("int"))).select(*keys, F.col(n), F.explode(F.sequence(F.col("_start"), F.col(n).cast("int"), F.lit(size))).alias("first"), "_start")
+    found = starts.select(*keys, "first", "_start", F.least(F.col("first") + size - 1, F.col(n)).cast("long").alias("last"))
+    # a position's window follows from the start, so coded positions meet their window by an equi-join
+    own = coded.select(*keys, position).distinct().join(starts.select(*keys, "_start").distinct(), keys).where(F.col(position) >= F.col("_start"))
+    done = own.groupBy(*keys, (F.floor((F.col(position) - F.col("_start")) / size) * size + F.col("_start")).cast("int").alias("first")).agg(F.count("*").alias("_done"))
+    out = found.join(done, [*keys, "first"], "left").withColumn("open", F.col("last") - F.col("first") + 1 - F.coalesce("_done", F.lit(0)))
+    return out.where("open > 0").select(*keys, "first", "last", "open")
+
+
 def running_mean(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn("iteration", F.row_number().over(w)).withColumn("running_mean", F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexloom.functions import stats, text
 from lexloom.operators import descriptives, ngrams, resample, segment, windows
@@ -18,37 +19,74 @@ def context_tokens(utterances: DataFrame, long: DataFrame, utt: str = "utt", pho
     return spread.join(long.where(F.col(value) > 0).select(utt, name).distinct(), utt)
 
 
-def run_analysis(utterances: DataFrame, long: DataFrame, dictionary: DataFrame, cutoff: float = 0.85, stats_used: tuple[str, ...] = ("tp", "mi"), frequency_rule: bool = False, embedding: bool = False, trisyl_limit: bool = False, freq_cutoff: float | None = None, expand: int | None = None, permute: int | None = None, order: str = "pos", seed: str = "s") -> DataFrame:
-    """Recall and precision of segmentation per context and statistic, with counts: context, stat, recall, precision,
-    hits, misses, false_alarms, n_utts, n_tokens, n_types.
+def run_analysis(utterances: DataFrame, long: DataFrame | None, dictionary: DataFrame, cutoff: float = 0.85, stats_used: tuple[str, ...] = ("tp", "mi"), frequency_rule: bool = False, embedding: bool = False, trisyl_limit: bool = False, freq_cutoff: float | None = None, expand: int | None = None, permute: int | None = None, by_size: tuple[int, int] | None = None, prop: bool = False, order: str = "pos", seed: str = "s") -> DataFrame:
+    """Recall and precision of segmentation per context and statistic, with descriptives: context, stat, recall, precision,
+    hits, misses, false_alarms, n_segd_units (distinct units found), n_utts, n_syl_tokens, n_syl_types, n_tokens and
+    n_types (of words), ttr, highest_freq_syl, prop_most_freq, mean_tp, mean_mi, mean_words_per_utt, mean_syls_per_utt,
+    prop_one_word_utt, prop_one_syl_utt.
 
-    utterances: utt, file, pos, orth, phon. long: utt, context, value. dictionary: word, phon. All contexts run
-    together, with the context as leading key. ``expand`` spreads a context to the k utterances on either side,
-    ``permute`` deals it to random utterances with that seed number first."""
+    utterances: utt, file, pos, orth, phon. long: utt, context, value; without it the whole corpus is one context "global".
+    dictionary: word, phon. All contexts run together, with the context as leading key. ``by_size`` (sizes, least) takes
+    random contexts of growing size instead of ``long``; ``prop`` turns probabilities into marks by chance; ``permute`` deals
+    each context to random utterances with that seed number; ``expand`` spreads a context to the k utterances on either
+    side. Artificial corpora come from resample.make_corpus, which has the numbers of types and utterances."""
+    if expand and prop:
+        raise ValueError("expand needs marks of 1, not probabilities")
     scratch = Scratch(utterances.sparkSession, "analysis")
+    if by_size:
+        long = resample.contexts_by_size(utterances, ["utt"], *by_size, seed).select("utt", F.concat(F.lit("N.utt"), F.col("size")).alias("context"), F.lit(1.0).alias("value"))
+    if long is None:
+        long = utterances.select("utt", F.lit("global").alias("context"), F.lit(1.0).alias("value"))
+    if prop:
+        long = resample.bernoulli(long, ["utt"], seed)
     if permute is not None:
         long = resample.permute(long, utterances, ["utt"], 1, f"{seed}{permute}").drop("iter")
     if expand:
         names = long.select("context").distinct()  # contexts are few
         full = utterances.select("utt", "file", order).crossJoin(F.broadcast(names)).join(long.select("utt", "context", "value"), ["utt", "context"], "left")
-        long = windows.expand_windows(full, "value", ["context", "file"], [order], expand, "value2").select("utt", "context", F.col("value2").alias("value")).where("value > 0")
+        long = windows.expand_windows(full, "value", ["context", "file"], [order], expand, "value2").select("utt", "context", F.col("value2").alias("value"))
+    long = scratch.put(long.where("value > 0").select("utt", "context", "value").distinct(), "contexts")
     tok = scratch.put(context_tokens(utterances, long), "tokens")
     table = scratch.put(ngrams.bigram_table(windows.bigrams(tok, ["context", "utt"], "i", "syl"), ["context"]), "bigrams")
-    orth = utterances.select("utt", F.explode(text.drop_punctuation_tokens(text.tokens(F.col("orth")))).alias("word")).join(long.where("value > 0").select("utt", "context").distinct(), "utt")
+    orth = utterances.select("utt", F.explode(text.drop_punctuation_tokens(text.tokens(F.col("orth")))).alias("word")).join(long.select("utt", "context").distinct(), "utt")
+    orth = scratch.put(orth, "orth")
     words = orth.groupBy("context", "word").agg(F.count("*").alias("freq")).join(dictionary.select("word", "phon"), "word")
     words = scratch.put(words.withColumn("n_syl", text.n_syllables(F.col("phon")).cast("long")), "words")
-    counts = descriptives.describe(tok, ["context"], ["utt"], "syl").select("context", "n_utts", "n_tokens", "n_types")
+    syl = scratch.put(tok.groupBy("context", F.col("syl").alias("phon")).agg(F.count("*").alias("freq")), "syllables")
+    counts = _descriptives(long, tok, orth, table, syl)
     out: DataFrame | None = None
     for stat in stats_used:
         marked = segment.boundaries(tok, table, ["context"], ["context", "utt"], "i", "syl", stat, cutoff, frequency_rule)
         found = segment.units(marked, ["context"], ["context", "utt"], "i", "syl")
-        syl = tok.groupBy("context", F.col("syl").alias("phon")).agg(F.count("*").alias("freq"))
         units = segment.unit_table(found, ["context"], syl, freq_cutoff, trisyl_limit)
         if embedding:
             units = segment.embedding_rule(units, ["context"])
+        units = scratch.put(units, f"units-{stat}")
         s = segment.scores(segment.assess(units, words, ["context"]), ["context"]).withColumn("stat", F.lit(stat))
+        s = s.join(units.groupBy("context").agg(F.countDistinct("phon").alias("n_segd_units")), "context", "left")
         out = s if out is None else out.unionByName(s)
-    return out.join(counts, "context").select("context", "stat", "recall", "precision", "hits", "misses", "false_alarms", "n_utts", "n_tokens", "n_types")
+    return out.join(counts, "context").select("context", "stat", "recall", "precision", "hits", "misses", "false_alarms", "n_segd_units", *[c for c in counts.columns if c != "context"])
+
+
+def _descriptives(long: DataFrame, tok: DataFrame, orth: DataFrame, table: DataFrame, syl: DataFrame) -> DataFrame:
+    """A row per context; utterances without a syllable or word count 0."""
+    one = lambda c: F.avg((F.col(c) == 1).cast("double"))
+    per = long.select("utt", "context").distinct().join(tok.groupBy("context", "utt").agg(F.count("*").alias("s")), ["context", "utt"], "left").join(orth.groupBy("context", "utt").agg(F.count("*").alias("w")), ["context", "utt"], "left").fillna(0, ["s", "w"])
+    utts = per.groupBy("context").agg(F.count("*").alias("n_utts"), F.avg("w").alias("mean_words_per_utt"), F.avg("s").alias("mean_syls_per_utt"), one("w").alias("prop_one_word_utt"), one("s").alias("prop_one_syl_utt"))
+    syls = syl.groupBy("context").agg(F.sum("freq").alias("n_syl_tokens"), F.count("*").alias("n_syl_types"))
+    words = orth.groupBy("context", "word").agg(F.count("*").alias("f")).groupBy("context").agg(F.sum("f").alias("n_tokens"), F.count("*").alias("n_types"))
+    pairs = table.groupBy("context").agg(F.greatest(F.max("a1"), F.max("b2")).alias("highest_freq_syl"), F.avg("tp").alias("mean_tp"), F.avg("mi").alias("mean_mi"))
+    out = utts.join(syls, "context", "left").join(words, "context", "left").join(pairs, "context", "left")
+    out = out.withColumn("ttr", F.try_divide("n_types", "n_tokens")).withColumn("prop_most_freq", F.try_divide("highest_freq_syl", "n_syl_tokens"))
+    return out.select("context", "n_utts", "n_syl_tokens", "n_syl_types", "n_tokens", "n_types", "ttr", "highest_freq_syl", "prop_most_freq", "mean_tp", "mean_mi", "mean_words_per_utt", "mean_syls_per_utt", "prop_one_word_utt", "prop_one_syl_utt")
+
+
+def results_descriptives(results: DataFrame) -> DataFrame:
+    """Results of run_analysis with criterion, trend (under- or over-segmentation) and the proportional difference of the
+    numbers of units and word tokens."""
+    trend, diff = segment.segmentation_trend(F.col("n_segd_units"), F.col("n_tokens"))
+    out = results.select("context", F.upper("stat").alias("criterion"), "n_utts", "n_tokens", "n_types", "n_segd_units", "hits", "misses", "false_alarms")
+    return out.withColumn("trend", trend).withColumn("prop_diff", diff)
 
 
 def null_descriptives(tokens: DataFrame, long: DataFrame, keys: list[str], token: str, iters: int, seed: str = "s", name: str = "context") -> DataFrame:
@@ -72,22 +110,27 @@ def compare_with_null(observed: DataFrame, null: DataFrame, measures: list[str]
 
 
 def convergence(samples: DataFrame, value: str, copies: int, size: int, order: str, ps: dict[str, float] | None = None, tol: float = 1.0, seed: str = "s") -> DataFrame:
-    """How estimates settle when samples are drawn again: (copy, iteration, running_mean, quantiles, stable), where
-    stable marks a running mean within ``tol`` standard deviations / 10 of the mean of all samples. From 39 draws on a
-    two-sided test at .05 has room for an extreme value."""
+    """How estimates settle when samples are drawn again: (copy, draw, iteration, running_mean, quantiles, and for each of
+    them whether it is within ``tol`` of that of all samples, the corridor of stability). From 39 draws on a two-sided test
+    at .05 has room for an extreme value, so quantiles begin there."""
+    ps = ps or {"hi": 0.975, "lo": 0.025}
     numbered = stats.global_rank(samples, [F.col(order)], "_at").withColumn("_at", F.col("_at") - 1).select("_at", value)
     drawn = resample.bootstrap(numbered, "_at", copies, size, seed)
-    out = windows.running_quantiles(windows.running_mean(drawn, ["copy"], ["draw"], value), ["copy"], ["draw"], value, ps or {"hi": 0.975, "lo": 0.025})
-    whole = samples.agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    stable = F.abs(F.col("running_mean") - F.col("_m")) <= tol * F.col("_s") / 10
-    return out.crossJoin(F.broadcast(whole)).withColumn("stable", stable).drop("_m", "_s", "_at")
+    out = windows.running_quantiles(windows.running_mean(drawn, ["copy"], ["draw"], value), ["copy"], ["draw"], value, ps)
+    whole = samples.agg(F.avg(value).alias("_m"), *(F.percentile(value, p).alias(f"_{n}") for n, p in ps.items()))
+    near = {"running_mean": "_m", **{n: f"_{n}" for n in ps}}
+    out = out.crossJoin(F.broadcast(whole))  # one row
+    return out.select("copy", "draw", "iteration", value, *near, *((F.abs(F.col(n) - F.col(m)) <= tol).alias(f"{n}_stable") for n, m in near.items()))
 
 
-def clean_results(results: DataFrame, experiment: str, cutoff: int = 85) -> DataFrame:
-    """Long results of several runs: criterion (statistic and cutoff), the last four alphanumerics of the experiment's
-    name, measure and value."""
-    out = results.withColumn("criterion", F.concat(F.upper("stat"), F.lit(cutoff))).withColumn("experiment", F.regexp_extract(F.lit(experiment), "([0-9A-Za-z]{1,4})[^0-9A-Za-z]*$", 1))
-    return out.select("experiment", "context", "criterion", "recall", "precision").unpivot(["experiment", "context", "criterion"], ["recall", "precision"], "measure", "value")
+def clean_results(results: DataFrame, cutoff: int = 85) -> DataFrame:
+    """Long results of several experiments (exp, context, stat, recall, precision): criterion (statistic and cutoff), dist,
+    the last four alphanumerics of the experiment's name in lower case (null if there are not as many), measure and
+    value."""
+    dist = F.lower(F.nullif(F.regexp_extract("exp", r"([\p{Alpha}0-9]{4})$", 1), F.lit("")))
+    out = results.withColumn("criterion", F.concat(F.col("stat"), F.lit(str(cutoff)))).withColumn("dist", dist)
+    keys = ["exp", "dist", "context", "criterion", "stat"]
+    return out.select(*keys, "recall", "precision").unpivot(keys, ["recall", "precision"], "measure", "value")
 
 
 def against_nontext(values: DataFrame, tests: DataFrame, measure: str, name: str = "context") -> DataFrame:
@@ -104,3 +147,18 @@ def sequence_marks(long: DataFrame, method: str, least: int = 0) -> DataFrame:
     """Marks of a method's contexts that have more than ``least`` of them, for plots along the discourse."""
     own = long.where((F.col("method") == method) & (F.col("value") > 0))
     return own.join(own.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") > least).select("context"), "context", "left_semi")
+
+
+def coding_progress(coded: DataFrame, keys: list[str], order: str, n: str, size: int = 30) -> DataFrame:
+    """What a plot of the state of coding needs: per sequence and window of ``size`` positions the least and mean number of
+    codes, and how many positions have none."""
+    at = windows.tumbling(coded, keys, [order], size)
+    return at.groupBy(*keys, "window").agg(F.min(order).alias("first"), F.min(n).alias("least"), F.avg(n).alias("mean"), F.count_if(F.coalesce(F.col(n), F.lit(0)) == 0).alias("open"))
+
+
+def segmentation_points(assessed: DataFrame, by: list[str]) -> DataFrame:
+    """What a plot of segmentation results needs: per unit or word its result, syllables, frequency and rank by frequency
+    in its group."""
+    shown = assessed.select(*by, "phon", "n_syl", "result", "freq")
+    w = Window.partitionBy(*by, "result").orderBy(F.col("freq").desc(), "phon")
+    return shown.withColumn("rank", F.row_number().over(w))

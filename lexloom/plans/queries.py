@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 
 from lexloom.functions import stats, text
 from lexloom.operators import agreement, contexts, descriptives, models, ngrams, resample, segment, translate, windows
-from lexloom.plans import analysis
 from lexloom.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +71,7 @@ def event_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TOK = "tok AS (SELECT conv_id, turn, role, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, role, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM conversations))"
-PAIR = "pair AS (SELECT * FROM (SELECT conv_id, turn, role, i, w AS a, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY i) AS b FROM tok) WHERE b IS NOT NULL)"
+PAIR = "pair AS (SELECT * FROM (SELECT conv_id, turn, role, i, w AS a, lead(w) OVER (PARTITION BY role, conv_id, turn ORDER BY i) AS b FROM tok) WHERE b IS NOT NULL)"
 KW = "kw(context, word) AS (VALUES " + ", ".join(f"('{c}', '{w.replace('_', ' ')}')" for c, w in KEYWORDS) + ")"
 TAGS = f"{TOK}, {KW}, tags AS (SELECT conv_id, turn, context, count(*) AS value FROM (SELECT DISTINCT conv_id, turn, g FROM (SELECT conv_id, turn, w AS g FROM tok UNION ALL SELECT conv_id, turn, w || ' ' || lead(w) OVER (PARTITION BY conv_id, turn ORDER BY i) FROM tok)) JOIN kw ON g = word GROUP BY ALL)"
 WIDE = f"{TAGS}, wide AS (SELECT conv_id, turn, " + ", ".join(f"max(CASE WHEN context = '{c}' THEN 1 ELSE 0 END) AS {c}" for c in CONTEXTS) + " FROM tags GROUP BY conv_id, turn)"
@@ -128,11 +127,11 @@ def word_freq_top3_by_role(spark, sf):
     return descriptives.top_tokens(turn_tokens(spark, sf), ["role"], "w").select("role", "w", "freq", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {TOK}, f AS (SELECT role, w, count(*) AS f FROM tok GROUP BY ALL) SELECT role, round(quantile_cont(f, 0.25), 6) AS q25, round(quantile_cont(f, 0.5), 6) AS q50, round(quantile_cont(f, 0.75), 6) AS q75, round(quantile_cont(f, 0.9), 6) AS q90, round(quantile_cont(f, 0.95), 6) AS q95, round(quantile_cont(f, 0.99), 6) AS q99 FROM f GROUP BY role")
+@query(f"WITH {TOK}, f AS (SELECT role, w, count(*) AS f FROM tok GROUP BY ALL) SELECT role, min(f) AS least, max(f) AS most, round(quantile_cont(f, 0.25), 6) AS q25, round(quantile_cont(f, 0.5), 6) AS q50, round(quantile_cont(f, 0.75), 6) AS q75, round(quantile_cont(f, 0.9), 6) AS q90, round(quantile_cont(f, 0.95), 6) AS q95, round(quantile_cont(f, 0.99), 6) AS q99 FROM f GROUP BY role")
 def word_freq_quantiles(spark, sf):
     ps = {f"q{int(p * 100)}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}
     d = descriptives.frequency_quantiles(turn_tokens(spark, sf), ["role"], "w", ps)
-    return d.select("role", *(F.round(c, 6).alias(c) for c in ps))
+    return d.select("role", "least", "most", *(F.round(c, 6).alias(c) for c in ps))
 
 
 @query(f"WITH {TOK}, u AS (SELECT conv_id, turn, count(*) AS length FROM tok GROUP BY ALL) SELECT length, count(*) AS utterances, round(100 * count(*) / (SELECT count(*) FROM u), 6) AS percent, round((SELECT avg(length) FROM u), 6) AS mean_length, round((SELECT stddev_samp(length) FROM u), 6) AS sd_length FROM u GROUP BY length")
@@ -147,10 +146,10 @@ def context_coverage(spark, sf):
     return d.select("elements", *(F.round(c, 6).alias(c) for c in ("none", "one", "two", "more")))
 
 
-@query(f"WITH {TOK}, {KW}, f AS (SELECT w, count(*) AS f FROM tok GROUP BY w), k AS (SELECT context, word, coalesce(f, 0) AS f FROM kw LEFT JOIN f ON w = word) SELECT context, CAST(sum(f) AS BIGINT) AS total, round(avg(f), 6) AS mean, max(f) AS most, first(word ORDER BY f DESC, word) AS top_word FROM k GROUP BY context")
+@query(f"WITH {TOK}, {PAIR}, {KW}, f AS (SELECT w, count(*) AS f FROM (SELECT w FROM tok UNION ALL SELECT a || ' ' || b FROM pair) GROUP BY w), k AS (SELECT context, word, coalesce(f, 0) AS f FROM kw LEFT JOIN f ON w = word) SELECT context, CAST(sum(f) AS BIGINT) AS total, round(avg(f), 6) AS mean, max(f) AS most, first(word ORDER BY f DESC, word) AS top_word FROM k GROUP BY context")
 def keyword_frequency(spark, sf):
     words = spark.createDataFrame([(c, w.replace("_", " ")) for c, w in KEYWORDS], "context string, word string")
-    d = descriptives.keyword_frequency(turn_tokens(spark, sf), words, "w")
+    d = descriptives.keyword_frequency(turn_tokens(spark, sf), words, "w", TURN, "i")
     return d.select("context", "total", F.round("mean", 6).alias("mean"), "most", "top_word")
 
 
@@ -307,10 +306,13 @@ def percent_match(spark, sf):
     return d.select("context", F.round("share", 6).alias("share"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'C' WHEN 'error' THEN 'E' ELSE event_type END AS code, value IS NULL OR event_id % 7 = 0 AS bad FROM events")
+@query("""WITH c AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'RM' WHEN 1 THEN '' WHEN 2 THEN 'TEST' WHEN 3 THEN NULL ELSE 'AB' END AS coder, CASE WHEN user_id % 2 = 0 THEN event_id END AS date, substr(event_type, 1, 2 + CAST(user_id % 3 AS INTEGER)) AS context, CAST(event_id % 4 AS INTEGER) AS pass, event_type FROM events)
+SELECT event_id, CASE event_type WHEN 'click' THEN 'C' WHEN 'error' THEN 'E' ELSE event_type END AS code, coalesce(coder IN ('RM', 'TEST'), false) OR coalesce(coder = '' AND date IS NOT NULL, false) OR (length(context) < 3 AND date IS NOT NULL) OR pass < 1 AS bad FROM c""")
 def recode_and_flag(spark, sf):
-    e = read(spark, sf, "events")
-    return e.select("event_id", contexts.recode(F.col("event_type"), {"click": "C", "error": "E"}).alias("code"), (F.col("value").isNull() | (F.col("event_id") % 7 == 0)).alias("bad"))
+    k = F.col("event_id") % 6
+    coder = F.when(k == 0, "RM").when(k == 1, "").when(k == 2, "TEST").when(k > 3, "AB")
+    e = read(spark, sf, "events").select("event_id", "event_type", coder.alias("coder"), F.when(F.col("user_id") % 2 == 0, F.col("event_id")).alias("date"), F.substr("event_type", F.lit(1), (2 + F.col("user_id") % 3).cast("int")).alias("context"), (F.col("event_id") % 4).cast("int").alias("pass"))
+    return e.select("event_id", contexts.recode(F.col("event_type"), {"click": "C", "error": "E"}).alias("code"), contexts.bad_rows(F.col("coder"), F.col("date"), F.col("context"), F.col("pass")).alias("bad"))
 
 
 @query("WITH k(raw, clean) AS (VALUES ('en', 'english'), ('de', 'german')) SELECT doc_id, coalesce(clean, lang) AS lang FROM documents LEFT JOIN k ON lang = raw")
@@ -388,18 +390,26 @@ def next_pass(spark, sf):
 # ------------------------------------------------------------------ segmentation
 
 
-def segmented(spark, sf, stat):
-    tok = turn_tokens(spark, sf)
-    table = ngrams.bigram_table(windows.bigrams(tok, ["role", *TURN], "i", "w"), ["role"])
-    return segment.units(segment.boundaries(tok, table, ["role"], TURN, "i", "w", stat), ["role"], ["role", *TURN], "i", "w")
+def segmented(spark, sf, stat, frequency_rule=False):
+    scratch = Scratch(spark, "segmented")
+    tok = scratch.put(turn_tokens(spark, sf), "tokens")
+    table = scratch.put(ngrams.bigram_table(windows.bigrams(tok, ["role", *TURN], "i", "w"), ["role"]), "bigrams")
+    return segment.units(segment.boundaries(tok, table, ["role"], TURN, "i", "w", stat, frequency_rule=frequency_rule), ["role"], ["role", *TURN], "i", "w")
+
+
+def units_sql(stat: str, frequency_rule: bool = False, name: str = "") -> str:
+    """From tok (role, conv_id, turn, i, w) and big to the units of each role; ``name`` tells several apart."""
+    freq = f"fcut{name} AS (SELECT role, quantile_cont(f, 0.85) AS fcut FROM (SELECT role, w, count(*) AS f FROM tok GROUP BY ALL) GROUP BY role), " if frequency_rule else ""
+    low = f"{stat} < cut - 1e-9" + (" OR ab < fcut" if frequency_rule else "")
+    return f"""cut{name} AS (SELECT role, quantile_cont({stat}, 0.85) AS cut FROM big GROUP BY role), {freq}
+    seg{name} AS (SELECT big.role, a, b, CASE WHEN {low} THEN 1 ELSE 0 END AS low FROM big JOIN cut{name} USING (role) {f"JOIN fcut{name} USING (role)" if frequency_rule else ""}),
+    m{name} AS (SELECT t.*, CASE WHEN prev IS NULL THEN 1 ELSE coalesce(low, 1) END AS st FROM (SELECT *, lag(w) OVER (PARTITION BY role, conv_id, turn ORDER BY i) AS prev FROM tok) t LEFT JOIN seg{name} seg ON seg.role = t.role AND seg.a = t.prev AND seg.b = t.w),
+    g{name} AS (SELECT *, sum(st) OVER (PARTITION BY role, conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING) AS u FROM m{name}),
+    units{name} AS (SELECT role, conv_id, turn, CAST(u AS BIGINT) AS unit_no, string_agg(w, '-' ORDER BY i) AS phon, count(*) AS n_syl FROM g{name} GROUP BY ALL)"""
 
 
-def segment_sql(stat: str) -> str:
-    return f"""{TOK}, {PAIR}, {bigram_sql("role")}, cut AS (SELECT role, quantile_cont({stat}, 0.85) AS cut FROM big GROUP BY role),
-    seg AS (SELECT big.role, a, b, CASE WHEN {stat} < cut - 1e-9 THEN 1 ELSE 0 END AS low FROM big JOIN cut USING (role)),
-    m AS (SELECT t.*, CASE WHEN prev IS NULL THEN 1 ELSE coalesce(low, 1) END AS st FROM (SELECT *, lag(w) OVER (PARTITION BY conv_id, turn ORDER BY i) AS prev FROM tok) t LEFT JOIN seg ON seg.role = t.role AND seg.a = t.prev AND seg.b = t.w),
-    g AS (SELECT *, sum(st) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING) AS u FROM m),
-    units AS (SELECT role, conv_id, turn, CAST(u AS BIGINT) AS unit_no, string_agg(w, '-' ORDER BY i) AS phon, count(*) AS n_syl FROM g GROUP BY ALL)"""
+def segment_sql(stat: str, frequency_rule: bool = False) -> str:
+    return f"{TOK}, {PAIR}, {bigram_sql('role')}, {units_sql(stat, frequency_rule)}"
 
 
 @query(f"WITH {segment_sql('tp')} SELECT role, conv_id, turn, unit_no, phon, n_syl FROM units")
@@ -459,12 +469,16 @@ def bootstrap_z(spark, sf):
     return stats.with_z(e, "value", "est", ["event_type"]).select("event_id", F.round("z_est", 6).alias("z_est"), F.round("z_value", 6).alias("z_value"))
 
 
-@query("WITH e AS (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) * 1.5 AS est FROM events), t AS (SELECT event_type, count(*) AS iters, count(CASE WHEN value >= est THEN 1 END) AS n_above FROM e WHERE value IS NOT NULL GROUP BY event_type), p AS (SELECT *, iters - n_above AS n_below, n_above / iters AS p_hi, (iters - n_above) / iters AS p_lo FROM t) SELECT event_type, iters, n_above, n_below, round(p_hi, 6) AS p_hi, round(p_lo, 6) AS p_lo, round(least(p_hi, p_lo), 6) AS p_val, CASE WHEN least(p_hi, p_lo) < 0.001 THEN '***' WHEN least(p_hi, p_lo) < 0.01 THEN '**' WHEN least(p_hi, p_lo) < 0.05 THEN '*' WHEN least(p_hi, p_lo) < 0.1 THEN '+' ELSE '' END AS stars FROM p")
+#: P(X <= k) or P(X > k) of a binomial at 0.025, k the smaller count.
+UNSURE = """CASE WHEN n_above <> n_below THEN CASE WHEN least(p_hi, p_lo) < 0.025 THEN 1 ELSE -1 END * list_sum(list_transform(range(0, least(n_above, n_below) + 1), lambda i: exp(lgamma(iters + 1) - lgamma(i + 1) - lgamma(iters - i + 1) + i * ln(0.025) + (iters - i) * ln(0.975)))) + CASE WHEN least(p_hi, p_lo) < 0.025 THEN 0 ELSE 1 END END"""
+
+
+@query("WITH e AS (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) * 1.5 AS est FROM events), t AS (SELECT event_type, count(*) AS iters, count(CASE WHEN value >= est THEN 1 END) AS n_above FROM e WHERE value IS NOT NULL GROUP BY event_type), p AS (SELECT *, iters - n_above AS n_below, n_above / iters AS p_hi, (iters - n_above) / iters AS p_lo FROM t) SELECT event_type, iters, n_above, n_below, round(p_hi, 6) AS p_hi, round(p_lo, 6) AS p_lo, round(least(p_hi, p_lo), 6) AS p_val, CASE WHEN least(p_hi, p_lo) < 0.001 THEN '***' WHEN least(p_hi, p_lo) < 0.01 THEN '**' WHEN least(p_hi, p_lo) < 0.05 THEN '*' WHEN least(p_hi, p_lo) < 0.1 THEN '+' ELSE '' END AS stars, round(" + UNSURE + ", 6) AS p_boot_unsure FROM p")
 def bootstrap_test(spark, sf):
     e = read(spark, sf, "events")
     e = e.join(F.broadcast(e.groupBy("event_type").agg((F.avg("value") * 1.5).alias("est"))), "event_type")
     t = stats.bootstrap_test(e, "value", "est", ["event_type"])
-    return t.select("event_type", "iters", "n_above", "n_below", *(F.round(c, 6).alias(c) for c in ("p_hi", "p_lo", "p_val")), text.stars(F.col("p_val")).alias("stars"))
+    return t.select("event_type", "iters", "n_above", "n_below", *(F.round(c, 6).alias(c) for c in ("p_hi", "p_lo", "p_val", "p_boot_unsure")), text.stars(F.col("p_val")).alias("stars"))
 
 
 @query("SELECT event_type, round(stddev_samp(value) / sqrt(count(value)), 6) AS se, round(median(value), 6) AS med, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
@@ -474,7 +488,9 @@ def summary_statistics(spark, sf):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.85), 6) AS q85, round(quantile_cont(l_extendedprice, 0.975), 6) AS q975 FROM lineitem GROUP BY l_returnflag")
 def exact_quantiles(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", 0.85), 6).alias("q85"), F.round(F.percentile("l_extendedprice", 0.975), 6).alias("q975"))
+    lines = read(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    a, b = stats.grouped_quantiles(lines, ["l_returnflag"], "l_quantity", {"q85": 0.85}), stats.grouped_quantiles(lines, ["l_returnflag"], "l_extendedprice", {"q975": 0.975})
+    return a.join(b, "l_returnflag").select("l_returnflag", F.round("q85", 6).alias("q85"), F.round("q975", 6).alias("q975"))
 
 
 @query("SELECT c_mktsegment, c_nationkey, n, rank() OVER (PARTITION BY c_mktsegment ORDER BY n) AS min_rank, rank() OVER (PARTITION BY c_mktsegment ORDER BY n) + (count(*) OVER (PARTITION BY c_mktsegment, n) - 1) / 2 AS mean_rank FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL)")
@@ -520,24 +536,6 @@ def weighted_repetition(spark, sf):
     return resample.weighted_repetition(o, "k").select("o_orderkey", F.col("copy").cast("long").alias("copy"))
 
 
-@query()
-def bootstrap_draws(spark, sf):
-    users = read(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
-    numbered = stats.global_rank(users, [F.col("user_id")], "at").withColumn("at", F.col("at") - 1)
-    return resample.bootstrap(numbered, "at", 20, 100).groupBy("copy").agg(F.round(F.avg("m"), 9).alias("mean"), F.count("*").alias("n"))
-
-
-@query()
-def artificial_corpus(spark, sf):
-    dictionary, utts = resample.make_corpus(spark, 300, 400)
-    scratch = Scratch(spark, "artificial")
-    dictionary = scratch.put(dictionary, "dictionary")
-    tok = scratch.put(utts.select("utt", F.posexplode(text.syllables(F.col("phon"))).alias("i", "w")), "tokens")
-    table = ngrams.bigram_table(windows.bigrams(tok, ["utt"], "i", "w"))
-    found = segment.unit_table(segment.units(segment.boundaries(tok, table, [], ["utt"], "i", "w"), [], ["utt"], "i", "w"), [])
-    return segment.scores(segment.assess(found, dictionary.withColumn("n_syl", F.col("n_syl").cast("long")), []), [])
-
-
 # ------------------------------------------------------------------ text
 
 
@@ -607,32 +605,4 @@ def lca_em(spark, sf):
     return fits
 
 
-@query()
-def mrcv(spark, sf):
-    wide = label_items(spark, sf)
-    seen = agreement.multiple_response_statistic(wide, ["quality", "toxic"], ["english", "long"]).select(F.lit(-1).cast("long").alias("iter"), "statistic")
-    return seen.union(agreement.multiple_response_bootstrap(wide, ["quality", "toxic"], ["english", "long"], 50))
-
-
-# ------------------------------------------------------------------ whole analyses
-
-
-@query()
-def run_analysis(spark, sf):
-    c = read(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("utt"), F.col("conv_id").alias("file"), F.col("turn").alias("pos"), text.letters(F.col("text")).alias("orth"))
-    t = tags(spark, sf).select(F.concat_ws("_", "conv_id", "turn").alias("utt"), "context", "value")
-    d = dictionary_words(spark, sf).select(F.col("w").alias("word"), F.col("w").alias("phon"))
-    return analysis.run_analysis(c.withColumn("phon", F.col("orth")), t, d)
-
-
-@query()
-def null_descriptives(spark, sf):
-    tok, marks = turn_tokens(spark, sf), marked_tags(spark, sf)
-    seen = descriptives.describe(tok.join(marks.select(*TURN, "context"), TURN), ["context"], TURN, "w")
-    return analysis.compare_with_null(seen, analysis.null_descriptives(tok, marks, TURN, "w", 20))[1]
-
-
-@query()
-def resampling_convergence(spark, sf):
-    users = read(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
-    return analysis.convergence(users, "m", 5, 60, "user_id")
+from lexloom.plans import source_queries, study_queries  # noqa: E402, F401  (they register their queries here)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.functions.stats import global_rank
+
 #: Headers that are kept beside utterances.
 KEPT_HEADERS = ("@Com", "@Sit", "@Act", "@New Ep", "%com", "@Par")
 # Long header names and their short forms.
@@ -14,11 +16,11 @@ SHORT_HEADERS = {"@Comment": "@Com", "@Situation": "@Sit", "@Activities": "@Act"
 CODING_SCHEMA = "LineNum int, UttNum int, file string, coder string, date bigint, context string, pass int"
 
 
-def chat_transcripts(spark: SparkSession, path: str, merge_continuations: bool = False) -> DataFrame:
+def chat_transcripts(spark: SparkSession, path: str, merge_continuations: bool = False, name: str = "([^/]*)$") -> DataFrame:
     """Files of ``*SPK:<tab>utterance`` lines: file, line_num, speaker, utterance, utt_num (null for headers). With
     ``merge_continuations`` lines that begin with a tab belong to the line before. Files are the unit of reading; a
-    transcript has thousands of lines, not millions."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    transcript has thousands of lines, not millions. ``name`` takes the file's name out of its path."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("file"), "value")
     text = F.regexp_replace("value", "\r\n?", "\n")
     if merge_continuations:
         text = F.regexp_replace(text, "\n\t", " ")
@@ -55,35 +57,48 @@ def keyword_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("context is not null and context not in ('', 'NA')").select("context", F.replace("word", F.lit("_"), F.lit(" ")).alias("word"))
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(line, name) of a text file of any size: lines are numbered from 0 by the place of their part of the file, so the
+    file is read by many tasks."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias(name))
+    ranked = global_rank(t, [F.col("_file"), F.col("_start"), F.col("_at")], "line")
+    return ranked.select((F.col("line") - 1).alias("line"), name)
+
+
 def aligned_lines(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Parallel files by line number: line, and a column per file."""
     out: DataFrame | None = None
     for name, path in paths.items():
-        t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("line", name))
+        t = numbered_lines(spark, path, name)
         out = t if out is None else out.join(t, "line", "full")
     return out
 
 
-def coding_documents(spark: SparkSession, path: str) -> DataFrame:
-    """All coded rows below a folder: separators to ';', lower case, duplicates once; test coders are an error of the
-    data and are left out."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "coding_doc*.txt").option("sep", "\t").option("header", True).option("quote", "").schema(CODING_SCHEMA).csv(path)
-    rows = rows.where("coder is not null and coder <> '' and upper(coder) not in ('RM', 'TEST')")
+def coding_documents(spark: SparkSession, path: str, pattern: str = "coding_doc*.txt", test_coders: str = "drop") -> DataFrame:
+    """All coded rows below a folder: separators to ';', lower case, duplicates once. Rows of test coders are an error of
+    the data: they are left out, or end the query with ``test_coders="error"``."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("sep", "\t").option("header", True).option("quote", "").schema(CODING_SCHEMA).csv(path)
+    rows = rows.where("coder is not null and coder <> ''")
+    test = F.upper("coder").isin("RM", "TEST")
+    if test_coders == "error":
+        rows = rows.withColumn("coder", F.when(test, F.raise_error(F.lit("rows of test coders"))).otherwise(F.col("coder")))
+    else:
+        rows = rows.where(~test)
     return rows.withColumn("context", F.lower(F.translate("context", ",/", ";;"))).withColumn("date", F.timestamp_seconds("date")).dropDuplicates()
 
 
-def score_tables(spark: SparkSession, path: str, columns: list[str], keep: str = "n500_", context: str = r".*output/(.*)Eval/.*") -> DataFrame:
+def score_tables(spark: SparkSession, path: str, columns: list[str], keep: str = "n500_", context: str = r".*output/(.*)Eval/.*", pattern: str = "*.trscore") -> DataFrame:
     """White-space tables of scores below a folder; the context comes from the path."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.trscore").text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.col("file").contains(keep))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.col("file").contains(keep))
     parts = F.split(F.trim("value"), r"\s+")
     rows = lines.where(~F.trim("value").isin("") & F.try_element_at(parts, F.lit(1)).try_cast("double").isNotNull())
     return rows.select("file", F.nullif(F.regexp_extract("file", context, 1), F.lit("")).alias("context"), *(F.try_element_at(parts, F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate(columns)))
 
 
-def score_logs(spark: SparkSession, path: str, context: str = r"([^/]*)\.out$") -> DataFrame:
+def score_logs(spark: SparkSession, path: str, context: str = r"([^/]*)\.out$", pattern: str = "*.out") -> DataFrame:
     """Log files with lines like ``P 1.0 R 2.0 F 3.0 BP ...``: a row per file, the mean of each measure; null where a
     file has no such line."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.out").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     files = lines.select("file").distinct()
     pair = r"([A-Z]{1,2})\s+([0-9.eE+-]+)"
     maps = F.map_from_arrays(F.regexp_extract_all("value", F.lit(pair), F.lit(1)), F.regexp_extract_all("value", F.lit(pair), F.lit(2)))

@@ -20,7 +20,9 @@ def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode(mode).text(path)
 
 
-def markdown(df: DataFrame, limit: int = 100) -> str:
-    """A Markdown table of the first rows."""
-    rows = [[("" if v is None else str(v)) for v in r] for r in df.limit(limit).collect()]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["-"] * len(df.columns), *rows])
+def markdown(df: DataFrame, limit: int | None = None) -> str:
+    """A Markdown table of all rows, which must be few, or of the first ``limit`` with a line that says so."""
+    rows = [[("" if v is None else str(v).replace("|", "\\|")) for v in r] for r in (df.limit(limit + 1) if limit is not None else df).collect()]
+    more = limit is not None and len(rows) > limit
+    lines = ["| " + " | ".join(r) + " |" for r in [df.columns, ["-"] * len(df.columns), *rows[:limit]]]
+    return "\n".join([*lines, "", f"(the first {limit} rows)"] if more else lines)

@@ -5,6 +5,7 @@ import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -42,7 +43,7 @@ def test_query_matches_its_sql(spark, duck, name):
         want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got) == plain(want)
-    assert len(got) or name in ("min_support_contexts", "bigram_graph_edges")
+    assert len(got) or name in ("min_support_contexts", "bigram_graph_edges", "sequence_marks")
 
 
 def utterances(spark, rows):
@@ -164,13 +165,122 @@ def test_few_draws_give_no_stars_that_they_cannot_support(spark):
     assert marks == {5: (0.0, ""), 20: (0.0, "+"), 50: (0.0, "*"), 2000: (0.0, "***")}
 
 
+def test_permutation_deals_any_value(spark):
+    elements = spark.range(200).select(F.col("id").alias("utt"))
+    long = spark.createDataFrame([(i, "x", v) for i, v in enumerate([1.0, 1.5, 0.25, None, 0.0, 0.7] * 10)] + [(i, "y", 1.0) for i in range(200)], "utt long, context string, value double")
+    rows = resample.permute(long, elements, ["utt"], 4).collect()
+    want = sorted(str(v) for v in [1.0, 1.5, 0.25, None, 0.7] * 10)
+    for it in range(4):
+        mine = [r for r in rows if r.iter == it and r.context == "x"]
+        assert sorted(str(r.value) for r in mine) == want and len({r.utt for r in mine}) == 50
+        assert len([r for r in rows if r.iter == it and r.context == "y"]) == 200
+    assert len({tuple(sorted(r.utt for r in rows if r.iter == it and r.context == "x")) for it in range(4)}) == 4
+
+
 def test_artificial_corpus(spark):
     d, u = resample.make_corpus(spark, 90, 50)
     assert d.count() == 90 and d.select(F.explode(F.split("phon", "-")).alias("s")).distinct().count() == d.agg(F.sum("n_syl")).first()[0] == 270
+    words = u.select(F.size(F.split("phon", " ")).alias("n")).groupBy("n").count().collect()
+    assert {r.n for r in words} <= {3, 4} and sum(r.n * r["count"] for r in words) == d.agg(F.sum("freq")).first()[0]
+    assert sorted(r.n_syl for r in d.orderBy(F.desc("freq")).limit(12).collect()) != [2] * 4 + [3] * 4 + [4] * 4  # ranks are shuffled
+    flat, said = resample.make_corpus(spark, 300, 400, skewed=False, monosyllabic=True, shortest_first=True)
+    assert {r.freq for r in flat.collect()} == {5} and said.count() == 375 and {r.n_syl for r in flat.collect()} == {1, 2, 3}
+    whole, short = resample.make_corpus(spark, 1200, 400)
+    assert short.select(F.size(F.split("phon", " ")).alias("n")).where("n = 4").count() >= short.count() - 3 and whole.where("freq = 0").count() > 0
     with pytest.raises(ValueError):
         resample.make_corpus(spark, 1800)
 
 
+def test_quantiles_by_rank(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(g), float(v)) for g in range(5) for v in np.round(rng.normal(size=int(rng.integers(1, 90))), 1)] + [("0", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r.g: (r.a, r.b, r.c) for r in stats.grouped_quantiles(df, ["g"], "v", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
+    for g in got:
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == pytest.approx(tuple(np.quantile(v, [0, 0.37, 1])))
+    assert stats.grouped_quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([x for _, x in rows if x is not None]))
+
+
+def test_logistic_regressions_match_reweighted_least_squares(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.3 + x @ [1.0, -0.5])))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    z = np.column_stack(((x - x.mean(0)) / x.std(0, ddof=1), np.ones(400)))
+    beta = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ beta))
+        w = p * (1 - p)
+        beta = beta + np.linalg.solve(z.T @ (z * w[:, None]), z.T @ (y - p))
+    errors = np.sqrt(np.diag(np.linalg.inv(z.T @ (z * w[:, None]))))
+    rows = {r.term: r for r in models.logistic_regressions(df, ["y"], ["a", "b"], min_n=-1e9).collect()}
+    for i, term in enumerate(["a", "b", "(intercept)"]):
+        assert (rows[term].estimate, rows[term].std_error) == pytest.approx((beta[i], errors[i]), rel=1e-4)
+        assert rows[term].p_value == pytest.approx(math.erfc(abs(beta[i] / errors[i]) / math.sqrt(2)), abs=1e-6)
+
+
+def test_multiple_response_test(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(a if rng.random() < 0.9 else 1 - a), int(rng.random() < 0.5)) for a in rng.integers(0, 2, 200)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    alike, apart = agreement.multiple_response_test(df, ["a"], ["b"], 100).first(), agreement.multiple_response_test(df, ["a"], ["c"], 100).first()
+    t = np.array([[sum(x == i and y == j for x, y, _ in rows) for j in (0, 1)] for i in (0, 1)], float)
+    e = np.outer(t.sum(1), t.sum(0)) / 200
+    assert alike.statistic == pytest.approx(((t - e) ** 2 / e).sum()) and alike.p_value == 0.0 and apart.p_value > 0.01 and alike.iters == 100
+
+
+def test_whole_analysis_options(spark):
+    rows = [(f"u{i}", "f", i, "ba du", "b-a d-u") if i % 2 else (f"u{i}", "f", i, "ba", "b-a") for i in range(1, 41)]
+    utts = spark.createDataFrame(rows, "utt string, file string, pos int, orth string, phon string")
+    words = spark.createDataFrame([("ba", "b-a"), ("du", "d-u")], "word string, phon string")
+    whole = analysis.run_analysis(utts, None, words, stats_used=("tp",)).first()
+    assert (whole.context, whole.n_utts, whole.n_tokens, whole.n_types, whole.n_syl_tokens, whole.recall) == ("global", 40, 60, 2, 120, 0.5)  # all pairs have a probability of 1, so "ba du" is one unit
+    assert whole.mean_words_per_utt == 1.5 and whole.prop_one_word_utt == 0.5 and whole.prop_one_syl_utt == 0.0 and whole.n_segd_units == 2
+    sizes = analysis.run_analysis(utts, None, words, stats_used=("mi",), by_size=(3, 10)).collect()
+    assert {r.context: r.n_utts for r in sizes} == {"N.utt10": 10, "N.utt20": 20, "N.utt30": 30}
+    shares = utts.select("utt", F.lit("x").alias("context"), F.lit(0.5).alias("value"))
+    assert 5 < analysis.run_analysis(utts, shares, words, stats_used=("tp",), prop=True).first().n_utts < 35
+    with pytest.raises(ValueError):
+        analysis.run_analysis(utts, shares, words, prop=True, expand=2)
+    trend = {r.context: (r.trend, r.prop_diff) for r in analysis.results_descriptives(spark.createDataFrame([("a", "tp", 1, 10, 2, 5, 0, 0, 0), ("b", "tp", 1, 10, 2, 15, 0, 0, 0), ("c", "tp", 1, 10, 2, 10, 0, 0, 0)], "context string, stat string, n_utts int, n_tokens int, n_types int, n_segd_units int, hits int, misses int, false_alarms int")).collect()}
+    assert trend == {"a": ("under", 0.5), "b": ("over", 0.5), "c": (None, 0.0)}
+
+
+def test_stream_and_global_windows_cross_sequences(spark):
+    tok = utterances(spark, ["a b", "c"])
+    assert {(r.a, r.b) for r in windows.stream_bigrams(tok, ["utt", "i"], "w").collect()} == {("a", "b"), ("b", "c")}
+    sizes = windows.global_tumbling(spark.range(70).repartition(5), ["id"]).groupBy("window").count().collect()
+    assert {r["window"]: r["count"] for r in sizes} == {0: 30, 1: 30, 2: 10}
+
+
+def test_markdown_says_what_it_leaves_out(spark):
+    assert writers.markdown(spark.range(150)).count("\n") == 151
+    assert writers.markdown(spark.range(150), 100).endswith("(the first 100 rows)") and not writers.markdown(spark.range(100), 100).endswith(")")
+
+
+def test_test_coders_end_the_query_where_asked(spark, tmp_path):
+    (tmp_path / "coding_doc.txt").write_text("LineNum\tUttNum\tfile\tcoder\tdate\tcontext\tpass\n1\t1\tf\tTEST\t1\tq\t1\n")
+    assert readers.coding_documents(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="test coders"):
+        readers.coding_documents(spark, str(tmp_path), test_coders="error").collect()
+
+
+def test_greedy_matches_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    left = [("f" if i < 40 else "g", i, str(rng.choice(list("abc")))) for i in range(80)]
+    right = [("f" if i < 70 else "g", i, "".join(rng.choice(list("abcd"), 2))) for i in range(140)]
+    got = {(r.f, r.left_order): r.right_order for r in translate.greedy_match(spark.createDataFrame(left, "f string, o long, t string"), spark.createDataFrame(right, "f string, o long, u string"), ["f"], "o", "t", "u").collect()}
+    want = {}
+    for f in "fg":
+        rest = [r for r in right if r[0] == f]
+        for _, o, t in (x for x in left if x[0] == f):
+            at = next((i for i, r in enumerate(rest) if t in r[2]), None)
+            want[f, o] = None if at is None else rest[at][1]
+            rest = rest if at is None else rest[at + 1 :]
+    assert {k: None if v is None or v != v else int(v) for k, v in got.items()} == want
+
+
 def test_latent_classes_find_two_groups(spark):
     rows = [(1, 1, 1, 0)] * 40 + [(1, 1, 0, 0)] * 6 + [(0, 0, 0, 1)] * 40 + [(0, 1, 0, 1)] * 6 + [(None, 1, 1, 0)] * 4
     fits, classes, posteriors = models.latent_classes(spark.createDataFrame(rows, "a int, b int, c int, d int"), ["a", "b", "c", "d"], [1, 2], 5)
