@@ -59,20 +59,20 @@ def chunk_ends(block: Block, mean: int, least: int, most: int) -> tuple[np.ndarr
     return starts[inside], ends[inside]
 
 
-CHUNKS = "doc_id long, t long, start int, stop int, words int, d1 long, d2 long"
+CHUNKS = "doc_id long, t long, start int, stop int, words int, d1 long, d2 int"
 
 
 def chunks(docs: DataFrame, mean: int, least: int, most: int) -> DataFrame:
-    """(doc_id, t, start, stop (bytes of the text), words, d1, d2: a 128-bit digest) for each chunk of each row
+    """(doc_id, t, start, stop (bytes of the text), words, d1, d2: a 96-bit digest) for each chunk of each row
     (doc_id, t, text)."""
 
     def make(batches):
-        for b in text_blocks(batches):
+        for b in text_blocks(batches, size=1 << 20):
             block = Block(b.column("text"))
             starts, ends = chunk_ends(block, mean, least, most)
             d1 = span_hashes(block.data, starts, ends)
             # a second hash of the same bytes, under other values of the bytes
-            d2 = span_hashes(_OTHER[block.data], starts, ends)
+            d2 = (span_hashes(_OTHER[block.data], starts, ends) >> np.uint64(32)).astype(np.uint32)
             owner = block.owner(starts)
             begins = np.zeros(len(block.data) + 1, np.int64)
             space = SPACE[block.data]
@@ -81,7 +81,7 @@ def chunks(docs: DataFrame, mean: int, least: int, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").take(at), b.column("t").take(at), pa.array((starts - block.start[owner]).astype(np.int32)), pa.array((ends - block.start[owner]).astype(np.int32)),
-                    pa.array((begins[ends] - begins[starts]).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    pa.array((begins[ends] - begins[starts]).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int32)),
                 ],
                 names=["doc_id", "t", "start", "stop", "words", "d1", "d2"],
             )
