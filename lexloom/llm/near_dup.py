@@ -264,13 +264,15 @@ def _block_pairs(rows: DataFrame, group: list[str], blocks: Column) -> DataFrame
     return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-def _size_groups(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _size_groups(members: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Members (bucket, id, c, n) by size of set: a group has the members of one class of sizes and of the next. Sizes of
     linked sets differ by the factor below / above at most, which is the width of a class, so each pair that can be
     linked has a group; groups whose members are all in one component are left out."""
     above, below = threshold
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(below / above)) if above < below else 1e-9) + 1e-9).cast("long")
     spread = members.withColumn("level", level).withColumn("size_group", F.explode(F.array(F.col("level"), F.col("level") - 1)))
+    # as a table, so that a large group is split in the join
+    spread = scratch.put(spread, "spread")
     of = ["bucket", "size_group"]
     open_ = spread.groupBy(*of).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.max((F.col("level") == F.col("size_group")).cast("int")).alias("own")).where("low <> high and own = 1")
     return spread.join(open_.select(*of, "size"), of).withColumn("upper", F.col("level") != F.col("size_group")).drop("level")
@@ -309,7 +311,7 @@ def _open_pairs(read: _Texts, members: DataFrame, signatures: DataFrame, scratch
                 near[columns[hit.any(axis=0)]] = True
         return table.select(["bucket", "size_group", "id", "c", "upper"]).filter(pa.array(near))
 
-    sized = _size_groups(members, threshold)
+    sized = _size_groups(members, threshold, scratch)
     dealt = _block_pairs(sized, group, F.ceil(F.col("size") / 1024).cast("int")).join(signatures, "id")
     near = dealt.select(*group, "x", "y", "id", "c", "n", "upper", "own", "signature").groupBy(*group, "x", "y").applyInArrow(close, "bucket long, size_group long, id long, c long, upper boolean")
     near = scratch.put(near.distinct(), "near")
