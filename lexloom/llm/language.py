@@ -62,20 +62,31 @@ class Grams:
 
     def __init__(self, codes: np.ndarray):
         self.codes = np.unique(codes)
-        # a table of slots tells most n-grams that are not known, the sorted codes tell the rest
-        self.known = np.zeros(1 << _SLOTS, bool)
-        self.known[self._slot(self.codes)] = True
+        # a table of slots; n-grams whose slot is taken go to a further table under another hash, until all have one
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left, rng = np.arange(len(self.codes)), np.random.default_rng(5)
+        while len(left):
+            factor = _U(rng.integers(1, 2**63)) * _U(2) + _U(1)
+            slots = self._slot(self.codes[left], factor)
+            _, first = np.unique(slots, return_index=True)
+            table = np.full(1 << _SLOTS, -1, np.int32)
+            table[slots[first]] = left[first]
+            self.tables.append((factor, table))
+            left = np.delete(left, first)
 
     @staticmethod
-    def _slot(codes: np.ndarray) -> np.ndarray:
-        return ((codes * _U(0x9E3779B97F4A7C15)) >> _U(64 - _SLOTS)).astype(np.int64)
+    def _slot(codes: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return ((codes * factor) >> _U(64 - _SLOTS)).astype(np.int64)
 
     def _mark(self, out: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> None:
-        maybe = np.flatnonzero(self.known[self._slot(codes)])
-        if len(maybe):
-            column = np.minimum(np.searchsorted(self.codes, codes[maybe]), len(self.codes) - 1)
-            same = self.codes[column] == codes[maybe]
-            out[owner[maybe[same]], column[same]] = 1
+        for factor, table in self.tables:
+            column = table[self._slot(codes, factor)]
+            taken = column >= 0
+            column, owner, codes = column[taken], owner[taken], codes[taken]
+            same = self.codes[column] == codes
+            out[owner[same], column[same]] = 1
+            # whoever met another n-gram may be in the next table
+            owner, codes = owner[~same], codes[~same]
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(a row per text with 1 where it has the n-gram, whether it has a letter)."""
