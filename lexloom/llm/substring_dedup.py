@@ -4,7 +4,7 @@ A gear hash rolls over the last 16 bytes; where it is small, a chunk ends. Bound
 them only, so an insertion changes the chunks it touches and no others. Chunks are compared by digest: a digest that
 more than one document has is repeated, and runs of neighbouring repeated chunks make repeated passages. Passages of
 at least ``min_words`` words are reported; a copied passage loses at each end what does not fill a chunk (about 50
-bytes), so a copied passage of 50 words nearly always leaves well over 10.
+bytes), so a copied passage of 50 words nearly always leaves over 15.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def chunks(docs: DataFrame, mean: int, least: int, most: int) -> DataFrame:
 PASSAGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("first_doc", T.LongType()), T.StructField("repeated", T.BooleanType())])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, mean: int = 24, least: int = 6, most: int = 512) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, mean: int = 24, least: int = 6, most: int = 512) -> DataFrame:
     """A row per repeated passage of a document: doc_id, text_hash (xxhash64 of the text it is in), start, stop (bytes of the
     UTF-8 text), n_words, first_doc (the smallest id of a document that has the passage's first chunk) and repeated
     (false where this document is the first for all of the passage's chunks, so that it is kept there).

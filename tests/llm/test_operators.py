@@ -749,7 +749,7 @@ def brute_chunks(text, mean=24, least=6, most=512):
     return out
 
 
-def brute_passages(rows, min_words=10):
+def brute_passages(rows, min_words=15):
     pieces = {(d, t): [(a, b, t.encode()[a:b]) for a, b in brute_chunks(t)] for d, t in rows if d is not None and t}
     held = collections.defaultdict(set)
     for (d, _), parts in pieces.items():
