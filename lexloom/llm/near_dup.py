@@ -256,7 +256,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out
 
 
-def _block_pairs(rows: DataFrame, group: list[str], blocks: Column) -> DataFrame:
+def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
     """Deals the members of each group to ``blocks`` blocks and repeats each for the pairs of blocks it is in: the
     members of one pair of blocks (x <= y) meet in one task's group of bounded size."""
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
@@ -312,7 +312,7 @@ def _open_pairs(read: _Texts, members: DataFrame, signatures: DataFrame, scratch
         return table.select(["bucket", "size_group", "id", "c", "upper"]).filter(pa.array(near))
 
     sized = _size_groups(members, threshold, scratch)
-    dealt = _block_pairs(sized, group, F.ceil(F.col("size") / 1024).cast("int")).join(signatures, "id")
+    dealt = _block_pairs(sized, F.ceil(F.col("size") / 1024).cast("int")).join(signatures, "id")
     near = dealt.select(*group, "x", "y", "id", "c", "n", "upper", "own", "signature").groupBy(*group, "x", "y").applyInArrow(close, "bucket long, size_group long, id long, c long, upper boolean")
     near = scratch.put(near.distinct(), "near")
     ids = scratch.put(near.select("id").distinct(), "near-ids")
@@ -357,7 +357,7 @@ def _open_pairs(read: _Texts, members: DataFrame, signatures: DataFrame, scratch
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (2 << 20))).cast("int")
-    dealt = _block_pairs(near.join(size, group), group, blocks).join(sets, "id")
+    dealt = _block_pairs(near.join(size, group), blocks).join(sets, "id")
     return scratch.put(dealt.select(*group, "x", "y", "id", "c", "upper", "own", "shingles").groupBy(*group, "x", "y").applyInArrow(links, "u long, v long").distinct(), "open-edges")
 
 
