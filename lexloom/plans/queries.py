@@ -229,11 +229,13 @@ def min_support_contexts(spark, sf):
     return contexts.min_support(marked_tags(spark, sf), 100)
 
 
-@query("SELECT user_id, CAST(count(CASE WHEN event_type = 'click' THEN 1 END) AS BIGINT) AS click, CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS BIGINT) AS error, CAST(count(CASE WHEN event_type = 'view' THEN 1 END) AS BIGINT) AS view FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY user_id")
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT user_id, " + ", ".join(f"CAST(count(CASE WHEN event_type = '{k}' THEN 1 END) AS BIGINT) AS {k}" for k in KINDS) + " FROM events GROUP BY user_id")
 def pivot_context(spark, sf):
-    kinds = ["click", "error", "view"]
-    n = read(spark, sf, "events").where(F.col("event_type").isin(kinds)).groupBy("user_id", "event_type").agg(F.count("*").alias("value"))
-    return contexts.to_wide(n, ["user_id"], kinds, "event_type", fill=0)
+    n = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("value"))
+    return contexts.to_wide(n, ["user_id"], KINDS, "event_type", fill=0)
 
 
 @query("SELECT doc_id, 'quality' AS context, CAST(quality AS DOUBLE) AS value FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS DOUBLE) FROM labels")
@@ -253,14 +255,8 @@ def vote_proportions(spark, sf):
     return contexts.vote_counts(e, ["user_id"], "code", "coder", 5).withColumn("share", F.round("share", 6))
 
 
-@query(r"SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(cell, '[ \t]*;[ \t]*')[1:10], lambda x: trim(x)), lambda x: x <> '')) AS code FROM (SELECT doc_id, replace(translate(split_part(text, chr(10), 1), '.,', ';;'), chr(13), '') AS cell FROM documents)")
-def split_explode_codes(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.replace(F.translate(F.split("text", "\n")[0], ".,", ";;"), F.lit("\r"), F.lit("")).alias("cell"))
-    return contexts.explode_codes(d, ["doc_id"], "cell")
-
-
 @query(r"SELECT doc_id, line, unnest(list_filter(list_transform(regexp_split_to_array(cell, '[ \t]*;[ \t]*')[1:10], lambda x: trim(x)), lambda x: x <> '')) AS code FROM (SELECT doc_id, line, replace(translate(lines[line], '.,', ';;'), chr(13), '') AS cell FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents))")
-def split_explode_codes_of_lines(spark, sf):
+def split_explode_codes(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "cell"))
     d = d.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.replace(F.translate("cell", ".,", ";;"), F.lit("\r"), F.lit("")).alias("cell"))
     return contexts.explode_codes(d, ["doc_id", "line"], "cell")

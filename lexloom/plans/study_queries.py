@@ -41,12 +41,11 @@ def resampling_convergence(spark, sf):
     return d.select("copy", "draw", F.col("iteration").cast("long").alias("iteration"), *(F.round(c, 6).alias(c) for c in ("running_mean", "hi", "lo")), "running_mean_stable", "hi_stable", "lo_stable")
 
 
-@query("""WITH s AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id) AS value FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM s WHERE event_type <> 'click'),
+@query("""WITH s AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id) AS value FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM s),
 g AS (SELECT iter, user_id, event_type, row_number() OVER (PARTITION BY iter, event_type ORDER BY md5('s|' || iter || '|' || event_type || '|' || user_id), user_id) AS r FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(3)) AS iter), (SELECT DISTINCT event_type FROM k))
 SELECT iter, g.user_id, event_type, round(value, 9) AS value FROM g JOIN k USING (event_type, r)""")
 def permutation_of_shares(spark, sf):
-    shares = event_shares(spark, sf).where("event_type <> 'click'")
-    return resample.permute(shares, read(spark, sf, "events"), ["user_id"], 3, name="event_type").select("iter", "user_id", "event_type", F.round("value", 9).alias("value"))
+    return resample.permute(event_shares(spark, sf), read(spark, sf, "events"), ["user_id"], 3, name="event_type").select("iter", "user_id", "event_type", F.round("value", 9).alias("value"))
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY md5('s|' || event_id), event_id) AS place FROM events")

@@ -119,7 +119,7 @@ def test_contexts_golden_cases(spark):
 def test_codes_of_all_lines_of_a_text(spark, tmp_path):
     rows = [(1, "bath, play\r\nmeal.;\n\nnap"), (2, None), (3, ";".join(map(str, range(12))) + "\nlast")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(tuple(r) for r in QUERIES["split_explode_codes_of_lines"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["split_explode_codes"](spark, str(tmp_path)).collect())
     assert got == sorted([(1, 1, "bath"), (1, 1, "play"), (1, 2, "meal"), (1, 4, "nap"), *((3, 1, str(i)) for i in range(10)), (3, 2, "last")])
 
 
