@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions import stats, text
-from lexloom.operators import agreement, contexts, descriptives, models, ngrams, resample, segment, translate, windows
+from lexloom.operators import agreement, contexts, descriptives, models, ngrams, resample, segment, topic_search, translate, windows
 from lexloom.plans import analysis
 from lexloom.plans.queries import EV, PAIR, TAGS, TOK, TURN, UNSURE, bigram_sql, dictionary_words, event_hits, event_shares, label_items, marked_tags, query, read, segment_sql, segmented, tags, turn_tokens, units_sql
 from lexloom.scratch import Scratch
@@ -323,17 +323,28 @@ def syllable_profile(spark, sf):
     return d.select("role", "n_syl", "n_types", "total", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "se")))
 
 
-@query()
-def utterance_loadings(spark, sf):
-    """Topic loadings of windows of 30 turns of all conversations, for each turn of the window."""
-    scratch = Scratch(spark, "window-topics")
+def window_vectors(spark, sf, scratch):
+    """(windows of 30 turns of all conversations, their turns)."""
     turns = windows.tumbling(read(spark, sf, "conversations"), ["conv_id"], ["turn"], 30)
     docs = windows.window_text(turns, ["conv_id", "window"], "turn", "text")
-    vectors = scratch.put(models.vectorise(docs, "text")[0].select("conv_id", "window", "counts"), "vectors")
+    return scratch.put(models.vectorise(docs, "text")[0].select("conv_id", "window", "counts"), "vectors"), turns
+
+
+@query()
+def utterance_loadings(spark, sf):
+    """Topic loadings of windows, for each turn of the window."""
+    vectors, turns = window_vectors(spark, sf, Scratch(spark, "window-topics"))
     loaded = models.loadings(models.fit_topics(vectors, 3, 20), vectors, ["conv_id", "window"])
     return models.utterance_loadings(loaded, turns.select(F.concat_ws("_", "conv_id", "turn").alias("utt"), "conv_id", "window"), ["conv_id", "window"])
 
 
+@query()
+def search_k(spark, sf):
+    """Models of windows with two to four topics."""
+    vectors, _ = window_vectors(spark, sf, Scratch(spark, "window-topics"))
+    return topic_search.search_k(vectors, ["conv_id", "window"], [2, 3, 4])
+
+
 # ------------------------------------------------------------------ columns and text
 
 

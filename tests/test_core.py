@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lexloom.functions import stats, text
-from lexloom.operators import agreement, contexts, models, ngrams, resample, segment, translate, windows
+from lexloom.operators import agreement, contexts, models, ngrams, resample, segment, topic_search, translate, windows
 from lexloom.plans import analysis
 from lexloom.plans.queries import ORACLES, QUERIES
 from lexloom.sources import readers, writers
@@ -288,13 +288,12 @@ def test_latent_classes_find_two_groups(spark):
     assert {r["class"] for r in posteriors.where("k = 2 and a = '1'").collect()} != {r["class"] for r in posteriors.where("k = 2 and a = '0'").collect()}
 
 
-def test_topics_and_search(spark):
+def test_topics(spark):
     v, vocabulary = models.vectorise(spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'").limit(60), "text")
     model = models.fit_topics(v, 3, 3)
     assert models.top_words(model, vocabulary, 5).count() == 15
     total = models.loadings(model, v, ["doc_id"]).groupBy("doc_id").agg(F.sum("loading").alias("s"))
     assert total.where(F.abs(F.col("s") - 1) > 1e-6).count() == 0
-    assert [r.k for r in models.search_k(v, [2, 3], iters=2).collect()] == [2, 3]
 
 
 def test_topics_are_fitted_on_every_token_of_every_document(spark):
@@ -309,6 +308,38 @@ def test_topics_are_fitted_on_every_token_of_every_document(spark):
     assert sorted(got["doc_id"]) == sorted(r[0] for r in docs.select("doc_id").distinct().collect()) and (got["s"] - 1).abs().max() < 1e-6
 
 
+def test_search_for_a_number_of_topics(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+    v = models.vectorise(docs.union(spark.createDataFrame([(-1, "")], "doc_id long, text string")), "text")[0].select("doc_id", "counts").persist()
+    split = topic_search.hold_out_words(v, ["doc_id"], 0.3).persist()
+    whole = {r.doc_id: r.counts.toArray() for r in v.collect()}
+    rows = split.collect()
+    held = [r for r in rows if r.held is not None]
+    assert sorted(r.doc_id for r in rows) == sorted(whole) and 0.15 * len(rows) < len(held) < 0.45 * len(rows)
+    for r in rows:
+        taken = r.held.toArray() if r.held is not None else 0
+        assert (r.counts.toArray() + taken == whole[r.doc_id]).all()
+        assert r.held is None or taken.sum() == whole[r.doc_id].sum() // 2
+    model = models.fit_topics(split, 3, 4)
+    beta, got = topic_search.topic_words(model), topic_search.diagnostics(model, split)
+    theta = {r.doc_id: np.array(r.theta) for r in model.transform(split).select("doc_id", models.topic_shares().alias("theta")).collect()}
+    best = [sorted(range(beta.shape[1]), key=lambda w: (-b[w], w))[:10] for b in beta]
+    n = np.array([r.counts.toArray() for r in rows if r.counts.toArray().any()])
+    rank = lambda x: pd.Series(x).rank().to_numpy() / len(x)
+    exclusive = [sum(1 / (0.7 / rank(b / beta.sum(axis=0))[w] + 0.3 / rank(b)[w]) for w in top) for b, top in zip(beta, best)]
+    coherent = [sum(math.log((((n[:, a] > 0) & (n[:, b] > 0)).sum() + 0.01) / ((n[:, b] > 0).sum() + 0.01)) for i, a in enumerate(top) for b in top[:i]) for top in best]
+    likely = [np.average(np.log(theta[r.doc_id] @ beta), weights=r.held.toArray()) for r in held if r.held.toArray().any()]
+    q = np.array([theta[r.doc_id] @ beta for r in rows if r.counts.toArray().any()])
+    mean = q * n.sum(axis=1, keepdims=True)
+    free = (mean > 0.01).sum() - beta.shape[1] - (len(n) * 2 + 3 * (beta.shape[1] - 1))
+    # the squared residuals over the variances of the counts
+    want = {"exclusivity": np.mean(exclusive), "coherence": np.mean(coherent), "held_out": np.mean(likely), "residual": ((n - mean) ** 2 / (mean * (1 - q))).sum() / free}
+    assert got == pytest.approx(want, rel=1e-6)
+    found = topic_search.search_k(v, ["doc_id"], [2, 3], runs=2, iters=2).collect()
+    assert [(r.k, r.run, r.iterations) for r in found] == [(2, 1, 2), (3, 1, 2), (2, 2, 2), (3, 2, 2)]
+    assert all(r.lbound == pytest.approx(r.bound + math.log(math.factorial(r.k))) for r in found)
+
+
 def test_vocabulary_has_every_term_of_three_documents(spark):
     name = F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm")
     words = spark.range(20_500).select(F.concat(F.lit("q"), name).alias("w")).agg(F.array_join(F.collect_list("w"), " ").alias("text"))
