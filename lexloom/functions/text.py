@@ -136,10 +136,3 @@ def checksum_matches(content: Column, prefix: str) -> Column:
     if len(prefix) < 6:
         raise ValueError("at least 6 digits are needed")
     return F.sha1(content.cast("binary")).startswith(prefix.lower())
-
-
-def stem(word: Column) -> Column:
-    """A light English stem: plural and -ing / -ed endings go where a vowel stays before them."""
-    w = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "sses$", "ss"), "ies$", "i"), "([^su])s$", "$1")
-    w = F.regexp_replace(w, "^(.*[aeiouy].*)(?:ing|ed)(?:ly)?$", "$1")
-    return F.regexp_replace(F.regexp_replace(w, "([bdfgmnprt])\\1$", "$1"), "([^aeiou])y$", "$1i")
