@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions import stats, text
-from lexloom.operators import agreement, contexts, descriptives, models, ngrams, resample, segment, topic_search, translate, windows
+from lexloom.operators import agreement, contexts, descriptives, models, ngrams, resample, segment, structural_topics, topic_search, translate, windows
 from lexloom.plans import analysis
 from lexloom.plans.queries import EV, PAIR, TAGS, TOK, TURN, UNSURE, bigram_sql, dictionary_words, event_hits, event_shares, label_items, marked_tags, query, read, segment_sql, segmented, tags, turn_tokens, units_sql
 from lexloom.scratch import Scratch
@@ -345,6 +345,16 @@ def search_k(spark, sf):
     return topic_search.search_k(vectors, ["conv_id", "window"], [2, 3, 4])
 
 
+@query()
+def structural_topics_by_role(spark, sf):
+    """Loadings of three topics whose prevalence and words depend on the role; documents are the turns of a role in a window."""
+    keys = ["conv_id", "window", "role"]
+    turns = windows.tumbling(read(spark, sf, "conversations"), ["conv_id"], ["turn"], 30)
+    docs = windows.window_text(turns, keys, "turn", "text")
+    vectors = Scratch(spark, "structural-topics").put(models.vectorise(docs, "text")[0].select(*keys, "counts"), "vectors")
+    return structural_topics.fit_structural_topics(vectors, "role", 3).loadings(vectors, keys)
+
+
 # ------------------------------------------------------------------ columns and text
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import stats, text
 from lexloom.functions.stemmer import stems
-from lexloom.operators import agreement, contexts, models, ngrams, resample, segment, topic_search, translate, windows
+from lexloom.operators import agreement, contexts, models, ngrams, resample, segment, structural_topics, topic_search, translate, windows
 from lexloom.plans import analysis
 from lexloom.plans.queries import ORACLES, QUERIES
 from lexloom.sources import readers, writers
@@ -341,6 +341,52 @@ def test_search_for_a_number_of_topics(spark):
     assert all(r.lbound == pytest.approx(r.bound + math.log(math.factorial(r.k))) for r in found)
 
 
+def test_steps_of_structural_topics_match_brute_force():
+    rng = np.random.default_rng(3)
+    beta, n = rng.dirichlet(np.ones(6), 2), rng.integers(0, 9, 6).astype(float)
+    mu, inverse = np.array([0.4]), np.array([[0.5]])
+    eta, around, counts, density = structural_topics.posterior(n, beta, mu, inverse)
+    grid = np.linspace(-8, 8, 160_001)
+    theta = 1 / (1 + np.exp(-grid))
+    values = np.log(theta[:, None] * beta[0] + (1 - theta)[:, None] * beta[1]) @ n - 0.25 * (grid - 0.4) ** 2
+    best = values.argmax()
+    assert eta[0] == pytest.approx(grid[best], abs=1e-3) and density == pytest.approx(values[best], abs=1e-6)
+    curve = (values[best - 100] + values[best + 100] - 2 * values[best]) / (100 * (grid[1] - grid[0])) ** 2
+    assert around[0, 0] == pytest.approx(-1 / curve, rel=1e-3) and counts.sum(axis=0) == pytest.approx(n)
+    eta, _, _, _ = structural_topics.posterior(np.zeros(0), beta[:, :0], mu, inverse)
+    assert eta == pytest.approx(mu)
+    counts = rng.integers(5, 60, (2, 3, 7)).astype(float)
+    loose, tight = structural_topics.word_shares(counts, 1e6), structural_topics.word_shares(counts, 1e-9)
+    assert loose == pytest.approx(counts / counts.sum(axis=2, keepdims=True), rel=1e-3)
+    assert tight == pytest.approx(np.broadcast_to(counts.sum(axis=(0, 1)) / counts.sum(), counts.shape), rel=1e-3)
+
+
+def test_structural_topics_find_what_groups_differ_in(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    rng = np.random.default_rng(5)
+    # topic 0 has words 0 to 3, topic 1 words 4 to 7; group b says 1 for 0, and has more of topic 1
+    words = {g: np.array([[0.3, 0.02, 0.3, 0.3, 0.02, 0.02, 0.02, 0.02], [0.02, 0.02, 0.02, 0.02, 0.23, 0.23, 0.23, 0.23]]) for g in "ab"}
+    words["b"][0, [0, 1]] = words["b"][0, [1, 0]]
+    rows = []
+    for i in range(240):
+        g = "ab"[i % 2]
+        share = 1 / (1 + np.exp(-rng.normal(0.7 if g == "a" else -0.7, 1.5)))
+        n = rng.multinomial(80, np.array([share, 1 - share]) @ (words[g] / words[g].sum(axis=1, keepdims=True)))
+        rows.append((i, g, Vectors.sparse(8, np.flatnonzero(n).tolist(), n[n > 0].astype(float).tolist())))
+    rows += [(900, "a", Vectors.sparse(8, [], [])), (901, None, Vectors.sparse(8, [1], [2.0]))]
+    v = spark.createDataFrame(rows, StructType([StructField("doc_id", LongType()), StructField("g", StringType()), StructField("counts", VectorUDT())])).repartition(3).persist()
+    model = structural_topics.fit_structural_topics(v, "g", 2, iters=20)
+    assert model.groups == [None, "a", "b"] and model.bounds[-1] > model.bounds[0]
+    first = int(model.beta[1][:, 2:4].sum(axis=1).argmax())
+    assert model.beta[1][first, 0] > 4 * model.beta[1][first, 1] and model.beta[2][first, 1] > 4 * model.beta[2][first, 0]
+    got = model.loadings(v, ["doc_id"]).toPandas().pivot(index="doc_id", columns="topic", values="loading")
+    assert sorted(got.index) == sorted(r[0] for r in rows) and (got.sum(axis=1) - 1).abs().max() < 1e-9
+    assert got.loc[0:239:2, first].mean() > got.loc[1:239:2, first].mean() + 0.15
+    assert got.loc[900].to_numpy() == pytest.approx(structural_topics.shares(model.mu[1]))
+
+
 def test_vocabulary_has_every_term_of_three_documents(spark):
     name = F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm")
     words = spark.range(20_500).select(F.concat(F.lit("q"), name).alias("w")).agg(F.array_join(F.collect_list("w"), " ").alias("text"))
