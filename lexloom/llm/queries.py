@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster_vectors
 from .decontaminate import contamination
 from .language import identify
 from .line_dedup import dedup_lines
@@ -15,8 +16,10 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .reputation import TWO_LABEL_SUFFIXES, UrlRule, judge_urls, url_host, url_path
 from .rules import quality_rules
+from .secret_scan import scan_secrets
 from .site_quality import classify
 from .substring_dedup import repeated_passages
+from .whitening import whiten
 
 #: Fixed rules of the url filter.
 URL_RULES = [UrlRule("block", "com/en/"), UrlRule("allow", "example.com/en/7"), UrlRule("allow", "net/de/"), UrlRule("block", "example.net/de/8"), UrlRule("block", "org/es/")]
@@ -90,8 +93,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def span_list(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white, rows = whiten(table(spark, sf_dir, "embeddings"))
+    n, error = (white.n, white.identity_error) if white else (0, None)
+    explained = [float(v) / white.trace if white.trace else None for v in white.values] if white else []
+    share = F.array(*(F.lit(v).cast("double") for v in explained))
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(share, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, placed = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    of = lambda values, kind: F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("cluster"))
+    return placed.select(
+        "vec_id", "cluster", "distance", of(clusters.inertia, "bigint").alias("cluster_inertia"), F.lit(sum(clusters.inertia)).cast("long").alias("inertia"),
+        of([clusters.digest(i) for i in range(len(clusters.centroids))], "string").alias("centroid_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_language_id, op3_minhash_near_dedup, op4_quality_rules, op5_url_filter, op6_lm_scoring, op7_decontamination, op8_line_dedup, op9_best_fit_packing, op10_substring_dedup]
+    found = [op1_quality_classifier, op2_language_id, op3_minhash_near_dedup, op4_quality_rules, op5_url_filter, op6_lm_scoring, op7_decontamination, op8_line_dedup, op9_best_fit_packing, op10_substring_dedup, op11_secret_scan, op12_embedding_whitening, op13_centroid_clustering]
     return {f.__name__: f for f in found}
 
 
@@ -172,5 +204,29 @@ ORACLE_SQL = {
 }
 
 
+def cluster_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds of op13 as a chain of table expressions."""
+    near = "SELECT r, arg_min(c, (d, c)) AS c FROM (SELECT x.r, m.c, sum((x.x - m.x) * (x.x - m.x)) AS d FROM x JOIN m{} m USING (i) GROUP BY x.r, m.c) GROUP BY r"
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims})""",
+        f"x AS MATERIALIZED (SELECT r, unnest(v) AS x, unnest(range({dims})) AS i FROM v)",
+        f"first AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM v ORDER BY c LIMIT {k})",
+        "m0 AS MATERIALIZED (SELECT c, i, x FROM x JOIN first USING (r))",
+    ]
+    for t in range(rounds):
+        parts.append(f"a{t} AS MATERIALIZED ({near.format(t)})")
+        parts.append(f"s{t} AS (SELECT c, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM x JOIN a{t} USING (r) GROUP BY c, i)")
+        parts.append(f"m{t + 1} AS MATERIALIZED (SELECT m.c, m.i, CASE WHEN n IS NULL THEN m.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM m{t} m LEFT JOIN s{t} s ON m.c = s.c AND m.i = s.i)")
+    parts += [
+        f"a AS MATERIALIZED ({near.format(rounds)})",
+        f"d AS MATERIALIZED (SELECT a.r, a.c, sum((x.x - m.x) * (x.x - m.x)) AS distance FROM a JOIN x ON a.r = x.r JOIN m{rounds} m ON a.c = m.c AND x.i = m.i GROUP BY a.r, a.c)",
+        f"h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)",
+    ]
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(d.c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY d.c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM v JOIN d USING (r) JOIN h ON d.c = h.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | {"op13_centroid_clustering": cluster_sql()}
