@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexloom.scratch import ship_package
+from lexloom.functions.stats import chi_square_upper
+from lexloom.functions.text import p_text
+from lexloom.operators.resample import uniform
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,95 +27,82 @@ def method_pairs(codes: DataFrame, keys: list[str], left: str, right: str, metho
     return crosstab(a.join(b, keys, "full").fillna("none", ["a", "b"]), "a", "b")
 
 
-def chi_square(cells: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
-    """One row: chi2, dof, total, cramers_v, phi of a table of counts. Cells that don't occur count 0."""
-    rows, cols = cells.groupBy(a).agg(F.sum(n).alias("ra")), cells.groupBy(b).agg(F.sum(n).alias("cb"))
-    total = cells.agg(F.sum(n).alias("total"))
-    grid = rows.crossJoin(cols).join(cells.groupBy(a, b).agg(F.sum(n).alias("o")), [a, b], "left").crossJoin(F.broadcast(total))  # contexts x contexts
-    e = F.col("ra") * F.col("cb") / F.col("total")
-    out = grid.agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - e, 2) / e).alias("chi2"), F.countDistinct(a).alias("r"), F.countDistinct(b).alias("c"), F.max("total").alias("total"))
-    least = F.least(F.col("r") - 1, F.col("c") - 1)
-    return out.select("chi2", ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"), "total", F.sqrt(F.try_divide(F.col("chi2"), F.col("total") * least)).alias("cramers_v"), F.sqrt(F.col("chi2") / F.col("total")).alias("phi"))
-
-
-def chi_square_p(chi2: float, dof: int) -> float:
-    """Upper tail of the chi-square distribution: the regularised incomplete gamma function."""
-    import math
-
-    a, x = dof / 2, chi2 / 2
-    if x <= 0:
-        return 1.0
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > 1e-15 * abs(total):
-            k += 1
-            term *= x / k
-            total += term
-        return 1 - total * math.exp(-x + a * math.log(x) - math.lgamma(a))
-    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return h * math.exp(-x + a * math.log(x) - math.lgamma(a))
-
-
-def report(table: DataFrame) -> str:
-    r = table.first()
-    p = chi_square_p(r["chi2"], r["dof"])
-    return f"chi2({r['dof']}, N = {r['total']}) = {r['chi2']:.2f}, {'p < .001' if p < 0.001 else f'p = {p:.3f}'}, V = {r['cramers_v']:.2f}"
-
-
-def multiple_response_statistic(wide: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    """Sum over all pairs of items of the 2x2 chi-square: one row (statistic, n). Multiple responses are allowed."""
+def chi_square(cells: DataFrame, a: str, b: str, n: str = "n", by: list[str] | None = None) -> DataFrame:
+    """A row per table of counts (one for each value of ``by``): by, chi2, dof, total, cramers_v, phi, p_value and report, a
+    text with all of them. Cells that don't occur count 0: they need no row, since the statistic is
+    total * (sum of n^2 / (row sum * column sum) - 1)."""
+    by = by or []
+    cells = cells.groupBy(*by, a, b).agg(F.sum(n).alias("_o")).where("_o > 0")
+    rows, cols = cells.groupBy(*by, a).agg(F.sum("_o").alias("_ra")), cells.groupBy(*by, b).agg(F.sum("_o").alias("_cb"))
+    grid = cells.join(rows.select(*(F.col(k).alias(f"_r_{k}") for k in [*by, a]), "_ra"), _same([*by, a], "_r_")).join(cols.select(*(F.col(k).alias(f"_c_{k}") for k in [*by, b]), "_cb"), _same([*by, b], "_c_"))
+    out = grid.groupBy(*by).agg(F.sum("_o").alias("total"), F.sum(F.col("_o").cast("double") * F.col("_o") / (F.col("_ra").cast("double") * F.col("_cb"))).alias("_s"))
+    sides = [x.groupBy(*by).agg(F.count("*").alias(name)) for x, name in ((rows, "_r"), (cols, "_c"))]
+    for side in sides:
+        out = out.join(side.select(*(F.col(k).alias(f"_k_{k}") for k in by), side.columns[-1]), _same(by, "_k_")).drop(*(f"_k_{k}" for k in by)) if by else out.crossJoin(F.broadcast(side))  # one row
+    chi2 = F.greatest(F.lit(0.0), F.col("total") * (F.col("_s") - 1))
+    least = F.least(F.col("_r") - 1, F.col("_c") - 1)
+    out = out.select(*by, chi2.alias("chi2"), ((F.col("_r") - 1) * (F.col("_c") - 1)).alias("dof"), "total", F.sqrt(F.try_divide(chi2, F.col("total") * least)).alias("cramers_v"), F.sqrt(chi2 / F.col("total")).alias("phi"))
+    out = out.withColumn("p_value", chi_square_upper(F.col("chi2"), F.col("dof")))
+    shown = F.concat(F.lit("chi2("), F.col("dof"), F.lit(", N = "), F.col("total"), F.lit(") = "), F.format_string("%.2f", "chi2"), F.lit(", "), p_text(F.col("p_value")), F.when(F.col("cramers_v").isNull(), "").otherwise(F.concat(F.lit(", V = "), F.format_string("%.2f", "cramers_v"))))
+    return out.withColumn("report", shown)
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    """Whether ``keys`` are equal to the columns of these names with a prefix; null is a value."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
+
+
+def multiple_response_statistic(wide: DataFrame, left: list[str], right: list[str], by: list[str] | None = None) -> DataFrame:
+    """Sum over all pairs of items of the 2x2 chi-square: a row (by, statistic, n) for each value of ``by``, else one.
+    Multiple responses are allowed."""
+    by = by or []
     aggs = [F.count("*").alias("n")] + [F.sum(F.col(c)).alias(f"_{c}") for c in [*left, *right]] + [F.sum(F.col(x) * F.col(y)).alias(f"_{x}_{y}") for x in left for y in right]
-    out = wide.agg(*aggs)
+    out = wide.groupBy(*by).agg(*aggs)
     total = F.lit(0.0)
     n = F.col("n")
     for x in left:
         for y in right:
             a, b, ab = F.col(f"_{x}"), F.col(f"_{y}"), F.col(f"_{x}_{y}")
             total = total + F.coalesce(F.try_divide(n * F.pow(n * ab - a * b, 2), (a * b * (n - a) * (n - b)).cast("double")), F.lit(0.0))
-    return out.select(total.alias("statistic"), "n")
+    return out.select(*by, total.alias("statistic"), "n")
 
 
-def multiple_response_bootstrap(wide: DataFrame, left: list[str], right: list[str], iters: int = 200, seed: int = 1) -> DataFrame:
-    """Null distribution of the statistic: the two sides are drawn independently from their pattern tables, which have
-    at most 2^items rows and go to the driver; the draws are tasks. (iter, statistic)."""
+def pattern_ranges(wide: DataFrame, items: list[str], bucket: int) -> DataFrame:
+    """(bucket, low, high, items): each pattern of the items has the places low .. high - 1 of as many as it has rows,
+    in the order of the patterns, and a row for each bucket of ``bucket`` places that these are in. Patterns are few."""
+    counts = wide.groupBy(*items).agg(F.count("*").alias("_n"))
+    high = F.sum("_n").over(Window.orderBy(*items).rowsBetween(Window.unboundedPreceding, 0))  # as many rows as there are patterns
+    ranges = counts.withColumn("high", high).withColumn("low", F.col("high") - F.col("_n"))
+    every = F.sequence(F.floor(F.col("low") / bucket), F.floor((F.col("high") - 1) / bucket))
+    return ranges.select(F.explode(every).alias("bucket"), "low", "high", *items)
+
+
+def multiple_response_bootstrap(wide: DataFrame, left: list[str], right: list[str], iters: int = 200, seed: str = "s") -> DataFrame:
+    """Null distribution of the statistic: (iter, statistic, n). In each iteration as many elements as there are get a
+    pattern of each side, drawn with replacement and independently of the other side: a hash of the draw gives a place
+    among the rows in the order of their patterns, and the pattern whose places it is in comes by a join on buckets of
+    places. Rows with a null are left out."""
     spark = wide.sparkSession
-    ship_package(spark)
-    tables = []
-    for side in (left, right):
-        rows = wide.groupBy(*side).agg(F.count("*").alias("_n")).orderBy(*side).collect()
-        tables.append((np.array([[r[c] for c in side] for r in rows], float).reshape(len(rows), len(side)), np.array([r["_n"] for r in rows], float)))
-    (pa_, na), (pb, nb) = tables
-    n = int(na.sum())
-
-    def draw(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for i in pdf["iter"]:
-                rng = np.random.default_rng([seed, int(i)])
-                joint = rng.multinomial(n, np.outer(na / n, nb / n).ravel()).reshape(len(na), len(nb))
-                a, b, ab = joint.sum(1) @ pa_, joint.sum(0) @ pb, pa_.T @ joint @ pb
-                bottom = np.outer(a * (n - a), b * (n - b))
-                out.append(float(np.where(bottom > 0, n * (n * ab - np.outer(a, b)) ** 2 / np.where(bottom > 0, bottom, 1), 0).sum()))
-            yield pd.DataFrame({"iter": pdf["iter"], "statistic": out})
-
-    return spark.range(iters).withColumnRenamed("id", "iter").mapInPandas(draw, "iter long, statistic double")
-
-
-def multiple_response_test(wide: DataFrame, left: list[str], right: list[str], iters: int = 200, seed: int = 1) -> DataFrame:
-    """One row: statistic, n, iters and p_value, the share of draws under independence that reach the statistic."""
-    seen = multiple_response_statistic(wide, left, right)
-    drawn = multiple_response_bootstrap(wide, left, right, iters, seed).withColumnRenamed("statistic", "_drawn")
+    known = wide.dropna("any", subset=[*left, *right])
+    n = known.count()
+    bucket = max(1, n // 1000)
+    out = spark.range(iters * n).select(F.floor(F.col("id") / max(1, n)).alias("iter"), (F.col("id") % max(1, n)).alias("draw"))
+    for side, items in (("l", left), ("r", right)):
+        place = F.floor(uniform(F.lit(seed), F.lit(side), F.col("iter").cast("string"), F.col("draw").cast("string")) * n)
+        out = out.withColumn("_at", place).withColumn("bucket", F.floor(F.col("_at") / bucket))
+        ranges = pattern_ranges(known, items, bucket)
+        out = out.join(ranges, "bucket").where((F.col("low") <= F.col("_at")) & (F.col("_at") < F.col("high"))).drop("bucket", "low", "high", "_at")
+    return multiple_response_statistic(out, left, right, ["iter"])
+
+
+def multiple_response_test(wide: DataFrame, left: list[str], right: list[str], iters: int = 200, seed: str = "s") -> DataFrame:
+    """One row: statistic, n, iters and p_value, the share of draws under independence that reach the statistic, counting the
+    sample itself as one of them, so that it is never 0."""
+    seen = multiple_response_statistic(wide.dropna("any", subset=[*left, *right]), left, right)
+    drawn = multiple_response_bootstrap(wide, left, right, iters, seed).select("iter", F.col("statistic").alias("_drawn"))
     both = drawn.crossJoin(F.broadcast(seen))  # one row
-    return both.groupBy("statistic", "n").agg(F.count("*").alias("iters"), F.avg((F.col("_drawn") >= F.col("statistic")).cast("double")).alias("p_value"))
+    reached = F.count_if(F.col("_drawn") >= F.col("statistic") * (1 - 1e-9))
+    return both.groupBy("statistic", "n").agg(F.count("*").alias("iters"), ((reached + 1) / (F.count("*") + 1)).alias("p_value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import letters, split_codes, tokens
+from lexloom.functions.text import split_codes
 
 
 def to_long(wide: DataFrame, keys: list[str], columns: list[str] | None = None, name: str = "context", value: str = "value") -> DataFrame:
@@ -85,20 +85,50 @@ def min_support(long: DataFrame, least: float, strict: bool = True, name: str =
     return total.where(F.col("total") > least if strict else F.col("total") >= least)
 
 
+#: What words are made of; a keyword begins and ends where words do.
+WORD = r"[\p{L}\p{M}\p{N}_]+"
+
+
+def keyword_form(text: Column) -> Column:
+    """Lower case, with runs of white space as one blank: the form in which texts and keywords are compared."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
+
+
+def keyword_grams(docs: DataFrame, keys: list[str], text: str, lengths: list[int]) -> DataFrame:
+    """(keys, grams): the parts of each text that begin and end with words and have as many words as ``lengths`` says, with
+    all that stands between the words; a part that occurs twice is there twice."""
+    other = WORD.replace("[", "[^")
+    parts = F.regexp_extract_all(keyword_form(F.col(text)), F.lit(f"{WORD}|{other}"), F.lit(0))  # words and what is between them, in turn
+    first = F.when(F.get("_parts", F.lit(0)).rlike(WORD), 1).otherwise(2)
+
+    def grams(n: int) -> Column:
+        last = F.size("_parts") - (2 * n - 2)
+        each = F.transform(F.sequence(F.col("_first"), last, F.lit(2)), lambda i: F.array_join(F.slice("_parts", i, F.lit(2 * n - 1)), ""))
+        return F.when(last >= F.col("_first"), each).otherwise(F.array().cast("array<string>"))
+
+    # the parts are a column of their own, so that they are made once
+    spread = docs.select(*keys, parts.alias("_parts")).select(*keys, "_parts", first.alias("_first"))
+    return spread.select(*keys, F.flatten(F.array(*map(grams, lengths))).alias("grams") if lengths else F.array().cast("array<string>").alias("grams"))
+
+
+def listed_keywords(words: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(distinct keywords (context, word) in the form of texts, with blanks for '_'; the numbers of words that they have).
+    Keywords that don't begin and end with a letter, mark, digit or '_' are nowhere on word boundaries and go."""
+    form = keyword_form(F.replace("word", F.lit("_"), F.lit(" ")))
+    listed = words.select("context", form.alias("word")).where(F.col("word").rlike(f"^{WORD}(.*{WORD})?$")).distinct()
+    lengths = listed.agg(F.collect_set(F.size(F.regexp_extract_all("word", F.lit(WORD), F.lit(0))))).first()[0]
+    return listed, sorted(lengths)
+
+
 def keyword_tags(docs: DataFrame, keys: list[str], text: str, words: DataFrame) -> DataFrame:
-    """(keys, context, value): how many of a context's keywords an utterance has. words has (context, word); a word may
-    have several parts joined by blanks or '_'. An equi-join on n-grams of the lengths that occur, not a regular
-    expression per pair."""
-    listed = words.select("context", F.replace(F.lower("word"), F.lit("_"), F.lit(" ")).alias("word")).where("word <> ''").distinct()
-    longest = listed.agg(F.max(F.size(F.split("word", " ")))).first()[0] or 1
-    t = tokens(letters(F.col(text)))
-
-    def grams_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice(F.col("t"), i, F.lit(n)), " "))
-
-    grams = [grams_of(n) for n in range(1, longest + 1)]
-    parts = F.flatten(F.array(*(F.when(F.size("t") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(grams, 1))))
-    found = docs.select(*keys, t.alias("t")).select(*keys, F.explode(F.array_distinct(parts)).alias("word"))
+    """(keys, context, value): how many of a context's keywords an utterance has. words has (context, word); a word may have
+    several parts, joined by blanks, '_', hyphens, apostrophes or whatever else stands between words.
+
+    A keyword is found where it stands in the text as it is, in either case, between word boundaries: "that's" in "that's
+    it", and "that" too, but not "hat's". An equi-join on parts of the texts, of the numbers of words that occur, not a
+    regular expression per pair."""
+    listed, lengths = listed_keywords(words)
+    found = keyword_grams(docs, keys, text, lengths).select(*keys, F.explode(F.array_distinct("grams")).alias("word"))
     return found.join(listed, "word").groupBy(*keys, "context").agg(F.count("*").alias("value"))
 
 

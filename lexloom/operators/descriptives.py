@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.stats import standard_error
+from lexloom.operators.contexts import keyword_grams, listed_keywords
 
 
 def describe(tokens: DataFrame, by: list[str], unit: list[str], token: str) -> DataFrame:
@@ -69,16 +70,13 @@ def coverage(tagged: DataFrame, keys: list[str], all_rows: DataFrame, name: str
     return per.agg(F.count("*").alias("elements"), share(F.col("n") == 0).alias("none"), share(F.col("n") == 1).alias("one"), share(F.col("n") == 2).alias("two"), share(F.col("n") >= 3).alias("more"))
 
 
-def keyword_frequency(tokens: DataFrame, words: DataFrame, token: str, unit: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """Per context: total, mean and largest count of its keywords, and the most frequent one (ties: smallest).
-    Keywords that never occur count 0. Keywords of two words, with a blank between them, are counted among the neighbours of
-    a ``unit`` in ``order``."""
-    counted = tokens.groupBy(F.col(token).alias("word")).agg(F.count("*").alias("f"))
-    if unit:
-        w = Window.partitionBy(*unit).orderBy(order)
-        pairs = tokens.select(F.concat_ws(" ", F.col(token), F.lead(token).over(w)).alias("word")).where(F.col("word").contains(" "))
-        counted = counted.union(pairs.groupBy("word").agg(F.count("*").alias("f")))
-    counted = words.select("context", "word").distinct().join(counted, "word", "left").select("context", "word", F.coalesce("f", F.lit(0)).alias("f"))
+def keyword_frequency(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """Per context: total, mean and largest count of its keywords, and the most frequent one (ties: smallest). Keywords of
+    any number of words are counted wherever they stand in the texts on word boundaries (see contexts.keyword_tags), also
+    where they overlap; those that never occur count 0."""
+    listed, lengths = listed_keywords(words)
+    counted = keyword_grams(docs, [], text, lengths).select(F.explode_outer("grams").alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("f"))
+    counted = listed.join(counted, "word", "left").select("context", "word", F.coalesce("f", F.lit(0)).alias("f"))
     return counted.groupBy("context").agg(F.sum("f").alias("total"), F.avg("f").alias("mean"), F.max("f").alias("most"), F.min_by("word", F.struct(-F.col("f"), F.col("word"))).alias("top_word"))
 
 

@@ -1,26 +1,31 @@
-"""Structural topic models with one covariate of few values, on which both the prevalence of topics and their words may
-depend.
-
-A document of group g has topic shares softmax(eta, 0) with eta ~ N(mu_g, sigma); topic k's words in group g have
-probabilities in proportion to exp(m + topic_k + group_g + both_gk), where m is the log share of a word in all texts and
-the three deviations have Gaussian priors. Fitted by variational EM: documents by Newton steps and Laplace's
-approximation, words by a regularised Poisson regression per word, whose conditional likelihood is the multinomial's.
-The fit is a local optimum near topics without covariate, from which it starts.
+"""Structural topic models: the prevalence of topics depends on covariates of the documents, and their words on one more.
+
+A document with covariates x has topic shares softmax(eta, 0) with eta ~ N(x gamma, sigma). With a content covariate of few
+values, topic k's words at its value a have probabilities in proportion to exp(m + topic_k + content_a + both_ak), where m
+is the log share of a word in all texts and the three deviations are sparse: they have a Laplace prior, whose strength is
+chosen for each word by the information criterion along a path. Without it, a topic has one distribution.
+
+Fitted by variational EM from a spectral start. Documents are kept in blocks. In each iteration a block gets the rows of the
+model for its own words by a join, a task takes its documents' Newton steps and gives expected counts; these are added up
+by word, and the words' regressions are tasks too. Nothing of the size of the vocabulary comes to the driver: it holds
+covariates x topics and topics x topics numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.models import fit_topics
-from lexloom.operators.topic_search import topic_words
-from lexloom.scratch import ship_package
+from lexloom.operators.spectral_topics import bag, spectral_start, word_totals
+from lexloom.scratch import Scratch, ship_package
+
+#: Distinct words of documents, added up, that make a block: at most and, where that leaves cores idle, at least.
+BLOCK_WORDS = (50_000, 2_000)
 
 
 def shares(eta: np.ndarray) -> np.ndarray:
@@ -59,119 +64,248 @@ def posterior(n: np.ndarray, beta: np.ndarray, mu: np.ndarray, inverse: np.ndarr
     return eta, np.linalg.inv(curved), counts, float(now)
 
 
-def word_shares(counts: np.ndarray, variance: float, steps: int = 100) -> np.ndarray:
-    """Groups x topics x words: probabilities from expected counts of the same shape, with deviations of a topic, of a
-    group and of both from the shares in all texts, each with a Gaussian prior of ``variance``. Words are independent of
-    each other up to the sum, so they are worked off in blocks."""
-    groups, topics, size = counts.shape
-    g, k = np.divmod(np.arange(groups * topics), topics)
-    design = np.concatenate([np.eye(topics)[k], np.eye(groups)[g], np.eye(groups * topics)], axis=1)
-    flat = counts.reshape(groups * topics, size).T
-    base = np.log(flat.sum(axis=1) + 1e-9) - np.log(flat.sum() + 1e-9 * size)
-    amount = np.log(flat.sum(axis=0) + 1e-9)
-    out = np.empty((size, groups * topics))
-    ridge = np.eye(design.shape[1]) / variance
-    for at in range(0, size, 1024):
-        c, start = flat[at : at + 1024], base[at : at + 1024, None] + amount
-        x = np.zeros((len(c), design.shape[1]))
-        for _ in range(steps):
-            rate = np.exp(start + x @ design.T)
-            slope = (c - rate) @ design - x / variance
-            step = np.linalg.solve(np.einsum("vo,op,oq->vpq", rate, design, design, optimize=True) + ridge, slope[:, :, None])[:, :, 0]
-            step *= np.minimum(1.0, 1.0 / np.maximum(1e-12, np.abs(step).max(axis=1)))[:, None]
-            x += step
-            if np.abs(step).max() < 1e-6:
+def sparse_rates(counts: np.ndarray, base: np.ndarray, amount: np.ndarray, path: int = 20, least: float = 1e-3, cycles: int = 60, tol: float = 1e-5) -> np.ndarray:
+    """Words by contents by topics: the rates of words, without the cells' amounts, from expected counts of that shape.
+
+    A Poisson regression per word on its topic, its content and both, with the offset ``base`` (per word) plus the log
+    ``amount`` of each cell, and an absolute-value penalty on every deviation. Deviations are found one after the other,
+    each exactly, round and round; the penalty falls along a path of ``path`` values to ``least`` of the first that lets
+    a deviation be other than 0, and the one with the smallest information criterion is taken for each word."""
+    size, contents, topics = counts.shape
+    offset = np.exp(base)[:, None, None] * amount
+    b_topic, b_content, b_both = np.zeros((size, 1, topics)), np.zeros((size, contents, 1)), np.zeros(counts.shape)
+    rate = offset.copy()
+    first = counts - rate
+    top = np.maximum.reduce([np.abs(first.sum(axis=1)).max(axis=1), np.abs(first.sum(axis=2)).max(axis=1), np.abs(first).max(axis=(1, 2))])
+    best, chosen = np.full(size, np.inf), rate.copy()
+
+    def step(b: np.ndarray, have: np.ndarray, expect: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+        """The best value of each deviation, the others being as they are."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = b + np.log(np.maximum(have - penalty, 0) / expect)
+            down = b + np.log((have + penalty) / expect)
+        return np.clip(np.where(up > 0, up, np.where(down < 0, down, 0.0)), -20, 20)
+
+    for strength in np.geomspace(1, least, path):
+        penalty = np.maximum(top * strength, 1e-9)
+        for _ in range(cycles):
+            moved = 0.0
+            new = step(b_topic, counts.sum(axis=1, keepdims=True), rate.sum(axis=1, keepdims=True), penalty[:, None, None])
+            rate *= np.exp(new - b_topic)
+            moved, b_topic = max(moved, float(np.abs(new - b_topic).max(initial=0))), new
+            new = step(b_content, counts.sum(axis=2, keepdims=True), rate.sum(axis=2, keepdims=True), penalty[:, None, None])
+            rate *= np.exp(new - b_content)
+            moved, b_content = max(moved, float(np.abs(new - b_content).max(initial=0))), new
+            new = step(b_both, counts, rate, penalty[:, None, None])
+            rate *= np.exp(new - b_both)
+            moved, b_both = max(moved, float(np.abs(new - b_both).max(initial=0))), new
+            if moved < tol:
                 break
-        out[at : at + 1024] = np.exp(start - amount + x @ design.T)
-    return (out / out.sum(axis=0)).T.reshape(groups, topics, size)
+        free = (b_topic != 0).sum(axis=(1, 2)) + (b_content != 0).sum(axis=(1, 2)) + (b_both != 0).sum(axis=(1, 2))
+        criterion = 2 * (rate.sum(axis=(1, 2)) - (counts * np.log(rate)).sum(axis=(1, 2))) + 2 * free
+        better = criterion < best - 1e-9
+        best[better], chosen[better] = criterion[better], rate[better]
+    return chosen / amount
+
+
+def dummies(df: DataFrame, column: str) -> dict[str, Column]:
+    """A covariate of few values as 0/1 terms, one for each value but the first; null is a value."""
+    values = [r[0] for r in df.select(column).distinct().orderBy(F.col(column).asc_nulls_first()).collect()]
+    return {f"{column}={v}": F.col(column).eqNullSafe(F.lit(v)).cast("double") for v in values[1:]}
 
 
 @dataclass
 class StructuralTopics:
-    """groups: the covariate's values; beta: groups x topics x words; mu: groups x (topics - 1); sigma; bounds: the
-    variational bound after each iteration."""
+    """terms: the prevalence's covariates, the intercept first, with ``gamma`` (terms x (topics - 1)) and ``sigma``;
+    contents: the content covariate's values; words: a table (w, b) of rates, contents x topics numbers a word, whose sums
+    over words are ``scale``; bounds: the variational bound after each iteration."""
 
-    group: str
-    groups: list
-    beta: np.ndarray
-    mu: np.ndarray
+    k: int
+    size: int
+    terms: dict[str, Column]
+    content: str | None
+    contents: list
+    gamma: np.ndarray
     sigma: np.ndarray
+    words: DataFrame
+    scale: np.ndarray
+    anchors: list[int] = field(default_factory=list)
     bounds: list[float] = field(default_factory=list)
 
     def place(self) -> Column:
-        """The number of a row's group."""
+        """The number of a row's content value."""
+        if self.content is None:
+            return F.lit(0)
         at = F.lit(None).cast("int")
-        for i, name in enumerate(self.groups):
-            at = F.when(F.col(self.group).eqNullSafe(F.lit(name)), i).otherwise(at)
+        for i, name in enumerate(self.contents):
+            at = F.when(F.col(self.content).eqNullSafe(F.lit(name)), i).otherwise(at)
         return at
 
+    def probabilities(self) -> DataFrame:
+        """(w, content, topic, probability)."""
+        each = self.words.select("w", F.posexplode("b").alias("_i", "_b"))
+        scale = F.array(*(F.lit(float(s)) for s in self.scale.ravel()))
+        return each.select("w", F.get(F.array(*(F.lit(c).cast("string") for c in self.contents)), F.floor(F.col("_i") / self.k).cast("int")).alias("content"), (F.col("_i") % self.k).alias("topic"), (F.col("_b") / F.get(scale, F.col("_i"))).alias("probability"))
+
+    def beta(self) -> np.ndarray:
+        """Contents x topics x words probabilities, on the driver: for small vocabularies."""
+        out = np.zeros((self.size, len(self.contents) * self.k))
+        for r in self.words.collect():
+            out[r["w"]] = r["b"]
+        return (out / self.scale.ravel()).T.reshape(len(self.contents), self.k, self.size)
+
     def loadings(self, vectors: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, topic, loading) of each document of a known group; one without words has the shares of its group's
-        mean."""
-        shared = vectors.sparkSession.sparkContext.broadcast((self.beta, self.mu, np.linalg.inv(self.sigma)))
+        """(keys, topic, loading) of each document of a known content value; one without words has the shares that its
+        covariates give."""
+        scratch = Scratch(vectors.sparkSession, "topic-loadings")
+        docs = _Blocks(vectors, self, keys, scratch)
+        gamma, inverse, k = self.gamma, np.linalg.inv(self.sigma), self.k
+
+        def place(batches):
+            for block in _parts(batches, k):
+                theta = [shares(posterior(n, beta, x @ gamma, inverse)[0]) for _, n, beta, x, _ in block.documents()]
+                yield pa.RecordBatch.from_arrays([block.keys(), pa.array([t.tolist() for t in theta], pa.list_(pa.float64()))], names=["key", "theta"])
+
+        found = docs.with_words(self).mapInArrow(place, f"key {docs.key_type}, theta array<double>")
+        return found.select("key.*", F.posexplode("theta").alias("topic", "loading"))
+
 
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            beta, mu, inverse = shared.value
-            for pdf in batches:
-                pdf["_theta"] = [shares(posterior(np.asarray(n), beta[g][:, np.asarray(w, int)], mu[g], inverse)[0]) for g, w, n in zip(pdf["_g"], pdf["_w"], pdf["_n"])]
-                yield pdf[[*keys, "_theta"]]
+class _Block:
+    """A block of documents with the model's rows for its words."""
 
-        docs = _documents(vectors, self, keys)
-        schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), "_theta array<double>"])
-        return docs.mapInPandas(place, schema).select(*keys, F.posexplode("_theta").alias("topic", "loading"))
+    def __init__(self, batch: pa.RecordBatch, i: int, k: int):
+        self.docs = batch.column("docs")[i].values  # structs
+        rows = batch.column("rows")[i]
+        self.vocabulary, self.b = np.empty(0, np.int64), np.empty((0, k))
+        if rows.is_valid and len(rows):
+            values = rows.values
+            self.vocabulary = values.field("w").to_numpy(zero_copy_only=False).astype(np.int64)
+            self.b = values.field("b").flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+            order = np.argsort(self.vocabulary)
+            self.vocabulary, self.b = self.vocabulary[order], self.b[order]
+        self.k = k
 
+    def keys(self) -> pa.Array:
+        return self.docs.field("key")
 
-def _documents(vectors: DataFrame, model: StructuralTopics, keys: list[str]) -> DataFrame:
-    v = F.unwrap_udt("counts")
-    return vectors.select(*keys, model.place().alias("_g"), v["indices"].alias("_w"), v["values"].alias("_n")).where("_g is not null")
+    def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(places in the block's vocabulary, counts, topics x words, covariates, content) of each document."""
+        for w, n, x, g in zip(self.docs.field("w"), self.docs.field("n"), self.docs.field("x"), self.docs.field("g")):
+            words = w.values.to_numpy(zero_copy_only=False).astype(np.int64) if w.is_valid else np.empty(0, np.int64)
+            count = n.values.to_numpy(zero_copy_only=False) if n.is_valid else np.empty(0)
+            at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
+            known = self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), bool)
+            at, g = at[known], g.as_py()
+            yield at, count[known], self.b[at, g * self.k : (g + 1) * self.k].T, x.values.to_numpy(zero_copy_only=False), g
 
 
-def fit_structural_topics(vectors: DataFrame, group: str, k: int, iters: int = 75, tol: float = 1e-5, variance: float = 1.0, seed: int = 1) -> StructuralTopics:
-    """A model of the documents (group, counts) with ``k`` >= 2 topics; a null group is a group too. Starts from topics
-    without covariate and ends when an iteration changes the bound by less than ``tol`` of it.
+def _parts(batches, k: int) -> Iterator[_Block]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Block(b, i, k)
 
-    Each iteration is one pass over the documents. Tasks return sums, which are added up before they reach the driver:
-    as many as the model has numbers, groups x topics x words. Documents without words count for nothing. ``vectors`` is
-    read in each iteration and should be a table."""
+
+class _Blocks:
+    """Documents in blocks of about as many words as BLOCK_WORDS says, chosen by a hash of keys and words, and the words of each
+    block. A block has a document's whole counts, so one that is larger than that is a large block."""
+
+    def __init__(self, vectors: DataFrame, model: StructuralTopics, keys: Sequence[str], scratch: Scratch):
+        ship_package(vectors.sparkSession)
+        key = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("_"))
+        x = F.array(*(c.cast("double") for c in model.terms.values()))
+        docs = bag(vectors, key.alias("key"), x.alias("x"), model.place().alias("g")).where("g is not null")
+        self.key_type = docs.schema["key"].dataType.simpleString()
+        total = docs.agg(F.sum(F.size("w"))).first()[0] or 0
+        blocks = max(1, -(-total // BLOCK_WORDS[0]), min(total // BLOCK_WORDS[1], vectors.sparkSession.sparkContext.defaultParallelism))
+        number = F.pmod(F.xxhash64("key", "w", "n"), F.lit(blocks)).alias("block")
+        lists = F.array_sort(F.collect_list(F.struct(F.xxhash64("key", "w", "n").alias("h"), "key", "w", "n", "x", "g")))
+        self.blocks = scratch.put(docs.groupBy(number).agg(lists.alias("docs")), "blocks")
+        self.words = scratch.put(self.blocks.select("block", F.explode(F.array_distinct(F.flatten(F.transform("docs", lambda d: d["w"])))).alias("w")), "block-words")
+
+    def with_words(self, model: StructuralTopics) -> DataFrame:
+        scale = F.array(*(F.lit(float(s)) for s in model.scale.ravel()))
+        b = F.zip_with("b", scale, lambda a, s: a / s)
+        rows = self.words.join(model.words.select("w", b.alias("b")), "w").groupBy("block").agg(F.collect_list(F.struct("w", "b")).alias("rows"))
+        return self.blocks.join(rows, "block", "left").select("docs", "rows")
+
+
+def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Column] | None = None, content: str | None = None, iters: int = 75, tol: float = 1e-5, most_words: int = 10_000, ridge: float = 1e-6) -> StructuralTopics:
+    """A model of the documents (covariates, counts) with ``k`` >= 2 topics. ``prevalence``: named numeric expressions, beside
+    an intercept (see ``dummies`` for covariates of few values); ``content``: a column of few values, of which null is one.
+
+    Starts from spectral topics over the ``most_words`` most frequent words and ends when an iteration changes the bound by
+    less than ``tol`` of it. Rows with a null prevalence term count with 0 for it; documents without words count for
+    nothing. ``vectors`` is read a few times and should be a table."""
     spark = vectors.sparkSession
-    ship_package(spark)
-    groups = [r[0] for r in vectors.select(group).distinct().orderBy(group).collect()]
-    first = topic_words(fit_topics(vectors, k, 20, seed=seed))
-    size = first.shape[1]
-    model = StructuralTopics(group, groups, np.repeat(first[None], len(groups), axis=0), np.zeros((len(groups), k - 1)), 20.0 * np.eye(k - 1))
-    docs = _documents(vectors, model, [])
-    few = 2 + (k - 1) + (k - 1) ** 2  # per group: documents, bound, sum of eta, sum of its second moments
-    for _ in range(iters):
-        shared = spark.sparkContext.broadcast((model.beta, model.mu, np.linalg.inv(model.sigma), float(np.linalg.slogdet(model.sigma)[1])))
-
-        def sums(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            beta, mu, inverse, spread = shared.value
-            counts, moments = np.zeros(beta.shape), np.zeros((len(beta), few))
-            for pdf in batches:
-                for g, words, n in zip(pdf["_g"], pdf["_w"], pdf["_n"]):
+    scratch = Scratch(spark, "structural-topics")
+    size = vectors.select(F.unwrap_udt("counts")["size"].alias("s")).where("s is not null").first()
+    size = size[0] if size else 0
+    terms = {"intercept": F.lit(1.0)} | {n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in (prevalence or {}).items()}
+    contents = [None] if content is None else [r[0] for r in vectors.select(content).distinct().orderBy(F.col(content).asc_nulls_first()).collect()]
+    start = spectral_start(vectors, k, size, most_words)
+    several, p, c = len(contents), len(terms), k - 1
+    words = start.words.select("w", F.flatten(F.array(*[F.col("b")] * several)).alias("b"))
+    model = StructuralTopics(k, size, terms, content, contents, np.zeros((p, c)), 20.0 * np.eye(c), words, np.ones((several, k)), start.anchors)
+    docs = _Blocks(vectors, model, [], scratch)
+    totals = word_totals(bag(vectors))
+    tokens = float(totals.agg(F.sum("total")).first()[0] or 1.0)
+    base = scratch.put(totals.select("w", F.log(F.col("total") / tokens).alias("base")), "base")
+    cells, few = several * k, 2 + p * p + p * c + 2 * c * c  # per block: bound, documents, x'x, x'eta, eta'eta, covariances
+
+    for i in range(iters):
+        gamma, sigma = model.gamma, model.sigma
+        inverse, spread = np.linalg.inv(sigma), float(np.linalg.slogdet(sigma)[1])
+
+        def sums(batches, gamma=gamma, inverse=inverse, spread=spread):
+            for block in _parts(batches, k):
+                counts, moments = np.zeros((len(block.vocabulary), cells)), np.zeros(few)
+                for at, n, beta, x, g in block.documents():
                     if len(n):
-                        words = np.asarray(words)
-                        eta, around, expected, density = posterior(np.asarray(n), beta[g][:, words], mu[g], inverse)
-                        counts[g][:, words] += expected
+                        eta, around, expected, density = posterior(n, beta, x @ gamma, inverse)
+                        counts[at, g * k : (g + 1) * k] += expected.T
                         bound = density + 0.5 * (np.linalg.slogdet(around)[1] - spread)
-                        moments[g] += np.concatenate([[1.0, bound], eta, (around + np.outer(eta, eta)).ravel()])
-            g, t, w = np.nonzero(counts)
-            yield pd.DataFrame({"g": g, "t": t, "w": w, "value": counts[g, t, w]})
-            g, at = np.nonzero(moments)
-            yield pd.DataFrame({"g": g, "t": -1, "w": at, "value": moments[g, at]})
-
-        found = docs.mapInPandas(sums, "g long, t long, w long, value double").groupBy("g", "t", "w").agg(F.sum("value").alias("value")).toPandas()
-        shared.unpersist()
-        moments, counts = np.zeros((len(groups), few)), np.zeros((len(groups), k, size))
-        some, words = found[found["t"] < 0], found[found["t"] >= 0]
-        moments[some["g"], some["w"]] = some["value"]
-        counts[words["g"], words["t"], words["w"]] = words["value"]
-        seen = moments[:, 0]
-        model.bounds.append(float(moments[:, 1].sum()))
-        model.mu = moments[:, 2 : k + 1] / np.maximum(1.0, seen)[:, None]
-        around = moments[:, k + 1 :].reshape(-1, k - 1, k - 1) - seen[:, None, None] * model.mu[:, :, None] * model.mu[:, None, :]
-        model.sigma = around.sum(axis=0) / max(1.0, seen.sum()) + 1e-9 * np.eye(k - 1)
-        model.beta = word_shares(counts, variance)
-        if len(model.bounds) > 1 and abs(model.bounds[-1] - model.bounds[-2]) < tol * abs(model.bounds[-2]):
+                        moments += np.concatenate([[bound, 1.0], np.outer(x, x).ravel(), np.outer(x, eta).ravel(), np.outer(eta, eta).ravel(), around.ravel()])
+                some = counts.any(axis=1)
+                w = pa.array([*block.vocabulary[some].tolist(), None], pa.int32())
+                yield pa.RecordBatch.from_arrays([w, pa.array([*counts[some].tolist(), moments.tolist()], pa.list_(pa.float64()))], names=["w", "c"])
+
+        found = scratch.put(docs.with_words(model).mapInArrow(sums, "w int, c array<double>"), f"sums-{i}")
+        part = lambda mark, n: [F.expr(f"coalesce(sum(CASE WHEN w IS {mark} NULL THEN get(c, {j}) END), 0D)") for j in range(n)]
+        all_ = np.array(found.agg(*part("NOT", cells), *part("", few)).first())
+        amount, moments = all_[:cells].reshape(several, k), all_[cells:]
+        bound, seen = float(moments[0]), max(1.0, moments[1])
+        xx, rest = moments[2 : 2 + p * p].reshape(p, p), moments[2 + p * p :]
+        xe, ee, around = rest[: p * c].reshape(p, c), rest[p * c : p * c + c * c].reshape(c, c), rest[p * c + c * c :].reshape(c, c)
+        weight = ridge * np.eye(p)
+        weight[0, 0] = 1e-12  # the intercept is free
+        gamma = np.linalg.solve(xx + weight * seen, xe)
+        model.gamma = gamma
+        model.sigma = (around + ee - xe.T @ gamma - gamma.T @ xe + gamma.T @ xx @ gamma) / seen + 1e-9 * np.eye(c)
+        by_word = found.where("w IS NOT NULL").groupBy("w").agg(F.array(*(F.expr(f"sum(get(c, {j}))") for j in range(cells))).alias("c"))
+        if several == 1:
+            even = 1e-9 * amount / max(1, size)  # no word becomes impossible
+            model.words = scratch.put(by_word.select("w", F.zip_with("c", F.array(*(F.lit(float(e)) for e in even.ravel())), lambda a, e: a + e).alias("b")), f"words-{i}")
+        else:
+            model.words = scratch.put(_regressions(by_word.join(base, "w"), np.maximum(amount, 1e-9)), f"words-{i}")
+        model.scale = np.array(model.words.agg(*(F.expr(f"sum(get(b, {j}))") for j in range(cells))).first(), float).reshape(several, k)
+        scratch.drop(f"sums-{i}")
+        if i:
+            scratch.drop(f"words-{i - 1}")
+        model.bounds.append(bound)
+        if i and abs(bound - model.bounds[-2]) < tol * abs(model.bounds[-2]):
             break
     return model
+
+
+def _regressions(words: DataFrame, amount: np.ndarray) -> DataFrame:
+    """(w, b) from (w, c, base), each word's regression in a task."""
+
+    def solve(batches):
+        for b in batches:
+            if b.num_rows:
+                counts = b.column("c").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, *amount.shape)
+                rates = sparse_rates(counts, b.column("base").to_numpy(zero_copy_only=False), amount)
+                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * amount.size)
+                yield pa.RecordBatch.from_arrays([b.column("w"), pa.ListArray.from_arrays(ends, pa.array(rates.ravel()))], names=["w", "b"])
+
+    return words.select("w", "c", "base").mapInArrow(solve, "w int, b array<double>")

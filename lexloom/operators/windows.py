@@ -3,12 +3,18 @@ windows run in parallel and never cross a sequence."""
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexloom.functions.stats import global_rank
 from lexloom.operators.resample import uniform
+from lexloom.scratch import ship_package
 
 
 def expand_windows(df: DataFrame, hit: str, partition: list[str], order: list[str], k: int = 2, out: str = "expanded") -> DataFrame:
@@ -102,15 +108,52 @@ def running_mean(df: DataFrame, partition: list[str], order: list[str], value: s
     return df.withColumn("iteration", F.row_number().over(w)).withColumn("running_mean", F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+class RunningQuantile:
+    """The quantile ``p`` (type 7) of the numbers so far, as they come: two heaps meet at it, and a number more moves one
+    entry at most from one to the other, so n numbers take n log n steps."""
+
+    def __init__(self, p: float):
+        self.p, self.low, self.high = p, [], []  # the low numbers are negative, so that the largest is at hand
+
+    def add(self, x: float) -> None:
+        if self.low and x < -self.low[0]:
+            heapq.heappush(self.low, -x)
+        else:
+            heapq.heappush(self.high, x)
+        wanted = math.floor(self.p * (len(self.low) + len(self.high) - 1)) + 1
+        while len(self.low) < wanted:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+        while len(self.low) > wanted:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+
+    def value(self) -> float | None:
+        if not self.low:
+            return None
+        at = self.p * (len(self.low) + len(self.high) - 1)
+        share, below = at - math.floor(at), -self.low[0]
+        return below if not share else below * (1 - share) + self.high[0] * share
+
+
 def running_quantiles(df: DataFrame, partition: list[str], order: list[str], value: str, ps: dict[str, float], start: int = 39) -> DataFrame:
-    """Quantiles of the values so far, from the ``start``-th row on. Sequences are resamples of bounded length; the
-    frame grows, so a sequence of n rows costs n^2."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    frame = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("iteration", F.row_number().over(w))
-    for name, p in ps.items():
-        out = out.withColumn(name, F.when(F.col("iteration") >= start, F.percentile(value, p).over(frame)))
-    return out
+    """Quantiles of the values so far, from the ``start``-th row on; nulls have a row, but are no value. A sequence is one
+    group, read in order once, with its values in two heaps."""
+    numbered = df.withColumn("iteration", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+
+    def run(table):
+        table = table.sort_by("iteration")
+        heaps = {name: (RunningQuantile(p), []) for name, p in ps.items()}
+        for i, x in enumerate(table.column(value).to_pylist(), 1):
+            for heap, out in heaps.values():
+                if x is not None:
+                    heap.add(float(x))
+                out.append(heap.value() if i >= start else None)
+        for name, (_, out) in heaps.items():
+            table = table.append_column(name, pa.array(out, pa.float64()))
+        return table
+
+    ship_package(df.sparkSession)
+    schema = T.StructType([*numbered.schema.fields, *(T.StructField(name, T.DoubleType()) for name in ps)])
+    return numbered.groupBy(*partition).applyInArrow(run, schema)
 
 
 def next_pass(df: DataFrame, keys: list[str], number: str, coded: Column) -> DataFrame:

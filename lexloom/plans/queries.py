@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Keyword lists of the contexts that turns are tagged with.
-KEYWORDS = [("article", "the"), ("article", "a"), ("relation", "of"), ("relation", "of_the"), ("joining", "and"), ("joining", "as"), ("place", "in"), ("place", "to")]
+KEYWORDS = [("article", "the"), ("article", "a"), ("relation", "of"), ("relation", "of_the"), ("joining", "and"), ("joining", "as"), ("place", "in"), ("place", "to"), ("place", "für"), ("relation", "ción"), ("joining", "that's"), ("article", "pat-a-cake")]
 CONTEXTS = sorted({c for c, _ in KEYWORDS})
 TURN = ["conv_id", "turn"]
 
@@ -72,8 +72,17 @@ def event_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 TOK = "tok AS (SELECT conv_id, turn, role, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, role, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM conversations))"
 PAIR = "pair AS (SELECT * FROM (SELECT conv_id, turn, role, i, w AS a, lead(w) OVER (PARTITION BY role, conv_id, turn ORDER BY i) AS b FROM tok) WHERE b IS NOT NULL)"
-KW = "kw(context, word) AS (VALUES " + ", ".join(f"('{c}', '{w.replace('_', ' ')}')" for c, w in KEYWORDS) + ")"
-TAGS = f"{TOK}, {KW}, tags AS (SELECT conv_id, turn, context, count(*) AS value FROM (SELECT DISTINCT conv_id, turn, g FROM (SELECT conv_id, turn, w AS g FROM tok UNION ALL SELECT conv_id, turn, w || ' ' || lead(w) OVER (PARTITION BY conv_id, turn ORDER BY i) FROM tok)) JOIN kw ON g = word GROUP BY ALL)"
+KW = "kw(context, word) AS (VALUES " + ", ".join(f"('{c}', '{w.replace('_', ' ').replace(chr(39), 2 * chr(39))}')" for c, w in KEYWORDS) + ")"
+WORD, BETWEEN = r"[\p{L}\p{M}\p{N}_]+", r"[^\p{L}\p{M}\p{N}_]"
+FORM = r"trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+def tags_sql(texts: str, kw: str = "kw") -> str:
+    """tags (conv_id, turn, context, value) of a table of texts: a regular expression for each keyword."""
+    return f"tags AS (SELECT conv_id, turn, context, count(*) AS value FROM (SELECT conv_id, turn, {FORM} AS form FROM {texts}) JOIN {kw} ON regexp_matches(form, '(^|{BETWEEN})' || regexp_escape(word) || '($|{BETWEEN})') GROUP BY ALL)"
+
+
+TAGS = f"{TOK}, {KW}, {tags_sql('conversations')}"
 WIDE = f"{TAGS}, wide AS (SELECT conv_id, turn, " + ", ".join(f"max(CASE WHEN context = '{c}' THEN 1 ELSE 0 END) AS {c}" for c in CONTEXTS) + " FROM tags GROUP BY conv_id, turn)"
 EV = "ev AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS hit FROM events)"
 
@@ -146,10 +155,11 @@ def context_coverage(spark, sf):
     return d.select("elements", *(F.round(c, 6).alias(c) for c in ("none", "one", "two", "more")))
 
 
-@query(f"WITH {TOK}, {PAIR}, {KW}, f AS (SELECT w, count(*) AS f FROM (SELECT w FROM tok UNION ALL SELECT a || ' ' || b FROM pair) GROUP BY w), k AS (SELECT context, word, coalesce(f, 0) AS f FROM kw LEFT JOIN f ON w = word) SELECT context, CAST(sum(f) AS BIGINT) AS total, round(avg(f), 6) AS mean, max(f) AS most, first(word ORDER BY f DESC, word) AS top_word FROM k GROUP BY context")
+@query(f"""WITH {KW}, n AS (SELECT *, len(regexp_extract_all(word, '{WORD}')) AS n FROM kw), c AS (SELECT regexp_extract_all({FORM}, '{WORD}|{BETWEEN}+') AS parts FROM conversations),
+k AS (SELECT context, word, CAST(sum(len(list_filter(range(1, len(parts) + 1), lambda i: array_to_string(parts[i:i + 2 * n - 2], '') = word))) AS BIGINT) AS f FROM n, c GROUP BY ALL) SELECT context, CAST(sum(f) AS BIGINT) AS total, round(avg(f), 6) AS mean, max(f) AS most, first(word ORDER BY f DESC, word) AS top_word FROM k GROUP BY context""")
 def keyword_frequency(spark, sf):
-    words = spark.createDataFrame([(c, w.replace("_", " ")) for c, w in KEYWORDS], "context string, word string")
-    d = descriptives.keyword_frequency(turn_tokens(spark, sf), words, "w", TURN, "i")
+    words = spark.createDataFrame(KEYWORDS, "context string, word string")
+    d = descriptives.keyword_frequency(read(spark, sf, "conversations"), "text", words)
     return d.select("context", "total", F.round("mean", 6).alias("mean"), "most", "top_word")
 
 
@@ -188,6 +198,20 @@ def keyword_tag(spark, sf):
     return tags(spark, sf)
 
 
+#: Keywords that have more than letters, and parts of them.
+MARKED = [("play", "pat-a-cake"), ("play", "cake"), ("joining", "that's"), ("joining", "that"), ("joining", "hat's"), ("place", "café"), ("place", "caf"), ("place", "café_is")]
+MARKED_KW = "kw(context, word) AS (VALUES " + ", ".join(f"('{c}', '{w.replace('_', ' ').replace(chr(39), 2 * chr(39))}')" for c, w in MARKED) + ")"
+
+
+@query(f"WITH {MARKED_KW}, t AS (SELECT conv_id, turn, replace(replace(replace(text, ' la ', ' Pat-a-cake '), ' de ', ' that''s '), ' die ', ' café  is ') AS text FROM conversations), {tags_sql('t')} SELECT conv_id, turn, context, value FROM tags")
+def keyword_marks(spark, sf):
+    """Keywords with hyphens, apostrophes and accents, in turns whose articles are replaced by such words."""
+    t = F.col("text")
+    for a, b in ((" la ", " Pat-a-cake "), (" de ", " that's "), (" die ", " café  is ")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return contexts.keyword_tags(read(spark, sf, "conversations").select(*TURN, t.alias("text")), TURN, "text", spark.createDataFrame(MARKED, "context string, word string"))
+
+
 @query("WITH s AS (SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id) AS v FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)), m AS (SELECT *, CASE WHEN v > 0.3 THEN 1 ELSE 0 END AS value FROM s) SELECT user_id, event_type, value FROM m WHERE event_type IN (SELECT event_type FROM m WHERE value = 1)")
 def threshold_apply(spark, sf):
     return contexts.apply_threshold(event_shares(spark, sf), 0.3, name="event_type").select("user_id", "event_type", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions import stats, text
-from lexloom.operators import agreement, contexts, descriptives, models, ngrams, resample, segment, structural_topics, topic_search, translate, windows
+from lexloom.operators import agreement, contexts, descriptives, gibbs_topics, models, ngrams, resample, segment, structural_topics, topic_map, topic_search, translate, windows
 from lexloom.plans import analysis
 from lexloom.plans.queries import EV, PAIR, TAGS, TOK, TURN, UNSURE, bigram_sql, dictionary_words, event_hits, event_shares, label_items, marked_tags, query, read, segment_sql, segmented, tags, turn_tokens, units_sql
 from lexloom.scratch import Scratch
@@ -174,25 +174,34 @@ def segment_frequency_filter(spark, sf):
 
 
 ROLES = TAGS.replace("tok AS", "tok0 AS").replace("FROM tok", "FROM tok0")
-RUN = f"""{ROLES}, tok AS (SELECT context AS role, conv_id, turn, i, w FROM tok0 JOIN tags USING (conv_id, turn)), {PAIR}, {bigram_sql("role")}, {BENCHMARK_WORDS},
-d AS (SELECT role, w AS word, w AS phon, 1 AS n_syl FROM tok WHERE w IN (SELECT w FROM bw) GROUP BY role, w), {units_sql("tp", name="_tp")}, {units_sql("mi", name="_mi")},
+RUN = f"""{ROLES}, wtok AS (SELECT context AS role, conv_id, turn, i, w FROM tok0 JOIN tags USING (conv_id, turn)),
+tok AS (SELECT role, conv_id, turn, 2 * i + unnest(range(len(s))) AS i, unnest(s) AS w FROM (SELECT role, conv_id, turn, i, CASE WHEN length(w) > 3 THEN [substr(w, 1, 2), substr(w, 3)] ELSE [w] END AS s FROM wtok)), {PAIR}, {bigram_sql("role")}, {BENCHMARK_WORDS},
+d AS (SELECT role, w AS word, CASE WHEN length(w) > 3 THEN substr(w, 1, 2) || '-' || substr(w, 3) ELSE w END AS phon, CASE WHEN length(w) > 3 THEN 2 ELSE 1 END AS n_syl FROM wtok WHERE w IN (SELECT w FROM bw) GROUP BY role, w), {units_sql("tp", name="_tp")}, {units_sql("mi", name="_mi")},
 t AS (SELECT stat, role, phon, any_value(n_syl) AS n_syl FROM (SELECT 'tp' AS stat, role, phon, n_syl FROM units_tp UNION ALL SELECT 'mi', role, phon, n_syl FROM units_mi) GROUP BY stat, role, phon),
 d2 AS (SELECT stat, d.* FROM d, (SELECT unnest(['tp', 'mi']) AS stat)),
 j AS (SELECT coalesce(d2.stat, t.stat) AS stat, coalesce(d2.role, t.role) AS role, t.phon AS unit, CASE WHEN d2.word IS NULL THEN 'false.alarm' WHEN t.phon IS NULL THEN 'miss' ELSE 'hit' END AS result FROM d2 FULL JOIN t ON d2.stat = t.stat AND d2.role = t.role AND d2.phon = t.phon AND d2.n_syl = t.n_syl),
-s AS (SELECT stat, role, count(CASE WHEN result = 'hit' THEN 1 END) AS hits, count(CASE WHEN result = 'miss' THEN 1 END) AS misses, count(CASE WHEN result = 'false.alarm' THEN 1 END) AS false_alarms, count(DISTINCT unit) AS n_segd_units FROM j GROUP BY ALL),
-l AS (SELECT role, count(*) AS n_utts, avg(k) AS per_utt, avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END) AS prop_one FROM (SELECT role, conv_id, turn, count(*) AS k FROM tok GROUP BY ALL) GROUP BY role),
-c AS (SELECT role, CAST(sum(f) AS BIGINT) AS n_tokens, count(*) AS n_types FROM (SELECT role, w, count(*) AS f FROM tok GROUP BY ALL) GROUP BY role), b AS (SELECT role, CAST(greatest(max(a1), max(b2)) AS BIGINT) AS highest, avg(tp) AS tp, avg(mi) AS mi FROM big GROUP BY role),
-res AS (SELECT role AS context, stat, hits / (hits + misses) AS recall, hits / (hits + false_alarms) AS precision, hits, misses, false_alarms, n_segd_units, n_utts, n_tokens, n_types, n_types / n_tokens AS ttr, highest, highest / n_tokens AS prop_highest, b.tp AS mean_tp, b.mi AS mean_mi, per_utt, prop_one FROM s JOIN l USING (role) JOIN c USING (role) JOIN b USING (role))"""
+s AS (SELECT stat, role, count(CASE WHEN result = 'hit' THEN 1 END) AS hits, count(CASE WHEN result = 'miss' THEN 1 END) AS misses, count(CASE WHEN result = 'false.alarm' THEN 1 END) AS false_alarms, count(DISTINCT unit) AS n_segd_units, count(DISTINCT CASE WHEN result = 'hit' THEN unit END) AS units_hit FROM j GROUP BY ALL),
+lw AS (SELECT role, count(*) AS n_utts, avg(k) AS words_per_utt, avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END) AS prop_one_word FROM (SELECT role, conv_id, turn, count(*) AS k FROM wtok GROUP BY ALL) GROUP BY role),
+ls AS (SELECT role, avg(k) AS syls_per_utt, avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END) AS prop_one_syl FROM (SELECT role, conv_id, turn, count(*) AS k FROM tok GROUP BY ALL) GROUP BY role),
+cw AS (SELECT role, CAST(sum(f) AS BIGINT) AS n_tokens, count(*) AS n_types FROM (SELECT role, w, count(*) AS f FROM wtok GROUP BY ALL) GROUP BY role),
+cs AS (SELECT role, CAST(sum(f) AS BIGINT) AS n_syl_tokens, count(*) AS n_syl_types FROM (SELECT role, w, count(*) AS f FROM tok GROUP BY ALL) GROUP BY role),
+b AS (SELECT role, CAST(greatest(max(a1), max(b2)) AS BIGINT) AS highest, avg(tp) AS tp, avg(mi) AS mi FROM big GROUP BY role),
+res AS (SELECT role AS context, stat, hits / (hits + misses) AS recall, units_hit / (units_hit + false_alarms) AS precision, hits, misses, false_alarms, n_segd_units, n_utts, n_syl_tokens, n_syl_types, n_tokens, n_types, n_types / n_tokens AS ttr, highest, highest / n_syl_tokens AS prop_highest, b.tp AS mean_tp, b.mi AS mean_mi, words_per_utt, syls_per_utt, prop_one_word, prop_one_syl FROM s JOIN lw USING (role) JOIN ls USING (role) JOIN cw USING (role) JOIN cs USING (role) JOIN b USING (role))"""
+
+
+def form_of(word):
+    """A form of two syllables for words of more than three letters."""
+    return F.when(F.length(word) > 3, F.concat(F.substring(word, 1, 2), F.lit("-"), F.substr(word, F.lit(3)))).otherwise(word)
 
 
 def analysed(spark, sf):
     c = read(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("utt"), F.col("conv_id").alias("file"), F.col("turn").alias("pos"), text.letters(F.col("text")).alias("orth"))
     t = tags(spark, sf).select(F.concat_ws("_", "conv_id", "turn").alias("utt"), "context", "value")
-    d = dictionary_words(spark, sf).select(F.col("w").alias("word"), F.col("w").alias("phon"))
-    return analysis.run_analysis(c.withColumn("phon", F.col("orth")), t, d)
+    d = dictionary_words(spark, sf).select(F.col("w").alias("word"), form_of(F.col("w")).alias("phon"))
+    return analysis.run_analysis(c.withColumn("phon", F.array_join(F.transform(text.tokens(F.col("orth")), form_of), " ")), t, d)
 
 
-@query(f"WITH {RUN} SELECT context, stat, round(recall, 6) AS recall, round(precision, 6) AS precision, hits, misses, false_alarms, n_segd_units, n_utts, n_tokens AS n_syl_tokens, n_types AS n_syl_types, n_tokens, n_types, round(ttr, 6) AS ttr, highest AS highest_freq_syl, round(prop_highest, 6) AS prop_most_freq, round(mean_tp, 6) AS mean_tp, round(mean_mi, 6) AS mean_mi, round(per_utt, 6) AS mean_words_per_utt, round(per_utt, 6) AS mean_syls_per_utt, round(prop_one, 6) AS prop_one_word_utt, round(prop_one, 6) AS prop_one_syl_utt FROM res")
+@query(f"WITH {RUN} SELECT context, stat, round(recall, 6) AS recall, round(precision, 6) AS precision, hits, misses, false_alarms, n_segd_units, n_utts, n_syl_tokens, n_syl_types, n_tokens, n_types, round(ttr, 6) AS ttr, highest AS highest_freq_syl, round(prop_highest, 6) AS prop_most_freq, round(mean_tp, 6) AS mean_tp, round(mean_mi, 6) AS mean_mi, round(words_per_utt, 6) AS mean_words_per_utt, round(syls_per_utt, 6) AS mean_syls_per_utt, round(prop_one_word, 6) AS prop_one_word_utt, round(prop_one_syl, 6) AS prop_one_syl_utt FROM res")
 def run_analysis(spark, sf):
     d = analysed(spark, sf)
     return d.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in d.schema))
@@ -289,31 +298,109 @@ def mrcv_statistic(spark, sf):
     return d.select(F.round("statistic", 6).alias("statistic"), "n")
 
 
-@query()
+DRAWN = ", ".join(
+    f"r{s} AS (SELECT {x}, {y}, sum(count(*)) OVER (ORDER BY {x}, {y}) AS high, sum(count(*)) OVER (ORDER BY {x}, {y}) - count(*) AS low FROM i GROUP BY {x}, {y})"
+    for s, x, y in (("l", "quality", "toxic"), ("r", "english", "long"))
+)
+
+
+@query(f"""WITH {ITEMS}, {DRAWN}, n AS (SELECT count(*) AS n FROM i), d AS (SELECT iter, unnest(range((SELECT n FROM n))) AS draw FROM (SELECT unnest(range(200)) AS iter)),
+p AS (SELECT iter, floor({uniform_sql("'s|l|' || iter || '|' || draw")} * n) AS pl, floor({uniform_sql("'s|r|' || iter || '|' || draw")} * n) AS pr FROM d, n),
+x AS (SELECT iter, quality, toxic, english, long FROM p JOIN rl ON pl >= rl.low AND pl < rl.high JOIN rr ON pr >= rr.low AND pr < rr.high),
+z AS (SELECT iter, {' + '.join(pair_sql(x, y) for x in ('quality', 'toxic') for y in ('english', 'long'))} AS statistic FROM x GROUP BY iter),
+seen AS (SELECT {' + '.join(pair_sql(x, y) for x in ('quality', 'toxic') for y in ('english', 'long'))} AS statistic, count(*) AS n FROM i)
+SELECT round(any_value(seen.statistic), 6) AS statistic, any_value(seen.n) AS n, count(*) AS iters, round((count(CASE WHEN z.statistic >= seen.statistic * (1 - 1e-9) THEN 1 END) + 1) / (count(*) + 1), 6) AS p_value FROM z, seen""")
 def mrcv(spark, sf):
-    return agreement.multiple_response_test(label_items(spark, sf), ["quality", "toxic"], ["english", "long"])
+    d = agreement.multiple_response_test(label_items(spark, sf), ["quality", "toxic"], ["english", "long"])
+    return d.select(F.round("statistic", 6).alias("statistic"), "n", "iters", F.round("p_value", 6).alias("p_value"))
 
 
-@query()
+def chi_tail_sql(chi2: str, dof: str) -> str:
+    """The upper tail of chi-square by the series of the lower one."""
+    a, x = f"({dof} / 2)", f"({chi2} / 2)"
+    return f"CASE WHEN {dof} < 1 OR {chi2} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - exp(-{x} + {a} * ln({x}) - lgamma({a} + 1)) * list_sum(list_transform(range(0, 400), lambda k: exp(k * ln({x}) + lgamma({a} + 1) - lgamma({a} + 1 + k))))) END"
+
+
+def beta_sql(x: str, a: str, b: str) -> str:
+    """The regularised incomplete beta function by its hypergeometric series."""
+    series = lambda x, a, b: f"exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) - ln({a})) * list_sum(list_transform(range(0, 4000), lambda k: exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + lgamma({a} + 1) + k * ln({x}))))"
+    return f"CASE WHEN {x} > ({a} + 1) / ({a} + {b} + 2) THEN 1 - {series(f'(1 - {x})', b, a)} ELSE {series(x, a, b)} END"
+
+
+CHI = """g AS (SELECT *, sum(o) OVER (PARTITION BY grp, p) AS ra, sum(o) OVER (PARTITION BY grp, q) AS cb FROM c),
+x AS (SELECT grp, CAST(sum(o) AS BIGINT) AS total, greatest(0.0, sum(o) * (sum(o * o / (ra * cb)) - 1)) AS chi2, (count(DISTINCT p) - 1) * (count(DISTINCT q) - 1) AS dof, least(count(DISTINCT p), count(DISTINCT q)) - 1 AS least FROM g GROUP BY grp),
+y AS (SELECT *, """ + chi_tail_sql("chi2", "dof") + """ AS p_value, sqrt(chi2 / nullif(total * least, 0)) AS v FROM x)"""
+REPORT = "'chi2(' || dof || ', N = ' || total || ') = ' || printf('%.2f', chi2) || ', ' || CASE WHEN p_value < 0.001 THEN 'p < .001' ELSE printf('p = %.3f', p_value) END || coalesce(', V = ' || printf('%.2f', v), '')"
+
+
+@query(f"WITH c AS (SELECT 1 AS grp, quality AS p, toxic AS q, count(*) AS o FROM labels GROUP BY ALL), {CHI} SELECT {REPORT} AS report FROM y")
 def chi_square_report(spark, sf):
-    table = agreement.chi_square(agreement.crosstab(read(spark, sf, "labels"), "quality", "toxic"), "quality", "toxic")
-    return spark.createDataFrame([(agreement.report(table),)], "report string")
+    return agreement.chi_square(agreement.crosstab(read(spark, sf, "labels"), "quality", "toxic"), "quality", "toxic").select("report")
 
 
-@query()
+@query(f"WITH c AS (SELECT source AS grp, lang AS p, quality AS q, count(*) AS o FROM labels JOIN documents USING (doc_id) GROUP BY ALL), {CHI} SELECT grp AS source, round(chi2, 6) AS chi2, dof, total, round(v, 6) AS cramers_v, round(p_value, 6) AS p_value, {REPORT} AS report FROM y")
+def chi_square_by_source(spark, sf):
+    """Language against quality, a table for each source, all at once."""
+    cells = read(spark, sf, "labels").join(read(spark, sf, "documents"), "doc_id").groupBy("source", "lang", "quality").agg(F.count("*").alias("n"))
+    d = agreement.chi_square(cells, "lang", "quality", by=["source"])
+    return d.select("source", F.round("chi2", 6).alias("chi2"), "dof", "total", F.round("cramers_v", 6).alias("cramers_v"), F.round("p_value", 6).alias("p_value"), "report")
+
+
+@query(f"""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events WHERE value IS NOT NULL), r AS (SELECT user_id, count(*) AS n, corr(pos, value) AS r FROM e GROUP BY user_id HAVING count(*) > 2),
+t AS (SELECT *, r * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM r), b AS (SELECT *, (n - 2) / (n - 2 + t * t) AS x, (n - 2) / 2 AS a FROM t) SELECT user_id, n, round(r, 6) AS r, round(t, 6) AS t, round({beta_sql('x', 'a', '0.5')}, 6) AS p_value FROM b""")
 def value_trend_p(spark, sf):
     """Correlations of event values with their place, with two-sided p-values."""
     e = read(spark, sf, "events").where("value is not null").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     t = stats.trend(e, ["user_id"], "pos", "value").where("n > 2")
-    return t.select("user_id", "n", "r", "t", stats.student_t_two_sided(F.col("t"), F.col("n") - 2.0).alias("p_value"))
+    t = t.withColumn("p_value", stats.student_t_two_sided(F.col("t"), F.col("n") - 2.0))
+    return t.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("r", "t", "p_value")))
 
 
-@query()
+# ------------------------------------------------------------------ dictionaries
+
+
+@query(f"""WITH RECURSIVE {TOK}, l AS (SELECT conv_id, turn * 1000000 + i AS left_order, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS r FROM tok WHERE turn % 2 = 0),
+rr AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS txt FROM conversations WHERE turn % 2 = 1),
+run(conv_id, r, gone, hit) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM l UNION ALL
+SELECT l.conv_id, l.r, any_value(run.gone) + CASE WHEN min(rr.idx) IS NULL THEN 0 ELSE 1 END, min(rr.idx) FROM run JOIN l ON l.conv_id = run.conv_id AND l.r = run.r + 1 LEFT JOIN rr ON rr.conv_id = l.conv_id AND rr.idx >= run.gone AND contains(rr.txt, l.w) GROUP BY l.conv_id, l.r)
+SELECT run.conv_id, l.left_order, rr.turn AS right_order FROM run JOIN l ON l.conv_id = run.conv_id AND l.r = run.r LEFT JOIN rr ON rr.conv_id = run.conv_id AND rr.idx = run.hit""")
 def greedy_match(spark, sf):
-    """Turns of users matched in order with turns of the same conversation that contain their first word."""
-    c = read(spark, sf, "conversations").select("conv_id", "turn", "role", text.letters(F.col("text")).alias("t"))
-    left = c.where("turn % 2 = 0").select("conv_id", "turn", F.split("t", " ")[0].alias("word")).where("word <> ''")
-    return translate.greedy_match(left, c.where("turn % 2 = 1"), ["conv_id"], "turn", "word", "t")
+    """All words of the even turns of a conversation, matched in order with the texts of its odd turns."""
+    c = read(spark, sf, "conversations").select("conv_id", "turn", text.letters(F.col("text")).alias("t"))
+    left = turn_tokens(spark, sf).where("turn % 2 = 0").select("conv_id", (F.col("turn") * 1_000_000 + F.col("i")).cast("long").alias("order"), F.col("w").alias("word"))
+    right = c.where("turn % 2 = 1").select("conv_id", F.col("turn").cast("long").alias("order"), "t")
+    return translate.greedy_match(left, right, ["conv_id"], "order", "word", "t")
+
+
+CHAINS = f"""{TOK}, dw AS (SELECT w FROM tok WHERE length(w) > 1 GROUP BY w HAVING count(*) >= 3),
+df AS (SELECT a.w AS word, CASE WHEN r.w IS NOT NULL AND r.w <> a.w THEN r.w WHEN s.w IS NOT NULL THEN s.w ELSE substr(a.w, 1, 2) || '-' || substr(a.w, 3) END AS phon FROM dw a LEFT JOIN dw r ON r.w = reverse(a.w) LEFT JOIN dw s ON s.w = substr(a.w, 1, length(a.w) - 1)),
+ch(word, cur, path) AS (SELECT word, phon, [word] FROM df UNION ALL SELECT ch.word, df.phon, list_append(path, cur) FROM ch JOIN df ON df.word = ch.cur WHERE NOT list_contains(path, cur)),
+closed AS (SELECT word, CASE WHEN list_contains(path, cur) THEN list_min(path[list_position(path, cur):]) ELSE cur END AS phon, CASE WHEN NOT list_contains(path, cur) THEN CAST(len(path) AS BIGINT) END AS steps FROM ch WHERE list_contains(path, cur) OR cur NOT IN (SELECT word FROM df))"""
+
+
+def chained_dictionary(spark, sf):
+    """A dictionary of frequent words whose forms are often words: the word backwards, the word without its last letter, or
+    two syllables."""
+    words = Scratch(spark, "words").put(turn_tokens(spark, sf).where(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").select("w"), "words")
+    back, cut = words.select(F.col("w").alias("_r"), F.reverse("w").alias("w")), words.select(F.col("w").alias("_s"))
+    d = words.join(back, "w", "left").join(cut, F.col("_s") == F.expr("substr(w, 1, length(w) - 1)"), "left")
+    phon = F.when(F.col("_r").isNotNull() & (F.col("_r") != F.col("w")), F.col("_r")).when(F.col("_s").isNotNull(), F.col("_s")).otherwise(F.concat(F.substring("w", 1, 2), F.lit("-"), F.expr("substr(w, 3)")))
+    return d.select(F.col("w").alias("word"), phon.alias("phon"))
+
+
+@query(f"WITH RECURSIVE {CHAINS} SELECT word, phon, steps FROM closed")
+def dictionary_closure(spark, sf):
+    return translate.close_dictionary(chained_dictionary(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {CHAINS}, s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(lower(text), '([^a-z ]+)', ' \\1 ', 'g'), ' '), lambda x: x <> '') AS ws FROM conversations),
+u AS (SELECT conv_id, turn, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM s), j AS (SELECT conv_id, turn, i, w, coalesce(closed.phon, w) AS form, closed.phon IS NULL AND w NOT IN (SELECT phon FROM closed) AND regexp_matches(w, '\\p{{L}}') AS unknown FROM u LEFT JOIN closed ON w = word)
+SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS orth, string_agg(form, ' ' ORDER BY i) AS phon, count(*) AS n_tokens, count(CASE WHEN unknown THEN 1 END) AS n_unknown FROM j GROUP BY conv_id, turn HAVING count(CASE WHEN unknown THEN 1 END) <= 0.02 * count(*)""")
+def translated_utterances(spark, sf):
+    """Turns by the closed dictionary; those with more than 2 % of lettered tokens that are no form go, punctuation stays."""
+    c = read(spark, sf, "conversations").select(*TURN, F.regexp_replace(F.lower("text"), "([^a-z ]+)", " $1 ").alias("t"))
+    closed = Scratch(spark, "closed").put(translate.close_dictionary(chained_dictionary(spark, sf)), "closed")
+    return translate.translate(c, TURN, "t", closed, 0.02)
 
 
 @query(f"WITH {TOK}, {BENCHMARK_WORDS}, f AS (SELECT role, w, count(*) AS f FROM tok GROUP BY ALL), x AS (SELECT role, f, CASE WHEN w IN (SELECT w FROM bw) THEN 1 + length(w) // 3 END AS n_syl FROM f) SELECT role, n_syl, count(*) AS n_types, CAST(sum(f) AS BIGINT) AS total, round(avg(f), 6) AS mean, round(stddev_samp(f), 6) AS sd, round(stddev_samp(f) / sqrt(count(f)), 6) AS se FROM x GROUP BY role, n_syl")
@@ -323,36 +410,116 @@ def syllable_profile(spark, sf):
     return d.select("role", "n_syl", "n_types", "total", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "se")))
 
 
-def window_vectors(spark, sf, scratch):
-    """(windows of 30 turns of all conversations, their turns)."""
+def window_vectors(spark, sf, scratch, stemmed=False):
+    """(windows of 30 turns of all conversations, their turns, their vocabulary)."""
     turns = windows.tumbling(read(spark, sf, "conversations"), ["conv_id"], ["turn"], 30)
     docs = windows.window_text(turns, ["conv_id", "window"], "turn", "text")
-    return scratch.put(models.vectorise(docs, "text")[0].select("conv_id", "window", "counts"), "vectors"), turns
+    vectors, vocabulary = models.vectorise(docs, "text", stemmed=stemmed)
+    return scratch.put(vectors.select("conv_id", "window", "counts"), "vectors"), turns, vocabulary
 
 
 @query()
 def utterance_loadings(spark, sf):
-    """Topic loadings of windows, for each turn of the window."""
-    vectors, turns = window_vectors(spark, sf, Scratch(spark, "window-topics"))
-    loaded = models.loadings(models.fit_topics(vectors, 3, 20), vectors, ["conv_id", "window"])
+    """Topic loadings of windows, for each turn of the window: topics of stems, by 500 sweeps of Gibbs sampling."""
+    vectors, turns, _ = window_vectors(spark, sf, Scratch(spark, "window-topics"), stemmed=True)
+    loaded = gibbs_topics.fit_gibbs_topics(vectors, ["conv_id", "window"], 3, per_round=50).loadings(["conv_id", "window"])
     return models.utterance_loadings(loaded, turns.select(F.concat_ws("_", "conv_id", "turn").alias("utt"), "conv_id", "window"), ["conv_id", "window"])
 
 
+@query()
+def gibbs_topic_words(spark, sf):
+    """The words that score highest in topics of windows."""
+    vectors, _, vocabulary = window_vectors(spark, sf, Scratch(spark, "window-topics"))
+    model = gibbs_topics.fit_gibbs_topics(vectors, ["conv_id", "window"], 4, 200, per_round=50)
+    names = spark.createDataFrame(list(enumerate(vocabulary)), "w int, word string")  # the vocabulary is on the driver
+    return topic_map.top_words(topic_map.topic_scores(model.counts.join(names, "w").select("word", "n"), 4), "score", 10)
+
+
+LANGS = ["de", "en", "es", "fr"]
+PHI = f"""dtok AS (SELECT lang, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '')) AS word FROM documents),
+cells AS (SELECT word, topic, count(CASE WHEN lang = {quoted_list(LANGS)}[topic + 1] THEN 1 END) AS n FROM dtok, (SELECT unnest(range({len(LANGS)})) AS topic) GROUP BY word, topic),
+tot AS (SELECT topic, sum(n) AS total, count(*) AS words, sum(n) / (SELECT sum(n) FROM cells) AS share FROM cells GROUP BY topic),
+phi AS (SELECT word, topic, n, (n + 0.1) / (total + 0.1 * words) AS p, share, sum((n + 0.1) / (total + 0.1 * words) * share) OVER (PARTITION BY word) AS pw FROM cells JOIN tot USING (topic)),
+scores AS (SELECT word, topic, x * (ln(x + 1e-5) - avg(ln(x + 1e-5)) OVER (PARTITION BY word)) AS value FROM (SELECT word, topic, n / (total + 1e-5) AS x FROM cells JOIN tot USING (topic))),
+sal AS (SELECT word, any_value(pw) AS p_word, sum(p * share / pw * ln(p / pw)) AS distinctiveness FROM phi GROUP BY word),
+rel AS (SELECT weight, topic, word, weight * ln(p) + (1 - weight) * ln(p / pw) AS value FROM phi, (SELECT unnest([0.0, 0.5, 1.0]) AS weight)),
+relevant AS (SELECT weight, topic, row_number() OVER (PARTITION BY weight, topic ORDER BY round(value, 12) DESC, word) AS rank, word, value FROM rel QUALIFY rank <= 15)"""
+
+
+def language_words(spark, sf):
+    """(counts of words in the documents of each language, the languages' shares of them, number of tokens)."""
+    d = read(spark, sf, "documents").select("lang", F.explode(text.tokens(text.letters(F.col("text")))).alias("word"))
+    counts = Scratch(spark, "language-words").put(topic_map.topic_counts(d, "lang", "word", LANGS), "counts")
+    totals, _ = topic_map.topic_totals(counts, len(LANGS))
+    return counts, [t / sum(totals) for t in totals], sum(totals)
+
+
+def ranked(d, *keys):
+    return d.select(*keys, "topic", F.col("rank").cast("long").alias("rank"), "word", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {PHI} SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY round(value, 12) DESC, word) AS rank, word, round(value, 9) AS value FROM scores QUALIFY rank <= 10")
+def topic_top_words(spark, sf):
+    """Words by score, with languages as topics, as in the queries that follow."""
+    counts, _, _ = language_words(spark, sf)
+    return ranked(topic_map.top_words(topic_map.topic_scores(counts, len(LANGS)), "score", 10))
+
+
+@query(f"WITH {PHI} SELECT word, round(p_word, 9) AS p_word, round(distinctiveness, 9) AS distinctiveness, round(p_word * distinctiveness, 9) AS saliency FROM sal")
+def topic_saliency(spark, sf):
+    counts, parts, _ = language_words(spark, sf)
+    d = topic_map.saliency(topic_map.word_shares(counts, len(LANGS)), parts)
+    return d.select("word", *(F.round(c, 9).alias(c) for c in ("p_word", "distinctiveness", "saliency")))
+
+
+@query(f"WITH {PHI} SELECT weight, topic, rank, word, round(value, 9) AS value FROM relevant")
+def topic_relevance(spark, sf):
+    counts, parts, _ = language_words(spark, sf)
+    return ranked(topic_map.relevance(topic_map.word_shares(counts, len(LANGS)), parts, [0.0, 0.5, 1.0], 15), "weight")
+
+
+@query(f"WITH {PHI} SELECT x.topic AS a, y.topic AS b, round(sum(x.p * ln(2 * x.p / (x.p + y.p)) / 2 + y.p * ln(2 * y.p / (x.p + y.p)) / 2), 9) AS distance FROM phi x JOIN phi y ON x.word = y.word AND x.topic < y.topic GROUP BY ALL")
+def topic_distances(spark, sf):
+    counts, _, _ = language_words(spark, sf)
+    return topic_map.topic_distances(topic_map.word_shares(counts, len(LANGS)), len(LANGS)).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"""WITH {PHI}, r AS (SELECT word, topic, p, p / sum(p) OVER (PARTITION BY word) AS e FROM phi), lab AS (
+SELECT 'probability' AS measure, topic, word, p AS value FROM phi UNION ALL SELECT 'score', topic, word, value FROM scores
+UNION ALL SELECT 'lift', topic, word, p / (sum(n) OVER (PARTITION BY word) / (SELECT sum(n) FROM cells)) FROM phi
+UNION ALL SELECT 'frex', topic, word, 1 / (0.5 / ((rank() OVER (PARTITION BY topic ORDER BY round(e, 12)) + (count(*) OVER (PARTITION BY topic, round(e, 12)) - 1) / 2) / count(*) OVER (PARTITION BY topic)) + 0.5 / ((rank() OVER (PARTITION BY topic ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY topic, round(p, 12)) - 1) / 2) / count(*) OVER (PARTITION BY topic))) FROM r)
+SELECT measure, topic, row_number() OVER (PARTITION BY measure, topic ORDER BY round(value, 12) DESC, word) AS rank, word, round(value, 9) AS value FROM lab WHERE value IS NOT NULL QUALIFY rank <= 7""")
+def topic_labels(spark, sf):
+    counts, _, _ = language_words(spark, sf)
+    return ranked(topic_map.topic_labels(counts, len(LANGS)), "measure")
+
+
+@query(f"""WITH {PHI}, tk AS (SELECT sum(n) AS tokens FROM cells), top AS (SELECT word, 16 - row_number() OVER (ORDER BY round(p_word * distinctiveness, 12) DESC, word) AS place FROM sal QUALIFY place > 0)
+SELECT 'Default' AS category, word, round(p_word * tokens, 6) AS freq, round(p_word * tokens, 6) AS total, round(CAST(place AS DOUBLE), 6) AS logprob, round(CAST(place AS DOUBLE), 6) AS loglift FROM top JOIN sal USING (word), tk
+UNION ALL SELECT 'Topic' || (topic + 1), word, round(p * share * tokens, 6), round(pw * tokens, 6), round(ln(p), 6), round(ln(p / pw), 6) FROM phi JOIN (SELECT DISTINCT topic, word FROM relevant) USING (topic, word), tk""")
+def topic_map_terms(spark, sf):
+    counts, parts, tokens = language_words(spark, sf)
+    d = topic_map.map_terms(topic_map.word_shares(counts, len(LANGS)), parts, tokens, [0.0, 0.5, 1.0], 15)
+    return d.select("category", "word", *(F.round(c, 6).alias(c) for c in ("freq", "total", "logprob", "loglift")))
+
+
 @query()
 def search_k(spark, sf):
     """Models of windows with two to four topics."""
-    vectors, _ = window_vectors(spark, sf, Scratch(spark, "window-topics"))
+    vectors, _, _ = window_vectors(spark, sf, Scratch(spark, "window-topics"))
     return topic_search.search_k(vectors, ["conv_id", "window"], [2, 3, 4])
 
 
 @query()
 def structural_topics_by_role(spark, sf):
-    """Loadings of three topics whose prevalence and words depend on the role; documents are the turns of a role in a window."""
+    """Loadings of three topics of stems whose prevalence depends on the role and the place of the window, and their words on
+    the role; documents are the turns of a role in a window."""
     keys = ["conv_id", "window", "role"]
     turns = windows.tumbling(read(spark, sf, "conversations"), ["conv_id"], ["turn"], 30)
     docs = windows.window_text(turns, keys, "turn", "text")
-    vectors = Scratch(spark, "structural-topics").put(models.vectorise(docs, "text")[0].select(*keys, "counts"), "vectors")
-    return structural_topics.fit_structural_topics(vectors, "role", 3).loadings(vectors, keys)
+    vectors = Scratch(spark, "role-topics").put(models.vectorise(docs, "text", stemmed=True)[0].select(*keys, "counts"), "vectors")
+    terms = structural_topics.dummies(vectors, "role") | {"window": F.col("window").cast("double")}
+    return structural_topics.fit_structural_topics(vectors, 3, terms, "role").loadings(vectors, keys)
 
 
 # ------------------------------------------------------------------ columns and text
