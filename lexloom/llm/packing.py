@@ -15,9 +15,11 @@ length in cells of bounded size and look their place up.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 from collections.abc import Callable, Iterable, Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -146,10 +148,30 @@ def token_pieces(docs: DataFrame, tokenizer: str | None, capacity: int, end_id:
 # --------------------------------------------------------------------------- the linear program
 
 
+#: Fixed point of prices, and steps of the covered share that they depend on.
+_ONE, _SHARES = 1 << 40, 1 << 10
+
+
+@functools.cache
+def decay(eta: Fraction) -> np.ndarray:
+    """exp(-eta * i / _SHARES) for i = 0 .. _SHARES in fixed point, by integers alone: the same on every CPU."""
+    scale, step = 1 << 80, eta / _SHARES
+    ratio, term, i = Fraction(0), Fraction(1), 0
+    while abs(term) * scale > 1:  # the series of exp(-step)
+        ratio += term
+        i += 1
+        term *= -step / i
+    ratio, value, out = int(ratio * scale), scale, []
+    for _ in range(_SHARES + 1):
+        out.append(value * _ONE // scale)
+        value = value * ratio // scale
+    return np.array(out, np.int64)
+
+
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """For each room up to ``capacity`` the value of the best multiset of the sorted ``lengths``, and one of its lengths (0
-    if the room is as good with one less): an unbounded knapsack by dynamic programming."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    if the room is as good with one less): an unbounded knapsack by dynamic programming in integers."""
+    best, pick = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
     price = values[lengths]
     fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
@@ -176,35 +198,36 @@ def _multiset(pick: np.ndarray, room: int, length: int) -> dict[int, int]:
     return found
 
 
-def solve_configurations(counts: Mapping[int, int], capacity: int, eta: float, share: float, slack: float) -> list[tuple[dict[int, int], int]]:
+def solve_configurations(counts: Mapping[int, int], capacity: int, eta: Fraction, share: Fraction, slack: Fraction) -> list[tuple[dict[int, int], int]]:
     """A cover of ``counts`` (length -> pieces) by configurations in whole amounts: [(configuration, times)].
 
-    Multiplicative weights: length l has the price l/capacity * exp(-eta * covered share). A configuration is used to
-    ``share`` of the amount at which it would first cover one of its lengths in full, rounded down, once at least."""
-    need = np.zeros(capacity + 1)
+    Multiplicative weights: length l has the price l * exp(-eta * covered share). A configuration is used to ``share`` of
+    the amount at which it would first cover one of its lengths in full, rounded down, once at least. Prices and all
+    that is compared are integers, so the cover does not depend on the CPU."""
+    need = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         need[length] = n
     left = need.copy()
-    size = np.arange(capacity + 1) / capacity
+    size, falling = np.arange(capacity + 1), decay(eta)
     out: list[tuple[dict[int, int], int]] = []
     while left.any():
         lengths = np.flatnonzero(left)
-        values = size * np.exp(-eta * (1 - left / np.maximum(need, 1)))
+        values = size * falling[(need - left) * _SHARES // np.maximum(need, 1)]
         best, pick = knapsack(values, lengths, capacity)
         through = values[lengths] + best[capacity - lengths]
-        floor, used = (1 - slack) * best[capacity], False
-        for i in np.lexsort((-lengths, -np.round(through, 12))):
+        floor, used = int((1 - slack) * int(best[capacity])), False
+        for i in np.lexsort((-lengths, -through)).tolist():
             length = int(lengths[i])
             if used and through[i] < floor:
                 break
             if left[length] < 1:
                 continue
             # not more of a length than there is left
-            found = {x: int(min(k, left[x])) for x, k in _multiset(pick, capacity - length, length).items() if left[x] >= 1}
-            if used and sum(values[x] * k for x, k in found.items()) < floor:
+            found = {x: min(k, int(left[x])) for x, k in _multiset(pick, capacity - length, length).items() if left[x] >= 1}
+            if used and sum(int(values[x]) * k for x, k in found.items()) < floor:
                 continue
-            room = min(left[x] // k for x, k in found.items())
-            times = int(max(1, min(room, min(need[x] * share // k for x, k in found.items()))))
+            room = min(int(left[x]) // k for x, k in found.items())
+            times = max(1, min(room, min(int(need[x]) * share.numerator // (share.denominator * k) for x, k in found.items())))
             for x, k in found.items():
                 left[x] -= k * times
             out.append((found, times))
@@ -253,34 +276,43 @@ class _Bins:
         return sequences
 
 
-#: (eta, share, slack) of the runs of the linear program, of which the better one is used.
-EFFORT = ((0.35, 1.0, 0.001), (6.0, 0.25, 0.05))
+#: (eta, share, slack) of the runs of the linear program. The next is only tried while the plan needs more sequences than
+#: the volume, and those after the second only while it needs more than best fit alone.
+EFFORT = tuple(tuple(map(Fraction, x)) for x in (("0.35", "1", "0.001"), ("6", "0.25", "0.05"), ("1", "0.5", "0.01"), ("0.1", "1", "0.001"), ("3", "0.25", "0.02"), ("12", "0.1", "0.1")))
 #: The shares of the tokens that best fit may place at the end.
-TAILS = (0.0, 0.01, 0.03, 0.1, 0.2, 0.3)
+TAILS = tuple(map(Fraction, ("0", "0.01", "0.03", "0.1", "0.2", "0.3")))
 
 
 class Plan:
     """Intervals of ranks per length and the sequences and offsets they go to. ``by_program`` is the number of pieces that
-    the linear program has placed, ``pieces`` that of all."""
+    the linear program has placed, ``pieces`` that of all. A plan depends on the counts alone, not on the machine, and never
+    needs more sequences than best fit: should no run of the program reach that, best fit places everything."""
 
-    def __init__(self, counts: Mapping[int, int], capacity: int, effort: tuple[tuple[float, float, float], ...] = EFFORT, tails: tuple[float, ...] = TAILS):
+    def __init__(self, counts: Mapping[int, int], capacity: int, effort: tuple[tuple[Fraction, Fraction, Fraction], ...] = EFFORT, tails: tuple[Fraction, ...] = TAILS):
         total = {x: n for x, n in sorted(counts.items()) if n}
         tokens = sum(a * b for a, b in total.items())
+        volume, alone = -(-tokens // capacity), self._count(total, capacity, [])
         best: tuple[int, list[tuple[dict[int, int], int]]] | None = None
-        for setting in effort:
+        for i, setting in enumerate(effort):
+            if best and (best[0] == volume or i > 1 and best[0] <= alone):
+                break
             solution = solve_configurations(total, capacity, *setting)
             # full configurations first, so that the tail has those with room
             solution.sort(key=lambda x: sum(a * b for a, b in x[0].items()), reverse=True)
             for tail in tails:
                 rest, cut = tokens, len(solution)
-                for i, (found, times) in enumerate(solution):
+                for j, (found, times) in enumerate(solution):
                     if rest <= tail * tokens:
-                        cut = i
+                        cut = j
                         break
                     rest -= times * sum(a * b for a, b in found.items())
                 n = self._count(total, capacity, solution[:cut])
                 if best is None or n < best[0]:
                     best = n, solution[:cut]
+                if n == volume:
+                    break
+        if best and best[0] > alone:
+            best = alone, []
         left, used, rows, groups, self.sequences = dict(total), dict.fromkeys(total, 0), [], [], 0
 
         def take(length: int, n: int, first: int, offset: int) -> None:
