@@ -95,7 +95,9 @@ PASSAGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("t
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 15, mean: int = 24, least: int = 6, most: int = 512) -> DataFrame:
     """A row per repeated passage of a document: doc_id, text_hash (xxhash64 of the text it is in), start, stop (bytes of the
     UTF-8 text), n_words, first_doc (the smallest id of a document that has the passage's first chunk) and repeated
-    (false where this document is the first for all of the passage's chunks, so that it is kept there).
+    (false where this document is the first for all of the passage's chunks, so that it is kept there). A run of repeated
+    chunks of ``min_words`` words is a passage for each stretch that is repeated, or that is not: where another document
+    has only part of a run first, the rest stays here, and each chunk stays somewhere.
 
     Defined cases: null and empty texts have no chunks; rows with a null id are not compared; rows with the same id
     count as one document, so a passage they share is not repeated, and each of the id's texts has its own passages; equal
@@ -119,12 +121,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for doc, t, c in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("c")):
                 values = c.values
                 start, stop, words, first = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-                new = np.flatnonzero(np.concatenate(([True], start[1:] > stop[:-1])))
+                gap, again = start[1:] > stop[:-1], first != doc
+                run = np.concatenate(([0], np.cumsum(gap)))
+                whole = np.bincount(run, words)[run]  # words of the run that each chunk is in
+                new = np.flatnonzero(np.concatenate(([True], gap | (again[1:] != again[:-1]))))
                 ends = np.append(new[1:], len(start))
                 for x, y in zip(new.tolist(), ends.tolist()):
-                    n = int(words[x:y].sum())
-                    if n >= min_words:
-                        rows.append((doc, t, int(start[x]), int(stop[x:y].max()), n, int(first[x]), bool((first[x:y] != doc).any())))
+                    if whole[x] >= min_words:
+                        rows.append((doc, t, int(start[x]), int(stop[x:y].max()), int(words[x:y].sum()), int(first[x]), bool(again[x])))
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in columns[:6]), pa.array(columns[6], pa.bool_())], names=PASSAGES.names)
 
