@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,6 +144,8 @@ _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 #: Odd factors for sequences of hashes.
 FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _powers: list[np.ndarray] = []
+#: Bytes up to which a span is hashed by the polynomial.
+_POLYNOMIAL = 256
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
@@ -169,7 +172,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, segment: int = 4 << 20) -> np.ndarray:
     """64-bit hashes of data[starts[i]:ends[i]] for sorted spans that don't overlap. Equal bytes get equal hashes,
-    wherever they stand. Works in segments, so that one very long text takes no more memory."""
+    wherever they stand. Works in segments, so that one very long text takes no more memory.
+
+    Short spans get a polynomial mod 2^64 from one prefix sum; for longer ones there are texts of two letters that all
+    such polynomials take for equal (Thue-Morse words, from 1,024 letters on), so these are hashed one by one."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -182,6 +188,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, segment:
         a, b = starts[at:stop] - low, ends[at:stop] - low
         out[at:stop] = (total[b] - total[a]) * inverse[a]
         at = stop
+    for i in np.flatnonzero(ends - starts > _POLYNOMIAL).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(data[starts[i] : ends[i]]))
     return mix(out)
 
 
