@@ -148,8 +148,10 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     """A row per row of ``docs``: doc_id, host, path, evidence (log likelihood ratio), site_posterior, posterior, kept.
 
     labels has doc_id and good (boolean). sites may give doc_id, host and path; else, or where it has no row, the
-    expressions ``host`` and ``path`` over docs are used. The classifier is fitted on at most ``sample_per_class``
-    labelled documents of each class; scores and site statistics cover all documents.
+    expressions ``host`` and ``path`` over docs are used. The classifier is fitted on about ``sample_per_class`` labelled
+    documents of each class (a sample by hash, with a share that gives 1.2 times as many on average); scores and site
+    statistics cover all documents. site_posterior is what the other documents say of the place: a document's own share
+    is left out of its path, its host and the rate of all; only the strengths of the priors, two numbers, come from all.
 
     Defined cases: null and empty texts have no words and are judged by the measures of an empty text; a null host or
     path is a group of its own; null labels don't count, an id labelled twice is good if all its labels are; without
@@ -184,13 +186,16 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     rate = ((total[1] or 0.0) + 1) / ((total[0] or 0) + 2)
     by_host = by_host.withColumn("prior", F.lit(rate))
     k_host = _strength(by_host)
-    hosts = by_host.select("host", ((F.col("s") + k_host * rate) / (F.col("n") + k_host)).alias("prior"))
+    hosts = by_host.select("host", ((F.col("s") + k_host * rate) / (F.col("n") + k_host)).alias("prior"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     paths = scratch.put(by_path.join(hosts, "host"), "priors")
     k_path = _strength(paths)
     # the table of sites is joined as a scan, so that a host with very many documents is split
     joined = scored.join(paths, ["host", "path"])
-    own = (F.col("s") - F.col("share") + k_path * F.col("prior")) / (F.col("n") - 1 + k_path)
-    out = joined.withColumn("site_posterior", own)
+    # what the other documents say, at every level: a document's own share is in none of the three
+    others = (F.lit(total[1] or 0.0) - F.col("share") + 1) / F.lit((total[0] or 0) + 1.0)
+    others = (F.col("host_s") - F.col("share") + k_host * others) / (F.col("host_n") - 1 + k_host)
+    others = (F.col("s") - F.col("share") + k_path * others) / (F.col("n") - 1 + k_path)
+    out = joined.withColumn("site_posterior", others)
     odds = F.col("evidence") + _logit(F.col("site_posterior"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     kept = F.col("posterior") >= threshold if model else F.lit(True)
