@@ -77,12 +77,14 @@ WORD, BETWEEN = r"[\p{L}\p{M}\p{N}_]+", r"[^\p{L}\p{M}\p{N}_]"
 FORM = r"trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
-def tags_sql(texts: str, kw: str = "kw") -> str:
+def tags_sql(texts: str, keywords: list[tuple[str, str]]) -> str:
     """tags (conv_id, turn, context, value) of a table of texts: a regular expression for each keyword."""
-    return f"tags AS (SELECT conv_id, turn, context, count(*) AS value FROM (SELECT conv_id, turn, {FORM} AS form FROM {texts}) JOIN {kw} ON regexp_matches(form, '(^|{BETWEEN})' || regexp_escape(word) || '($|{BETWEEN})') GROUP BY ALL)"
+    word = lambda w: f"'(^|{BETWEEN})" + w.replace("_", " ").replace("'", "''") + f"($|{BETWEEN})'"
+    found = ", ".join(f"CASE WHEN regexp_matches(form, {word(w)}) THEN '{c}' END" for c, w in keywords)
+    return f"tags AS (SELECT conv_id, turn, context, count(*) AS value FROM (SELECT conv_id, turn, unnest([{found}]) AS context FROM (SELECT conv_id, turn, {FORM} AS form FROM {texts})) WHERE context IS NOT NULL GROUP BY ALL)"
 
 
-TAGS = f"{TOK}, {KW}, {tags_sql('conversations')}"
+TAGS = f"{TOK}, {tags_sql('conversations', KEYWORDS)}"
 WIDE = f"{TAGS}, wide AS (SELECT conv_id, turn, " + ", ".join(f"max(CASE WHEN context = '{c}' THEN 1 ELSE 0 END) AS {c}" for c in CONTEXTS) + " FROM tags GROUP BY conv_id, turn)"
 EV = "ev AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS hit FROM events)"
 
@@ -200,10 +202,9 @@ def keyword_tag(spark, sf):
 
 #: Keywords that have more than letters, and parts of them.
 MARKED = [("play", "pat-a-cake"), ("play", "cake"), ("joining", "that's"), ("joining", "that"), ("joining", "hat's"), ("place", "café"), ("place", "caf"), ("place", "café_is")]
-MARKED_KW = "kw(context, word) AS (VALUES " + ", ".join(f"('{c}', '{w.replace('_', ' ').replace(chr(39), 2 * chr(39))}')" for c, w in MARKED) + ")"
 
 
-@query(f"WITH {MARKED_KW}, t AS (SELECT conv_id, turn, replace(replace(replace(text, ' la ', ' Pat-a-cake '), ' de ', ' that''s '), ' die ', ' café  is ') AS text FROM conversations), {tags_sql('t')} SELECT conv_id, turn, context, value FROM tags")
+@query(f"WITH t AS (SELECT conv_id, turn, replace(replace(replace(text, ' la ', ' Pat-a-cake '), ' de ', ' that''s '), ' die ', ' café  is ') AS text FROM conversations), {tags_sql('t', MARKED)} SELECT conv_id, turn, context, value FROM tags")
 def keyword_marks(spark, sf):
     """Keywords with hyphens, apostrophes and accents, in turns whose articles are replaced by such words."""
     t = F.col("text")
