@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Scratch
+from .kit import Scratch, quoted
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,7 +103,7 @@ def reputations(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, least:
 def fitting_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     """A struct (rule, verdict) of the longest rule that fits, or null. A rule fits its host and all its subdomains,
     if the path starts with the rule's. The list is compiled into the plan: thousands of rules, not millions."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule: string, verdict: string>")
     for r in sorted(rules, key=lambda r: (len(r.rule), r.rule)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         out = F.when(fits, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
@@ -112,18 +112,21 @@ def fitting_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """A row per row of ``pages``: its id, host, path, rule (or null), verdict (allow or block), reputation (posterior
-    mean) and reputation_upper.
+    mean) and reputation_upper. The id's column is called ``id_col``, or page_id if that is one of the other names.
 
     ``outcomes`` has host and good for labelled pages.
 
     Defined cases: a null url or one without :// has an empty host and path, which is judged like any other host;
-    null and repeated ids are carried through; rows of outcomes with a null label count for nothing; an empty table
-    gives an empty table, and without outcomes all hosts have the prior rate of one half, which allows.
+    null and repeated ids are carried through; rows of outcomes with a null label count for nothing; without rules all
+    pages are judged by their hosts; columns may have any names, others are ignored; an empty table gives an empty table,
+    and without outcomes all hosts have the prior rate of one half, which allows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
-    parsed = pages.select(F.col(id_col).cast("long").alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    url = F.col(quoted(url_col)).cast("string")
+    parsed = pages.select(F.col(quoted(id_col)).cast("long").alias("_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     hosts = scratch.put(reputations(outcomes, parsed, z, suffixes=suffixes).select("host", F.col("mean").alias("reputation"), F.col("upper").alias("reputation_upper")), "reputations")
     found = parsed.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(hosts, "host", "left")
     by_host = F.when(F.col("reputation_upper") < threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return found.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_host).alias("verdict"), "reputation", "reputation_upper")
+    name = "page_id" if id_col.lower() in ("host", "path", "rule", "verdict", "reputation", "reputation_upper") else id_col
+    return found.select(F.col("_id").alias(name), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_host).alias("verdict"), "reputation", "reputation_upper")
