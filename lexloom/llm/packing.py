@@ -18,6 +18,7 @@ import bisect
 import functools
 import json
 import re
+import struct
 from collections.abc import Callable, Iterable, Mapping
 from fractions import Fraction
 
@@ -52,6 +53,24 @@ def _byte_of_char() -> dict[str, int]:
     return out
 
 
+class _Parts(dict):
+    """Ids of parts of texts, each with ``before`` in front of it; at most ``keep`` are kept."""
+
+    def __init__(self, before: str, one: Callable[[bytes], list[int]], keep: int):
+        self.before, self.one, self.keep = before, one, keep
+
+    def __missing__(self, part: str) -> bytes:
+        whole = self.before + part
+        if part.isalpha():  # letters up to U+024F are one piece
+            ids = self.one(whole.encode())
+        else:
+            ids = [i for p in _PIECES.findall(whole) for i in self.one(p.encode())]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.keep:
+            self[part] = found
+        return found
+
+
 class Encoder:
     """Texts to token ids (little-endian 32-bit), the same ids as ``Tokenizer.from_file(path).encode(text,
     add_special_tokens=False).ids``.
@@ -68,7 +87,6 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self._byte_bpe(spec)
-        self.keep, self.seen = keep, {}
         if self.fast:
             import tiktoken
 
@@ -77,6 +95,8 @@ class Encoder:
             byte = _byte_of_char()
             ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in names}
             self.bpe = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+            one = self.bpe.encode_single_piece
+            self.spaced, self.plain = _Parts(" ", one, keep), _Parts("", one, keep // 20)
 
     @staticmethod
     def _byte_bpe(spec: dict) -> bool:
@@ -90,28 +110,17 @@ class Encoder:
         made = [vocab.get("".join(p), -1) for p in pairs]
         return all(a < b for a, b in zip(made, made[1:])) and made[:1] > [255]
 
-    def _part(self, text: str) -> bytes:
-        found = self.seen.get(text)
-        if found is None:
-            one = self.bpe.encode_single_piece
-            found = np.fromiter((i for p in _PIECES.findall(text) for i in one(p.encode())), "<u4").tobytes()
-            if len(self.seen) < self.keep:
-                self.seen[text] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         if not self.fast or _BEYOND.search(text) or (self.special and self.special.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not text:
             return b""
+        spaced, plain = self.spaced, self.plain
         if _SPACE_AFTER_SPACE.search(text):
-            one = self._part
-            return b"".join([one(p) for p in _PIECES.findall(text)])
+            return b"".join([spaced[p[1:]] if p[0] == " " else plain[p] for p in _PIECES.findall(text)])
         # No space follows white space, so the pattern splits before each space.
         head, *parts = text.split(" ")
-        get, one = self.seen.get, self._part
-        found = [get(" " + p) or one(" " + p) for p in parts]
-        return (one(head) if head else b"") + b"".join(found)
+        return (plain[head] if head else b"") + b"".join(map(spaced.__getitem__, parts))
 
 
 def default_tokenizer() -> str:
