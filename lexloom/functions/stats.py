@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,56 @@ def grouped_quantiles(df: DataFrame, by: list[str], column: str, ps: dict[str, f
     return ends.groupBy(*by).agg(*out)
 
 
+def cutoffs(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]], bins: int = 1024) -> DataFrame:
+    """Exact quantiles with linear interpolation (type 7) of columns, a row per group: ``wanted`` has a column and a share for
+    each name. Values are neither sorted nor gathered: the interval that holds the wanted rank is cut into ``bins`` equal
+    bins (by turns of the values and of their logarithms), and the bin with that rank is the next interval, from its least to its largest value, until these are the same.
+    A step is one aggregation for all groups and names; a task hands on a row per bin at most. A last one finds the value of
+    the rank that follows.
+
+    Nulls are left out, a group without values has null, and so has an empty table without ``by``. Groups may be null. NaN
+    counts as the largest value. Other columns are ignored."""
+    scratch = Scratch(df.sparkSession, "cutoffs")
+    keys = [f"_k{i}" for i in range(len(by))]
+    group = [*keys, "_i"]
+    share = F.element_at(F.array(*(F.lit(float(p)) for _, p in wanted.values())), F.col("_i") + 1)
+    columns = F.array(*(F.col(c).cast("double") for c, _ in wanted.values()))
+    values = scratch.put(df.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.posexplode(columns).alias("_i", "_v")), "values")
+
+    def beside(state: DataFrame) -> DataFrame:
+        other = state.select(*(F.col(g).alias(f"{g}_s") for g in group), "lo", "hi", "size", "below", "rank")
+        return values.join(other, functools.reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"{g}_s")) for g in group]))
+
+    rank = F.floor((F.col("size") - 1) * share).cast("long")
+    first = values.groupBy(*group).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("_v").alias("size"), F.lit(0).cast("long").alias("below"))
+    state, step = scratch.put(first.withColumn("rank", rank), "step0"), 0
+    # the least and the largest value have bins of their own, so that each step takes them off
+    logs = lambda x: F.signum(x) * (F.ln(F.nullif(F.abs(x), F.lit(0.0))) + 800)
+    scales = [lambda x: x, lambda x: F.coalesce(logs(x), F.lit(0.0))]
+
+    def bin_of(scale) -> Column:
+        v, lo, hi = (scale(F.col(c)) for c in ("_v", "lo", "hi"))
+        place = F.least(F.lit(bins - 2.0), F.greatest(F.lit(1.0), F.floor(F.try_divide(v - lo, hi - lo) * bins).cast("double")))
+        return F.when(F.col("_v") <= F.col("lo"), 0.0).when(F.col("_v") >= F.col("hi"), bins - 1.0).otherwise(place)
+
+    before = F.col("below") + F.sum("n").over(Window.partitionBy(*group).orderBy("bin")) - F.col("n")
+    while state.where("lo <> hi").limit(1).count():
+        inside = beside(state.where("lo <> hi")).where("_v >= lo AND _v <= hi").withColumn("bin", bin_of(scales[step % 2]))
+        counts = inside.groupBy(*group, "size", "below", "rank", "bin").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        found = counts.withColumn("below", before).where("below <= rank AND rank < below + n").select(*state.columns)
+        step += 1
+        state = scratch.put(state.where("NOT coalesce(lo <> hi, false)").unionByName(found), f"step{step}")
+        scratch.drop(f"step{step - 1}")
+    ends = beside(state).groupBy(*group, "lo", "size", "rank").agg(F.count_if(F.col("_v") <= F.col("lo")).alias("upto"), F.min(F.when(F.col("_v") > F.col("lo"), F.col("_v"))).alias("next"))
+    part = (F.col("size") - 1) * share - F.col("rank")
+    same = (F.col("rank") + 1 < F.col("upto")) | F.col("next").isNull() | (part == 0)
+    ends = ends.withColumn("at", F.when(same, F.col("lo")).otherwise(F.col("lo") + (F.col("next") - F.col("lo")) * part))
+    out = ends.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == i, F.col("at"))).alias(n) for i, n in enumerate(wanted)))
+    result = scratch.put(out.select(*(F.col(k).alias(b) for k, b in zip(keys, by)), *wanted), "cutoffs")
+    scratch.keep("cutoffs")
+    return result
+
+
 def standard_error(column: str) -> Column:
     return F.stddev_samp(column) / F.sqrt(F.count(column))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.functions.stats import standard_error
+from lexloom.functions.stats import cutoffs, standard_error
 from lexloom.operators.contexts import keyword_grams, listed_keywords
 
 
@@ -37,9 +37,10 @@ def top_tokens(tokens: DataFrame, by: list[str], token: str, n: int = 3) -> Data
 
 
 def frequency_quantiles(tokens: DataFrame, by: list[str], token: str, ps: dict[str, float]) -> DataFrame:
-    """Quantiles of the token counts per group, and the least and largest count. Different counts are few."""
+    """Quantiles of the token counts per group, and the least and largest count."""
     freq = tokens.groupBy(*by, token).agg(F.count("*").alias("f"))
-    return freq.groupBy(*by).agg(F.min("f").alias("least"), *(F.percentile("f", p).alias(name) for name, p in ps.items()), F.max("f").alias("most"))
+    out = cutoffs(freq, by, {"least": ("f", 0.0), **{name: ("f", p) for name, p in ps.items()}, "most": ("f", 1.0)})
+    return out.withColumn("least", F.col("least").cast("long")).withColumn("most", F.col("most").cast("long"))
 
 
 def syllable_profile(tokens: DataFrame, dictionary: DataFrame, by: list[str], token: str) -> DataFrame:
@@ -81,7 +82,7 @@ def keyword_frequency(docs: DataFrame, text: str, words: DataFrame) -> DataFrame
 
 
 def median_split(df: DataFrame, n: str, out: str = "above_median") -> DataFrame:
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(n, 0.5).alias("_m")))).withColumn(out, F.col(n) > F.col("_m")).drop("_m")
+    return df.crossJoin(F.broadcast(cutoffs(df, [], {"_m": (n, 0.5)}))).withColumn(out, F.col(n) > F.col("_m")).drop("_m")
 
 
 def percent_match(long: DataFrame, keys: list[str], x: str, among: list[str], name: str = "context", value: str = "value") -> DataFrame:

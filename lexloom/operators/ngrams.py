@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.stats import global_rank
+from lexloom.functions.stats import cutoffs, global_rank
 from lexloom.scratch import Scratch
 
 
@@ -44,7 +44,7 @@ def bigram_ranks(table: DataFrame) -> DataFrame:
 def bigram_graph(table: DataFrame, p: float = 0.85, largest: float = 0.03, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of the directed graph of pairs: edges with mi at or above its p quantile, between vertices of
     size freq / (largest * max freq) of at least ``least``."""
-    cut = table.agg(F.percentile("mi", p).alias("cut"))
+    cut = cutoffs(table, [], {"cut": ("mi", p)})
     v = table.groupBy(F.col("a").alias("token")).agg(F.sum("ab").alias("freq"))
     top = v.agg(F.max("freq").alias("top"))
     v = v.crossJoin(F.broadcast(top)).withColumn("size", F.col("freq") / (largest * F.col("top"))).where(F.col("size") >= least).drop("top")

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.functions.stats import cutoffs
+
 
 def boundaries(tokens: DataFrame, table: DataFrame, by: list[str], unit: list[str], order: str, token: str, stat: str = "tp", cutoff: float = 0.85, frequency_rule: bool = False, eps: float = 1e-9) -> DataFrame:
     """tokens with ``start`` = 1 where a new unit begins: at the beginning of an utterance and where the statistic of
     the pair is under the cutoff, its type-7 quantile over distinct pairs. With the frequency rule also where the pair
     is rarer than that quantile of the token counts."""
-    cut = table.groupBy(*by).agg(F.percentile(stat, cutoff).alias("cut"))
+    cut = cutoffs(table, by, {"cut": (stat, cutoff)})
     seg = table.join(F.broadcast(cut), by) if by else table.crossJoin(F.broadcast(cut))
     low = F.col(stat) < F.col("cut") - eps
     if frequency_rule:
-        freq = tokens.groupBy(*by, token).agg(F.count("*").alias("f")).groupBy(*by).agg(F.percentile("f", cutoff).alias("fcut"))
+        freq = cutoffs(tokens.groupBy(*by, token).agg(F.count("*").alias("f")), by, {"fcut": ("f", cutoff)})
         seg = seg.join(F.broadcast(freq), by) if by else seg.crossJoin(F.broadcast(freq))
         low = low | (F.col("ab") < F.col("fcut"))
     seg = seg.select(*by, F.col("a").alias("_before"), F.col("b").alias(token), low.cast("int").alias("_low"))

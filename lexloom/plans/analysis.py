@@ -117,7 +117,7 @@ def convergence(samples: DataFrame, value: str, copies: int, size: int, order: s
     numbered = stats.global_rank(samples, [F.col(order)], "_at").withColumn("_at", F.col("_at") - 1).select("_at", value)
     drawn = resample.bootstrap(numbered, "_at", copies, size, seed)
     out = windows.running_quantiles(windows.running_mean(drawn, ["copy"], ["draw"], value), ["copy"], ["draw"], value, ps)
-    whole = samples.agg(F.avg(value).alias("_m"), *(F.percentile(value, p).alias(f"_{n}") for n, p in ps.items()))
+    whole = samples.agg(F.avg(value).alias("_m")).crossJoin(F.broadcast(stats.cutoffs(samples, [], {f"_{n}": (value, p) for n, p in ps.items()})))
     near = {"running_mean": "_m", **{n: f"_{n}" for n in ps}}
     out = out.crossJoin(F.broadcast(whole))  # one row
     return out.select("copy", "draw", "iteration", value, *near, *((F.abs(F.col(n) - F.col(m)) <= tol).alias(f"{n}_stable") for n, m in near.items()))

@@ -205,6 +205,25 @@ def test_quantiles_by_rank(spark):
     assert stats.grouped_quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([x for _, x in rows if x is not None]))
 
 
+def test_cutoffs_by_selection(spark):
+    rng = np.random.default_rng(8)
+    sets = {"a": rng.normal(size=500), "b": 10.0 ** rng.uniform(-300, 300, 90), "c": np.repeat([1.0, 2.0], [7, 3]), "d": np.array([5.0]), "e": np.array([-1.7e308, 1.7e308, 0.0, 5e-324, 1.0]), None: rng.integers(0, 4, 60).astype(float)}
+    rows = [(k, float(v)) for k, vs in sets.items() for v in vs] + [("a", None), ("z", None)]
+    df = spark.createDataFrame(rows, "`g k` string, v double").withColumn("w", -F.col("v")).withColumn("_v", F.lit(0)).repartition(5)
+    wanted = {"lo": ("v", 0.0), "x": ("v", 0.37), "med": ("w", 0.5), "hi": ("v", 1.0)}
+    got = {r[0]: tuple(r[1:]) for r in stats.cutoffs(df, ["g k"], wanted, bins=64).collect()}
+    assert got.pop("z") == (None,) * 4 and set(got) == set(sets)
+    for k, vs in sets.items():
+        sure = ["a", "c", "d", None]
+        if k in sure:
+            assert got[k] == pytest.approx((vs.min(), np.quantile(vs, 0.37), np.median(-vs), vs.max()), rel=1e-12), k
+        else:
+            assert (got[k][0], got[k][3]) == (vs.min(), vs.max()), k
+    assert stats.cutoffs(df.where("false"), [], wanted).collect() == [(None,) * 4] and stats.cutoffs(df.where("false"), ["g k"], wanted).count() == 0
+    odd = spark.createDataFrame([(float(x),) for x in ["-inf", "-inf", 1, 2, 3, "inf", "nan"]], "v double")
+    assert [stats.cutoffs(odd, [], {"q": ("v", i / 6)}).first().q for i in range(6)] == [float("-inf"), float("-inf"), 1, 2, 3, float("inf")]
+
+
 def test_logistic_regressions_match_reweighted_least_squares(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
