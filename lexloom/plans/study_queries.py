@@ -194,19 +194,46 @@ def form_of(word):
     return F.when(F.length(word) > 3, F.concat(F.substring(word, 1, 2), F.lit("-"), F.substr(word, F.lit(3)))).otherwise(word)
 
 
-def analysed(spark, sf):
+def analysed(spark, sf, **options):
     c = read(spark, sf, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("utt"), F.col("conv_id").alias("file"), F.col("turn").alias("pos"), text.letters(F.col("text")).alias("orth"))
-    t = tags(spark, sf).select(F.concat_ws("_", "conv_id", "turn").alias("utt"), "context", "value")
+    t = tags(spark, sf).select(F.concat_ws("_", "conv_id", "turn").alias("utt"), "context", (F.col("value") > 0).cast("int").alias("value"))  # windows spread marks of 1
     d = dictionary_words(spark, sf).select(F.col("w").alias("word"), form_of(F.col("w")).alias("phon"))
-    return analysis.run_analysis(c.withColumn("phon", F.array_join(F.transform(text.tokens(F.col("orth")), form_of), " ")), t, d)
+    return analysis.run_analysis(c.withColumn("phon", F.array_join(F.transform(text.tokens(F.col("orth")), form_of), " ")), t, d, **options)
 
 
-@query(f"WITH {RUN} SELECT context, stat, round(recall, 6) AS recall, round(precision, 6) AS precision, hits, misses, false_alarms, n_segd_units, n_utts, n_syl_tokens, n_syl_types, n_tokens, n_types, round(ttr, 6) AS ttr, highest AS highest_freq_syl, round(prop_highest, 6) AS prop_most_freq, round(mean_tp, 6) AS mean_tp, round(mean_mi, 6) AS mean_mi, round(words_per_utt, 6) AS mean_words_per_utt, round(syls_per_utt, 6) AS mean_syls_per_utt, round(prop_one_word, 6) AS prop_one_word_utt, round(prop_one_syl, 6) AS prop_one_syl_utt FROM res")
-def run_analysis(spark, sf):
-    d = analysed(spark, sf)
+RUN_COLUMNS = "SELECT context, stat, round(recall, 6) AS recall, round(precision, 6) AS precision, hits, misses, false_alarms, n_segd_units, n_utts, n_syl_tokens, n_syl_types, n_tokens, n_types, round(ttr, 6) AS ttr, highest AS highest_freq_syl, round(prop_highest, 6) AS prop_most_freq, round(mean_tp, 6) AS mean_tp, round(mean_mi, 6) AS mean_mi, round(words_per_utt, 6) AS mean_words_per_utt, round(syls_per_utt, 6) AS mean_syls_per_utt, round(prop_one_word, 6) AS prop_one_word_utt, round(prop_one_syl, 6) AS prop_one_syl_utt FROM res"
+
+
+def rounded(d):
     return d.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in d.schema))
 
 
+@query(f"WITH {RUN} {RUN_COLUMNS}")
+def run_analysis(spark, sf):
+    return rounded(analysed(spark, sf))
+
+
+def run_over(chosen: str) -> str:
+    """RUN with other marks: ``chosen`` defines them, from tags."""
+    return RUN.replace("wtok AS", f"{chosen}, wtok AS", 1).replace("tok0 JOIN tags", "tok0 JOIN chosen", 1)
+
+
+DEALT = """sizes AS (SELECT context, count(*) AS n FROM tags GROUP BY context), chosen AS (SELECT conv_id, turn, context FROM (SELECT conv_id, turn, context, n, row_number() OVER (PARTITION BY context ORDER BY md5('s1|0|' || context || '|' || conv_id || '_' || turn), conv_id || '_' || turn) AS r FROM (SELECT DISTINCT conv_id, turn FROM conversations), sizes) WHERE r <= n)"""
+SPREAD = """chosen AS (SELECT DISTINCT o.conv_id, o.turn, context FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) o JOIN (SELECT conv_id, place, context FROM tags JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) USING (conv_id, turn)) m ON m.conv_id = o.conv_id AND m.place BETWEEN o.place - 1 AND o.place + 1)"""
+
+
+@query(f"WITH {run_over(DEALT)} {RUN_COLUMNS}")
+def run_analysis_permuted(spark, sf):
+    """All contexts dealt to random utterances."""
+    return rounded(analysed(spark, sf, permute=1))
+
+
+@query(f"WITH {run_over(SPREAD)} {RUN_COLUMNS}")
+def run_analysis_expanded(spark, sf):
+    """Contexts spread to the utterances before and after."""
+    return rounded(analysed(spark, sf, expand=1))
+
+
 @query(f"WITH {RUN} SELECT context, upper(stat) AS criterion, n_utts, n_tokens, n_types, n_segd_units, hits, misses, false_alarms, CASE WHEN n_tokens > n_segd_units THEN 'under' WHEN n_tokens < n_segd_units THEN 'over' END AS trend, round(abs(n_tokens - n_segd_units) / n_tokens, 6) AS prop_diff FROM res")
 def results_descriptives(spark, sf):
     return analysis.results_descriptives(analysed(spark, sf)).withColumn("prop_diff", F.round("prop_diff", 6))
