@@ -62,11 +62,12 @@ def multiple_response_statistic(wide: DataFrame, left: list[str], right: list[st
     aggs = [F.count("*").alias("n")] + [F.sum(F.col(c)).alias(f"_{c}") for c in [*left, *right]] + [F.sum(F.col(x) * F.col(y)).alias(f"_{x}_{y}") for x in left for y in right]
     out = wide.groupBy(*by).agg(*aggs)
     total = F.lit(0.0)
-    n = F.col("n")
+    double = lambda c: F.col(c).cast("double")  # noqa: E731  (a product of four counts is beyond long from 100,000 rows on)
+    n = double("n")
     for x in left:
         for y in right:
-            a, b, ab = F.col(f"_{x}"), F.col(f"_{y}"), F.col(f"_{x}_{y}")
-            total = total + F.coalesce(F.try_divide(n * F.pow(n * ab - a * b, 2), (a * b * (n - a) * (n - b)).cast("double")), F.lit(0.0))
+            a, b, ab = double(f"_{x}"), double(f"_{y}"), double(f"_{x}_{y}")
+            total = total + F.coalesce(F.try_divide(n * F.pow(n * ab - a * b, 2), a * b * (n - a) * (n - b)), F.lit(0.0))
     return out.select(*by, total.alias("statistic"), "n")
 
 
@@ -84,7 +85,7 @@ def multiple_response_bootstrap(wide: DataFrame, left: list[str], right: list[st
     """Null distribution of the statistic: (iter, statistic, n). In each iteration as many elements as there are get a
     pattern of each side, drawn with replacement and independently of the other side: a hash of the draw gives a place
     among the rows in the order of their patterns, and the pattern whose places it is in comes by a join on buckets of
-    places. Rows with a null are left out."""
+    places, of which there are 1,000 and one more for each pattern. Rows with a null are left out."""
     spark = wide.sparkSession
     known = wide.dropna("any", subset=[*left, *right])
     n = known.count()
@@ -94,7 +95,7 @@ def multiple_response_bootstrap(wide: DataFrame, left: list[str], right: list[st
         place = F.floor(uniform(F.lit(seed), F.lit(side), F.col("iter").cast("string"), F.col("draw").cast("string")) * n)
         out = out.withColumn("_at", place).withColumn("bucket", F.floor(F.col("_at") / bucket))
         ranges = pattern_ranges(known, items, bucket)
-        out = out.join(ranges, "bucket").where((F.col("low") <= F.col("_at")) & (F.col("_at") < F.col("high"))).drop("bucket", "low", "high", "_at")
+        out = out.join(F.broadcast(ranges), "bucket").where((F.col("low") <= F.col("_at")) & (F.col("_at") < F.col("high"))).drop("bucket", "low", "high", "_at")
     return multiple_response_statistic(out, left, right, ["iter"])
 
 
