@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import agreement
+from lexloom.operators import agreement, descriptives
 
 
 def test_multiple_responses_of_many_rows(spark):
@@ -16,3 +16,17 @@ def test_multiple_responses_of_many_rows(spark):
     assert abs(same.statistic - n) < 1e-6
     draws = agreement.multiple_response_bootstrap(df.limit(1000), ["a"], ["b"], 3)
     assert sorted((r["iter"], r.n) for r in draws.collect()) == [(0, 1000), (1, 1000), (2, 1000)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_share_of_contexts_among_the_elements_of_one(spark):
+    rows = [(1, "x", 1), (1, "a", 1), (1, "b", 0), (2, "x", 1), (2, "a", 1), (2, "a", 2), (3, "a", 5), (4, "x", 0), (4, "a", 7), (None, "x", 1), (None, "a", 9), (5, "x", 1), (5, "x", 1)]
+    long = spark.createDataFrame(rows, "id int, context string, value int")
+    d = descriptives.percent_match(long, ["id"], "x", ["a", "b", "x", "nowhere"])
+    # elements 1, 2, 5 and the one without an id have x; a null id joins with nothing
+    assert {r.context: r.share for r in d.collect()} == {"a": 4 / 4, "b": 0.0, "x": 4 / 4}
+    assert "Join" not in plan_of(d)
+    assert descriptives.percent_match(long, ["id"], "nowhere", ["a"]).count() == 0

@@ -352,6 +352,10 @@ def test_keywords_on_word_boundaries(spark):
     f = {r.context: (r.total, r.most, r.top_word) for r in descriptives.keyword_frequency(docs, "t", words).collect()}
     assert f == {"play": (3, 2, "peek a boo"), "meal": (1, 1, "café"), "talk": (2, 1, "hat")}
     assert contexts.keyword_tags(docs, ["utt"], "t", words.where("1 = 0")).count() == 0
+    tagged = contexts.keyword_tags(docs, ["utt"], "t", words)
+    tagged.collect()
+    plan = tagged._jdf.queryExecution().executedPlan().toString()  # only what is found is shuffled, and once
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.split("Initial Plan")[0].count("hashpartitioning(utt") <= 1
 
 
 # ------------------------------------------------------------------ statistics
