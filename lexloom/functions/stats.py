@@ -5,11 +5,13 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.scratch import Scratch
+from lexloom.scratch import Scratch, ship_package
 
 
 def pbinom(k: Column, n: Column, p: float, lower: bool = True) -> Column:
@@ -197,26 +199,32 @@ def gamma_upper(a: Column, x: Column) -> Column:
     return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - front * series)).otherwise(front * tail)
 
 
+def _beta_fraction(x, a, b):
+    """The continued fraction of the incomplete beta function for arrays, with as many terms as the largest a + b asks for."""
+    not_zero = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    d = 1 / not_zero(1 - (a + b) * x / (a + 1))
+    c, h = np.ones_like(x), d
+    for i in range(1, 61 + int(6 * np.sqrt(np.nanmax(a + b, initial=0.0)))):
+        for term in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+            d, c = 1 / not_zero(1 + term * d), not_zero(1 + term / c)
+            h = h * d * c
+    return h
+
+
 def beta_lower(x: Column, a: Column, b: Column) -> Column:
     """The regularised incomplete beta function I_x(a, b), a and b >= 0.5, by its continued fraction, from the side on which
-    that converges fast."""
+    that converges fast. The fraction is taken for a batch of rows at once: as a column expression, each of its terms would
+    write out the one before several times."""
+    ship_package(SparkSession.active())
+
+    @F.pandas_udf("double")
+    def fraction(y: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series(_beta_fraction(*(v.to_numpy(float) for v in (y, p, q))))
+
     swap = x > (a + 1) / (a + b + 2)
-    y, p, q = F.when(swap, 1 - x).otherwise(x), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    y, p, q = (F.when(swap, other).otherwise(own).cast("double") for other, own in ((1 - x, x), (b, a), (a, b)))
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + p * F.log(y) + q * F.log(1 - y)) / p
-
-    def step(acc, i):
-        even = i * (q - i) * y / ((p + 2 * i - 1) * (p + 2 * i))
-        d = 1 / _not_zero(1 + even * acc["d"])
-        c = _not_zero(1 + even / acc["c"])
-        h = acc["h"] * d * c
-        odd = -(p + i) * (p + q + i) * y / ((p + 2 * i) * (p + 2 * i + 1))
-        d2 = 1 / _not_zero(1 + odd * d)
-        c2 = _not_zero(1 + odd / c)
-        return {"c": c2, "d": d2, "h": h * d2 * c2}
-
-    begin = 1 / _not_zero(1 - (p + q) * y / (p + 1))
-    fraction = _fold(F.lit(60) + 6 * F.sqrt(a + b), {"c": F.lit(1.0), "d": begin, "h": begin}, step, lambda acc: acc["h"])
-    value = F.when(y <= 0, 0.0).otherwise(front * fraction)
+    value = F.when(y <= 0, 0.0).otherwise(front * fraction(y, p, q))
     return F.when(swap, 1 - value).otherwise(value)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions import stats
 from lexloom.operators import agreement, descriptives
 from lexloom.plans import analysis
 
@@ -42,3 +43,11 @@ def test_marks_spread_and_join_without_broadcast(spark):
     tokens = analysis.context_tokens(utts, marks)
     assert sorted((r.utt, r.context, r.i) for r in tokens.collect()) == sorted((u, c, i) for u, c in (("f1", "p"), ("f3", "q"), ("g5", "p"), ("g1", "p")) for i in range(4))
     assert "Broadcast" not in plan_of(tokens)
+
+
+def test_beta_function_is_one_column(spark):
+    df = spark.range(3).select(F.lit(0.5).alias("x"), (F.col("id") + 1.0).alias("a"), F.lit(0.5).alias("b"))
+    p = df.select(stats.beta_lower(F.col("x"), F.col("a"), F.col("b")).alias("p"))
+    assert "aggregate(" not in plan_of(p) and plan_of(p).count("fraction(") <= 6  # no term of the fraction is written out
+    assert abs(p.first().p - (1 - 0.5**0.5)) < 1e-12
+    assert df.where("id > 5").select(stats.beta_lower(F.col("x"), F.col("a"), F.col("b"))).count() == 0
