@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lexloom.functions import stats
-from lexloom.operators import agreement, descriptives
+from lexloom.operators import agreement, descriptives, models, variational_topics
 from lexloom.plans import analysis
 
 
@@ -51,3 +56,26 @@ def test_beta_function_is_one_column(spark):
     assert "aggregate(" not in plan_of(p) and plan_of(p).count("fraction(") <= 6  # no term of the fraction is written out
     assert abs(p.first().p - (1 - 0.5**0.5)) < 1e-12
     assert df.where("id > 5").select(stats.beta_lower(F.col("x"), F.col("a"), F.col("b"))).count() == 0
+
+
+def test_topics_of_many_documents_at_once(spark):
+    rng = np.random.default_rng(2)
+    x = np.array([0.05, 0.1, 0.7, 3.0, 40.0, 1e6])
+    assert variational_topics.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12)
+    assert variational_topics.digamma(x) == pytest.approx([(math.lgamma(v * 1.0001) - math.lgamma(v * 0.9999)) / (v * 0.0002) for v in x], rel=1e-5)
+    beta, lengths = rng.dirichlet(np.ones(12), 3), np.array([1, 7, 12, 3])
+    words, counts = np.concatenate([rng.choice(12, n, False) for n in lengths]), rng.integers(1, 50, lengths.sum()).astype(float)
+    gamma, theta, shares = variational_topics.topics_of(words, counts, lengths, beta, 0.1, 1e-9)
+    for d, end in enumerate(np.cumsum(lengths)):
+        own = slice(end - lengths[d], end)
+        assert shares[own] == pytest.approx(theta[d] @ beta[:, words[own]])
+        assert gamma[d] == pytest.approx(0.1 + theta[d] * (beta[:, words[own]] * (counts[own] / shares[own])).sum(axis=1), rel=1e-6)
+    rows = [(i, Vectors.sparse(20, {i % 2 * 10 + int(w): 1.0 + int(w) % 3 for w in rng.choice(10, 6, False)})) for i in range(60)] + [(60, Vectors.sparse(20, {}))]
+    docs = spark.createDataFrame(rows, ["id", "counts"]).repartition(7)
+    model = models.fit_topics(docs, 2)
+    found = {r.id: np.array(r.topicDistribution) for r in model.transform(docs).collect()}
+    assert found[60].tolist() == [0.5, 0.5] and len({int(found[i].argmax()) for i in range(0, 60, 2)} | {1 - int(found[i].argmax()) for i in range(1, 60, 2)}) == 1
+    tokens = sum(r[1].values.sum() for r in rows)
+    sums, bound, n = variational_topics.one_pass(docs, model)
+    assert n == tokens and sums.sum() == pytest.approx(tokens) and bound == pytest.approx(variational_topics.one_pass(docs.repartition(1), model)[1])
+    assert model.iterations < 200 and bound > variational_topics.one_pass(docs, models.fit_topics(docs, 2, 1))[1]
