@@ -56,35 +56,37 @@ def run_analysis(utterances: DataFrame, long: DataFrame | None, dictionary: Data
         spread = utterances.select("utt", "file", order).join(named.hint("merge"), "utt", "left").select("utt", F.array_distinct(F.flatten(F.collect_list("_own").over(near))).alias("_near"))
         long = spread.select("utt", F.explode("_near").alias("context"), F.lit(1.0).alias("value"))
     long = scratch.put(long.where("value > 0").select("utt", "context", "value").distinct(), "contexts")
-    tok = scratch.put(context_tokens(utterances, long), "tokens")
-    table = scratch.put(ngrams.bigram_table(windows.bigrams(tok, ["context", "utt"], "i", "syl"), ["context"]), "bigrams")
     words = text.drop_punctuation_tokens(text.tokens(F.col("orth")))
-    orth = scratch.put(by_context(utterances.select("utt", "orth"), long).select("utt", F.explode(words).alias("word"), "context"), "orth")
-    words = orth.groupBy("context", "word").agg(F.count("*").alias("freq")).join(dictionary.select("word", "phon"), "word")
+    none = F.array().cast("array<string>")
+    marked = by_context(utterances.select("utt", "phon", "orth"), long).select("context", "utt", F.coalesce(text.syllables(F.col("phon")), none).alias("syls"), F.coalesce(words, none).alias("words"))
+    rows = scratch.put(marked, "rows")  # an utterance and context stays a row, from which tokens are made where they are counted
+    table = scratch.put(ngrams.bigram_table(segment.neighbours(rows, ["context"], "syls"), ["context"]), "bigrams")
+    orth = scratch.put(rows.select("context", F.explode("words").alias("word")).groupBy("context", "word").agg(F.count("*").alias("freq")), "types")
+    words = orth.join(dictionary.select("word", "phon"), "word")
     words = scratch.put(words.withColumn("n_syl", text.n_syllables(F.col("phon")).cast("long")), "words")
-    syl = scratch.put(tok.groupBy("context", F.col("syl").alias("phon")).agg(F.count("*").alias("freq")), "syllables")
-    counts = _descriptives(long, tok, orth, table, syl)
+    syl = scratch.put(rows.select("context", F.explode("syls").alias("phon")).groupBy("context", "phon").agg(F.count("*").alias("freq")), "syllables")
+    counts = _descriptives(long, rows, orth, table, syl)
+    found = segment.units_of_rows(rows.select("context", "utt", "syls"), table, ["context"], ["utt"], "syls", stats_used, cutoff, frequency_rule)
+    all_units = scratch.put(segment.unit_table(found, ["context", "stat"]), "units")
     out: DataFrame | None = None
     for stat in stats_used:
-        marked = segment.boundaries(tok, table, ["context"], ["context", "utt"], "i", "syl", stat, cutoff, frequency_rule)
-        found = segment.units(marked, ["context"], ["context", "utt"], "i", "syl")
-        units = segment.unit_table(found, ["context"], syl, freq_cutoff, trisyl_limit)
+        units = segment.filter_units(all_units.where(F.col("stat") == stat).drop("stat"), ["context"], syl, freq_cutoff, trisyl_limit)
         if embedding:
             units = segment.embedding_rule(units, ["context"])
-        units = scratch.put(units, f"units-{stat}")
         s = segment.scores(segment.assess(units, words, ["context"]), ["context"]).withColumn("stat", F.lit(stat))
         s = s.join(units.groupBy("context").agg(F.countDistinct("phon").alias("n_segd_units")), "context", "left")
         out = s if out is None else out.unionByName(s)
     return out.join(counts, "context").select("context", "stat", "recall", "precision", "hits", "misses", "false_alarms", "n_segd_units", *[c for c in counts.columns if c != "context"])
 
 
-def _descriptives(long: DataFrame, tok: DataFrame, orth: DataFrame, table: DataFrame, syl: DataFrame) -> DataFrame:
+def _descriptives(long: DataFrame, rows: DataFrame, orth: DataFrame, table: DataFrame, syl: DataFrame) -> DataFrame:
     """A row per context; utterances without a syllable or word count 0."""
     one = lambda c: F.avg((F.col(c) == 1).cast("double"))
-    per = long.select("utt", "context").distinct().join(tok.groupBy("context", "utt").agg(F.count("*").alias("s")), ["context", "utt"], "left").join(orth.groupBy("context", "utt").agg(F.count("*").alias("w")), ["context", "utt"], "left").fillna(0, ["s", "w"])
+    sizes = rows.select("context", "utt", F.size("syls").alias("s"), F.size("words").alias("w")).unionByName(long.select("context", "utt", F.lit(0).alias("s"), F.lit(0).alias("w")))
+    per = sizes.groupBy("context", "utt").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
     utts = per.groupBy("context").agg(F.count("*").alias("n_utts"), F.avg("w").alias("mean_words_per_utt"), F.avg("s").alias("mean_syls_per_utt"), one("w").alias("prop_one_word_utt"), one("s").alias("prop_one_syl_utt"))
     syls = syl.groupBy("context").agg(F.sum("freq").alias("n_syl_tokens"), F.count("*").alias("n_syl_types"))
-    words = orth.groupBy("context", "word").agg(F.count("*").alias("f")).groupBy("context").agg(F.sum("f").alias("n_tokens"), F.count("*").alias("n_types"))
+    words = orth.groupBy("context").agg(F.sum("freq").alias("n_tokens"), F.count("*").alias("n_types"))
     pairs = table.groupBy("context").agg(F.greatest(F.max("a1"), F.max("b2")).alias("highest_freq_syl"), F.avg("tp").alias("mean_tp"), F.avg("mi").alias("mean_mi"))
     out = utts.join(syls, "context", "left").join(words, "context", "left").join(pairs, "context", "left")
     out = out.withColumn("ttr", F.try_divide("n_types", "n_tokens")).withColumn("prop_most_freq", F.try_divide("highest_freq_syl", "n_syl_tokens"))

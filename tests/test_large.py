@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lexloom.functions import stats
-from lexloom.operators import agreement, descriptives, models, variational_topics
+from lexloom.operators import agreement, descriptives, models, ngrams, segment, variational_topics, windows
 from lexloom.plans import analysis
 
 
@@ -79,3 +79,22 @@ def test_topics_of_many_documents_at_once(spark):
     sums, bound, n = variational_topics.one_pass(docs, model)
     assert n == tokens and sums.sum() == pytest.approx(tokens) and bound == pytest.approx(variational_topics.one_pass(docs.repartition(1), model)[1])
     assert model.iterations < 200 and bound > variational_topics.one_pass(docs, models.fit_topics(docs, 2, 1))[1]
+
+
+def test_units_of_rows_are_those_between_boundaries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, i, [str(w) for w in rng.choice(list("abcde"), int(rng.integers(0, 9)))]) for g in ("p", "q", None) for i in range(25)]
+    utts = spark.createDataFrame(rows, "g string, utt int, s array<string>")
+    tokens = utts.select("g", "utt", F.posexplode("s").alias("i", "w"))
+    table = ngrams.bigram_table(segment.neighbours(utts, ["g"], "s"), ["g"]).persist()
+    same = ngrams.bigram_table(windows.bigrams(tokens, ["g", "utt"], "i", "w"), ["g"])
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, same.collect()))
+    for rule in (False, True):
+        both = segment.units_of_rows(utts, table, ["g"], ["utt"], "s", ("tp", "mi"), 0.6, rule)
+        for stat in ("tp", "mi"):
+            want = segment.units(segment.boundaries(tokens, table, ["g"], ["g", "utt"], "i", "w", stat, 0.6, rule), ["g"], ["g", "utt"], "i", "w")
+            columns = ["g", "utt", "unit_no", "phon", "n_syl"]
+            got = both.where(F.col("stat") == stat).select(columns).collect()
+            assert sorted(map(str, got)) == sorted(map(str, want.select(columns).collect())) and (rule or any(r.n_syl > 1 for r in got))
+    plan = plan_of(both)
+    assert "Window" not in plan and plan.count("_pair") > 0  # tokens are not put in order again
