@@ -103,12 +103,17 @@ def read_score_tables(spark, sf):
     return readers.score_tables(spark, f"{root}/output", ["p", "r"], keep="output", context=r".*context=([^/]*)/.*", pattern="*.txt").select("context", "p", "r")
 
 
+def logged_runs(spark, sf):
+    """(run, value): lines of logs. A run is in one task, as it has one file; runs are dealt to several tasks."""
+    e = read(spark, sf, "events").withColumn("run", F.col("user_id") % 7)
+    line = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("P "), F.col("event_id").cast("string"), F.lit(" BP "), (F.col("event_id") / 2).cast("string"))).otherwise("noise P 1")
+    return e.repartition("run").select("run", line.alias("value"))
+
+
 @query("SELECT user_id % 7 AS run, round(avg(event_id), 6) AS p, round(avg(event_id / 2), 6) AS bp FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
 def read_score_logs(spark, sf):
     root = Scratch(spark, "logs").root
-    e = read(spark, sf, "events").withColumn("run", F.col("user_id") % 7)
-    line = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("P "), F.col("event_id").cast("string"), F.lit(" BP "), (F.col("event_id") / 2).cast("string"))).otherwise("noise P 1")
-    e.repartition(1, "run").select("run", line.alias("value")).write.partitionBy("run").text(f"{root}/out")
+    logged_runs(spark, sf).write.partitionBy("run").text(f"{root}/out")
     found = readers.score_logs(spark, f"{root}/out", r".*run=([^/]*)/", "*.txt")
     return found.select(F.col("context").cast("long").alias("run"), F.round("P", 6).alias("p"), F.round("BP", 6).alias("bp"))
 

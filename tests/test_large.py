@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import stats
 from lexloom.operators import agreement, descriptives, models, ngrams, segment, variational_topics, windows
-from lexloom.plans import analysis
+from lexloom.plans import analysis, source_queries
 
 
 def test_multiple_responses_of_many_rows(spark):
@@ -98,3 +98,8 @@ def test_units_of_rows_are_those_between_boundaries(spark):
             assert sorted(map(str, got)) == sorted(map(str, want.select(columns).collect())) and (rule or any(r.n_syl > 1 for r in got))
     plan = plan_of(both)
     assert "Window" not in plan and plan.count("_pair") > 0  # tokens are not put in order again
+
+
+def test_logs_are_not_written_by_one_task(spark):
+    plan = source_queries.logged_runs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')})" in plan
