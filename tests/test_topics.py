@@ -85,6 +85,46 @@ def test_gibbs_topics_find_planted_topics(spark, monkeypatch):
     assert none.documents().count() == 0 and none.counts.count() == 0
 
 
+def test_blocks_swept_in_step_draw_what_they_draw_alone():
+    """Each token after the other as the sampler says, against all blocks at once; and calls that do not grow with blocks."""
+    rng, k, size, alpha, eta = np.random.default_rng(4), 3, 40, 0.1, 0.2
+    words, ends, z = [], [], []
+    for lengths in ([5, 0, 9, 9, 1, 30], [], [4, 4], [0], rng.integers(0, 25, 50)):
+        ends.append(np.cumsum(np.asarray(lengths, np.int64)))
+        words.append(rng.integers(0, size, int(sum(lengths))))
+        z.append(rng.integers(0, k, int(sum(lengths))))
+    counts = np.zeros((size, k), np.int64)
+    for w, t in zip(words, z):
+        np.add.at(counts, (w, t), 1)
+    joint = gibbs_topics.Sweeper(words, ends, z, counts, 4)
+    assert len(joint.steps) - 1 < sum(len(gibbs_topics.Sweeper([w], [e], [t], counts, 4).steps) - 1 for w, e, t in zip(words, ends, z))
+    rngs = [np.random.default_rng(b) for b in range(len(words))]
+    for _ in range(3):
+        joint.sweep(alpha, eta, rngs)
+    for b, (w, end, t, got) in enumerate(zip(words, ends, z, joint.topics())):
+        t, nw, own = t.copy(), counts.copy(), np.random.default_rng(b)
+        lengths, begins = np.diff(end, prepend=0), end - np.diff(end, prepend=0)
+        nd = np.array([np.bincount(t[x:y], minlength=k) for x, y in zip(begins, end)]).reshape(-1, k)
+        order = sorted(range(len(end)), key=lambda d: (-lengths[d], d))
+        for _ in range(3):
+            for at in range(0, len(order), 4):
+                docs = order[at : at + 4]
+                for i in range(lengths[docs[0]]):
+                    live = [d for d in docs if lengths[d] > i]
+                    for d in live:
+                        nd[d, t[begins[d] + i]] -= 1
+                        nw[w[begins[d] + i], t[begins[d] + i]] -= 1
+                    nk, u = nw.sum(axis=0), own.random(len(live))
+                    for d, x in zip(live, u):
+                        chance = np.cumsum((nd[d] + alpha) * (nw[w[begins[d] + i]] + eta) / (nk + eta * size))
+                        t[begins[d] + i] = (chance < x * chance[-1]).sum()
+                    for d in live:
+                        nd[d, t[begins[d] + i]] += 1
+                        nw[w[begins[d] + i], t[begins[d] + i]] += 1
+        assert (got == t).all()
+        assert (np.bincount(got, minlength=k) == nd.sum(axis=0)).all()
+
+
 # ------------------------------------------------------------------ spectral start
 
 
