@@ -26,6 +26,8 @@ from lexloom.scratch import Scratch, ship_package
 
 #: Distinct words of documents, added up, that make a block: at most and, where that leaves cores idle, at least.
 BLOCK_WORDS = (50_000, 2_000)
+#: Distinct words of documents that are worked on at once.
+TOGETHER = 100_000
 
 
 def shares(eta: np.ndarray) -> np.ndarray:
@@ -36,32 +38,85 @@ def shares(eta: np.ndarray) -> np.ndarray:
 def posterior(n: np.ndarray, beta: np.ndarray, mu: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(eta, its covariance, topics by words expected counts, log density at eta) of a document with the counts ``n`` of
     words that have the probabilities ``beta`` in the topics."""
-    total, eta = n.sum(), mu.copy()
-
-    def density(x):
-        return n @ np.log(shares(x) @ beta) - 0.5 * (x - mu) @ inverse @ (x - mu)
-
-    now = density(eta)
+    eta, around, counts, density = posteriors(n, beta, np.array([len(n)]), mu[None], inverse)
+    return eta[0], around[0], counts, float(density[0])
+
+
+def posteriors(n: np.ndarray, beta: np.ndarray, lengths: np.ndarray, mu: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many documents at once, whose words stand one after the other, ``lengths`` of each: (eta, covariances,
+    topics by words expected counts, log densities), with a row of ``mu`` for each document."""
+    docs, c, k = len(lengths), mu.shape[1], mu.shape[1] + 1
+    full = np.cumsum(lengths) - lengths
+
+    def sums(x, size, begins):
+        """Of the columns of ``x``, per document; 0 without words."""
+        if not size.all():
+            out, some = np.zeros((len(x), len(size))), size > 0
+            if some.any():
+                out[:, some] = np.add.reduceat(x, begins[some], axis=1)
+            return out
+        return np.add.reduceat(x, begins, axis=1) if len(size) else np.zeros((len(x), 0))
+
+    def theta_of(eta):
+        w = np.exp(np.hstack([eta, np.zeros((len(eta), 1))]) - np.maximum(0.0, eta.max(axis=1, initial=0.0))[:, None])
+        return w / w.sum(axis=1, keepdims=True)
+
+    def rates(theta, own, size):
+        return sum(np.repeat(theta[:, j], size) * own[j] for j in range(k))
+
+    def density(eta, theta, own, count, size, begins, at):
+        away = eta - at
+        return sums((count * np.log(rates(theta, own, size)))[None], size, begins)[0] - 0.5 * ((away @ inverse) * away).sum(axis=1)
+
+    eta, curved = mu.copy(), np.empty((docs, c, c))
+    live, own, count, size, begins = np.arange(docs), beta, n, lengths, full
+    now = density(eta, theta_of(eta), own, count, size, begins, mu)
     for _ in range(200):
-        theta = shares(eta)
-        phi = theta[:, None] * beta
-        phi /= phi.sum(axis=0)
-        counts = phi * n
-        slope = (counts.sum(axis=1) - total * theta)[:-1] - inverse @ (eta - mu)
-        above = inverse + total * (np.diag(theta) - np.outer(theta, theta))[:-1, :-1]
-        exact = above - (np.diag(counts.sum(axis=1)) - counts @ phi.T)[:-1, :-1]
-        # where the density isn't concave, the curvature without its convex part is a bound of it
-        curved = exact if np.linalg.eigvalsh(exact).min(initial=1.0) > 1e-9 else above
-        step = np.linalg.solve(curved, slope)
-        if np.abs(step).max(initial=0.0) < 1e-7:
+        if not len(live):
             break
-        size, gain = 1.0, slope @ step
-        while size > 1e-9 and (ahead := density(eta + size * step)) < now + 1e-4 * size * gain:
-            size /= 2
-        if size <= 1e-9:
-            break
-        eta, now = eta + size * step, ahead
-    return eta, np.linalg.inv(curved), counts, float(now)
+        x, at = eta[live], mu[live]
+        theta = theta_of(x)
+        ratio = count / rates(theta, own, size)
+        counts = theta * sums(own * ratio, size, begins).T
+        total = counts.sum(axis=1)  # tokens
+        slope = (counts - total[:, None] * theta)[:, :-1] - (x - at) @ inverse
+        outer = theta[:, :c, None] * theta[:, None, :c]
+        above = inverse - total[:, None, None] * outer
+        above[:, range(c), range(c)] += total[:, None] * theta[:, :c]
+        # products of a word's shares of two topics, times its count
+        share = ratio * ratio / np.where(count > 0, count, 1)
+        exact = above.copy()
+        for i in range(c):
+            exact[:, i, i] -= counts[:, i]
+            for j in range(i + 1):
+                both = theta[:, i] * theta[:, j] * sums((own[i] * own[j] * share)[None], size, begins)[0]
+                exact[:, i, j] += both
+                if i != j:
+                    exact[:, j, i] += both
+        # where the density isn't concave, the curvature without its convex part is a bound of it
+        convex = np.linalg.eigvalsh(exact).min(axis=1, initial=1.0) > 1e-9
+        curve = np.where(convex[:, None, None], exact, above)
+        step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+        curved[live] = curve
+        going = np.abs(step).max(axis=1, initial=0.0) >= 1e-7
+        gain, width, wait = (slope * step).sum(axis=1), np.ones(len(live)), going.copy()
+        while wait.any():
+            # all documents, for few go on after the first width
+            new = x + width[:, None] * step
+            ahead = density(new, theta_of(new), own, count, size, begins, at)
+            fits = wait & (ahead >= now[live] + 1e-4 * width * gain)
+            eta[live[fits]], now[live[fits]] = new[fits], ahead[fits]
+            wait &= ~fits
+            width[wait] /= 2
+            lost = wait & (width <= 1e-9)
+            going, wait = going & ~lost, wait & ~lost
+        if not going.all():
+            keep = np.repeat(going, size)
+            live, own, count, size = live[going], own[:, keep], count[keep], size[going]
+            begins = np.cumsum(size) - size
+    theta = theta_of(eta)
+    phi = np.stack([np.repeat(theta[:, j], lengths) * beta[j] for j in range(k)]) if k else beta
+    return eta, np.linalg.inv(curved), phi / phi.sum(axis=0) * n, now
 
 
 def sparse_rates(counts: np.ndarray, base: np.ndarray, amount: np.ndarray, path: int = 20, least: float = 1e-3, cycles: int = 60, tol: float = 1e-5) -> np.ndarray:
@@ -86,21 +141,31 @@ def sparse_rates(counts: np.ndarray, base: np.ndarray, amount: np.ndarray, path:
             down = b + np.log((have + penalty) / expect)
         return np.clip(np.where(up > 0, up, np.where(down < 0, down, 0.0)), -20, 20)
 
+    whole = [rate, b_topic, b_content, b_both]
     for strength in np.geomspace(1, least, path):
         penalty = np.maximum(top * strength, 1e-9)
+        # words that don't move any more are done with this penalty, whatever others do
+        live, (r, topic, content, both), n, limit = np.arange(size), (x.copy() for x in whole), counts, penalty[:, None, None]
+        by_topic, by_content = counts.sum(axis=1, keepdims=True), counts.sum(axis=2, keepdims=True)
         for _ in range(cycles):
-            moved = 0.0
-            new = step(b_topic, counts.sum(axis=1, keepdims=True), rate.sum(axis=1, keepdims=True), penalty[:, None, None])
-            rate *= np.exp(new - b_topic)
-            moved, b_topic = max(moved, float(np.abs(new - b_topic).max(initial=0))), new
-            new = step(b_content, counts.sum(axis=2, keepdims=True), rate.sum(axis=2, keepdims=True), penalty[:, None, None])
-            rate *= np.exp(new - b_content)
-            moved, b_content = max(moved, float(np.abs(new - b_content).max(initial=0))), new
-            new = step(b_both, counts, rate, penalty[:, None, None])
-            rate *= np.exp(new - b_both)
-            moved, b_both = max(moved, float(np.abs(new - b_both).max(initial=0))), new
-            if moved < tol:
+            if not len(live):
                 break
+            new = step(topic, by_topic, r.sum(axis=1, keepdims=True), limit)
+            r *= np.exp(new - topic)
+            moved, topic = np.abs(new - topic).max(axis=(1, 2)), new
+            new = step(content, by_content, r.sum(axis=2, keepdims=True), limit)
+            r *= np.exp(new - content)
+            moved, content = np.maximum(moved, np.abs(new - content).max(axis=(1, 2))), new
+            new = step(both, n, r, limit)
+            r *= np.exp(new - both)
+            moved, both = np.maximum(moved, np.abs(new - both).max(axis=(1, 2))), new
+            going = moved >= tol
+            if not going.all():
+                for x, own in zip(whole, (r, topic, content, both)):
+                    x[live[~going]] = own[~going]
+                live, r, topic, content, both, n, limit, by_topic, by_content = (x[going] for x in (live, r, topic, content, both, n, limit, by_topic, by_content))
+        for x, own in zip(whole, (r, topic, content, both)):
+            x[live] = own
         free = (b_topic != 0).sum(axis=(1, 2)) + (b_content != 0).sum(axis=(1, 2)) + (b_both != 0).sum(axis=(1, 2))
         criterion = 2 * (rate.sum(axis=(1, 2)) - (counts * np.log(rate)).sum(axis=(1, 2))) + 2 * free
         better = criterion < best - 1e-9
@@ -163,8 +228,10 @@ class StructuralTopics:
 
         def place(batches):
             for block in _parts(batches, k):
-                theta = [shares(posterior(n, beta, x @ gamma, inverse)[0]) for _, n, beta, x, _ in block.documents()]
-                yield pa.RecordBatch.from_arrays([block.keys(), pa.array([t.tolist() for t in theta], pa.list_(pa.float64()))], names=["key", "theta"])
+                theta = []
+                for _, n, beta, lengths, x, _ in block.groups():
+                    theta += [shares(eta).tolist() for eta in posteriors(n, beta, lengths, x @ gamma, inverse)[0]]
+                yield pa.RecordBatch.from_arrays([block.keys(), pa.array(theta, pa.list_(pa.float64()))], names=["key", "theta"])
 
         found = docs.with_words(self).mapInArrow(place, f"key {docs.key_type}, theta array<double>")
         return found.select("key.*", F.posexplode("theta").alias("topic", "loading"))
@@ -188,15 +255,25 @@ class _Block:
     def keys(self) -> pa.Array:
         return self.docs.field("key")
 
-    def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-        """(places in the block's vocabulary, counts, topics x words, covariates, content) of each document."""
-        for w, n, x, g in zip(self.docs.field("w"), self.docs.field("n"), self.docs.field("x"), self.docs.field("g")):
-            words = w.values.to_numpy(zero_copy_only=False).astype(np.int64) if w.is_valid else np.empty(0, np.int64)
-            count = n.values.to_numpy(zero_copy_only=False) if n.is_valid else np.empty(0)
-            at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
-            known = self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), bool)
-            at, g = at[known], g.as_py()
-            yield at, count[known], self.b[at, g * self.k : (g + 1) * self.k].T, x.values.to_numpy(zero_copy_only=False), g
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Documents, about TOGETHER words of them: (places of their words in the block's vocabulary, counts, topics x words, words
+        of each document, documents x covariates, contents)."""
+        lengths = np.asarray(self.docs.field("w").value_lengths().fill_null(0), np.int64)
+        words, counts = np.asarray(self.docs.field("w").flatten(), np.int64), np.asarray(self.docs.field("n").flatten(), float)
+        covariates = np.asarray(self.docs.field("x").flatten(), float).reshape(len(lengths), -1)
+        contents, ends, first = np.asarray(self.docs.field("g"), np.int64), np.cumsum(lengths), 0
+        while first < len(lengths):
+            begin = int(ends[first] - lengths[first])
+            stop = max(first + 1, int(np.searchsorted(ends, begin + TOGETHER, side="right")))
+            own, part = slice(begin, int(ends[stop - 1])), slice(first, stop)
+            doc = np.repeat(np.arange(stop - first), lengths[part])
+            at = np.minimum(np.searchsorted(self.vocabulary, words[own]), max(0, len(self.vocabulary) - 1))
+            known = self.vocabulary[at] == words[own] if len(self.vocabulary) else np.zeros(len(doc), bool)
+            at, doc = at[known], doc[known]
+            column = contents[part][doc] * self.k
+            beta = np.stack([self.b[at, column + j] for j in range(self.k)])
+            yield at, counts[own][known], beta, np.bincount(doc, minlength=stop - first), covariates[part], contents[part]
+            first = stop
 
 
 def _parts(batches, k: int) -> Iterator[_Block]:
@@ -259,12 +336,17 @@ def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Colu
         def sums(batches, gamma=gamma, inverse=inverse, spread=spread):
             for block in _parts(batches, k):
                 counts, moments = np.zeros((len(block.vocabulary), cells)), np.zeros(few)
-                for at, n, beta, x, g in block.documents():
-                    if len(n):
-                        eta, around, expected, density = posterior(n, beta, x @ gamma, inverse)
-                        counts[at, g * k : (g + 1) * k] += expected.T
-                        bound = density + 0.5 * (np.linalg.slogdet(around)[1] - spread)
-                        moments += np.concatenate([[bound, 1.0], np.outer(x, x).ravel(), np.outer(x, eta).ravel(), np.outer(eta, eta).ravel(), around.ravel()])
+                for at, n, beta, lengths, x, g in block.groups():
+                    some = lengths > 0  # documents without words count for nothing
+                    lengths, x, g = lengths[some], x[some], g[some]
+                    if not len(lengths):
+                        continue
+                    eta, around, expected, density = posteriors(n, beta, lengths, x @ gamma, inverse)
+                    column = np.repeat(g, lengths) * k
+                    for j in range(k):
+                        np.add.at(counts, (at, column + j), expected[j])
+                    bound = (density + 0.5 * (np.linalg.slogdet(around)[1] - spread)).sum()
+                    moments += np.concatenate([[bound, len(lengths)], (x.T @ x).ravel(), (x.T @ eta).ravel(), (eta.T @ eta).ravel(), around.sum(axis=0).ravel()])
                 some = counts.any(axis=1)
                 w = pa.array([*block.vocabulary[some].tolist(), None], pa.int32())
                 yield pa.RecordBatch.from_arrays([w, pa.array([*counts[some].tolist(), moments.tolist()], pa.list_(pa.float64()))], names=["w", "c"])
@@ -298,7 +380,8 @@ def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Colu
 
 
 def _regressions(words: DataFrame, amount: np.ndarray) -> DataFrame:
-    """(w, b) from (w, c, base), each word's regression in a task."""
+    """(w, b) from (w, c, base), each word's regression in a task. Words are few bytes and much work, so they are dealt to all
+    cores, however few partitions their bytes would make."""
 
     def solve(batches):
         for b in batches:
@@ -308,4 +391,4 @@ def _regressions(words: DataFrame, amount: np.ndarray) -> DataFrame:
                 ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * amount.size)
                 yield pa.RecordBatch.from_arrays([b.column("w"), pa.ListArray.from_arrays(ends, pa.array(rates.ravel()))], names=["w", "b"])
 
-    return words.select("w", "c", "base").mapInArrow(solve, "w int, b array<double>")
+    return words.select("w", "c", "base").repartition(max(1, words.sparkSession.sparkContext.defaultParallelism), "w").mapInArrow(solve, "w int, b array<double>")

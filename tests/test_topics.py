@@ -226,6 +226,25 @@ def test_sparse_rates_choose_what_the_counts_say():
     assert ((plain - 50) ** 2).mean() < 0.7 * ((noise - 50) ** 2).mean()  # chance is shrunk away
 
 
+def test_documents_and_words_are_solved_together_as_alone():
+    """Documents at once have what each has alone; a word's regression does not depend on the words beside it."""
+    rng = np.random.default_rng(8)
+    beta, lengths = rng.dirichlet(np.ones(30), 3), np.array([4, 0, 30, 1, 12])
+    words, mu = np.concatenate([rng.choice(30, n, False) for n in lengths]), rng.normal(0, 1, (5, 2))
+    n, inverse = rng.integers(1, 20, len(words)).astype(float), np.array([[0.5, 0.1], [0.1, 0.4]])
+    eta, around, counts, density = structural_topics.posteriors(n, beta[:, words], lengths, mu, inverse)
+    for d, end in enumerate(np.cumsum(lengths)):
+        own = slice(end - lengths[d], end)
+        alone = structural_topics.posterior(n[own], beta[:, words[own]], mu[d], inverse)
+        for x, y in zip(alone, (eta[d], around[d], counts[:, own], density[d])):
+            assert x == pytest.approx(y, abs=1e-6)
+    assert eta[1] == pytest.approx(mu[1]) and around[1] == pytest.approx(np.linalg.inv(inverse))
+    base, amount = np.log(rng.dirichlet(np.full(40, 0.3)) + 1e-6), rng.uniform(2e3, 6e3, (2, 3))
+    seen = rng.poisson(np.exp(base)[:, None, None] * amount * np.exp(rng.normal(0, 0.5, (40, 2, 3)))).astype(float)
+    whole = structural_topics.sparse_rates(seen, base, amount)
+    assert all((structural_topics.sparse_rates(seen[i : i + 1], base[i : i + 1], amount)[0] == pytest.approx(whole[i], rel=1e-9)) for i in range(40))
+
+
 def test_structural_topics_find_planted_effects(spark, monkeypatch):
     """Group b says word 1 for word 0 in the first topic; prevalence depends on the group and on a number."""
     monkeypatch.setattr(structural_topics, "BLOCK_WORDS", (500, 200))
