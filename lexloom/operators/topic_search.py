@@ -65,6 +65,37 @@ def exclusivity(beta: np.ndarray, top: int = 10, weight: float = 0.7) -> np.ndar
     return np.array([frex[best, t].sum() for t, best in enumerate(most_likely(beta, top))])
 
 
+#: Words at least this probable in a topic are taken one by one where all words are summed up; there are topics / LEAST at most.
+LEAST = 1e-3
+
+
+class AllWords:
+    """Sums over all words for the shares of topics in a document, without a step for each word: ``beta`` is topics by words."""
+
+    def __init__(self, beta: np.ndarray):
+        k, peak = len(beta), beta.max(axis=0, initial=0.0)
+        order = np.argsort(-peak, kind="stable")
+        self.peak, self.beta = peak[order], np.ascontiguousarray(beta[:, order])
+        self.likely = int(np.searchsorted(-self.peak, -LEAST, side="right"))
+        self.powers = np.zeros(k), np.zeros((k, k)), np.zeros((k * k, k))
+        for at in range(self.likely, beta.shape[1], 10_000):
+            part = self.beta[:, at : at + 10_000]
+            pairs = (part[:, None] * part[None]).reshape(k * k, -1)
+            for total, more in zip(self.powers, (part.sum(axis=1), part @ part.T, pairs @ part.T)):
+                total += more
+
+    def odds(self, theta: np.ndarray) -> float:
+        """The sum of q / (1 - q), q = theta @ beta: q + q^2 + q^3 for the unlikely words, which is off by less than q * LEAST^3."""
+        q = theta @ self.beta[:, : self.likely]
+        one, two, three = self.powers
+        return float((q / (1 - q)).sum() + theta @ one + theta @ two @ theta + np.outer(theta, theta).ravel() @ three @ theta)
+
+    def expected(self, theta: np.ndarray, m: float, tol: float) -> int:
+        """For how many words m * q is over ``tol``: only those with a topic in which they are as likely can be."""
+        upto = int(np.searchsorted(-self.peak, -tol / m * (1 - 1e-9), side="left"))
+        return int((theta @ self.beta[:, :upto] * m > tol).sum())
+
+
 def diagnostics(model, vectors: DataFrame, top: int = 10, weight: float = 0.7, tol: float = 0.01) -> dict[str, float | None]:
     """Of a model and the documents (counts, held) that it was fitted on:
 
@@ -73,15 +104,16 @@ def diagnostics(model, vectors: DataFrame, top: int = 10, weight: float = 0.7, t
     mean log probability of their held-out tokens; residual: dispersion of the counts around their expectation
     (a sum of squared adjusted residuals over the degrees of freedom; null where there are none).
 
-    One pass over the documents: tasks return sums, of which there are topics x top x top and five more."""
+    One pass over the documents: tasks return sums, of which there are topics x top x top and five more. A document takes time
+    by its own words and tokens, not by the number of all words."""
     spark = vectors.sparkSession
     beta = topic_words(model)
     topics, size = beta.shape
     best = most_likely(beta, top)
-    shared = spark.sparkContext.broadcast((beta, best))  # as large as the model, which the driver holds anyway
+    shared = spark.sparkContext.broadcast((beta, best, AllWords(beta)))  # as large as the model, which the driver holds anyway
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        beta, best = shared.value
+        beta, best, every = shared.value
         both, total = np.zeros((topics, best.shape[1], best.shape[1])), np.zeros(5)
         for pdf in batches:
             for words, counts, held, held_counts, theta in zip(pdf["words"], pdf["n"], pdf["held"], pdf["held_n"], pdf["theta"]):
@@ -89,9 +121,9 @@ def diagnostics(model, vectors: DataFrame, top: int = 10, weight: float = 0.7, t
                     words, n = np.asarray(words), np.asarray(counts)
                     has = np.isin(best, words).astype(float)
                     both += has[:, :, None] * has[:, None, :]
-                    q, m = np.asarray(theta) @ beta, n.sum()
-                    at = q[words]
-                    total += [((n**2 - 2 * n * at * m) / (m * at * (1 - at))).sum() + (m * q / (1 - q)).sum(), (q * m > tol).sum(), 1, 0, 0]
+                    theta, m = np.asarray(theta), n.sum()
+                    at = theta @ beta[:, words]
+                    total += [((n**2 - 2 * n * at * m) / (m * at * (1 - at))).sum() + m * every.odds(theta), every.expected(theta, m, tol), 1, 0, 0]
                 if held is not None and len(held):
                     k = np.asarray(held_counts)
                     total += [0, 0, 0, (k * np.log(np.asarray(theta) @ beta[:, np.asarray(held)])).sum() / k.sum(), 1]

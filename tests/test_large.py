@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lexloom.functions import stats
-from lexloom.operators import agreement, descriptives, models, ngrams, segment, variational_topics, windows
+from lexloom.operators import agreement, descriptives, models, ngrams, segment, topic_search, variational_topics, windows
 from lexloom.plans import analysis, source_queries
 
 
@@ -103,3 +103,14 @@ def test_units_of_rows_are_those_between_boundaries(spark):
 def test_logs_are_not_written_by_one_task(spark):
     plan = source_queries.logged_runs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')})" in plan
+
+
+def test_sums_over_all_words_without_a_step_for_each():
+    rng = np.random.default_rng(3)
+    beta = rng.dirichlet(np.full(20_000, 0.02), 3)
+    every = topic_search.AllWords(beta)
+    assert every.likely < 3 / topic_search.LEAST and len(every.peak) == 20_000
+    for m, theta in ((1.0, [1.0, 0.0, 0.0]), (250.0, [0.2, 0.3, 0.5]), (1e6, [0.98, 0.01, 0.01])):
+        q = np.array(theta) @ beta
+        assert every.odds(np.array(theta)) == pytest.approx((q / (1 - q)).sum(), rel=1e-8)
+        assert every.expected(np.array(theta), m, 0.01) == (q * m > 0.01).sum()
