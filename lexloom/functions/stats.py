@@ -149,6 +149,22 @@ def average_rank(partition: list[str], order: Column) -> Column:
     return F.rank().over(w) + (ties - 1) / 2
 
 
+def value_ranks(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """(by, column, rank): ``average_rank`` of each distinct value in its group, without a group in one task: counts of values,
+    a distributed sort of these, and the offsets of its partitions. Nulls come first and are one value."""
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("_n"))
+    placed = Scratch(df.sparkSession, "value-ranks").put(counts.orderBy(*by, column).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    before, total = [F.lit(-1).cast("long"), F.lit(0).cast("long")], 0
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.sum("_n")).collect()):  # a row per partition
+        before += [F.lit(p).cast("long"), F.lit(total).cast("long")]
+        total += n
+    w = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.withColumn("_p", part).withColumn("_end", F.element_at(F.create_map(*before), F.col("_p")) + F.sum("_n").over(w))
+    first = ends.groupBy(*by).agg(F.min(F.col("_end") - F.col("_n")).alias("_first"))  # a row per group
+    return ends.join(F.broadcast(first), by).select(*by, column, (F.col("_end") - F.col("_first") - (F.col("_n") - 1) / 2).alias("rank"))
+
+
 def trend(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Correlation and linear trend per group, with the t value of the correlation."""
     r = F.corr(x, y)

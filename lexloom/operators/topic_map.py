@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.functions.stats import average_rank
+from lexloom.functions.stats import value_ranks
 
 #: Fixed value: what keeps logarithms of shares finite in scores.
 _LEAST = 1e-5
@@ -71,8 +71,11 @@ def topic_labels(counts: DataFrame, k: int, n: int = 7, weight: float = 0.5, pri
     own = _total(F.col("n")) / F.lit(max(1.0, sum(totals)))
     lift = shares.withColumn("lift", F.transform("p", lambda x: F.try_divide(x, own)))
     each = shares.select("word", F.posexplode(F.transform("p", lambda x: F.struct(x.alias("p"), (x / _total(F.col("p"))).alias("e")))).alias("topic", "v"))
-    rank = lambda c: average_rank(["topic"], F.round(c, 12)) / size
-    frex = each.select("word", "topic", (1 / (weight / rank(F.col("v.e")) + (1 - weight) / rank(F.col("v.p")))).alias("value"))
+    each = each.select("word", "topic", F.round("v.e", 12).alias("e"), F.round("v.p", 12).alias("p"))
+    for c in ("e", "p"):  # a topic's words are not ranked in one task
+        ranks = value_ranks(each, ["topic"], c).select(F.col("topic").alias("_t"), F.col(c).alias("_c"), (F.col("rank") / size).alias(f"rank_{c}"))
+        each = each.join(ranks, (F.col("topic") == F.col("_t")) & F.col(c).eqNullSafe(F.col("_c"))).drop("_t", "_c")
+    frex = each.select("word", "topic", (1 / (weight / F.col("rank_e") + (1 - weight) / F.col("rank_p"))).alias("value"))
     w = Window.partitionBy("topic").orderBy(F.round("value", 12).desc(), "word")
     frex = frex.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     parts = {"probability": top_words(shares, "p", n), "lift": top_words(lift, "lift", n), "score": top_words(topic_scores(counts, k), "score", n), "frex": frex}

@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lexloom.functions import stats
-from lexloom.operators import agreement, descriptives, models, ngrams, segment, topic_search, variational_topics, windows
+from lexloom.operators import agreement, descriptives, models, ngrams, segment, topic_map, topic_search, variational_topics, windows
 from lexloom.plans import analysis, source_queries
 
 
@@ -114,3 +114,14 @@ def test_sums_over_all_words_without_a_step_for_each():
         q = np.array(theta) @ beta
         assert every.odds(np.array(theta)) == pytest.approx((q / (1 - q)).sum(), rel=1e-8)
         assert every.expected(np.array(theta), m, 0.01) == (q * m > 0.01).sum()
+
+
+def test_words_of_a_topic_are_not_ranked_in_one_task(spark):
+    rows = [(f"w{i:03d}", [i % 7, (i * i) % 11]) for i in range(300)]
+    counts = spark.createDataFrame(rows, "word string, n array<long>").repartition(5)
+    ranked = counts.select("word", F.posexplode("n").alias("topic", "x"))
+    want = {tuple(r) for r in ranked.withColumn("rank", stats.average_rank(["topic"], F.col("x"))).select("topic", "x", "rank").distinct().collect()}
+    assert {tuple(r) for r in stats.value_ranks(ranked, ["topic"], "x").collect()} == want
+    labels = topic_map.topic_labels(counts, 2)
+    assert "rank(" not in plan_of(labels).replace("row_number", "").replace("frank", "")
+    assert labels.groupBy("measure", "topic").count().where("count <> 7").count() == 0
