@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -125,3 +127,31 @@ def test_words_of_a_topic_are_not_ranked_in_one_task(spark):
     labels = topic_map.topic_labels(counts, 2)
     assert "rank(" not in plan_of(labels).replace("row_number", "").replace("frank", "")
     assert labels.groupBy("measure", "topic").count().where("count <> 7").count() == 0
+
+
+def test_contexts_are_dealt_and_counted_without_copies_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(descriptives, "CELLS", 100)  # tokens are counted in several parts
+    said = [(f"c{i % 7}", f"{i}", [f"w{(i * j) % 11}" for j in range(1 + i % 5)]) for i in range(60)]
+    said += [("c1", "1", ["again", "w1"]), (None, "9", ["lost"]), ("c0", None, ["lost"] * 3), ("c9", "90", []), ("c9", "91", None)]
+    said += [("x|" * i + "x", "x" + "|x" * (200 - i), ["same", f"w{i % 3}"]) for i in range(200)]  # all have the same hash
+    marks = [(c, t, "some") for c, t, _ in said[:25]] + [(c, t, "half") for c, t, _ in said[:130]] + [(c, t, "all") for c, t, _ in said] + [("c0", "0", "one"), (None, "9", "one"), ("c0", "0", None)]
+    utterances = spark.createDataFrame(said, "conv string, turn string, words array<string>").repartition(3)
+    long = spark.createDataFrame([(*m, v) for m in marks for v in (1, 0)], "conv string, turn string, context string, value int")
+    null = analysis.null_descriptives(utterances, long, ["conv", "turn"], "words", 4)
+    own: dict[tuple[str, str], list[str]] = {}
+    for c, t, words in said:
+        if words and c and t:
+            own[c, t] = own.get((c, t), []) + words
+    want = {}
+    for it in range(4):
+        for context in ("some", "half", "all", "one"):
+            n = sum(m[2] == context for m in marks)
+            drawn = sorted(own, key=lambda k: (hashlib.md5(f"s|{it}|{context}|{k[0]}|{k[1]}".encode()).hexdigest(), k))[:n]  # noqa: B023
+            freq = Counter(w for k in drawn for w in own[k])
+            total, top = sum(freq.values()), max(freq.values())
+            want[it, context] = (len(drawn), total, len(freq), top, min(w for w in freq if freq[w] == top), total / len(drawn), sum(len(own[k]) == 1 for k in drawn) / len(drawn), len(freq) / total, top / total)
+    got = {(r.iter, r.context): (r.n_utts, r.n_tokens, r.n_types, r.highest_freq, r.highest_token, r.mean_per_utt, r.prop_one, r.ttr, r.prop_highest) for r in null.collect()}
+    assert got == want
+    assert "Join" not in plan_of(null) and "Exchange" not in plan_of(null)  # made once, however often it is read
+    assert analysis.null_descriptives(utterances, long.where("value > 1"), ["conv", "turn"], "words", 4).count() == 0
+    assert analysis.null_descriptives(utterances.where("turn = '-'"), long, ["conv", "turn"], "words", 4).count() == 0
