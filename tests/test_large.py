@@ -155,3 +155,11 @@ def test_contexts_are_dealt_and_counted_without_copies_of_tokens(spark, monkeypa
     assert "Join" not in plan_of(null) and "Exchange" not in plan_of(null)  # made once, however often it is read
     assert analysis.null_descriptives(utterances, long.where("value > 1"), ["conv", "turn"], "words", 4).count() == 0
     assert analysis.null_descriptives(utterances.where("turn = '-'"), long, ["conv", "turn"], "words", 4).count() == 0
+
+
+def test_keyword_frequency_takes_a_text_apart_once(spark):
+    docs = spark.createDataFrame([(0, "the cat of the hat " * 4000), (1, ""), (2, None)], "i int, t string")
+    words = spark.createDataFrame([("article", "the"), ("relation", "of_the")], "context string, word string")
+    found = descriptives.keyword_frequency(docs, "t", words)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert {r.context: r.total for r in found.collect()} == {"article": 8000, "relation": 4000}
