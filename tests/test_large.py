@@ -12,8 +12,11 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lexloom.functions import stats
-from lexloom.operators import agreement, descriptives, models, ngrams, segment, topic_map, topic_search, variational_topics, windows
+from lexloom.operators import agreement, descriptives, models, ngrams, resample, segment, topic_map, topic_search, variational_topics, windows
 from lexloom.plans import analysis, source_queries
+from lexloom.plans.queries import ORACLES, QUERIES
+
+from tests.conftest import SMALL
 
 
 def test_multiple_responses_of_many_rows(spark):
@@ -163,3 +166,15 @@ def test_keyword_frequency_takes_a_text_apart_once(spark):
     found = descriptives.keyword_frequency(docs, "t", words)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
     assert {r.context: r.total for r in found.collect()} == {"article": 8000, "relation": 4000}
+
+
+def test_many_hashes_at_once():
+    before = [b"", b"s|1|place|", b"s|12|place|", b"s|13|place|", b"x" * 50, "s|1|für|".encode()]
+    after = [b"", b"1|2", b"123456|78", b"y" * 5, b"y" * 6, b"z" * 200]
+    first, last = resample.many_chances(before, after)
+    assert [[f"{a:016x}{b:016x}" for a, b in zip(*r)] for r in zip(first.tolist(), last.tolist())] == [[hashlib.md5(b + a).hexdigest() for a in after] for b in before]
+
+
+def test_null_descriptives_has_the_draws_of_the_reference(spark):
+    assert "range(5000)" in ORACLES["null_descriptives"]
+    assert {r.iters for r in QUERIES["null_descriptives"](spark, SMALL).select("iters").collect()} == {5000}
