@@ -42,9 +42,10 @@ def posterior(n: np.ndarray, beta: np.ndarray, mu: np.ndarray, inverse: np.ndarr
     return eta[0], around[0], counts, float(density[0])
 
 
-def posteriors(n: np.ndarray, beta: np.ndarray, lengths: np.ndarray, mu: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def posteriors(n: np.ndarray, beta: np.ndarray, lengths: np.ndarray, mu: np.ndarray, inverse: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same for many documents at once, whose words stand one after the other, ``lengths`` of each: (eta, covariances,
-    topics by words expected counts, log densities), with a row of ``mu`` for each document."""
+    topics by words expected counts, log densities), with a row of ``mu`` for each document. It is looked for from ``start`` on, or
+    from ``mu``."""
     docs, c, k = len(lengths), mu.shape[1], mu.shape[1] + 1
     full = np.cumsum(lengths) - lengths
 
@@ -68,7 +69,7 @@ def posteriors(n: np.ndarray, beta: np.ndarray, lengths: np.ndarray, mu: np.ndar
         away = eta - at
         return sums((count * np.log(rates(theta, own, size)))[None], size, begins)[0] - 0.5 * ((away @ inverse) * away).sum(axis=1)
 
-    eta, curved = mu.copy(), np.empty((docs, c, c))
+    eta, curved = (mu if start is None else start).copy(), np.empty((docs, c, c))
     live, own, count, size, begins = np.arange(docs), beta, n, lengths, full
     now = density(eta, theta_of(eta), own, count, size, begins, mu)
     for _ in range(200):
@@ -242,6 +243,9 @@ class _Block:
 
     def __init__(self, batch: pa.RecordBatch, i: int, k: int):
         self.docs = batch.column("docs")[i].values  # structs
+        self.number = batch.column("block")[i].as_py()
+        etas = batch.column("etas")[i]
+        self.etas = etas.values.to_numpy(zero_copy_only=False).reshape(len(self.docs), -1) if etas.is_valid else None
         rows = batch.column("rows")[i]
         self.vocabulary, self.b = np.empty(0, np.int64), np.empty((0, k))
         if rows.is_valid and len(rows):
@@ -299,11 +303,14 @@ class _Blocks:
         self.blocks = scratch.put(docs.groupBy(number).agg(lists.alias("docs")), "blocks")
         self.words = scratch.put(self.blocks.select("block", F.explode(F.array_distinct(F.flatten(F.transform("docs", lambda d: d["w"])))).alias("w")), "block-words")
 
-    def with_words(self, model: StructuralTopics) -> DataFrame:
+    def with_words(self, model: StructuralTopics, etas: DataFrame | None = None) -> DataFrame:
+        """Blocks with the model's rows for their words, and with what ``etas`` (block, etas) has for their documents."""
         scale = F.array(*(F.lit(float(s)) for s in model.scale.ravel()))
         b = F.zip_with("b", scale, lambda a, s: a / s)
         rows = self.words.join(model.words.select("w", b.alias("b")), "w").groupBy("block").agg(F.collect_list(F.struct("w", "b")).alias("rows"))
-        return self.blocks.join(rows, "block", "left").select("docs", "rows")
+        out = self.blocks.join(rows, "block", "left")
+        out = out.withColumn("etas", F.lit(None).cast("array<double>")) if etas is None else out.join(etas, "block", "left")
+        return out.select("block", "docs", "rows", "etas")
 
 
 def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Column] | None = None, content: str | None = None, iters: int = 75, tol: float = 1e-5, most_words: int = 10_000, ridge: float = 1e-6) -> StructuralTopics:
@@ -329,6 +336,7 @@ def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Colu
     base = scratch.put(totals.select("w", F.log(F.col("total") / tokens).alias("base")), "base")
     cells, few = several * k, 2 + p * p + p * c + 2 * c * c  # per block: bound, documents, x'x, x'eta, eta'eta, covariances
 
+    etas = None  # where the documents were in the iteration before, from which their steps go on
     for i in range(iters):
         gamma, sigma = model.gamma, model.sigma
         inverse, spread = np.linalg.inv(sigma), float(np.linalg.slogdet(sigma)[1])
@@ -336,12 +344,15 @@ def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Colu
         def sums(batches, gamma=gamma, inverse=inverse, spread=spread):
             for block in _parts(batches, k):
                 counts, moments = np.zeros((len(block.vocabulary), cells)), np.zeros(few)
+                places, first = np.zeros((len(block.docs), c)), 0
                 for at, n, beta, lengths, x, g in block.groups():
                     some = lengths > 0  # documents without words count for nothing
+                    own, first = first + np.flatnonzero(some), first + len(lengths)
                     lengths, x, g = lengths[some], x[some], g[some]
                     if not len(lengths):
                         continue
-                    eta, around, expected, density = posteriors(n, beta, lengths, x @ gamma, inverse)
+                    eta, around, expected, density = posteriors(n, beta, lengths, x @ gamma, inverse, None if block.etas is None else block.etas[own])
+                    places[own] = eta
                     column = np.repeat(g, lengths) * k
                     for j in range(k):
                         np.add.at(counts, (at, column + j), expected[j])
@@ -349,9 +360,13 @@ def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Colu
                     moments += np.concatenate([[bound, len(lengths)], (x.T @ x).ravel(), (x.T @ eta).ravel(), (eta.T @ eta).ravel(), around.sum(axis=0).ravel()])
                 some = counts.any(axis=1)
                 w = pa.array([*block.vocabulary[some].tolist(), None], pa.int32())
-                yield pa.RecordBatch.from_arrays([w, pa.array([*counts[some].tolist(), moments.tolist()], pa.list_(pa.float64()))], names=["w", "c"])
+                c_ = pa.array([*counts[some].tolist(), moments.tolist()], pa.list_(pa.float64()))
+                last = len(w) - 1  # the row of the moments has the documents' places too
+                number = pa.array([None] * last + [block.number], pa.int64())
+                yield pa.RecordBatch.from_arrays([w, c_, number, pa.array([None] * last + [places.ravel().tolist()], pa.list_(pa.float64()))], names=["w", "c", "block", "etas"])
 
-        found = scratch.put(docs.with_words(model).mapInArrow(sums, "w int, c array<double>"), f"sums-{i}")
+        found = scratch.put(docs.with_words(model, etas).mapInArrow(sums, "w int, c array<double>, block long, etas array<double>"), f"sums-{i}")
+        etas = found.where("block IS NOT NULL").select("block", "etas")
         part = lambda mark, n: [F.expr(f"coalesce(sum(CASE WHEN w IS {mark} NULL THEN get(c, {j}) END), 0D)") for j in range(n)]
         all_ = np.array(found.agg(*part("NOT", cells), *part("", few)).first())
         amount, moments = all_[:cells].reshape(several, k), all_[cells:]
@@ -370,8 +385,8 @@ def fit_structural_topics(vectors: DataFrame, k: int, prevalence: dict[str, Colu
         else:
             model.words = scratch.put(_regressions(by_word.join(base, "w"), np.maximum(amount, 1e-9)), f"words-{i}")
         model.scale = np.array(model.words.agg(*(F.expr(f"sum(get(b, {j}))") for j in range(cells))).first(), float).reshape(several, k)
-        scratch.drop(f"sums-{i}")
         if i:
+            scratch.drop(f"sums-{i - 1}")
             scratch.drop(f"words-{i - 1}")
         model.bounds.append(bound)
         if i and abs(bound - model.bounds[-2]) < tol * abs(model.bounds[-2]):

@@ -245,6 +245,23 @@ def test_documents_and_words_are_solved_together_as_alone():
     assert all((structural_topics.sparse_rates(seen[i : i + 1], base[i : i + 1], amount)[0] == pytest.approx(whole[i], rel=1e-9)) for i in range(40))
 
 
+def test_documents_go_on_from_where_they_were(spark, monkeypatch):
+    """From the second iteration on, documents' steps begin where the iteration before has left them, not at the prior's mean."""
+    rng = np.random.default_rng(6)
+    beta, lengths = rng.dirichlet(np.ones(30), 3), np.full(20, 30)
+    words, mu, inverse = np.tile(np.arange(30), 20), rng.normal(0, 1, (20, 2)), np.array([[0.5, 0.1], [0.1, 0.4]])
+    n = rng.integers(1, 20, len(words)).astype(float)
+    cold = structural_topics.posteriors(n, beta[:, words], lengths, mu, inverse)
+    warm = structural_topics.posteriors(n, beta[:, words], lengths, mu, inverse, cold[0] + 0.01)
+    assert all(x == pytest.approx(y, abs=1e-5) for x, y in zip(cold, warm))
+    seen = []
+    with_words = structural_topics._Blocks.with_words
+    monkeypatch.setattr(structural_topics._Blocks, "with_words", lambda self, model, etas=None: seen.append(etas and [len(r.etas) for r in etas.collect()]) or with_words(self, model, etas))
+    v = bags(spark, [rng.multinomial(40, beta[i % 3]) for i in range(30)], 30, ["a"] * 30)
+    structural_topics.fit_structural_topics(v, 2, iters=3)
+    assert seen[0] is None and all(sum(s) == 30 for s in seen[1:])
+
+
 def test_structural_topics_find_planted_effects(spark, monkeypatch):
     """Group b says word 1 for word 0 in the first topic; prevalence depends on the group and on a number."""
     monkeypatch.setattr(structural_topics, "BLOCK_WORDS", (500, 200))
