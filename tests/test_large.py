@@ -178,3 +178,18 @@ def test_many_hashes_at_once():
 def test_null_descriptives_has_the_draws_of_the_reference(spark):
     assert "range(5000)" in ORACLES["null_descriptives"]
     assert {r.iters for r in QUERIES["null_descriptives"](spark, SMALL).select("iters").collect()} == {5000}
+
+
+def test_topics_of_documents_without_a_model_on_the_driver(spark, monkeypatch):
+    """No fit whose words x topics numbers are on the driver is made, and the planted topics are found."""
+    monkeypatch.setattr(variational_topics, "one_pass", None)
+    monkeypatch.setattr(models, "vectorise", None)
+    rng = np.random.default_rng(4)
+    own = ["apple pear plum grape".split(), "stone iron steel copper".split()]
+    rows = [(i, " ".join(rng.choice(own[i % 2], 30))) for i in range(60)] + [(60, ""), (61, "apple once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = models.document_loadings(docs, ["doc_id"], "text", 2).toPandas().pivot(index="doc_id", columns="topic", values="loading")
+    assert sorted(got.index) == list(range(62)) and np.allclose(got.sum(axis=1), 1) and list(got.loc[60]) == [0.5, 0.5]
+    first = int(got.loc[0].to_numpy().argmax())
+    assert (got.loc[0:59:2, first] > 0.95).all() and (got.loc[1:59:2, first] < 0.05).all()
+    assert len(QUERIES["lda_loadings"](spark, SMALL).select("doc_id").distinct().collect()) == 200
